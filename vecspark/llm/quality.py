@@ -13,29 +13,48 @@ from pyspark.sql import functions as F
 
 
 class QualityModel(NamedTuple):
-    """Dictionaries and the logistic calibration of the normalised size difference; bounded by dictionary_bytes."""
+    """Dictionaries and the logistic calibration of the compressed sizes; bounded by dictionary_bytes."""
 
     good: bytes
     bad: bytes
-    weights: tuple[float, float, float]
+    weights: tuple[float, ...]
     level: int
 
 
-def _compressors(model: QualityModel) -> list[zstandard.ZstdCompressor]:
-    out = []
-    for content in (model.good, model.bad):
-        d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        d.precompute_compress(level=model.level)
-        out.append(zstandard.ZstdCompressor(dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False))
-    return out
+def _as_shape() -> bytes:
+    table = np.arange(256, dtype=np.uint8)
+    table[[*range(97, 123), *range(128, 256)]] = ord("a")
+    table[65:91] = ord("A")
+    table[48:58] = ord("0")
+    table[9:14] = ord(" ")
+    return table.tobytes()
+
+
+#: The second view of a text: its letters, capitals and digits alike, so that layout counts in any language.
+SHAPE = _as_shape()
+VIEWS = (bytes, lambda t: t.translate(SHAPE))
+
 
+def _compressor(content: bytes, level: int) -> zstandard.ZstdCompressor:
+    d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    d.precompute_compress(level=level)
+    return zstandard.ZstdCompressor(dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
 
-def _difference(texts: list[bytes], model: QualityModel) -> np.ndarray:
-    """Two features a text: the normalised difference of compressed sizes, and the same weighed by the text's size."""
-    good, bad = _compressors(model)
-    sizes = np.array([(len(good.compress(t)), len(bad.compress(t))) for t in texts], float).reshape(-1, 2)
-    d = (sizes[:, 1] - sizes[:, 0]) / np.maximum(1.0, sizes.sum(1))
-    return np.c_[d, d * np.log2(1 + sizes.sum(1))]
+
+def _compressors(model: QualityModel) -> list[tuple[zstandard.ZstdCompressor, zstandard.ZstdCompressor]]:
+    return [(_compressor(view(model.good), model.level), _compressor(view(model.bad), model.level)) for view in VIEWS]
+
+
+def _features(texts: list[bytes], compressors: list) -> np.ndarray:
+    """For the text and for its shape: the normalised difference of the compressed sizes, the same weighed by the
+    text's size, and how far the better dictionary shrinks the text."""
+    length = np.array([len(t) for t in texts], float)
+    out = []
+    for view, (good, bad) in zip(VIEWS, compressors, strict=True):
+        sizes = np.array([(len(good.compress(v)), len(bad.compress(v))) for v in map(view, texts)], float).reshape(-1, 2)
+        d = (sizes[:, 1] - sizes[:, 0]) / np.maximum(1.0, sizes.sum(1))
+        out += [d, d * np.log2(1 + sizes.sum(1)), np.log((sizes.min(1) + 8) / (length + 8))]
+    return np.stack(out, axis=1)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
@@ -75,7 +94,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, train: Column | None = None,
     n = {q: len(texts[q]) for q in texts}
     if min(n.values()) < 4:
         p = n[1] / (n[0] + n[1]) if n[0] + n[1] else 0.5
-        return QualityModel(b"\n" * 64, b"\n" * 64, (float(np.log(max(p, 1e-6) / max(1 - p, 1e-6))), 0.0, 0.0), level)
+        return QualityModel(b"\n" * 64, b"\n" * 64, (float(np.log(max(p, 1e-6) / max(1 - p, 1e-6))), *[0.0] * 6), level)
     content = {}
     for q in texts:
         taken, total = [], 0
@@ -86,9 +105,10 @@ def fit_quality(docs: DataFrame, labels: DataFrame, train: Column | None = None,
         content[q] = b"\n".join(taken) + b"\n" * 64
     # Equal sizes: a larger dictionary would shrink any text more.
     both = min(len(content[0]), len(content[1]))
-    model = QualityModel(content[1][:both], content[0][:both], (0.0, 0.0, 0.0), level)
+    model = QualityModel(content[1][:both], content[0][:both], (), level)
     held = {q: texts[q][n[q] // 2 :] for q in texts}
-    x = np.r_[_difference(held[1], model), _difference(held[0], model)]
+    compressors = _compressors(model)
+    x = np.r_[_features(held[1], compressors), _features(held[0], compressors)]
     y = np.r_[np.ones(len(held[1])), np.zeros(len(held[0]))]
     w = _logistic(x, y)
     return model._replace(weights=tuple(float(v) for v in w))
@@ -96,11 +116,12 @@ def fit_quality(docs: DataFrame, labels: DataFrame, train: Column | None = None,
 
 def _scores(model: QualityModel, columns: list[str], threshold: float) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compressors = _compressors(model)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 texts = [(t or "").encode() for t in part.column("text").to_pylist()]
-                z = model.weights[0] + _difference(texts, model) @ np.array(model.weights[1:])
+                z = model.weights[0] + _features(texts, compressors) @ np.array(model.weights[1:])
                 p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=[*columns, "score", "predicted"])
 
@@ -110,7 +131,8 @@ def _scores(model: QualityModel, columns: list[str], threshold: float) -> Callab
 def score_quality(docs: DataFrame, model: QualityModel, threshold: float = 0.3) -> DataFrame:
     """docs with score (0 to 1, higher: label 1 likelier) and predicted (1 if score >= threshold, else 0).
 
-    Every text is compressed whole. Null and empty texts have no difference and get the calibration's intercept.
+    Every text is compressed whole. Null counts as empty; empty texts are scored by the same features, their sizes those
+    of an empty frame.
     Columns of docs called score or predicted are replaced. Rows are scored alone: repeats get equal scores.
     """
     docs = docs.drop("score", "predicted")
