@@ -18,6 +18,15 @@ from vecspark.llm.words import shingles, span_hashes, words
 SKETCH_BITS = 18
 
 
+#: Schemes to choose from: a document's l is least_matches of its set's size times one of these.
+SCHEMES = (1, 2, 4)
+
+
+def least_matches(n):  # noqa: ANN001, ANN201 - an array or a Column
+    """The fewest shared prefix shingles that any scheme of a set of n shingles asks for; grows with n."""
+    return n // 32 + 1
+
+
 def _sets(batch: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash and row of every shingle occurrence in a batch."""
     data, offsets = text_bytes(batch.column("text"))
@@ -45,7 +54,7 @@ def frequency_sketch(docs: DataFrame, size: int) -> np.ndarray:
     return out
 
 
-def _ordered(size: int, sketch: np.ndarray, percent: int, most: int, whole: bool) -> Callable:
+def _ordered(size: int, sketch: np.ndarray, percent: int, whole: bool) -> Callable:
     """Each document's set in the global order (rare first), with the prefix its scheme needs, or whole."""
     mean = max(1.0, float(sketch.sum()) / len(sketch))
     excess = np.maximum(sketch - mean - 4 * np.sqrt(mean), 0.0)
@@ -66,11 +75,12 @@ def _ordered(size: int, sketch: np.ndarray, percent: int, most: int, whole: bool
             # The cost of an l-scheme: expected partners by sketch over its prefix, thinned by the matches asked for.
             heavy = np.r_[0.0, np.cumsum(excess[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)])]
             best, cost = np.ones(len(n), np.int64), np.full(len(n), np.inf)
-            for ell in range(1, most + 1):
+            for factor in SCHEMES:
+                ell = least_matches(n) * factor
                 end = np.minimum(n - need + ell, n)
-                c = (heavy[bounds[:-1] + end] - heavy[bounds[:-1]]) / ell**2 + 0.02 * end + ell
-                better = (c < cost) & ((ell <= need) | (ell == 1))
-                best[better], cost[better] = ell, c[better]
+                c = (heavy[bounds[:-1] + end] - heavy[bounds[:-1]]) / ell + end
+                better = (c < cost) & ((ell <= need) | (factor == 1))
+                best[better], cost[better] = ell[better], c[better]
             end = n if whole else np.minimum(n - need + best, n)
             keep = np.arange(len(h)) - bounds[rows] < end[rows] if len(h) else np.zeros(0, bool)
             values = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(end)].astype(np.int32)), pa.array(h[keep].view(np.int64)))
@@ -83,7 +93,7 @@ def _ordered(size: int, sketch: np.ndarray, percent: int, most: int, whole: bool
     return run
 
 
-def near_duplicate_components(docs: DataFrame, size: int = 5, percent: int = 80, most: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicate_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Link documents whose shingle sets have 100*|A∩B| >= percent*|A∪B|: (doc_id, n_shingles, component_id).
 
     Words are runs of non-white-space bytes with A-Z lowered; a set holds distinct runs of `size` words, or the whole
@@ -91,12 +101,13 @@ def near_duplicate_components(docs: DataFrame, size: int = 5, percent: int = 80,
     reachable by links, itself included.
 
     Shingles are ordered rare first by a fixed-size sketch counted over all documents. A document of n shingles takes
-    the first n - ceil(percent*n/100) + l of them, l between 1 and `most` being its cheapest scheme by estimated
-    partners; two documents that link share at least min(l) shingles within the shorter schemes' prefixes, so only
-    such pairs are verified, on their whole sets. Equal sets are one vertex from the start.
+    the first n - ceil(percent*n/100) + l of them, l being the cheapest of a few schemes (n/32 + 1, twice and four
+    times that) by estimated partners; two documents that link share at least min(l) shingles within the prefixes of
+    that scheme. So documents with fewer shared prefix shingles than any partner's scheme asks for drop out, and only
+    pairs that share enough are verified, on their whole sets. Equal sets are one vertex from the start.
 
-    Pairs are never formed inside a group as a whole: each round compares a shingle's documents with its first 1, 4,
-    16... ones, skips pairs that a component already joins or a round has refused, and drops shingles whose documents
+    Pairs are never formed inside a group as a whole: each round compares a shingle's documents with its first 1, 16,
+    256... ones, skips pairs that a component already joins or a round has judged, and drops shingles whose documents
     are all in one component. What is left shrinks until every pair in two components has been compared, so
     no link between components is lost and no cap is needed.
 
@@ -106,19 +117,24 @@ def near_duplicate_components(docs: DataFrame, size: int = 5, percent: int = 80,
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = "doc_id long, n long, ell int, digest binary, toks array<long>"
     sketch = frequency_sketch(docs, size)
-    base = materialise(docs.mapInArrow(_ordered(size, sketch, percent, most, False), schema), "prefixes")
+    base = materialise(docs.mapInArrow(_ordered(size, sketch, percent, False), schema), "prefixes")
     sets = base.where("n > 0 AND doc_id IS NOT NULL")
     reps = sets.groupBy("digest").agg(F.min("doc_id").alias("rep"))
     member = materialise(sets.select("doc_id", "digest").join(reps, "digest").select("doc_id", "rep").distinct(), "members")
     token = sets.join(member.where("doc_id = rep").select("doc_id"), "doc_id").select(F.explode("toks").alias("tok"), "doc_id", "n")
     shared = token.groupBy("tok").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("tok")
     open_ = materialise(token.join(shared, "tok"), "shared")
+    # A partner has at least percent/100 as many shingles, so its scheme asks for this many matches or more.
+    fewest = F.floor(F.ceil(F.col("n") * percent / 100) / 32) + 1
+    open_ = open_.join(open_.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k"), F.first("n").alias("n")).where(F.col("k") >= fewest).select("doc_id"), "doc_id")
+    open_ = materialise(open_, "candidates")
     some = open_.select("doc_id").distinct()
-    full = materialise(docs.join(some, "doc_id").mapInArrow(_ordered(size, sketch, percent, most, True), schema).drop("digest"), "sets")
+    heads = materialise(sets.join(some, "doc_id").select("doc_id", "n", "ell", "toks"), "heads")
+    full = materialise(docs.join(some, "doc_id").mapInArrow(_ordered(size, sketch, percent, True), schema).select("doc_id", "toks"), "sets")
 
     links = member.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     labels = None
-    refused = None
+    judged = None
     k = 1
     while True:
         if labels is not None:
@@ -136,22 +152,25 @@ def near_duplicate_components(docs: DataFrame, size: int = 5, percent: int = 80,
             x.join(y, "tok").where("x.comp <> y.comp AND 100 * least(x.n, y.n) >= %d * greatest(x.n, y.n)" % percent)
             .select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
         )
-        if refused is not None:
-            pairs = pairs.join(refused, ["a", "b"], "left_anti")
-        s, t = full.alias("s"), full.alias("t")
+        if judged is not None:
+            pairs = pairs.join(judged, ["a", "b"], "left_anti")
+        pairs = materialise(pairs, "pairs")
+        s, t = heads.alias("s"), heads.alias("t")
         both = pairs.join(s, F.col("a") == F.col("s.doc_id")).join(t, F.col("b") == F.col("t.doc_id"))
         low = F.least("s.ell", "t.ell")
         head = lambda w: F.slice(f"{w}.toks", 1, (F.col(f"{w}.n") - F.ceil(F.col(f"{w}.n") * percent / 100) + low).cast("int"))
+        likely = both.where(F.size(F.array_intersect(head("s"), head("t"))) >= low).select("a", "b")
+        s, t = full.alias("s"), full.alias("t")
+        both = likely.join(s, F.col("a") == F.col("s.doc_id")).join(t, F.col("b") == F.col("t.doc_id"))
         common = F.size(F.array_intersect("s.toks", "t.toks"))
-        told = both.select("a", "b", ((F.size(F.array_intersect(head("s"), head("t"))) >= low) & (common * 100 >= percent * (F.col("s.n") + F.col("t.n") - common))).alias("linked"))
-        told = materialise(told, "verified")
-        links = links.unionAll(told.where("linked").select("a", "b"))
-        no = told.where("NOT linked").select("a", "b")
-        refused = no if refused is None else refused.unionAll(no)
-        if not told.where("linked").isEmpty() or labels is None:
+        linked = both.where(common * 100 >= percent * (F.size("s.toks") + F.size("t.toks") - common)).select("a", "b")
+        told = materialise(linked.distinct(), "verified")
+        links = links.unionAll(told)
+        judged = pairs if judged is None else judged.unionAll(pairs)
+        if not told.isEmpty() or labels is None:
             labels = connected_components(links)
         open_ = where.join(lead.select("tok", "doc_id"), ["tok", "doc_id"], "left_anti").select("tok", "doc_id", "n")
-        k *= 4
+        k *= 16
     if labels is None:
         labels = connected_components(links)
     return base.select("doc_id", F.col("n").alias("n_shingles")).join(labels, F.col("doc_id") == F.col("v"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
