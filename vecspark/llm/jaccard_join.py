@@ -18,6 +18,10 @@ from vecspark.llm.words import shingles, span_hashes, words
 SKETCH_BITS = 18
 
 
+#: Columns of a 512-bit parity sketch of a set: bit b tells whether an odd number of its shingles hash to b. Two
+#: sketches differ in at most as many bits as the sets differ in shingles, so it refuses pairs without error.
+PARITY = [f"bits{i}" for i in range(8)]
+
 #: Schemes to choose from: a document's l is least_matches of its set's size times one of these.
 SCHEMES = (1, 2, 4)
 
@@ -46,6 +50,12 @@ def _count(size: int) -> Callable:
     return run
 
 
+def _parity(h: np.ndarray, rows: np.ndarray, n: int) -> list[pa.Array]:
+    at = rows * 512 + (h & np.uint64(511)).astype(np.int64)
+    odd = (np.bincount(at, minlength=n * 512) & 1).astype(np.uint8).reshape(n, 512)
+    return [pa.array(x) for x in np.packbits(odd, axis=1).view(np.int64).T]
+
+
 def frequency_sketch(docs: DataFrame, size: int) -> np.ndarray:
     """Shingle counts over all documents in 2**SKETCH_BITS counters by hash; 2 MB for any corpus."""
     rows = docs.select("text").mapInArrow(_count(size), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
@@ -85,10 +95,10 @@ def _ordered(size: int, sketch: np.ndarray, percent: int, whole: bool) -> Callab
             keep = np.arange(len(h)) - bounds[rows] < end[rows] if len(h) else np.zeros(0, bool)
             values = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(end)].astype(np.int32)), pa.array(h[keep].view(np.int64)))
             digests = [hashlib.blake2b(h[a:b].tobytes(), digest_size=16).digest() if b > a else None for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n), pa.array(best.astype(np.int32)), pa.array(digests, pa.binary()), values],
-                names=["doc_id", "n", "ell", "digest", "toks"],
-            )
+            columns = {"doc_id": batch.column("doc_id"), "n": pa.array(n), "ell": pa.array(best.astype(np.int32)), "digest": pa.array(digests, pa.binary()), "toks": values}
+            if whole:
+                columns |= dict(zip(PARITY, _parity(h, rows, batch.num_rows), strict=True))
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     return run
 
@@ -107,7 +117,8 @@ def near_duplicate_components(docs: DataFrame, size: int = 5, percent: int = 80,
     pairs that share enough are verified, on their whole sets. Equal sets are one vertex from the start.
 
     Pairs are never formed inside a group as a whole: each round compares a shingle's documents with its first 1, 16,
-    256... ones, skips pairs that a component already joins or a round has judged, and drops shingles whose documents
+    256... ones, skips pairs that a component already joins or a round has judged or whose parity
+    sketches differ in more bits than linked sets can differ in shingles, and drops shingles whose documents
     are all in one component. What is left shrinks until every pair in two components has been compared, so
     no link between components is lost and no cap is needed.
 
@@ -130,7 +141,9 @@ def near_duplicate_components(docs: DataFrame, size: int = 5, percent: int = 80,
     open_ = materialise(open_, "candidates")
     some = open_.select("doc_id").distinct()
     heads = materialise(sets.join(some, "doc_id").select("doc_id", "n", "ell", "toks"), "heads")
-    full = materialise(docs.join(some, "doc_id").mapInArrow(_ordered(size, sketch, percent, True), schema).select("doc_id", "toks"), "sets")
+    whole = docs.join(some, "doc_id").mapInArrow(_ordered(size, sketch, percent, True), schema + "".join(f", {c} long" for c in PARITY))
+    full = materialise(whole.select("doc_id", "toks", *PARITY), "sets")
+    near = sum((F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in PARITY), F.lit(0)) * (100 + percent) <= (F.col("x.n") + F.col("y.n")) * (100 - percent)
 
     links = member.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     labels = None
@@ -147,9 +160,12 @@ def near_duplicate_components(docs: DataFrame, size: int = 5, percent: int = 80,
             break
         turn = Window.partitionBy("tok").orderBy("doc_id")
         lead = materialise(where.withColumn("rn", F.row_number().over(turn)).where(F.col("rn") <= k).drop("rn"), "leaders")
-        x, y = where.alias("x"), lead.alias("y")
+        # A single leader makes no more pairs than rows; sketches go along from the second round, on the rows left.
+        bits = full.select(F.col("doc_id").alias("d"), *PARITY)
+        x, y = ((where, lead) if k == 1 else (t.join(bits, F.col("doc_id") == F.col("d")) for t in (where, lead)))
+        x, y = x.alias("x"), y.alias("y")
         pairs = (
-            x.join(y, "tok").where("x.comp <> y.comp AND 100 * least(x.n, y.n) >= %d * greatest(x.n, y.n)" % percent)
+            x.join(y, "tok").where("x.comp <> y.comp AND 100 * least(x.n, y.n) >= %d * greatest(x.n, y.n)" % percent).where(near if k > 1 else F.lit(True))
             .select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
         )
         if judged is not None:
