@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecspark.llm.common import by_bytes, materialise, text_bytes
@@ -16,6 +16,8 @@ from vecspark.llm.words import shingles, span_hashes, words
 
 #: Counters of the frequency sketch: its size is fixed whatever the corpus, and so is what is sent to the tasks.
 SKETCH_BITS = 18
+#: Slots of the bitmap that names the documents whose sets are needed; its size is fixed too.
+SLOT_BITS = 24
 
 
 #: Columns of a 512-bit parity sketch of a set: bit b tells whether an odd number of its shingles hash to b. Two
@@ -64,6 +66,29 @@ def frequency_sketch(docs: DataFrame, size: int) -> np.ndarray:
     return out
 
 
+def _slot() -> Column:
+    return F.xxhash64("doc_id").bitwiseAND((1 << SLOT_BITS) - 1).alias("slot")
+
+
+def _slots(ids: DataFrame) -> np.ndarray:
+    """One bit for each hash slot that holds an id; 2 MB for any number of ids."""
+    words = ids.select(_slot()).groupBy(F.expr("slot div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 64 as int)))").alias("b")).toPandas()
+    out = np.zeros(1 << (SLOT_BITS - 6), np.int64)
+    out[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64)
+    return out
+
+
+def _listed(slots: np.ndarray, then: Callable) -> Callable:
+    """Only rows whose slot is set go on: all that were listed, and by chance a few others."""
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            slot = batch.column("slot").to_numpy()
+            yield batch.filter(pa.array((slots[slot >> 6] >> (slot & 63)) & 1 == 1))
+
+    return lambda batches: then(some(batches))
+
+
 def _ordered(size: int, sketch: np.ndarray, percent: int, whole: bool) -> Callable:
     """Each document's set in the global order (rare first), with the prefix its scheme needs, or whole."""
     mean = max(1.0, float(sketch.sum()) / len(sketch))
@@ -132,7 +157,7 @@ def near_duplicate_components(docs: DataFrame, size: int = 5, percent: int = 80,
     sets = base.where("n > 0 AND doc_id IS NOT NULL")
     reps = sets.groupBy("digest").agg(F.min("doc_id").alias("rep"))
     member = materialise(sets.select("doc_id", "digest").join(reps, "digest").select("doc_id", "rep").distinct(), "members")
-    token = sets.join(member.where("doc_id = rep").select("doc_id"), "doc_id").select(F.explode("toks").alias("tok"), "doc_id", "n")
+    token = sets.join(member.where("doc_id <> rep").select("doc_id"), "doc_id", "left_anti").select(F.explode("toks").alias("tok"), "doc_id", "n")
     shared = token.groupBy("tok").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("tok")
     open_ = materialise(token.join(shared, "tok"), "shared")
     # A partner has at least percent/100 as many shingles, so its scheme asks for this many matches or more.
@@ -140,9 +165,9 @@ def near_duplicate_components(docs: DataFrame, size: int = 5, percent: int = 80,
     open_ = open_.join(open_.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k"), F.first("n").alias("n")).where(F.col("k") >= fewest).select("doc_id"), "doc_id")
     open_ = materialise(open_, "candidates")
     some = open_.select("doc_id").distinct()
-    heads = materialise(sets.join(some, "doc_id").select("doc_id", "n", "ell", "toks"), "heads")
-    whole = docs.join(some, "doc_id").mapInArrow(_ordered(size, sketch, percent, True), schema + "".join(f", {c} long" for c in PARITY))
-    full = materialise(whole.select("doc_id", "toks", *PARITY), "sets")
+    listed = _slots(some)
+    whole = docs.withColumn("slot", _slot()).mapInArrow(_listed(listed, _ordered(size, sketch, percent, True)), schema + "".join(f", {c} long" for c in PARITY))
+    full = materialise(whole.where("doc_id IS NOT NULL").drop("digest"), "sets")
     near = sum((F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in PARITY), F.lit(0)) * (100 + percent) <= (F.col("x.n") + F.col("y.n")) * (100 - percent)
 
     links = member.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
@@ -171,6 +196,7 @@ def near_duplicate_components(docs: DataFrame, size: int = 5, percent: int = 80,
         if judged is not None:
             pairs = pairs.join(judged, ["a", "b"], "left_anti")
         pairs = materialise(pairs, "pairs")
+        heads = full.select("doc_id", "n", "ell", F.slice("toks", 1, (F.col("n") - F.ceil(F.col("n") * percent / 100) + F.col("ell")).cast("int")).alias("toks"))
         s, t = heads.alias("s"), heads.alias("t")
         both = pairs.join(s, F.col("a") == F.col("s.doc_id")).join(t, F.col("b") == F.col("t.doc_id"))
         low = F.least("s.ell", "t.ell")
