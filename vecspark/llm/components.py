@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecspark.llm.common import materialise
@@ -34,3 +36,45 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         edges = materialise(edges, "links")
     least = labels.groupBy("label").agg(F.min("v").alias("component"))
     return materialise(labels.join(least, "label").select("v", "component"), "components")
+
+
+def resolve(rows: DataFrame, judge: Callable[[DataFrame], DataFrame], links: DataFrame, condition: Callable[[int], Column], more: DataFrame | None = None) -> DataFrame:
+    """Components of all links between rows that share a key, without forming the pairs of a key's rows.
+
+    rows: (key, id, n). Each round compares a key's rows with its first 1, 16, 256... ones as long as they lie in
+    different components, judges the new pairs (a, b), and drops keys whose rows are all in one component. What is left
+    shrinks until every pair in two components has been judged, so no link between components is lost. links holds
+    known links (a, b). condition(round) is the test for a pair inside the join, of x.n and y.n and of the columns of
+    `more` (id and others), which are at hand from the second round.
+    """
+    labels, judged, k = None, None, 1
+    while True:
+        if labels is None:
+            where = rows.withColumn("comp", F.col("id"))
+        else:
+            where = rows.join(labels, rows["id"] == labels["v"], "left").select("key", "id", "n", F.coalesce("component", "id").alias("comp"))
+        mixed = where.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+        where = materialise(where.join(mixed, "key"), "open")
+        if where.isEmpty():
+            return connected_components(links) if labels is None else labels
+        turn = Window.partitionBy("key").orderBy("id")
+        lead = materialise(where.withColumn("rn", F.row_number().over(turn)).where(F.col("rn") <= k).drop("rn"), "leaders")
+        x, y = where, lead
+        if k > 1 and more is not None:
+            extra = more.withColumnRenamed("id", "d")
+            x, y = (t.join(extra, F.col("id") == F.col("d")).drop("d") for t in (x, y))
+        x, y = x.alias("x"), y.alias("y")
+        pairs = (
+            x.join(y, "key").where("x.comp <> y.comp").where(condition(k))
+            .select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+        )
+        if judged is not None:
+            pairs = pairs.join(judged, ["a", "b"], "left_anti")
+        pairs = materialise(pairs, "pairs")
+        told = materialise(judge(pairs), "verified")
+        links = links.unionAll(told)
+        judged = pairs if judged is None else judged.unionAll(pairs)
+        if labels is None or not told.isEmpty():
+            labels = connected_components(links)
+        rows = where.join(lead.select("key", "id"), ["key", "id"], "left_anti").select("key", "id", "n")
+        k *= 16

@@ -7,11 +7,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vecspark.llm.common import by_bytes, materialise, text_bytes
-from vecspark.llm.components import connected_components
+from vecspark.llm.components import resolve
 from vecspark.llm.words import shingles, span_hashes, words
 
 #: Counters of the frequency sketch: its size is fixed whatever the corpus, and so is what is sent to the tasks.
@@ -171,31 +171,8 @@ def near_duplicate_components(docs: DataFrame, size: int = 5, percent: int = 80,
     near = sum((F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in PARITY), F.lit(0)) * (100 + percent) <= (F.col("x.n") + F.col("y.n")) * (100 - percent)
 
     links = member.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    labels = None
-    judged = None
-    k = 1
-    while True:
-        if labels is not None:
-            where = open_.join(labels, open_["doc_id"] == labels["v"], "left").select("tok", "doc_id", "n", F.coalesce("component", "doc_id").alias("comp"))
-        else:
-            where = open_.withColumn("comp", F.col("doc_id"))
-        mixed = where.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("tok")
-        where = materialise(where.join(mixed, "tok"), "open")
-        if where.isEmpty():
-            break
-        turn = Window.partitionBy("tok").orderBy("doc_id")
-        lead = materialise(where.withColumn("rn", F.row_number().over(turn)).where(F.col("rn") <= k).drop("rn"), "leaders")
-        # A single leader makes no more pairs than rows; sketches go along from the second round, on the rows left.
-        bits = full.select(F.col("doc_id").alias("d"), *PARITY)
-        x, y = ((where, lead) if k == 1 else (t.join(bits, F.col("doc_id") == F.col("d")) for t in (where, lead)))
-        x, y = x.alias("x"), y.alias("y")
-        pairs = (
-            x.join(y, "tok").where("x.comp <> y.comp AND 100 * least(x.n, y.n) >= %d * greatest(x.n, y.n)" % percent).where(near if k > 1 else F.lit(True))
-            .select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
-        )
-        if judged is not None:
-            pairs = pairs.join(judged, ["a", "b"], "left_anti")
-        pairs = materialise(pairs, "pairs")
+
+    def judge(pairs: DataFrame) -> DataFrame:
         heads = full.select("doc_id", "n", "ell", F.slice("toks", 1, (F.col("n") - F.ceil(F.col("n") * percent / 100) + F.col("ell")).cast("int")).alias("toks"))
         s, t = heads.alias("s"), heads.alias("t")
         both = pairs.join(s, F.col("a") == F.col("s.doc_id")).join(t, F.col("b") == F.col("t.doc_id"))
@@ -205,14 +182,10 @@ def near_duplicate_components(docs: DataFrame, size: int = 5, percent: int = 80,
         s, t = full.alias("s"), full.alias("t")
         both = likely.join(s, F.col("a") == F.col("s.doc_id")).join(t, F.col("b") == F.col("t.doc_id"))
         common = F.size(F.array_intersect("s.toks", "t.toks"))
-        linked = both.where(common * 100 >= percent * (F.size("s.toks") + F.size("t.toks") - common)).select("a", "b")
-        told = materialise(linked.distinct(), "verified")
-        links = links.unionAll(told)
-        judged = pairs if judged is None else judged.unionAll(pairs)
-        if not told.isEmpty() or labels is None:
-            labels = connected_components(links)
-        open_ = where.join(lead.select("tok", "doc_id"), ["tok", "doc_id"], "left_anti").select("tok", "doc_id", "n")
-        k *= 16
-    if labels is None:
-        labels = connected_components(links)
+        return both.where(common * 100 >= percent * (F.size("s.toks") + F.size("t.toks") - common)).select("a", "b").distinct()
+
+    sizes = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent
+    rows = open_.select(F.col("tok").alias("key"), F.col("doc_id").alias("id"), "n")
+    # A single leader makes no more pairs than rows; sketches go along from the second round, on the rows left.
+    labels = resolve(rows, judge, links, lambda k: sizes & near if k > 1 else sizes, full.select(F.col("doc_id").alias("id"), *PARITY).dropDuplicates(["id"]))
     return base.select("doc_id", F.col("n").alias("n_shingles")).join(labels, F.col("doc_id") == F.col("v"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

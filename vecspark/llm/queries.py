@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vecspark.llm.decontaminate import contaminated
 from vecspark.llm.exact_dedup import exact_groups
 from vecspark.llm.jaccard_join import near_duplicate_components
 from vecspark.llm.language_id import fit_languages, identify_languages
@@ -36,6 +37,12 @@ FROM d
 """
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of a document and a benchmark item that it holds."""
+    out = contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "item_id", "item_words", "covered", "coverage", F.size("tiles").alias("n_tiles"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document; learnt from those that are not held out."""
     docs = _read(spark, sf_dir, "documents")
@@ -84,6 +91,7 @@ SELECT doc_id, size, source_size, target, passes * size + greatest(0, least(size
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op3_decontamination": op3_decontamination,
     "op6_language_id": op6_language_id,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_quality": op9_quality,
