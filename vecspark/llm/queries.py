@@ -11,6 +11,7 @@ from vecspark.llm.decontaminate import contaminated
 from vecspark.llm.exact_dedup import exact_groups
 from vecspark.llm.jaccard_join import near_duplicate_components
 from vecspark.llm.language_id import fit_languages, identify_languages
+from vecspark.llm.line_dedup import dedup_lines
 from vecspark.llm.mixing import mixture
 from vecspark.llm.quality import fit_quality, score_quality
 
@@ -37,6 +38,12 @@ FROM d
 """
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that repeat, exactly or nearly, in it or in others."""
+    out = dedup_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every pair of a document and a benchmark item that it holds."""
     out = contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
@@ -91,6 +98,7 @@ SELECT doc_id, size, source_size, target, passes * size + greatest(0, least(size
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_line_dedup": op2_line_dedup,
     "op3_decontamination": op3_decontamination,
     "op6_language_id": op6_language_id,
     "op8_jaccard_join": op8_jaccard_join,
