@@ -38,14 +38,15 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     return materialise(labels.join(least, "label").select("v", "component"), "components")
 
 
-def resolve(rows: DataFrame, judge: Callable[[DataFrame], DataFrame], links: DataFrame, condition: Callable[[int], Column], more: DataFrame | None = None) -> DataFrame:
+def resolve(rows: DataFrame, judge: Callable[[DataFrame], DataFrame], links: DataFrame, condition: Callable[[int], Column], more: DataFrame | None = None, fewest: Column | None = None) -> DataFrame:
     """Components of all links between rows that share a key, without forming the pairs of a key's rows.
 
     rows: (key, id, n). Each round compares a key's rows with its first 1, 16, 256... ones as long as they lie in
     different components, judges the new pairs (a, b), and drops keys whose rows are all in one component. What is left
     shrinks until every pair in two components has been judged, so no link between components is lost. links holds
     known links (a, b). condition(round) is the test for a pair inside the join, of x.n and y.n and of the columns of
-    `more` (id and others), which are at hand from the second round.
+    `more` (id and others), which are at hand from the second round. fewest, of n: a row of
+    fewer open keys has no link left, because any partner would share as many, all of them in keys still open.
     """
     labels, judged, k = None, None, 1
     while True:
@@ -54,7 +55,11 @@ def resolve(rows: DataFrame, judge: Callable[[DataFrame], DataFrame], links: Dat
         else:
             where = rows.join(labels, rows["id"] == labels["v"], "left").select("key", "id", "n", F.coalesce("component", "id").alias("comp"))
         mixed = where.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-        where = materialise(where.join(mixed, "key"), "open")
+        where = where.join(mixed, "key")
+        if fewest is not None:
+            where = materialise(where, "mixed")
+            where = where.join(where.groupBy("id").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n")).where(F.col("c") >= fewest).select("id"), "id")
+        where = materialise(where.select("key", "id", "n", "comp"), "open")
         if where.isEmpty():
             return connected_components(links) if labels is None else labels
         turn = Window.partitionBy("key").orderBy("id")

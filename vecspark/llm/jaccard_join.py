@@ -20,9 +20,9 @@ SKETCH_BITS = 18
 SLOT_BITS = 24
 
 
-#: Columns of a 512-bit parity sketch of a set: bit b tells whether an odd number of its shingles hash to b. Two
+#: Columns of a 256-bit parity sketch of a set: bit b tells whether an odd number of its shingles hash to b. Two
 #: sketches differ in at most as many bits as the sets differ in shingles, so it refuses pairs without error.
-PARITY = [f"bits{i}" for i in range(8)]
+PARITY = [f"bits{i}" for i in range(4)]
 
 #: Schemes to choose from: a document's l is least_matches of its set's size times one of these.
 SCHEMES = (1, 2, 4)
@@ -53,8 +53,8 @@ def _count(size: int) -> Callable:
 
 
 def _parity(h: np.ndarray, rows: np.ndarray, n: int) -> list[pa.Array]:
-    at = rows * 512 + (h & np.uint64(511)).astype(np.int64)
-    odd = (np.bincount(at, minlength=n * 512) & 1).astype(np.uint8).reshape(n, 512)
+    at = rows * 256 + (h & np.uint64(255)).astype(np.int64)
+    odd = (np.bincount(at, minlength=n * 256) & 1).astype(np.uint8).reshape(n, 256)
     return [pa.array(x) for x in np.packbits(odd, axis=1).view(np.int64).T]
 
 
@@ -159,9 +159,9 @@ def near_duplicate_components(docs: DataFrame, size: int = 5, percent: int = 80,
     member = materialise(sets.select("doc_id", "digest").join(reps, "digest").select("doc_id", "rep").distinct(), "members")
     token = sets.join(member.where("doc_id <> rep").select("doc_id"), "doc_id", "left_anti").select(F.explode("toks").alias("tok"), "doc_id", "n")
     shared = token.groupBy("tok").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("tok")
-    open_ = materialise(token.join(shared, "tok"), "shared")
     # A partner has at least percent/100 as many shingles, so its scheme asks for this many matches or more.
     fewest = F.floor(F.ceil(F.col("n") * percent / 100) / 32) + 1
+    open_ = materialise(token.join(shared, "tok"), "shared")
     open_ = open_.join(open_.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k"), F.first("n").alias("n")).where(F.col("k") >= fewest).select("doc_id"), "doc_id")
     open_ = materialise(open_, "candidates")
     some = open_.select("doc_id").distinct()
@@ -187,5 +187,5 @@ def near_duplicate_components(docs: DataFrame, size: int = 5, percent: int = 80,
     sizes = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent
     rows = open_.select(F.col("tok").alias("key"), F.col("doc_id").alias("id"), "n")
     # A single leader makes no more pairs than rows; sketches go along from the second round, on the rows left.
-    labels = resolve(rows, judge, links, lambda k: sizes & near if k > 1 else sizes, full.select(F.col("doc_id").alias("id"), *PARITY).dropDuplicates(["id"]))
+    labels = resolve(rows, judge, links, lambda k: sizes & near if k > 1 else sizes, full.select(F.col("doc_id").alias("id"), *PARITY).dropDuplicates(["id"]), fewest)
     return base.select("doc_id", F.col("n").alias("n_shingles")).join(labels, F.col("doc_id") == F.col("v"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
