@@ -15,6 +15,8 @@ from vecspark.llm.line_dedup import dedup_lines
 from vecspark.llm.mixing import mixture
 from vecspark.llm.quality import fit_quality, score_quality
 
+from vecspark.llm.substring_dedup import dedup_substrings
+
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -58,6 +60,12 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(rows, model).drop("text")
 
 
+def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes that lie in repeated strings of 100 bytes."""
+    out = dedup_substrings(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 5-word shingle sets have a Jaccard similarity of 0.8 or more."""
     return near_duplicate_components(_read(spark, sf_dir, "documents"))
@@ -101,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": op2_line_dedup,
     "op3_decontamination": op3_decontamination,
     "op6_language_id": op6_language_id,
+    "op7_suffix_array": op7_suffix_array,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_quality": op9_quality,
     "op10_mixing": op10_mixing,
