@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from vecspark.llm.decontaminate import contaminated
 from vecspark.llm.exact_dedup import exact_groups
+from vecspark.llm.html_text import extract_text
 from vecspark.llm.jaccard_join import near_duplicate_components
 from vecspark.llm.language_id import fit_languages, identify_languages
 from vecspark.llm.line_dedup import dedup_lines
 from vecspark.llm.mixing import mixture
+from vecspark.llm.preferences import conversations, format_preferences, paired_by_opening
 from vecspark.llm.quality import fit_quality, score_quality
 
 from vecspark.llm.substring_dedup import dedup_substrings
@@ -52,6 +54,17 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "item_id", "item_words", "covered", "coverage", F.size("tiles").alias("n_tiles"))
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Visible text of every page."""
+    return extract_text(_read(spark, sf_dir, "pages")).select("page_id", "url", "text")
+
+
+def op5_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompt and completions of every two successive conversations with one opening."""
+    talks = conversations(_read(spark, sf_dir, "conversations"))
+    return format_preferences(talks, paired_by_opening(talks))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document; learnt from those that are not held out."""
     docs = _read(spark, sf_dir, "documents")
@@ -108,6 +121,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_line_dedup": op2_line_dedup,
     "op3_decontamination": op3_decontamination,
+    "op4_html_text": op4_html_text,
+    "op5_preferences": op5_preferences,
     "op6_language_id": op6_language_id,
     "op7_suffix_array": op7_suffix_array,
     "op8_jaccard_join": op8_jaccard_join,
