@@ -26,6 +26,14 @@ def paired_by_opening(talks: DataFrame) -> DataFrame:
     return rows.withColumn("rejected_id", after).where("rejected_id IS NOT NULL").select(F.col("conv_id").alias("chosen_id"), "rejected_id")
 
 
+def paired_by_number(talks: DataFrame) -> DataFrame:
+    """(chosen_id, rejected_id): conversations 2k and 2k + 1, where both are there."""
+    rows = talks.where("conv_id IS NOT NULL").select("conv_id")
+    even = rows.where("conv_id % 2 = 0").select(F.col("conv_id").alias("chosen_id"))
+    odd = rows.where("conv_id % 2 <> 0").select(F.col("conv_id").alias("rejected_id"))
+    return even.join(odd, F.col("rejected_id") == F.col("chosen_id") + 1)
+
+
 def _render(turn: Column) -> Column:
     """A turn in the template; markers inside the text are broken up, so that text can't open or close a turn."""
     safe = lambda c: F.replace(F.coalesce(c, F.lit("")), F.lit("<|"), F.lit("< |"))

@@ -14,7 +14,7 @@ from vecspark.llm.jaccard_join import near_duplicate_components
 from vecspark.llm.language_id import fit_languages, identify_languages
 from vecspark.llm.line_dedup import dedup_lines
 from vecspark.llm.mixing import mixture
-from vecspark.llm.preferences import conversations, format_preferences, paired_by_opening
+from vecspark.llm.preferences import conversations, format_preferences, paired_by_number, paired_by_opening
 from vecspark.llm.quality import fit_quality, score_quality
 
 from vecspark.llm.substring_dedup import dedup_substrings
@@ -60,9 +60,9 @@ def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prompt and completions of every two successive conversations with one opening."""
+    """Prompt and completions of every two successive conversations with one opening, and of every two by number."""
     talks = conversations(_read(spark, sf_dir, "conversations"))
-    return format_preferences(talks, paired_by_opening(talks))
+    return format_preferences(talks, paired_by_opening(talks).union(paired_by_number(talks)).distinct())
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
