@@ -28,13 +28,14 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest doc_id."""
-    others = near_duplicate_components(docs).where("component_id <> doc_id").select("doc_id").distinct()
+    # Written first, so that the planner knows its size and shuffles the texts only if it is large.
+    others = materialise(near_duplicate_components(docs).where("component_id <> doc_id").select("doc_id").distinct(), "near-duplicates")
     return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that hold a benchmark item."""
-    found = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct()
+    found = materialise(contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct(), "contaminated")
     return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
 
 
