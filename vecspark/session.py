@@ -1,0 +1,13 @@
+"""Spark session with the settings that the library's plans count on."""
+
+from pyspark.sql import SparkSession
+
+
+def session(app: str = "vecspark", master: str | None = None, cores: int | None = None) -> SparkSession:
+    """A session with adaptive execution, ANSI arithmetic (overflow raises) and UTC."""
+    builder = SparkSession.builder.appName(app).config("spark.sql.adaptive.enabled", "true").config("spark.sql.ansi.enabled", "true").config("spark.sql.session.timeZone", "UTC")
+    if master:
+        builder = builder.master(master)
+    if cores:
+        builder = builder.config("spark.sql.shuffle.partitions", str(2 * cores))
+    return builder.getOrCreate()
