@@ -19,21 +19,21 @@ def running(df: DataFrame, val: str, out: str, block: int, idx: str = "idx", tie
     non-negative integer.
     """
     add = _AGG[op]
-    blk = f"_blk{depth}"
+    blk, within, of, carried = (f"_{x}{depth}" for x in ("blk", "in", "of", "carry"))
     cut = df.withColumn(blk, F.expr(f"{idx} div {int(block)}"))
     inside = Window.partitionBy(blk).orderBy(idx, *ties).rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
     totals = cut.groupBy(blk).agg(add(val).alias("_total"))
     if depth > 1:
-        carry = running(totals, "_total", "_carry", _TOP, idx=blk, op=op, exclusive=True, depth=depth - 1).select(F.col(blk).alias("_of"), "_carry")
+        carry = running(totals, "_total", carried, _TOP, idx=blk, op=op, exclusive=True, depth=depth - 1).select(F.col(blk).alias(of), carried)
     else:
         before = Window.orderBy(blk).rowsBetween(Window.unboundedPreceding, -1)
-        carry = totals.select(F.col(blk).alias("_of"), add("_total").over(before).alias("_carry"))
-    both = cut.withColumn("_in", add(val).over(inside)).join(carry, F.col(blk) == F.col("_of"))
+        carry = totals.select(F.col(blk).alias(of), add("_total").over(before).alias(carried))
+    both = cut.withColumn(within, add(val).over(inside)).join(carry, F.col(blk) == F.col(of))
     if op == "sum":
-        z = F.coalesce("_in", F.lit(0)) + F.coalesce("_carry", F.lit(0))
+        z = F.coalesce(within, F.lit(0)) + F.coalesce(carried, F.lit(0))
     else:
-        z = (F.greatest if op == "max" else F.least)("_in", "_carry")
-    return both.withColumn(out, z).drop(blk, "_in", "_of", "_carry")
+        z = (F.greatest if op == "max" else F.least)(within, carried)
+    return both.withColumn(out, z).drop(blk, within, of, carried)
 
 
 def scan(df: DataFrame, block: int | None = 1 << 20, start: int = 0, exclusive: bool = False, depth: int = 1) -> DataFrame:

@@ -176,38 +176,38 @@ _add("topk_pivot", lambda t: order.topk_pivot(t.v, 32, BLOCK),
 
 
 def _mask() -> Column:
-    return F.col("val") > 25000
+    return F.col("val") > 5000
 
 
-def _split_sql(columns: str, by: str = "val <= 25000") -> str:
+def _split_sql(columns: str, by: str = "val <= 5000") -> str:
     return _with(_V) + f"SELECT row_number() OVER (ORDER BY {by}, idx) - 1 AS pos, {columns} FROM v"
 
 
 _add("split", lambda t: order.split(t.v.withColumn("mask", _mask()), block=BLOCK).select("pos", "val"), _split_sql("val"))
 _add("split_ind", lambda t: order.split(t.v.withColumn("mask", _mask()).withColumn("ind", F.col("idx") + 1), block=BLOCK).select("pos", "val", "ind"), _split_sql("val, idx + 1 AS ind"))
-_add("split_zeros_first", lambda t: order.split(t.v.withColumn("mask", _mask()), True, BLOCK).select("pos", "val"), _split_sql("val", "val > 25000"))
+_add("split_zeros_first", lambda t: order.split(t.v.withColumn("mask", _mask()), True, BLOCK).select("pos", "val"), _split_sql("val", "val > 5000"))
 _add("bit_extract", lambda t: order.bit_extract(t.v, 3), _with(_V) + "SELECT idx, CAST((val >> 3) & 1 AS INTEGER) AS bit FROM v")
 
 # F: compaction, filters, counts
-_PIVOT = 25000
+_PIVOT = 5000
 
 
 def _compress_sql(columns: str, test: str) -> str:
     return _with(_V) + f"SELECT row_number() OVER (ORDER BY idx) - 1 AS pos, {columns} FROM v WHERE {test}"
 
 
-_add("compress", lambda t: compact.compress(t.v, _mask(), BLOCK).select("pos", "val"), _compress_sql("val", "val > 25000"))
-_add("compress_pos", lambda t: compact.compress(t.v, _mask(), BLOCK, t.v.where(_mask()).count()).select("pos", "val"), _compress_sql("val", "val > 25000"))
-_add("compress_ind", lambda t: compact.compress(t.v.withColumn("idx", F.col("idx") * 3), _mask(), BLOCK), _compress_sql("idx * 3 AS idx, val", "val > 25000"))
-_add("compress_ind_no_arange", lambda t: t.v.where(_mask()).select("idx", "val"), _with(_V) + "SELECT idx, val FROM v WHERE val > 25000")
-_add("filter_ge", lambda t: compact.compress(t.v, compact.compare("ge", _PIVOT), BLOCK).select("pos", "val"), _compress_sql("val", "val >= 25000"))
-_add("filter_le", lambda t: compact.compress(t.v, compact.compare("le", _PIVOT), BLOCK).select("pos", "val"), _compress_sql("val", "val <= 25000"))
-_add("where_ge", lambda t: compact.where_compare(t.v, "ge", _PIVOT), _with(_V) + "SELECT idx FROM v WHERE val >= 25000")
+_add("compress", lambda t: compact.compress(t.v, _mask(), BLOCK).select("pos", "val"), _compress_sql("val", "val > 5000"))
+_add("compress_pos", lambda t: compact.compress(t.v, _mask(), BLOCK, t.v.where(_mask()).count()).select("pos", "val"), _compress_sql("val", "val > 5000"))
+_add("compress_ind", lambda t: compact.compress(t.v.withColumn("idx", F.col("idx") * 3), _mask(), BLOCK), _compress_sql("idx * 3 AS idx, val", "val > 5000"))
+_add("compress_ind_no_arange", lambda t: t.v.where(_mask()).select("idx", "val"), _with(_V) + "SELECT idx, val FROM v WHERE val > 5000")
+_add("filter_ge", lambda t: compact.compress(t.v, compact.compare("ge", _PIVOT), BLOCK).select("pos", "val"), _compress_sql("val", "val >= 5000"))
+_add("filter_le", lambda t: compact.compress(t.v, compact.compare("le", _PIVOT), BLOCK).select("pos", "val"), _compress_sql("val", "val <= 5000"))
+_add("where_ge", lambda t: compact.where_compare(t.v, "ge", _PIVOT), _with(_V) + "SELECT idx FROM v WHERE val >= 5000")
 for _op, _sign in (("lt", "<"), ("gt", ">"), ("eq", "="), ("le", "<="), ("ge", ">="), ("ne", "<>")):
-    _add(f"count_if_{_op}", lambda t, op=_op: compact.count_if(t.v, op, _PIVOT), _with(_V) + f"SELECT count(*) FILTER (WHERE val {_sign} 25000) AS n FROM v")
-_add("count_if_blocks", lambda t: compact.count_if(t.v, "le", _PIVOT, BLOCK), _with(_V) + f"SELECT idx // {BLOCK} AS blk, count(*) FILTER (WHERE val <= 25000) AS n FROM v GROUP BY 1")
+    _add(f"count_if_{_op}", lambda t, op=_op: compact.count_if(t.v, op, _PIVOT), _with(_V) + f"SELECT count(*) FILTER (WHERE val {_sign} 5000) AS n FROM v")
+_add("count_if_blocks", lambda t: compact.count_if(t.v, "le", _PIVOT, BLOCK), _with(_V) + f"SELECT idx // {BLOCK} AS blk, count(*) FILTER (WHERE val <= 5000) AS n FROM v GROUP BY 1")
 for _op, _sign in (("ge", ">="), ("le", "<=")):
-    _add(f"mask_{_op}", lambda t, op=_op: compact.mask_compare(t.v, op, _PIVOT), _with(_V) + f"SELECT idx, CAST(val {_sign} 25000 AS INTEGER) AS mask FROM v")
+    _add(f"mask_{_op}", lambda t, op=_op: compact.mask_compare(t.v, op, _PIVOT), _with(_V) + f"SELECT idx, CAST(val {_sign} 5000 AS INTEGER) AS mask FROM v")
 
 
 # G: reductions
@@ -286,7 +286,7 @@ _add("unpad_batch", lambda t: element.unpad_batch(element.pad_batch(_vectors(t),
      "SELECT vec_id AS row, CAST(k AS INTEGER) AS col, CAST(round(CAST(embedding[k + 1] AS DOUBLE) * 100) AS BIGINT) AS val FROM embeddings, range(50) t(k)")
 _add("arange", lambda t: t.spark.range(1000).select((F.lit(5) + F.col("id") * 3).alias("val")), "SELECT 5 + i * 3 AS val FROM range(1000) t(i)")
 _add("cast_float", lambda t: t.v.select("idx", F.col("val").cast("double").alias("val")), _with(_V) + "SELECT idx, CAST(val AS DOUBLE) AS val FROM v")
-_add("abs", lambda t: t.v.select("idx", F.abs(F.col("val") - 25000).alias("val")), _with(_V) + "SELECT idx, abs(val - 25000) AS val FROM v")
+_add("abs", lambda t: t.v.select("idx", F.abs(F.col("val") - 5000).alias("val")), _with(_V) + "SELECT idx, abs(val - 5000) AS val FROM v")
 
 # J: top-p
 _TOP_P = _with(_V, "d AS (SELECT *, row_number() OVER w - 1 AS pos, CAST(coalesce(sum(val) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before, sum(val) OVER () AS total FROM v WINDOW w AS (ORDER BY val DESC, idx))", "k AS (SELECT * FROM d WHERE before <= 0.5 * total)")
