@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from vecspark.llm.common import by_bytes, materialise, text_bytes
 from vecspark.llm.words import constants, mix
 
-GRAM = 16  # bytes of the anchors by which windows are dealt to shards
+GRAM = 32  # bytes, a multiple of 8, of the anchors by which windows are dealt to shards
 SLOT_BITS = 25
 BLOCK = 1 << 20  # bytes of pieces sorted at once
 
@@ -35,8 +35,8 @@ def _runs(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     with np.errstate(over="ignore"):
-        w, k = _words8(data), constants(2, 7)
-        gram = low = mix(w[: len(data) - GRAM + 1] * k[0] + mix(w[8 : len(data) - GRAM + 9]) * k[1])
+        w, k = _words8(data), constants(GRAM // 8, 7)
+        gram = low = mix(sum((w[8 * j : len(data) - GRAM + 1 + 8 * j] * c for j, c in enumerate(k)), np.zeros(len(data) - GRAM + 1, np.uint64)))
     span, done = width - GRAM + 1, 1
     while done * 2 <= span:
         low = np.minimum(low[:-done], low[done:])
@@ -244,7 +244,7 @@ def _shards(width: int) -> Callable:
 def repeated_spans(docs: DataFrame, width: int = 100, shard_bytes: int = 8 << 20) -> DataFrame:
     """Byte ranges (doc_id, lo, hi), possibly overlapping, under `width`-byte strings that also start earlier.
 
-    Every window of `width` bytes has an anchor, its 16-byte gram of least hash; equal windows have equal anchors, so
+    Every window of `width` bytes has an anchor, its 32-byte gram of least hash; equal windows have equal anchors, so
     the pieces of text under runs of windows with one anchor can be dealt to shards by anchor and no match is lost.
     Pieces whose anchor stands once in the corpus are left out (a bitmap of fixed size names the others; where it is
     full, more pieces travel, none fewer). Equal pieces are counted before the shuffle and go on once, with their
