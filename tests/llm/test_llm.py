@@ -189,7 +189,7 @@ def test_html():
     assert render(page) == "Hi & you\n\none\n\ntwo bold\nnext\n\n- a\n- b\n  - c\n\n3. x\n\nName  | N\nalpha | 1\n\n k\n  z\n\nend"
     assert render("") == "" and render("<p") == "<p" and render("</td></p><td>a") == "a"
     assert render("<div>" * 5000 + "deep") == "deep"
-    assert render("<table><tr><td>a<table><tr><td>in</table><td>b</table>").split() == ["a", "|", "b", "in"]
+    assert render("<table><tr><td>a<table><tr><td>in</table><td>b</table>").split() == ["a", "|", "b", "|", "in", "|"]
 
 
 def test_preferences(spark):
