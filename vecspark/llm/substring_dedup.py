@@ -77,7 +77,7 @@ def _pieces(width: int, slots: np.ndarray, whole: bool) -> Callable:
         for batch in by_bytes(batches):
             data, offsets = text_bytes(batch.column("text"))
             h, first, n, _ = _runs(data, offsets, width)
-            slot = (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+            slot = (h & np.uint64((1 << SLOT_BITS) - 1)).astype(np.int64)  # low bits: an anchor is a least hash, so its high bits are mostly 0
             good = ((slots[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1)) == 1
             h, first, n = h[good], first[good], n[good]
             rows = np.searchsorted(offsets, first, side="right") - 1
@@ -254,7 +254,7 @@ def repeated_spans(docs: DataFrame, width: int = 100, shard_bytes: int = 8 << 20
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.octet_length("text") >= width)
     anchors = rows.select("text").mapInArrow(_anchors(width), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1")
-    slot = F.shiftrightunsigned("anchor", 64 - SLOT_BITS).alias("slot")
+    slot = F.col("anchor").bitwiseAND((1 << SLOT_BITS) - 1).alias("slot")
     words = anchors.select(slot).groupBy(F.expr("slot div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 64 as int)))").alias("b")).toPandas()
     slots = np.zeros(1 << (SLOT_BITS - 6), np.int64)
     slots[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64)
