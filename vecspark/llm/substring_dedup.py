@@ -14,7 +14,9 @@ from vecspark.llm.common import by_bytes, materialise, text_bytes
 from vecspark.llm.words import constants, mix
 
 GRAM = 32  # bytes, a multiple of 8, of the anchors by which windows are dealt to shards
-SLOT_BITS = 25
+SLOT_BITS = 26
+ANCHOR = np.uint64((1 << 40) - 1)  # anchors are counted by so many bits of their hash
+SEEN = 500_000  # names of pieces that a task remembers
 BLOCK = 1 << 20  # bytes of pieces sorted at once
 
 
@@ -64,16 +66,18 @@ def _anchors(width: int) -> Callable:
             size = n + width - GRAM
             ends = np.cumsum(size)
             within = np.repeat(first - (ends - size), size) + np.arange(ends[-1])
-            n = np.add.reduceat((gram[within] == np.repeat(h, size)).astype(np.int64), ends - size)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["anchor", "n"])
+            n = np.add.reduceat((gram[within] == np.repeat(h, size)).astype(np.int64), ends - size).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array((h & ANCHOR).view(np.int64)), pa.array(n)], names=["anchor", "n"])
 
     return run
 
 
 def _pieces(width: int, slots: np.ndarray, whole: bool) -> Callable:
-    """The bytes under each run whose anchor is listed, or their name alone."""
+    """The names of the pieces under runs whose anchor is listed, each with its place; or the pieces with their bytes,
+    equal ones once a task, and again where a later row of the task has an earlier place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[bytes, tuple] = {}
         for batch in by_bytes(batches):
             data, offsets = text_bytes(batch.column("text"))
             h, first, n, _ = _runs(data, offsets, width)
@@ -81,13 +85,25 @@ def _pieces(width: int, slots: np.ndarray, whole: bool) -> Callable:
             good = ((slots[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1)) == 1
             h, first, n = h[good], first[good], n[good]
             rows = np.searchsorted(offsets, first, side="right") - 1
+            start = (first - offsets[rows]).astype(np.int32)
+            docs = batch.column("doc_id").take(pa.array(rows))
             view = data.tobytes()
             pieces = [view[a : a + k + width - 1] for a, k in zip(first.tolist(), n.tolist(), strict=True)]
-            names = [hashlib.blake2b(p, digest_size=16).digest() for p in pieces]
-            columns = {"name": pa.array(names, pa.binary()), "doc_id": batch.column("doc_id").take(pa.array(rows)), "start": pa.array(first - offsets[rows]), "size": pa.array(n + width - 1)}
-            if whole:
-                columns |= {"anchor": pa.array(h.view(np.int64)), "piece": pa.array(pieces, pa.binary())}
-            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+            names = [hashlib.blake2b(p, digest_size=12).digest() for p in pieces]
+            if not whole:
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), docs, pa.array(start)], names=["name", "doc_id", "start"])
+                continue
+            keep = []
+            for i, place in enumerate(zip(names, docs.to_pylist(), start.tolist(), strict=True)):
+                place = (place[1] is not None, place[1] or 0, place[2])
+                if names[i] not in seen or place < seen[names[i]]:
+                    seen[names[i]] = place
+                    keep.append(i)
+            if len(seen) > SEEN:
+                seen.clear()
+            at = pa.array(keep, pa.int64())
+            columns = [pa.array(h.view(np.int64)).take(at), pa.array([names[i] for i in keep], pa.binary()), docs.take(at), pa.array(start).take(at), pa.array([pieces[i] for i in keep], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["anchor", "name", "doc_id", "start", "piece"])
 
     return run
 
@@ -215,26 +231,31 @@ def _later_windows(pieces: list[bytes], order: np.ndarray, starts: np.ndarray, w
 
 
 def _shards(width: int) -> Callable:
+    """From pieces in order of anchor, name and place: the first place of each piece, with its name, and without a
+    name the runs inside pieces that repeat in the same shard."""
+
     def settle(rows: list[tuple]) -> pa.RecordBatch:
-        _, pieces, docs, starts = zip(*rows, strict=True)
+        _, names, docs, starts, pieces = zip(*rows, strict=True)
         ids = sorted(set(docs), key=lambda x: (x is not None, x))
         at = {d: i for i, d in enumerate(ids)}
         found = _later_windows(list(pieces), np.array([at[d] for d in docs], np.int64), np.array(starts, np.int64), width)
-        return pa.RecordBatch.from_arrays(
-            [pa.array([docs[k] for k, _, _ in found], pa.int64()), pa.array([starts[k] + a for k, a, _ in found], pa.int64()), pa.array([starts[k] + b for k, _, b in found], pa.int64())],
-            names=["doc_id", "lo", "hi"],
-        )
+        out = [(None, docs[k], starts[k] + a, starts[k] + b) for k, a, b in found]
+        out += [(name, d, s, s + len(p)) for name, d, s, p in zip(names, docs, starts, pieces, strict=True)]
+        kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), kinds, strict=True)], names=["name", "doc_id", "lo", "hi"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
-        total, last = 0, None
+        total, last = 0, (None, None)
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "piece", "doc_id", "start")), strict=True):
-                if row[0] != last and total >= BLOCK:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "name", "doc_id", "start", "piece")), strict=True):
+                if row[:2] == last:
+                    continue
+                if row[0] != last[0] and total >= BLOCK:
                     yield settle(rows)
                     rows, total = [], 0
                 rows.append(row)
-                total, last = total + len(row[1]), row[0]
+                total, last = total + len(row[4]), row[:2]
         if rows:
             yield settle(rows)
 
@@ -247,31 +268,29 @@ def repeated_spans(docs: DataFrame, width: int = 100, shard_bytes: int = 8 << 20
     Every window of `width` bytes has an anchor, its 32-byte gram of least hash; equal windows have equal anchors, so
     the pieces of text under runs of windows with one anchor can be dealt to shards by anchor and no match is lost.
     Pieces whose anchor stands once in the corpus are left out (a bitmap of fixed size names the others; where it is
-    full, more pieces travel, none fewer). Equal pieces are counted before the shuffle and go on once, with their
-    first place, so a passage in a third of all documents is one piece. In a shard, sorted by anchor, about a megabyte
-    of whole anchors at a time gets a suffix array by induced sorting; neighbours that share `width` bytes are one
-    string, of which every place but the first is returned.
+    full, more pieces travel, none fewer). Equal pieces of a task travel once, with their first place, so a passage
+    in a third of all documents is one piece a task. A shard keeps the first place of each piece; sorted by anchor,
+    about a megabyte of whole anchors at a time gets a suffix array by induced sorting; neighbours that share `width`
+    bytes are one string, of which every place but the first is returned. Other places of equal pieces are returned
+    whole, by a join on names (96-bit digests) that adaptive execution splits.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.octet_length("text") >= width)
-    anchors = rows.select("text").mapInArrow(_anchors(width), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1")
+    anchors = rows.select("text").mapInArrow(_anchors(width), "anchor long, n int").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1")
     slot = F.col("anchor").bitwiseAND((1 << SLOT_BITS) - 1).alias("slot")
-    words = anchors.select(slot).groupBy(F.expr("slot div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 64 as int)))").alias("b")).toPandas()
+    words = anchors.select(slot, "n").groupBy(F.expr("slot div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 64 as int)))").alias("b"), F.sum("n").alias("n")).toPandas()
     slots = np.zeros(1 << (SLOT_BITS - 6), np.int64)
     slots[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64)
     slots = slots.view(np.uint64)
 
-    schema = "name binary, doc_id long, start long, size long"
-    pieces = rows.mapInArrow(_pieces(width, slots, True), schema + ", anchor long, piece binary")
-    place = F.struct("doc_id", "start")
-    single = pieces.groupBy("name").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("k"), F.first("anchor").alias("anchor"), F.first("piece").alias("piece"))
-    single = materialise(single.select("name", "first.doc_id", "first.start", "k", "anchor", "piece"), "pieces")
-    total = single.agg(F.coalesce(F.sum(F.octet_length("piece")), F.lit(0))).first()[0]
-    shards = max(8, total // shard_bytes)
-    inner = single.select("anchor", "piece", "doc_id", "start").repartition(shards, "anchor").sortWithinPartitions("anchor").mapInArrow(_shards(width), "doc_id long, lo long, hi long")
-    copies = rows.mapInArrow(_pieces(width, slots, False), schema)
-    again = single.where("k > 1").select("name", F.col("doc_id").alias("d"), F.col("start").alias("s"))
-    outer = copies.join(again, "name").where(~(F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("start") == F.col("s")))).select("doc_id", F.col("start").alias("lo"), (F.col("start") + F.col("size")).alias("hi"))
-    return inner.unionAll(outer)
+    shards = max(8, int(words["n"].sum()) * (width + GRAM) // shard_bytes)
+    pieces = rows.mapInArrow(_pieces(width, slots, True), "anchor long, name binary, doc_id long, start int, piece binary")
+    pieces = pieces.repartition(shards, "anchor").sortWithinPartitions("anchor", "name", "doc_id", "start")
+    found = materialise(pieces.mapInArrow(_shards(width), "name binary, doc_id long, lo long, hi long"), "pieces")
+    first = found.where("name IS NOT NULL").select("name", F.col("doc_id").alias("d"), "lo", "hi")
+    copies = rows.mapInArrow(_pieces(width, slots, False), "name binary, doc_id long, start int")
+    outer = copies.join(first, "name").where(~(F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("start") == F.col("lo"))))
+    outer = outer.select("doc_id", F.col("start").cast("long").alias("lo"), (F.col("start") + F.col("hi") - F.col("lo")).alias("hi"))
+    return found.where("name IS NULL").select("doc_id", "lo", "hi").unionAll(outer)
 
 
 def _remove(columns: list[str]) -> Callable:
