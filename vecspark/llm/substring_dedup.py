@@ -14,7 +14,7 @@ from vecspark.llm.common import by_bytes, materialise, text_bytes
 from vecspark.llm.words import constants, mix
 
 GRAM = 32  # bytes, a multiple of 8, of the anchors by which windows are dealt to shards
-SLOT_BITS = 26
+SLOT_BITS = 25
 ANCHOR = np.uint64((1 << 40) - 1)  # anchors are counted by so many bits of their hash
 SEEN = 500_000  # names of pieces that a task remembers
 BLOCK = 1 << 20  # bytes of pieces sorted at once
