@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vecspark.llm.common import by_bytes, materialise, text_bytes
@@ -72,6 +72,12 @@ def _anchors(width: int) -> Callable:
     return run
 
 
+def _slots(anchor):  # noqa: ANN001, ANN202 - an array or a Column
+    """The two bits that stand for an anchor. From its low bits: an anchor is a least hash, so its high bits are mostly 0."""
+    high = F.shiftright(anchor, 15) if isinstance(anchor, Column) else anchor >> 15
+    return anchor % (1 << SLOT_BITS), (anchor + 2 * high + 1) % (1 << SLOT_BITS)
+
+
 def _pieces(width: int, slots: np.ndarray, whole: bool) -> Callable:
     """The names of the pieces under runs whose anchor is listed, each with its place; or the pieces with their bytes,
     equal ones once a task, and again where a later row of the task has an earlier place."""
@@ -81,15 +87,16 @@ def _pieces(width: int, slots: np.ndarray, whole: bool) -> Callable:
         for batch in by_bytes(batches):
             data, offsets = text_bytes(batch.column("text"))
             h, first, n, _ = _runs(data, offsets, width)
-            slot = (h & np.uint64((1 << SLOT_BITS) - 1)).astype(np.int64)  # low bits: an anchor is a least hash, so its high bits are mostly 0
-            good = ((slots[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1)) == 1
+            good = np.ones(len(h), bool)
+            for slot in _slots((h & ANCHOR).astype(np.int64)):
+                good &= ((slots[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1)) == 1
             h, first, n = h[good], first[good], n[good]
             rows = np.searchsorted(offsets, first, side="right") - 1
             start = (first - offsets[rows]).astype(np.int32)
             docs = batch.column("doc_id").take(pa.array(rows))
             view = data.tobytes()
             pieces = [view[a : a + k + width - 1] for a, k in zip(first.tolist(), n.tolist(), strict=True)]
-            names = [hashlib.blake2b(p, digest_size=12).digest() for p in pieces]
+            names = [_name(p) for p in pieces]
             if not whole:
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), docs, pa.array(start)], names=["name", "doc_id", "start"])
                 continue
@@ -102,8 +109,8 @@ def _pieces(width: int, slots: np.ndarray, whole: bool) -> Callable:
             if len(seen) > SEEN:
                 seen.clear()
             at = pa.array(keep, pa.int64())
-            columns = [pa.array(h.view(np.int64)).take(at), pa.array([names[i] for i in keep], pa.binary()), docs.take(at), pa.array(start).take(at), pa.array([pieces[i] for i in keep], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["anchor", "name", "doc_id", "start", "piece"])
+            columns = [pa.array(h.astype(np.uint32).view(np.int32)).take(at), docs.take(at), pa.array(start).take(at), pa.array([pieces[i] for i in keep], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["anchor", "doc_id", "start", "piece"])
 
     return run
 
@@ -230,17 +237,21 @@ def _later_windows(pieces: list[bytes], order: np.ndarray, starts: np.ndarray, w
     return [(int(of[a]), int(a - begin[of[a]]), int(b - begin[of[b]] + width)) for a, b in zip(lo, hi, strict=True)]
 
 
+def _name(piece: bytes) -> bytes:
+    return hashlib.blake2b(piece, digest_size=12).digest()
+
+
 def _shards(width: int) -> Callable:
-    """From pieces in order of anchor, name and place: the first place of each piece, with its name, and without a
+    """From pieces in order of anchor, bytes and place: the first place of each piece, with its name, and without a
     name the runs inside pieces that repeat in the same shard."""
 
     def settle(rows: list[tuple]) -> pa.RecordBatch:
-        _, names, docs, starts, pieces = zip(*rows, strict=True)
+        _, pieces, docs, starts = zip(*rows, strict=True)
         ids = sorted(set(docs), key=lambda x: (x is not None, x))
         at = {d: i for i, d in enumerate(ids)}
         found = _later_windows(list(pieces), np.array([at[d] for d in docs], np.int64), np.array(starts, np.int64), width)
         out = [(None, docs[k], starts[k] + a, starts[k] + b) for k, a, b in found]
-        out += [(name, d, s, s + len(p)) for name, d, s, p in zip(names, docs, starts, pieces, strict=True)]
+        out += [(_name(p), d, s, s + len(p)) for p, d, s in zip(pieces, docs, starts, strict=True)]
         kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64())
         return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), kinds, strict=True)], names=["name", "doc_id", "lo", "hi"])
 
@@ -248,14 +259,14 @@ def _shards(width: int) -> Callable:
         rows: list[tuple] = []
         total, last = 0, (None, None)
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "name", "doc_id", "start", "piece")), strict=True):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "piece", "doc_id", "start")), strict=True):
                 if row[:2] == last:
                     continue
                 if row[0] != last[0] and total >= BLOCK:
                     yield settle(rows)
                     rows, total = [], 0
                 rows.append(row)
-                total, last = total + len(row[4]), row[:2]
+                total, last = total + len(row[1]), row[:2]
         if rows:
             yield settle(rows)
 
@@ -276,15 +287,15 @@ def repeated_spans(docs: DataFrame, width: int = 100, shard_bytes: int = 8 << 20
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.octet_length("text") >= width)
     anchors = rows.select("text").mapInArrow(_anchors(width), "anchor long, n int").groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1")
-    slot = F.col("anchor").bitwiseAND((1 << SLOT_BITS) - 1).alias("slot")
-    words = anchors.select(slot, "n").groupBy(F.expr("slot div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 64 as int)))").alias("b"), F.sum("n").alias("n")).toPandas()
+    bits = anchors.select(F.posexplode(F.array(*_slots(F.col("anchor")))).alias("i", "slot"), "n").withColumn("n", F.when(F.col("i") == 0, F.col("n")))
+    words = bits.groupBy(F.expr("slot div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 64 as int)))").alias("b"), F.sum("n").alias("n")).toPandas()
     slots = np.zeros(1 << (SLOT_BITS - 6), np.int64)
     slots[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64)
     slots = slots.view(np.uint64)
 
-    shards = max(8, int(words["n"].sum()) * (width + GRAM) // shard_bytes)
-    pieces = rows.mapInArrow(_pieces(width, slots, True), "anchor long, name binary, doc_id long, start int, piece binary")
-    pieces = pieces.repartition(shards, "anchor").sortWithinPartitions("anchor", "name", "doc_id", "start")
+    shards = max(8, int(words["n"].fillna(0).sum()) * (width + GRAM) // shard_bytes)
+    pieces = rows.mapInArrow(_pieces(width, slots, True), "anchor int, doc_id long, start int, piece binary")
+    pieces = pieces.repartition(shards, "anchor").sortWithinPartitions("anchor", "piece", "doc_id", "start")
     found = materialise(pieces.mapInArrow(_shards(width), "name binary, doc_id long, lo long, hi long"), "pieces")
     first = found.where("name IS NOT NULL").select("name", F.col("doc_id").alias("d"), "lo", "hi")
     copies = rows.mapInArrow(_pieces(width, slots, False), "name binary, doc_id long, start int")
