@@ -278,8 +278,8 @@ def repeated_spans(docs: DataFrame, width: int = 100, shard_bytes: int = 8 << 20
 
     Every window of `width` bytes has an anchor, its 32-byte gram of least hash; equal windows have equal anchors, so
     the pieces of text under runs of windows with one anchor can be dealt to shards by anchor and no match is lost.
-    Pieces whose anchor stands once in the corpus are left out (a bitmap of fixed size names the others; where it is
-    full, more pieces travel, none fewer). Equal pieces of a task travel once, with their first place, so a passage
+    Pieces whose anchor stands once in the corpus are left out (a bitmap of fixed size holds two bits for each of the
+    others; where it is full, more pieces travel, none fewer). Equal pieces of a task travel once, with their first place, so a passage
     in a third of all documents is one piece a task. A shard keeps the first place of each piece; sorted by anchor,
     about a megabyte of whole anchors at a time gets a suffix array by induced sorting; neighbours that share `width`
     bytes are one string, of which every place but the first is returned. Other places of equal pieces are returned
