@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,9 +21,11 @@ SKETCH_BITS = 18
 SLOT_BITS = 24
 
 
-#: Columns of a 256-bit parity sketch of a set: bit b tells whether an odd number of its shingles hash to b. Two
-#: sketches differ in at most as many bits as the sets differ in shingles, so it refuses pairs without error.
-PARITY = [f"bits{i}" for i in range(4)]
+#: Columns of a 1024-bit parity sketch of a set: bit b tells whether an odd number of its shingles hash to b. Two
+#: sketches differ in at most as many bits as the sets differ in shingles, so it refuses pairs without error. Folded to
+#: FOLDED columns it is a 256-bit sketch of the same kind, light enough to go along in the join on shingles.
+PARITY = [f"bits{i}" for i in range(16)]
+FOLDED = PARITY[:4]
 
 #: Schemes to choose from: a document's l is least_matches of its set's size times one of these.
 SCHEMES = (1, 2, 4)
@@ -53,9 +56,22 @@ def _count(size: int) -> Callable:
 
 
 def _parity(h: np.ndarray, rows: np.ndarray, n: int) -> list[pa.Array]:
-    at = rows * 256 + (h & np.uint64(255)).astype(np.int64)
-    odd = (np.bincount(at, minlength=n * 256) & 1).astype(np.uint8).reshape(n, 256)
-    return [pa.array(x) for x in np.packbits(odd, axis=1).view(np.int64).T]
+    bits = np.zeros((n, len(PARITY)), np.uint64)
+    word = ((h >> np.uint64(6)) & np.uint64(len(PARITY) - 1)).astype(np.int64)
+    np.bitwise_xor.at(bits, (rows, word), np.uint64(1) << (h & np.uint64(63)))
+    return [pa.array(x) for x in np.ascontiguousarray(bits.view(np.int64).T)]
+
+
+def _fold() -> list[Column]:
+    """The FOLDED columns of a row with the PARITY ones."""
+    k = len(FOLDED)
+    return [reduce(Column.bitwiseXOR, [F.col(c) for c in PARITY[j::k]]).alias(FOLDED[j]) for j in range(k)]
+
+
+def _close(x: str, y: str, columns: list[str], percent: int) -> Column:
+    """Whether the sketches of two rows leave room for a similarity of percent/100."""
+    differ = sum((F.bit_count(F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}"))) for c in columns), F.lit(0))
+    return differ * (100 + percent) <= (F.col(f"{x}.n") + F.col(f"{y}.n")) * (100 - percent)
 
 
 def frequency_sketch(docs: DataFrame, size: int) -> np.ndarray:
@@ -168,24 +184,27 @@ def near_duplicate_components(docs: DataFrame, size: int = 5, percent: int = 80,
     listed = _slots(some)
     whole = docs.withColumn("slot", _slot()).mapInArrow(_listed(listed, _ordered(size, sketch, percent, True)), schema + "".join(f", {c} long" for c in PARITY))
     full = materialise(whole.where("doc_id IS NOT NULL").drop("digest"), "sets")
-    near = sum((F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in PARITY), F.lit(0)) * (100 + percent) <= (F.col("x.n") + F.col("y.n")) * (100 - percent)
-
     links = member.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
 
     def judge(pairs: DataFrame) -> DataFrame:
-        heads = full.select("doc_id", "n", "ell", F.slice("toks", 1, (F.col("n") - F.ceil(F.col("n") * percent / 100) + F.col("ell")).cast("int")).alias("toks"))
-        s, t = heads.alias("s"), heads.alias("t")
+        """The pairs that link: sketches first, then shared prefix shingles, then the whole sets of what is left."""
+        s, t = (full.select("doc_id", "n", *PARITY).alias(c) for c in "st")
         both = pairs.join(s, F.col("a") == F.col("s.doc_id")).join(t, F.col("b") == F.col("t.doc_id"))
+        left = materialise(both.where(_close("s", "t", PARITY, percent)).select("a", "b").distinct(), "unrefuted")
+        if left.isEmpty():
+            return left
+        listed = _slots(left.select(F.explode(F.array("a", "b")).alias("doc_id")))
+        some = full.select("doc_id", "n", "ell", "toks", _slot()).mapInArrow(_listed(listed, iter), "doc_id long, n long, ell int, toks array<long>, slot long")
+        s, t = some.alias("s"), some.alias("t")
+        both = left.join(s, F.col("a") == F.col("s.doc_id")).join(t, F.col("b") == F.col("t.doc_id"))
         low = F.least("s.ell", "t.ell")
         head = lambda w: F.slice(f"{w}.toks", 1, (F.col(f"{w}.n") - F.ceil(F.col(f"{w}.n") * percent / 100) + low).cast("int"))
-        likely = both.where(F.size(F.array_intersect(head("s"), head("t"))) >= low).select("a", "b")
-        s, t = full.alias("s"), full.alias("t")
-        both = likely.join(s, F.col("a") == F.col("s.doc_id")).join(t, F.col("b") == F.col("t.doc_id"))
+        likely = both.where(F.size(F.array_intersect(head("s"), head("t"))) >= low)
         common = F.size(F.array_intersect("s.toks", "t.toks"))
-        return both.where(common * 100 >= percent * (F.size("s.toks") + F.size("t.toks") - common)).select("a", "b").distinct()
+        return likely.where(common * 100 >= percent * (F.size("s.toks") + F.size("t.toks") - common)).select("a", "b").distinct()
 
     sizes = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent
     rows = open_.select(F.col("tok").alias("key"), F.col("doc_id").alias("id"), "n")
     # A single leader makes no more pairs than rows; sketches go along from the second round, on the rows left.
-    labels = resolve(rows, judge, links, lambda k: sizes & near if k > 1 else sizes, full.select(F.col("doc_id").alias("id"), *PARITY).dropDuplicates(["id"]), fewest)
+    labels = resolve(rows, judge, links, lambda k: sizes & _close("x", "y", FOLDED, percent) if k > 1 else sizes, full.select(F.col("doc_id").alias("id"), *_fold()).dropDuplicates(["id"]), fewest)
     return base.select("doc_id", F.col("n").alias("n_shingles")).join(labels, F.col("doc_id") == F.col("v"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
