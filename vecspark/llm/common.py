@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN_FOLDERS: dict[str, str] = {}
+#: The folder of the condensed() that is at work, if any.
+_SCOPE: ContextVar[str | None] = ContextVar("scope", default=None)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -29,11 +32,29 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
     This cuts the lineage: a lost executor costs the tasks it was running, not the stages before the table.
     """
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = f"{_SCOPE.get() or shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def condensed(spark: SparkSession, build: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What build() returns, as a table; the tables that it materialised on the way go once this one is written.
+
+    Nothing refers to them by then: the lineage of the result ends at its own table.
+    """
+    folder = f"{_SCOPE.get() or shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    scope = _SCOPE.set(folder)
+    try:
+        out = build()
+        _SCOPE.reset(scope)
+        return materialise(out, name)
+    finally:
+        if _SCOPE.get() == folder:
+            _SCOPE.reset(scope)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def by_bytes(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 1 << 21) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that `column` has about `limit` bytes in each; a longer text stands alone."""
     for batch in batches:

@@ -38,13 +38,13 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     return materialise(labels.join(least, "label").select("v", "component"), "components")
 
 
-def resolve(rows: DataFrame, judge: Callable[[DataFrame], DataFrame], links: DataFrame, condition: Callable[[int], Column], more: DataFrame | None = None, fewest: Column | None = None) -> DataFrame:
+def resolve(rows: DataFrame, judge: Callable[[DataFrame, int], DataFrame], links: DataFrame, condition: Callable[[int], Column], more: DataFrame | None = None, fewest: Column | None = None) -> DataFrame:
     """Components of all links between rows that share a key, without forming the pairs of a key's rows.
 
     rows: (key, id, n). Each round compares a key's rows with its first 1, 16, 256... ones as long as they lie in
     different components, judges the new pairs (a, b), and drops keys whose rows are all in one component. What is left
     shrinks until every pair in two components has been judged, so no link between components is lost. links holds
-    known links (a, b). condition(round) is the test for a pair inside the join, of x.n and y.n and of the columns of
+    known links (a, b). judge(pairs, round) returns those that link. condition(round) is the test for a pair inside the join, of x.n and y.n and of the columns of
     `more` (id and others), which are at hand from the second round. fewest, of n: a row of
     fewer open keys has no link left, because any partner would share as many, all of them in keys still open.
     """
@@ -76,7 +76,7 @@ def resolve(rows: DataFrame, judge: Callable[[DataFrame], DataFrame], links: Dat
         if judged is not None:
             pairs = pairs.join(judged, ["a", "b"], "left_anti")
         pairs = materialise(pairs, "pairs")
-        told = materialise(judge(pairs), "verified")
+        told = materialise(judge(pairs, k), "verified")
         links = links.unionAll(told)
         judged = pairs if judged is None else judged.unionAll(pairs)
         if labels is None or not told.isEmpty():

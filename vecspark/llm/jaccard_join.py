@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vecspark.llm.common import by_bytes, materialise, text_bytes
+from vecspark.llm.common import by_bytes, condensed, materialise, text_bytes
 from vecspark.llm.components import resolve
 from vecspark.llm.words import shingles, span_hashes, words
 
@@ -167,6 +167,10 @@ def near_duplicate_components(docs: DataFrame, size: int = 5, percent: int = 80,
     No rows in, no rows out; other columns are not looked at.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return condensed(docs.sparkSession, lambda: _components(docs, size, percent), "near-duplicate-components")
+
+
+def _components(docs: DataFrame, size: int, percent: int) -> DataFrame:
     schema = "doc_id long, n long, ell int, digest binary, toks array<long>"
     sketch = frequency_sketch(docs, size)
     base = materialise(docs.mapInArrow(_ordered(size, sketch, percent, False), schema), "prefixes")
@@ -186,7 +190,7 @@ def near_duplicate_components(docs: DataFrame, size: int = 5, percent: int = 80,
     full = materialise(whole.where("doc_id IS NOT NULL").drop("digest"), "sets")
     links = member.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
 
-    def judge(pairs: DataFrame) -> DataFrame:
+    def judge(pairs: DataFrame, _: int) -> DataFrame:
         """The pairs that link: sketches first, then shared prefix shingles, then the whole sets of what is left."""
         s, t = (full.select("doc_id", "n", *PARITY).alias(c) for c in "st")
         both = pairs.join(s, F.col("a") == F.col("s.doc_id")).join(t, F.col("b") == F.col("t.doc_id"))
