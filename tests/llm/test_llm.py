@@ -5,6 +5,8 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ from vecspark.llm.exact_dedup import exact_groups
 from vecspark.llm.html_text import render
 from vecspark.llm.jaccard_join import near_duplicate_components
 from vecspark.llm.language_id import fit_languages, identify_languages
-from vecspark.llm.line_dedup import dedup_lines, edit_distance
+from vecspark.llm.line_dedup import _lines, _simhash, dedup_lines, edit_distance
 from vecspark.llm.mixing import curriculum, mixture, source_targets
 from vecspark.llm.preferences import conversations, format_preferences, paired_by_number, paired_by_opening
 from vecspark.llm.quality import fit_quality, score_quality
@@ -164,6 +166,18 @@ def test_lines(spark):
     assert dedup_lines(table(spark, rows).limit(0)).count() == 0
 
 
+def test_lines_far_fingerprints(spark):
+    """Lines whose SimHashes share a block but differ in more than 16 bits are judged by their words."""
+    rng, found = random.Random(11), []
+    while len(found) < 4:
+        a = [f"w{rng.randrange(10**6)}" for _ in range(20)]
+        b = [f"w{rng.randrange(10**6)}" if i in (3, 9, 15) else w for i, w in enumerate(a)]
+        x, y = (np.uint32(_simhash(*_lines(pa.RecordBatch.from_pydict({"text": [" ".join(w)]}))[:2])[0]) for w in (a, b))
+        if (x == y).any() and sum(int(v).bit_count() for v in x ^ y) > 16:
+            found += [(len(found), " ".join(a), None, None), (len(found) + 1, " ".join(b), None, None)]
+    assert [r.n_removed for r in dedup_lines(table(spark, found)).orderBy("doc_id").collect()] == [0, 1, 0, 1]
+
+
 def test_tiles():
     assert greedy_tiles([1, 2, 3, 4, 5, 6], [4, 5, 6, 9, 1, 2, 3], 3) == [(0, 4, 3), (3, 0, 3)]
     assert greedy_tiles([1, 1, 1, 1], [1, 1, 1], 2) == [(0, 0, 3)]

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vecspark.llm.common import by_bytes, condensed, materialise, text_bytes
@@ -62,6 +62,29 @@ def _simhash(h: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return np.packbits(ones, axis=1).view(">u4").astype(np.int64)
 
 
+#: Columns of a 256-bit parity sketch of a line: bit b tells whether an odd number of its words hash to b. Two sketches
+#: differ in at most as many bits as the bags of words differ in words, so it refuses pairs without error.
+PARITY = [f"p{j}" for j in range(4)]
+
+
+def _parity(h: np.ndarray, begin: np.ndarray) -> list[pa.Array]:
+    with np.errstate(over="ignore"):
+        at = mix(h ^ np.uint64(0x3C))
+    bit, word = np.uint64(1) << (at & np.uint64(63)), (at >> np.uint64(6)) & np.uint64(3)
+    zero = np.uint64(0)
+    return [pa.array(np.bitwise_xor.reduceat(np.where(word == j, bit, zero), begin[:-1]).view(np.int64)) for j in range(len(PARITY))]
+
+
+def _room(percent: int) -> Column:
+    """Whether lengths and sketches of x and y leave room for an edit similarity of percent/100.
+
+    Of at most d edits, those that change the length change the bag by one word, the others by two.
+    """
+    most = F.floor(F.greatest("x.n", "y.n") * (100 - percent) / 100)
+    differ = sum((F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in PARITY), F.lit(0))
+    return differ <= 2 * most - F.abs(F.col("x.n") - F.col("y.n"))
+
+
 def _occurrences(fewest: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches):
@@ -72,8 +95,8 @@ def _occurrences(fewest: int):  # noqa: ANN202
             sim, keys = _simhash(h, begin), _keys(h, begin)
             at = np.flatnonzero(n >= fewest)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([keys[i] for i in at], pa.binary()), batch.column("doc_id").take(pa.array(row[at])), pa.array(number[at].astype(np.int32)), pa.array(n[at]), *(pa.array(sim[at, j]) for j in range(BLOCKS))],
-                names=["id", "doc_id", "line", "n", *(f"b{j}" for j in range(BLOCKS))],
+                [pa.array([keys[i] for i in at], pa.binary()), batch.column("doc_id").take(pa.array(row[at])), pa.array(number[at].astype(np.int32)), pa.array(n[at]), *(pa.array(sim[at, j]) for j in range(BLOCKS)), *(x.take(pa.array(at)) for x in _parity(h, begin))],
+                names=["id", "doc_id", "line", "n", *(f"b{j}" for j in range(BLOCKS)), *PARITY],
             )
 
     return run
@@ -169,29 +192,29 @@ def _verify(percent: int):  # noqa: ANN202
     return run
 
 
-def repeated_lines(docs: DataFrame, percent: int = 80, distance: int = 16, fewest: int = 5) -> DataFrame:
+def repeated_lines(docs: DataFrame, percent: int = 80, fewest: int = 5) -> DataFrame:
     """Line occurrences to remove: (doc_id, lines array<int>), line numbers from 0, of documents that lose any.
 
     A line, parted by newlines, is normalised to its words: letters and digits, A-Z lowered. Lines of fewer than
     `fewest` words are left alone. Equal word sequences are one line. Two lines are linked if their 128-bit SimHashes
-    over words share one of four 32-bit blocks, as any two that differ in three bits or fewer must, differ in
-    `distance` bits at most, and have an edit similarity over words (1 - distance / longer length) of percent/100. Of each connected
-    group the first occurrence by doc_id and line stays.
+    over words share one of four 32-bit blocks, as any two that differ in three bits or fewer must, and have an edit
+    similarity over words (1 - distance / longer length) of percent/100. Of each connected group the first occurrence
+    by doc_id and line stays.
 
     Rows that repeat a doc_id count as one document, so line k of both stays or goes; a null doc_id is a document, the
     first. Null and empty texts have no lines. A line that a third of the documents share is one counted row before
     any join; the join back to its occurrences is one that adaptive execution splits.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return condensed(docs.sparkSession, lambda: _repeated(docs, percent, distance, fewest), "repeated-line-numbers")
+    return condensed(docs.sparkSession, lambda: _repeated(docs, percent, fewest), "repeated-line-numbers")
 
 
-def _repeated(docs: DataFrame, percent: int, distance: int, fewest: int) -> DataFrame:
+def _repeated(docs: DataFrame, percent: int, fewest: int) -> DataFrame:
     names = [f"b{j}" for j in range(BLOCKS)]
-    schema = "id binary, doc_id long, line int, n long, " + ", ".join(f"{c} long" for c in names)
+    schema = "id binary, doc_id long, line int, n long, " + ", ".join(f"{c} long" for c in [*names, *PARITY])
     seen = materialise(docs.mapInArrow(_occurrences(fewest), schema), "line-occurrences")
     first = F.min(F.struct("doc_id", "line")).alias("first")
-    lines = seen.groupBy("id").agg(F.count(F.lit(1)).alias("k"), first, F.first("n").alias("n"), *[F.first(c).alias(c) for c in names])
+    lines = seen.groupBy("id").agg(F.count(F.lit(1)).alias("k"), first, F.first("n").alias("n"), *[F.first(c).alias(c) for c in [*names, *PARITY]])
     lines = materialise(lines, "lines")
     block = lines.select(F.posexplode(F.array(*names)).alias("j", "block"), "id", "n", *names).withColumn("key", F.shiftleft(F.col("j").cast("long"), 32).bitwiseOR(F.col("block")))
     several = block.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
@@ -201,15 +224,14 @@ def _repeated(docs: DataFrame, percent: int, distance: int, fewest: int) -> Data
     texts = materialise(texts.join(rows.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.first("words").alias("words")), "line-words")
 
     sizes = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent
-    differ = sum((F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in names), F.lit(0))
-    prints = materialise(lines.join(rows.select("id").distinct(), "id", "left_semi").select("id", *names), "fingerprints")
-    near = lambda k: sizes & (differ <= distance) if k > 1 else sizes
+    prints = materialise(lines.join(rows.select("id").distinct(), "id", "left_semi").select("id", *PARITY), "fingerprints")
+    near = lambda k: sizes & _room(percent) if k > 1 else sizes
 
     def judge(pairs: DataFrame, k: int) -> DataFrame:
-        """The pairs that are alike; those of the first round have not been held against their fingerprints yet."""
+        """The pairs that are alike; those of the first round have not been held against their sketches yet."""
         if k == 1:
-            x, y = prints.alias("x"), prints.alias("y")
-            pairs = pairs.join(x, F.col("a") == F.col("x.id")).join(y, F.col("b") == F.col("y.id")).where(differ <= distance).select("a", "b")
+            x, y = (prints.join(lines.select("id", "n"), "id").alias(c) for c in "xy")
+            pairs = pairs.join(x, F.col("a") == F.col("x.id")).join(y, F.col("b") == F.col("y.id")).where(_room(percent)).select("a", "b")
             pairs = materialise(pairs, "close")
         listed = _slots(pairs.select(F.explode(F.array("a", "b")).alias("id")))
         some = texts.mapInArrow(_listed(listed), texts.schema)
@@ -243,14 +265,14 @@ def _cut(columns: list[str]):  # noqa: ANN202
     return run
 
 
-def dedup_lines(docs: DataFrame, percent: int = 80, distance: int = 16, fewest: int = 5) -> DataFrame:
+def dedup_lines(docs: DataFrame, percent: int = 80, fewest: int = 5) -> DataFrame:
     """docs without the line occurrences of repeated_lines, with n_lines (before) and n_removed.
 
     Every row stays, also one that loses all its lines: its text is then empty. Columns of docs called n_lines or
     n_removed are replaced; a null text stays null.
     """
     docs = docs.drop("n_lines", "n_removed")
-    gone = repeated_lines(docs, percent, distance, fewest).select(F.col("doc_id").alias("_id"), F.col("lines").alias("_lines"))
+    gone = repeated_lines(docs, percent, fewest).select(F.col("doc_id").alias("_id"), F.col("lines").alias("_lines"))
     rows = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left").drop("_id")
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
     return rows.mapInArrow(_cut(docs.columns), ", ".join([*fields, "n_lines int", "n_removed int"]))
