@@ -5,8 +5,6 @@ import random
 import re
 from collections import defaultdict
 
-import numpy as np
-import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -16,7 +14,7 @@ from vecspark.llm.exact_dedup import exact_groups
 from vecspark.llm.html_text import render
 from vecspark.llm.jaccard_join import near_duplicate_components
 from vecspark.llm.language_id import fit_languages, identify_languages
-from vecspark.llm.line_dedup import _lines, _simhash, dedup_lines, edit_distance
+from vecspark.llm.line_dedup import dedup_lines, edit_distance
 from vecspark.llm.mixing import curriculum, mixture, source_targets
 from vecspark.llm.preferences import conversations, format_preferences, paired_by_number, paired_by_opening
 from vecspark.llm.quality import fit_quality, score_quality
@@ -166,16 +164,28 @@ def test_lines(spark):
     assert dedup_lines(table(spark, rows).limit(0)).count() == 0
 
 
-def test_lines_far_fingerprints(spark):
-    """Lines whose SimHashes share a block but differ in more than 16 bits are judged by their words."""
-    rng, found = random.Random(11), []
-    while len(found) < 4:
-        a = [f"w{rng.randrange(10**6)}" for _ in range(20)]
-        b = [f"w{rng.randrange(10**6)}" if i in (3, 9, 15) else w for i, w in enumerate(a)]
-        x, y = (np.uint32(_simhash(*_lines(pa.RecordBatch.from_pydict({"text": [" ".join(w)]}))[:2])[0]) for w in (a, b))
-        if (x == y).any() and sum(int(v).bit_count() for v in x ^ y) > 16:
-            found += [(len(found), " ".join(a), None, None), (len(found) + 1, " ".join(b), None, None)]
-    assert [r.n_removed for r in dedup_lines(table(spark, found)).orderBy("doc_id").collect()] == [0, 1, 0, 1]
+@pytest.mark.parametrize("percent", [80, 60])
+def test_lines_recall(spark, percent):
+    """Every line that brute-force edit similarity links goes, whatever its SimHash: by one connected group at a time."""
+    rng, rows, lines = random.Random(11), [], []
+    for _ in range(60):
+        a = [f"w{rng.randrange(60)}" for _ in range(rng.choice([5, 6, 9, 10, 14, 20, 40, 60]))]
+        for _ in range(3):
+            b = list(a)
+            for _ in range(rng.randrange(len(a) * (100 - percent) // 100 + 2)):
+                at, what = rng.randrange(len(b)), rng.randrange(3)
+                b[at : at + (what != 0)] = [f"w{rng.randrange(60)}"] * (what != 2)
+            lines.append(b)
+    lines = [x for x in lines if len(x) >= 5]
+    top = list(range(len(lines)))
+    for i, a in enumerate(lines):
+        for j, b in enumerate(lines[:i]):
+            most = max(len(a), len(b)) * (100 - percent) // 100
+            if edit_distance(a, b, most) <= most and top[i] != top[j]:
+                top = [top[j] if t == top[i] else t for t in top]
+    rows = [(i, " ".join(x), None, None) for i, x in enumerate(lines)]
+    kept = {r.doc_id for r in dedup_lines(table(spark, rows), percent=percent).where("n_removed = 0").collect()}
+    assert kept == {top.index(t) for t in top}
 
 
 def test_tiles():

@@ -1,4 +1,4 @@
-"""Fuzzy line dedup: SimHash, pigeonhole blocks, edit similarity, connected groups."""
+"""Fuzzy line dedup: prefixes of rare word pairs, edit similarity, connected groups."""
 
 from __future__ import annotations
 
@@ -13,7 +13,10 @@ from vecspark.llm.common import by_bytes, condensed, materialise, text_bytes
 from vecspark.llm.components import resolve
 from vecspark.llm.words import NOT_WORD, constants, mix, span_hashes, words
 
-BLOCKS = 4  # of 32 bits; two fingerprints that differ in fewer bits than this share a block
+SKETCH_BITS = 18  # of the counters of word frequency: their size is fixed whatever the corpus
+GRAM_BITS = 25  # of the bitmap of word pairs that several lines hold: 4 MB
+GRAM = np.uint64(48)  # bits of a word pair's name
+SEEN = 500_000  # names of repeated lines that a task remembers
 _NEWLINE = 10
 
 
@@ -42,26 +45,6 @@ def _keys(h: np.ndarray, begin: np.ndarray) -> list[bytes]:
     return [both[i : i + 16] for i in range(0, len(both), 16)]
 
 
-#: A byte's bits, highest first, as eight bytes of 0 or 1.
-_SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).ravel()
-
-
-def _simhash(h: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """128-bit SimHash of each line over its words, as four 32-bit blocks."""
-    with np.errstate(over="ignore"):
-        both = np.stack([mix(h ^ np.uint64(0xA5)), mix(h + np.uint64(0x5A))], axis=1).view(np.uint8)
-    # Pieces of up to 255 words, so that a bit's votes fit in a byte: eight bits are counted by one 64-bit addition.
-    count = np.diff(begin)
-    pieces = -(-count // 255)
-    piece = np.repeat(begin[:-1], pieces) + 255 * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces))
-    votes = np.empty((len(piece), 16), np.uint64)
-    for j in range(16):
-        votes[:, j] = np.add.reduceat(_SPREAD[both[:, j]], piece)
-    votes = np.add.reduceat(votes.view(np.uint8).astype(np.int32), np.cumsum(pieces) - pieces, axis=0)
-    ones = 2 * votes > np.diff(begin)[:, None]
-    return np.packbits(ones, axis=1).view(">u4").astype(np.int64)
-
-
 #: Columns of a 256-bit parity sketch of a line: bit b tells whether an odd number of its words hash to b. Two sketches
 #: differ in at most as many bits as the bags of words differ in words, so it refuses pairs without error.
 PARITY = [f"p{j}" for j in range(4)]
@@ -91,13 +74,86 @@ def _occurrences(fewest: int):  # noqa: ANN202
             h, begin, row, number = _lines(batch)
             if not len(h):
                 continue
-            n = np.diff(begin)
-            sim, keys = _simhash(h, begin), _keys(h, begin)
-            at = np.flatnonzero(n >= fewest)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([keys[i] for i in at], pa.binary()), batch.column("doc_id").take(pa.array(row[at])), pa.array(number[at].astype(np.int32)), pa.array(n[at]), *(pa.array(sim[at, j]) for j in range(BLOCKS)), *(x.take(pa.array(at)) for x in _parity(h, begin))],
-                names=["id", "doc_id", "line", "n", *(f"b{j}" for j in range(BLOCKS)), *PARITY],
-            )
+            keys = _keys(h, begin)
+            at = np.flatnonzero(np.diff(begin) >= fewest)
+            yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in at], pa.binary()), batch.column("doc_id").take(pa.array(row[at])), pa.array(number[at].astype(np.int32))], names=["id", "doc_id", "line"])
+
+    return run
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(1 << SKETCH_BITS, np.int64)
+    for batch in by_bytes(batches):
+        total += np.bincount((_lines(batch)[0] >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total))
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["bucket", "n"])
+
+
+def _levels(docs: DataFrame) -> np.ndarray:
+    """How frequent the words of each counter are: twice the binary logarithm of the count."""
+    rows = docs.select("text").mapInArrow(_count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    out = np.zeros(1 << SKETCH_BITS)
+    out[rows["bucket"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
+    return (2 * np.log2(1 + out)).astype(np.uint8)
+
+
+def _rare(h: np.ndarray, begin: np.ndarray, percent: int, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix of each line's bag of word pairs, rare ones first: their names and lines. Lines that link share one.
+
+    With m = n + j words in the partner, d edits of max(n, m) * (100 - percent) / 100 at most destroy up to 2 d of the
+    n - 1 pairs of a line, or 2 d - j if the partner is longer, for j insertions destroy one pair each. Most are lost at
+    one of j = 0..4 if percent is 80 or more, and a pair is left then; below that single words take the place of pairs,
+    of which no more than n * (100 - percent) / 100 are lost.
+    """
+    n = np.diff(begin)
+    line = np.repeat(np.arange(len(n)), n)
+    level = levels[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64)
+    edits = lambda m: m * (100 - percent) // 100
+    if percent >= 80:
+        lost = np.max([2 * edits(n + j) - j for j in range(5)], axis=0)
+        inside = np.flatnonzero(line[1:] == line[:-1])
+        with np.errstate(over="ignore"):
+            gram = mix(mix(h[inside]) + h[inside + 1])
+        level, line = level[inside] + level[inside + 1], line[inside]
+    else:
+        lost, gram = edits(n), mix(h)
+    order = np.lexsort(((level << GRAM) | (gram >> (np.uint64(64) - GRAM)), line))
+    gram = (gram >> (np.uint64(64) - GRAM))[order]
+    if not len(gram):
+        return gram, line
+    first = np.searchsorted(line, np.arange(len(n)))
+    keep = np.arange(len(line)) - first[line] <= lost[line]
+    keep[1:] &= (gram[1:] != gram[:-1]) | (line[1:] != line[:-1])
+    return gram[keep], line[keep]
+
+
+def _prefixes(fewest: int, percent: int, levels: np.ndarray, copied: np.ndarray, shared: np.ndarray | None):  # noqa: ANN202
+    """Word pairs of the lines' prefixes. Without `shared`: each with its line's short name if that may have repeats, to
+    count them by; with it: those whose slot is set, with the line's name and words. Lines that repeat come once a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told: set[bytes] = set()
+        for batch in by_bytes(batches):
+            h, begin, _, _ = _lines(batch)
+            if not len(h):
+                continue
+            keys, n = _keys(h, begin), np.diff(begin)
+            head = np.frombuffer(b"".join(keys), np.uint64)[::2]
+            many, use = _is_set(copied, head.astype(np.uint32)), n >= fewest
+            for i in np.flatnonzero(many & use):
+                use[i] = keys[i] not in told
+                if len(told) < SEEN:
+                    told.add(keys[i])
+            gram, line = _rare(h, begin, percent, levels)
+            keep = use[line]
+            if shared is not None:
+                slot = gram & np.uint64((1 << GRAM_BITS) - 1)
+                keep &= (shared.view(np.uint64)[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
+            gram, line = pa.array(gram[keep].view(np.int64)), line[keep]
+            if shared is None:
+                yield pa.RecordBatch.from_arrays([gram, pa.array(head[line].view(np.int64), mask=~many[line])], names=["key", "name"])
+            else:
+                yield pa.RecordBatch.from_arrays([gram, pa.array(keys, pa.binary()).take(pa.array(line)), pa.array(n[line])], names=["key", "id", "n"])
 
     return run
 
@@ -119,7 +175,7 @@ def _listed(slots: np.ndarray):  # noqa: ANN202
 
 
 def _texts(fewest: int, slots: np.ndarray):  # noqa: ANN202
-    """32-bit word hashes of the lines whose slot is set, each line once a batch."""
+    """32-bit word hashes and sketches of the lines whose slot is set, each line once a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches):
@@ -128,8 +184,10 @@ def _texts(fewest: int, slots: np.ndarray):  # noqa: ANN202
                 continue
             keys = _keys(h, begin)
             good = (np.diff(begin) >= fewest) & _is_set(slots, np.frombuffer(b"".join(keys), np.uint32)[::4])
-            mine = {keys[i]: (h[begin[i] : begin[i + 1]] >> np.uint64(32)).astype(np.uint32).view(np.int32) for i in np.flatnonzero(good)}
-            yield pa.RecordBatch.from_arrays([pa.array(list(mine), pa.binary()), pa.array(list(mine.values()), pa.list_(pa.int32()))], names=["id", "words"])
+            mine = pa.array(list({keys[i]: i for i in np.flatnonzero(good)}.values()), pa.int64())
+            short = pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array((h >> np.uint64(32)).astype(np.uint32).view(np.int32)))
+            columns = {"id": pa.array(keys, pa.binary()), "n": pa.array(np.diff(begin)), "words": short, **dict(zip(PARITY, _parity(h, begin), strict=True))}
+            yield pa.RecordBatch.from_arrays([c.take(mine) for c in columns.values()], names=list(columns))
 
     return run
 
@@ -141,9 +199,12 @@ SLOT_BITS = 24
 def _slots(ids: DataFrame) -> np.ndarray:
     # The first four bytes of an id, little-endian, as in _texts.
     byte = lambda i: F.conv(F.hex(F.substring("id", i, 1)), 16, 10).cast("long")
-    slot = (byte(1) + byte(2) * 256 + byte(3) * 65536).alias("slot")
-    rows = ids.select(slot).groupBy(F.expr("slot div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 64 as int)))").alias("b")).toPandas()
-    out = np.zeros(1 << (SLOT_BITS - 6), np.int64)
+    return _bitmap(ids.select((byte(1) + byte(2) * 256 + byte(3) * 65536).alias("slot")), SLOT_BITS)
+
+
+def _bitmap(slots: DataFrame, bits: int) -> np.ndarray:
+    rows = slots.groupBy(F.expr("slot div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 64 as int)))").alias("b")).toPandas()
+    out = np.zeros(1 << (bits - 6), np.int64)
     out[rows["w"].to_numpy(np.int64)] = rows["b"].to_numpy(np.int64)
     return out
 
@@ -196,10 +257,10 @@ def repeated_lines(docs: DataFrame, percent: int = 80, fewest: int = 5) -> DataF
     """Line occurrences to remove: (doc_id, lines array<int>), line numbers from 0, of documents that lose any.
 
     A line, parted by newlines, is normalised to its words: letters and digits, A-Z lowered. Lines of fewer than
-    `fewest` words are left alone. Equal word sequences are one line. Two lines are linked if their 128-bit SimHashes
-    over words share one of four 32-bit blocks, as any two that differ in three bits or fewer must, and have an edit
-    similarity over words (1 - distance / longer length) of percent/100. Of each connected group the first occurrence
-    by doc_id and line stays.
+    `fewest` words are left alone. Equal word sequences are one line. Two lines are linked if they
+    have an edit similarity over words (1 - distance / longer length) of percent/100, without exception: candidates
+    share one of their rarest pairs of successive words, of which so many are compared that edits can't destroy all
+    (see _rare). Of each connected group the first occurrence by doc_id and line stays.
 
     Rows that repeat a doc_id count as one document, so line k of both stays or goes; a null doc_id is a document, the
     first. Null and empty texts have no lines. A line that a third of the documents share is one counted row before
@@ -210,31 +271,32 @@ def repeated_lines(docs: DataFrame, percent: int = 80, fewest: int = 5) -> DataF
 
 
 def _repeated(docs: DataFrame, percent: int, fewest: int) -> DataFrame:
-    names = [f"b{j}" for j in range(BLOCKS)]
-    schema = "id binary, doc_id long, line int, n long, " + ", ".join(f"{c} long" for c in [*names, *PARITY])
-    seen = materialise(docs.mapInArrow(_occurrences(fewest), schema), "line-occurrences")
-    first = F.min(F.struct("doc_id", "line")).alias("first")
-    lines = seen.groupBy("id").agg(F.count(F.lit(1)).alias("k"), first, F.first("n").alias("n"), *[F.first(c).alias(c) for c in [*names, *PARITY]])
-    lines = materialise(lines, "lines")
-    block = lines.select(F.posexplode(F.array(*names)).alias("j", "block"), "id", "n", *names).withColumn("key", F.shiftleft(F.col("j").cast("long"), 32).bitwiseOR(F.col("block")))
-    several = block.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
-    rows = materialise(block.join(several, "key").select("key", "id", "n"), "line-blocks")
+    seen = materialise(docs.mapInArrow(_occurrences(fewest), "id binary, doc_id long, line int"), "line-occurrences")
+    lines = materialise(seen.groupBy("id").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("doc_id", "line")).alias("first")), "lines")
+    levels, copied = _levels(docs), _slots(lines.where("k > 1"))
+    count = docs.mapInArrow(_prefixes(fewest, percent, levels, copied, None), "key long, name long")
+    count = count.groupBy("key").agg((F.count(F.lit(1)) - F.count("name")).alias("k"), F.min("name").alias("lo"), F.max("name").alias("hi"))
+    several = materialise(count.where("k + CASE WHEN lo IS NULL THEN 0 WHEN lo = hi THEN 1 ELSE 2 END > 1").select("key"), "shared-pairs")
+    shared = _bitmap(several.select(F.col("key").bitwiseAND((1 << GRAM_BITS) - 1).alias("slot")), GRAM_BITS)
+    rows = docs.mapInArrow(_prefixes(fewest, percent, levels, copied, shared), "key long, id binary, n long")
+    rows = materialise(rows.join(several, "key").groupBy("key", "id").agg(F.first("n").alias("n")), "line-pairs")
     slots = _slots(rows.select("id").distinct())
-    texts = docs.mapInArrow(_texts(fewest, slots), "id binary, words array<int>")
-    texts = materialise(texts.join(rows.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.first("words").alias("words")), "line-words")
+    words = ["words", *PARITY]
+    texts = docs.mapInArrow(_texts(fewest, slots), "id binary, n long, words array<int>" + "".join(f", {c} long" for c in PARITY))
+    texts = materialise(texts.groupBy("id").agg(F.first("n").alias("n"), *[F.first(c).alias(c) for c in words]), "line-words")
 
     sizes = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent
-    prints = materialise(lines.join(rows.select("id").distinct(), "id", "left_semi").select("id", *PARITY), "fingerprints")
+    prints = texts.select("id", *PARITY)
     near = lambda k: sizes & _room(percent) if k > 1 else sizes
 
     def judge(pairs: DataFrame, k: int) -> DataFrame:
         """The pairs that are alike; those of the first round have not been held against their sketches yet."""
         if k == 1:
-            x, y = (prints.join(lines.select("id", "n"), "id").alias(c) for c in "xy")
+            x, y = (texts.select("id", "n", *PARITY).alias(c) for c in "xy")
             pairs = pairs.join(x, F.col("a") == F.col("x.id")).join(y, F.col("b") == F.col("y.id")).where(_room(percent)).select("a", "b")
             pairs = materialise(pairs, "close")
         listed = _slots(pairs.select(F.explode(F.array("a", "b")).alias("id")))
-        some = texts.mapInArrow(_listed(listed), texts.schema)
+        some = texts.select("id", "words").mapInArrow(_listed(listed), "id binary, words array<int>")
         s, t = some.alias("s"), some.alias("t")
         both = pairs.join(s, F.col("a") == F.col("s.id")).join(t, F.col("b") == F.col("t.id"))
         return both.select("a", "b", F.col("s.words").alias("u"), F.col("t.words").alias("v")).mapInArrow(_verify(percent), "a binary, b binary")
