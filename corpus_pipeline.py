@@ -22,7 +22,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without repeated lines; a document that had text and has none left goes."""
-    out = dedup_lines(docs).where("n_removed = 0 OR length(trim(text)) > 0")
+    out = dedup_lines(docs, shortest=1).where("n_removed = 0 OR length(trim(text)) > 0")
     return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
@@ -52,7 +52,7 @@ STAGES = [
     ("mixing", mixing),
 ]
 
-#: Compression, SimHash and tiling can't be said in SQL; tests/llm compares the stages with brute force.
+#: Compression, edit similarity and tiling can't be said in SQL; tests/llm compares the stages with brute force.
 ORACLE_SQL = None
 
 

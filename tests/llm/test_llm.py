@@ -188,6 +188,19 @@ def test_lines_recall(spark, percent):
     assert kept == {top.index(t) for t in top}
 
 
+def test_short_lines(spark, tmp_path):
+    """Exact repeats of lines of 1 to 4 words go in op2 and the pipeline, near ones stay."""
+    from corpus_pipeline import lines
+
+    from vecspark.llm.queries import op2_line_dedup
+
+    rows = [(1, "Home\none two three four\n---\n東京都", None, None), (2, "HOME!\none two three five\n---\nhome\n東京都\nx", None, None)]
+    table(spark, rows).withColumn("n_chars", F.length("text").cast("long")).write.parquet(f"{tmp_path}/documents.parquet")
+    assert [r.n_removed for r in op2_line_dedup(spark, str(tmp_path)).orderBy("doc_id").collect()] == [0, 3]
+    kept = lines(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), "").orderBy("doc_id").collect()
+    assert kept[1].text == "one two three five\n---\nx"
+
+
 def test_tiles():
     assert greedy_tiles([1, 2, 3, 4, 5, 6], [4, 5, 6, 9, 1, 2, 3], 3) == [(0, 4, 3), (3, 0, 3)]
     assert greedy_tiles([1, 1, 1, 1], [1, 1, 1], 2) == [(0, 0, 3)]

@@ -68,14 +68,14 @@ def _room(percent: int) -> Column:
     return differ <= 2 * most - F.abs(F.col("x.n") - F.col("y.n"))
 
 
-def _occurrences(fewest: int):  # noqa: ANN202
+def _occurrences(shortest: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches):
             h, begin, row, number = _lines(batch)
             if not len(h):
                 continue
             keys = _keys(h, begin)
-            at = np.flatnonzero(np.diff(begin) >= fewest)
+            at = np.flatnonzero(np.diff(begin) >= shortest)
             yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in at], pa.binary()), batch.column("doc_id").take(pa.array(row[at])), pa.array(number[at].astype(np.int32))], names=["id", "doc_id", "line"])
 
     return run
@@ -253,11 +253,11 @@ def _verify(percent: int):  # noqa: ANN202
     return run
 
 
-def repeated_lines(docs: DataFrame, percent: int = 80, fewest: int = 5) -> DataFrame:
+def repeated_lines(docs: DataFrame, percent: int = 80, fewest: int = 5, shortest: int | None = None) -> DataFrame:
     """Line occurrences to remove: (doc_id, lines array<int>), line numbers from 0, of documents that lose any.
 
     A line, parted by newlines, is normalised to its words: letters and digits, A-Z lowered. Lines of fewer than
-    `fewest` words are left alone. Equal word sequences are one line. Two lines are linked if they
+    `shortest` words (if None: `fewest`) are left alone. Equal word sequences are one line. Two lines of `fewest` words or more are linked if they
     have an edit similarity over words (1 - distance / longer length) of percent/100, without exception: candidates
     share one of their rarest pairs of successive words, of which so many are compared that edits can't destroy all
     (see _rare). Of each connected group the first occurrence by doc_id and line stays.
@@ -267,11 +267,11 @@ def repeated_lines(docs: DataFrame, percent: int = 80, fewest: int = 5) -> DataF
     any join; the join back to its occurrences is one that adaptive execution splits.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return condensed(docs.sparkSession, lambda: _repeated(docs, percent, fewest), "repeated-line-numbers")
+    return condensed(docs.sparkSession, lambda: _repeated(docs, percent, fewest, fewest if shortest is None else shortest), "repeated-line-numbers")
 
 
-def _repeated(docs: DataFrame, percent: int, fewest: int) -> DataFrame:
-    seen = materialise(docs.mapInArrow(_occurrences(fewest), "id binary, doc_id long, line int"), "line-occurrences")
+def _repeated(docs: DataFrame, percent: int, fewest: int, shortest: int) -> DataFrame:
+    seen = materialise(docs.mapInArrow(_occurrences(shortest), "id binary, doc_id long, line int"), "line-occurrences")
     lines = materialise(seen.groupBy("id").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("doc_id", "line")).alias("first")), "lines")
     levels, copied = _levels(docs), _slots(lines.where("k > 1"))
     count = docs.mapInArrow(_prefixes(fewest, percent, levels, copied, None), "key long, name long")
@@ -327,14 +327,14 @@ def _cut(columns: list[str]):  # noqa: ANN202
     return run
 
 
-def dedup_lines(docs: DataFrame, percent: int = 80, fewest: int = 5) -> DataFrame:
+def dedup_lines(docs: DataFrame, percent: int = 80, fewest: int = 5, shortest: int | None = None) -> DataFrame:
     """docs without the line occurrences of repeated_lines, with n_lines (before) and n_removed.
 
     Every row stays, also one that loses all its lines: its text is then empty. Columns of docs called n_lines or
     n_removed are replaced; a null text stays null.
     """
     docs = docs.drop("n_lines", "n_removed")
-    gone = repeated_lines(docs, percent, fewest).select(F.col("doc_id").alias("_id"), F.col("lines").alias("_lines"))
+    gone = repeated_lines(docs, percent, fewest, shortest).select(F.col("doc_id").alias("_id"), F.col("lines").alias("_lines"))
     rows = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left").drop("_id")
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
     return rows.mapInArrow(_cut(docs.columns), ", ".join([*fields, "n_lines int", "n_removed int"]))

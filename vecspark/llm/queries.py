@@ -44,7 +44,7 @@ FROM d
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines that repeat, exactly or nearly, in it or in others."""
-    out = dedup_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = dedup_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"), shortest=1)
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
