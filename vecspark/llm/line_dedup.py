@@ -14,7 +14,7 @@ from vecspark.llm.components import resolve
 from vecspark.llm.words import NOT_WORD, constants, mix, span_hashes, words
 
 SKETCH_BITS = 18  # of the counters of word frequency: their size is fixed whatever the corpus
-GRAM_BITS = 25  # of the bitmap of word pairs that several lines hold: 4 MB
+GRAM_BITS = 24  # of the bitmap of word pairs that several lines hold: 2 MB
 GRAM = np.uint64(48)  # bits of a word pair's name
 SEEN = 500_000  # names of repeated lines that a task remembers
 _NEWLINE = 10
