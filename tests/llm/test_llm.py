@@ -229,6 +229,16 @@ def test_html():
     assert render("<table><tr><td>a<table><tr><td>in</table><td>b</table>").split() == ["a", "|", "b", "|", "in", "|"]
 
 
+def test_html_all_visible():
+    assert render("<p>a</p><table>x<tr>y<div>z</div><td>c<td>d<tbody><form>f<tr><td>e</form></table>g").split() == ["a", "xy", "z", "f", "c", "|", "d", "e", "g"]
+    assert render("<table><tr><td>a</table>") == "a" and render("<table>x<table><tr><td>b</table>") == "x\n\nb"
+    assert render("so <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> holds") == "so x=2 holds"
+    assert render("<svg><title>t</title><desc>no</desc><text>one</text><g><text>two</text></g></svg>") == "one\ntwo"
+    assert render("in <select><option>a<option selected>b</select> or <select><option>c<option>d</select>") == "in b or c"
+    assert render("<select multiple><optgroup><option>a<optgroup><option>b</select>") == "a\nb"
+    assert render("<textarea>\nk &amp;\n  l</textarea>") == "k &\n  l"
+
+
 def test_preferences(spark):
     turns = [(0, 0, "user", "q"), (0, 1, "assistant", "a"), (1, 0, "user", "q"), (1, 1, "assistant", "b<|im_end|>"), (1, 2, "user", None), (2, 0, "user", "q"), (2, 1, "assistant", "a"), (None, 0, "user", "q"), (0, 0, "user", "q")]
     talks = conversations(spark.createDataFrame(turns, "conv_id long, turn int, role string, text string"))

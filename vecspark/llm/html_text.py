@@ -18,11 +18,16 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 BLOCK = set("address article aside blockquote body center details dialog dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table ul".split())
 SPACED = set("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure hr".split())
 CLOSES_P = BLOCK - {"body", "html", "li", "dd", "dt", "legend"}
-NEVER_SHOWN = set("head script style template noscript iframe object audio video canvas svg math select datalist noembed noframes textarea title".split())
+NEVER_SHOWN = set("head script style template noscript iframe object audio video canvas datalist noembed noframes title".split())
+#: Inside svg or math these are never shown either.
+FOREIGN_HIDDEN = set("annotation annotation-xml clippath defs desc metadata symbol".split())
+#: Elements whose text and whose children other than _PARTS a browser moves in front of the table.
+_FOSTERS = {"table", "thead", "tbody", "tfoot", "tr", "colgroup"}
+_PARTS = {"thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup", "col"}
 #: A start tag of the key ends open elements of the values, up to the nearest element of _SCOPE.
-IMPLIED_END = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
+IMPLIED_END = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "optgroup": {"option", "optgroup"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 IMPLIED_END |= {t: {"tr", "td", "th", "thead", "tbody", "tfoot", "caption", "colgroup"} for t in ("thead", "tbody", "tfoot")}
-_SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "option": {"select"}}
+_SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "option": {"select"}, "optgroup": {"select"}}
 
 
 class Node:
@@ -47,9 +52,21 @@ def parse(page: str) -> Node:
             if stack[i].tag in scope:
                 return
 
+    def add(child: Node | str) -> None:
+        """Appends to the innermost element; in a table but in no cell, what can't stand there goes before the table."""
+        stray = child.strip() if isinstance(child, str) else child.tag not in _PARTS and child.tag not in ("script", "style", "template")
+        if stray and stack[-1].tag in _FOSTERS:
+            for i in range(len(stack) - 1, 0, -1):
+                if stack[i].tag == "table":  # while it is open, it is the last child of the element below it
+                    stack[i - 1].children.insert(-1, child)
+                    return
+        stack[-1].children.append(child)
+
     def push(tag: str, attrs: dict[str, str]) -> Node:
         node = Node(tag, attrs)
-        stack[-1].children.append(node)
+        if (tag in FOREIGN_HIDDEN or tag == "text") and any(x.tag in ("svg", "math") for x in stack):
+            attrs["hidden" if tag in FOREIGN_HIDDEN else "#line"] = ""
+        add(node)
         if tag not in VOID:
             stack.append(node)
         return node
@@ -57,10 +74,10 @@ def parse(page: str) -> Node:
     while at < len(page):
         m = _TAG.search(page, at)
         if not m:
-            stack[-1].children.append(html.unescape(page[at:]))
+            add(html.unescape(page[at:]))
             break
         if m.start() > at:
-            stack[-1].children.append(html.unescape(page[at : m.start()]))
+            add(html.unescape(page[at : m.start()]))
         at = m.end()
         if m[2] is None:
             continue
@@ -84,6 +101,15 @@ def parse(page: str) -> Node:
                 close(inner, scope)
                 if len(stack) == before:
                     break
+        if tag in _PARTS:  # ends what was moved before the table
+            for i in range(len(stack) - 1, 0, -1):
+                if stack[i].tag in _FOSTERS:
+                    del stack[i + 1 :]
+                    break
+                if stack[i].tag in ("td", "th", "caption"):
+                    break
+        elif tag == "table" and stack[-1].tag in _FOSTERS:
+            close({"table"}, set())
         if tag in ("td", "th") and stack[-1].tag in ("table", "thead", "tbody", "tfoot"):
             push("tr", {})
         if tag == "body" and any(x.tag == "head" for x in stack):
@@ -91,7 +117,8 @@ def parse(page: str) -> Node:
         push(tag, attrs)
         if tag in _RAW:
             end = re.compile(rf"</{tag}\s*/?>", re.I).search(page, at)
-            stack.pop().children.append(page[at : end.start() if end else len(page)])
+            raw = page[at : end.start() if end else len(page)]
+            stack.pop().children.append(html.unescape(raw).removeprefix("\n") if tag == "textarea" else raw)
             at = end.end() if end else len(page)
     return root
 
@@ -101,6 +128,22 @@ def _hidden(node: Node) -> bool:
     return node.tag in NEVER_SHOWN or "hidden" in node.attrs or "display:none" in style or "visibility:hidden" in style or (node.tag == "dialog" and "open" not in node.attrs)
 
 
+def _chosen(select: Node) -> list[Node]:
+    """The options a reader sees: all of a list box; of a closed list the last selected one, or else the first enabled."""
+    options, todo = [], list(reversed(select.children))
+    while todo:
+        x = todo.pop()
+        if isinstance(x, Node):
+            if x.tag == "option":
+                options.append(x)
+            else:
+                todo += reversed(x.children)
+    size = select.attrs.get("size", "1")
+    if "multiple" in select.attrs or (size.isdigit() and size.lstrip("0") not in ("", "1")):
+        return options
+    return [x for x in options if "selected" in x.attrs][-1:] or [x for x in options if "disabled" not in x.attrs][:1]
+
+
 class _Flow:
     """Lines being written: white space collapses, and the largest break asked for since the last text is made."""
 
@@ -192,7 +235,8 @@ def render(page: str, widest: int = 60) -> str:
                 tables[-1][-1].append((min(max(int(span), 1), 1000) if span.isdigit() and len(span) < 6 else 1, lines))
             elif tag == "table":
                 lines = _table(tables.pop(), widest)
-                flows.pop()
+                if stray := flows.pop().done():
+                    flows[-1].put(stray, 1)
                 flows[-1].put(lines, 2)
             elif tag == "li":
                 lines = flows.pop().done() or [""]
@@ -201,7 +245,7 @@ def render(page: str, widest: int = 60) -> str:
                     mark = f"{lists[-1]}. "
                     lists[-1] += 1
                 flows[-1].put([mark + lines[0], *(" " * len(mark) + x if x else "" for x in lines[1:])], 1)
-            elif tag in BLOCK:
+            elif tag in BLOCK or tag == "textarea" or "#line" in node.attrs:
                 if tag in ("ul", "ol", "menu"):
                     lists.pop()
                 flow.brk(1 if spaced == 2 and tag in ("ul", "ol") and lists else spaced)
@@ -224,7 +268,7 @@ def render(page: str, widest: int = 60) -> str:
         elif tag == "table":
             flow.brk(2)
             tables.append([])
-            flows.append(_Flow())  # text between cells belongs to no cell
+            flows.append(_Flow())  # of what is in no cell; the parser has put almost all of it before the table
         elif tag == "caption" and tables:
             flows[-2].brk(1)
             tables[-1].append([])
@@ -235,14 +279,20 @@ def render(page: str, widest: int = 60) -> str:
         elif tag == "li":
             flow.brk(1)
             flows.append(_Flow())
-        elif tag in BLOCK:
+        elif tag == "select":
+            options = _chosen(node)
+            for x in reversed(options):
+                x.attrs.update({"#line": ""} if len(options) > 1 else {})
+                todo.append((x, False, pre))
+            continue
+        elif tag in BLOCK or tag == "textarea" or "#line" in node.attrs:
             if tag in ("ul", "ol", "menu"):
                 start = node.attrs.get("start", "1")
                 lists.append(int(start) if start.isdigit() and len(start) < 10 else 1) if tag == "ol" else lists.append(None)
                 spaced = 1 if len(lists) > 1 else 2
             flow.brk(spaced)
         todo.append((node, True, pre))
-        todo += [(c, False, pre or tag == "pre") for c in reversed(node.children)]
+        todo += [(c, False, pre or tag in ("pre", "textarea")) for c in reversed(node.children)]
     return "\n".join(flows[0].done())
 
 
@@ -260,7 +310,9 @@ def extract_text(pages: DataFrame, widest: int = 60) -> DataFrame:
 
     A tree is built first: end tags of p, li, dt, dd, option and table parts and missing tr are implied, stray end tags
     ignored, and an unclosed tag, comment or script ends with the page. Nothing under head, script, style, template,
-    noscript, form choices, hidden, display:none or visibility:hidden is shown; all else is, menus and footers too.
+    noscript, canvas, embedded media and frames, datalist, hidden, display:none or visibility:hidden is shown; all else is, menus and footers too,
+    formulas (MathML without annotations), labels of svg drawings (each a line), text areas, all options of list boxes
+    and the chosen one of closed lists. Text and elements in a table but in no cell stand before it.
     Blocks begin a line, paragraphs, headings, lists and tables leave one empty, nested lists are indented, ordered
     ones counted, pre keeps its spaces. Cells stand in columns padded to at most `widest` characters.
 
