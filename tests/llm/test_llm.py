@@ -267,6 +267,16 @@ def test_languages(spark):
     assert identify_languages(train, none).where("lang_pred <> 'und'").count() == 0
 
 
+def test_four_languages(spark):
+    rng = random.Random(8)
+    make = {"en": "the and of with this that from have".split(), "de": "der die und nicht mit auf für eine".split(), "fr": "les vous être pour dans avec plus sont".split(), "pl": "się jest nie tak było przez który jego".split()}
+    text = lambda lang, n: " ".join(rng.choice(make[lang]) for _ in range(n))
+    model = fit_languages(table(spark, [(i, text(lang, 60), lang, None) for i, lang in enumerate(list(make) * 10)]).select("text", "lang"))
+    mixed = " ".join([text("en", 80), text("de", 40), text("fr", 40), text("pl", 40)])
+    out = identify_languages(table(spark, [(1, mixed, None, None)]), model).first()
+    assert set(out.languages) == set(make) and out.lang_pred == "en" and abs(out.score - 0.4) < 0.05
+
+
 def test_quality(spark):
     rng = random.Random(4)
     good = [words_of(rng, 40) for _ in range(60)]

@@ -84,7 +84,7 @@ def _mixtures(like: np.ndarray, top: np.ndarray, begin: np.ndarray, rows: np.nda
     raise AssertionError
 
 
-def infer(batch: pa.RecordBatch, model: LanguageModel, rounds: int, most: int, penalty: float, floor: float) -> np.ndarray:
+def infer(batch: pa.RecordBatch, model: LanguageModel, rounds: int, most: int | None, penalty: float, floor: float) -> np.ndarray:
     """Language proportions of each text of a batch; a row of zeros where a text has no letters."""
     code, starts, word_row = _grams(batch)
     out = np.zeros((batch.num_rows, len(model.languages)))
@@ -107,7 +107,7 @@ def infer(batch: pa.RecordBatch, model: LanguageModel, rounds: int, most: int, p
         sub_rows = np.searchsorted(mixed, rows[mine])
         sub_begin = np.searchsorted(sub_rows, np.arange(len(mixed)))
         fit = None
-        for k in range(1, min(most, share.shape[1]) + 1):
+        for k in range(1, min(most or share.shape[1], share.shape[1]) + 1):
             got, log_like = _mixtures(like[mine], top[mine], sub_begin, sub_rows, (rank[mixed] < k).astype(float), rounds if k > 1 else 0)
             value = log_like - penalty * (k - 1) * np.log(n[mixed] + 1)
             if fit is None:
@@ -120,7 +120,7 @@ def infer(batch: pa.RecordBatch, model: LanguageModel, rounds: int, most: int, p
     return out
 
 
-def _predict(model: LanguageModel, columns: list[str], rounds: int, most: int, penalty: float, floor: float) -> Callable:
+def _predict(model: LanguageModel, columns: list[str], rounds: int, most: int | None, penalty: float, floor: float) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array([*model.languages, "und"], object)
         for batch in by_bytes(batches):
@@ -143,12 +143,12 @@ def _predict(model: LanguageModel, columns: list[str], rounds: int, most: int, p
     return run
 
 
-def identify_languages(docs: DataFrame, model: LanguageModel, rounds: int = 10, most: int = 3, penalty: float = 2.0, floor: float = 0.01) -> DataFrame:
+def identify_languages(docs: DataFrame, model: LanguageModel, rounds: int = 10, most: int | None = None, penalty: float = 2.0, floor: float = 0.01) -> DataFrame:
     """docs with lang_pred, score (its proportion), languages and proportions of every whole text.
 
     A text's words are draws from a mixture of the languages; a word's likelihood is the product of its letter
-    trigrams'. Expectation-maximisation finds the proportions; the language set is the one of up to `most` languages,
-    by proportion, with the best log-likelihood less `penalty` * log(words) for each language beyond the first.
+    trigrams'. Expectation-maximisation finds the proportions; the language set is the one of up to `most` languages
+    (None: all learnt), by proportion, with the best log-likelihood less `penalty` * log(words) for each language beyond the first.
     lang_pred is the language of most words. `und`, score 0 and empty lists where text is null or has no letter, or
     nothing was learnt. Ties go to the language first in code point order. Columns of docs with the added names are
     replaced; rows are judged alone, so repeats agree.
