@@ -29,6 +29,21 @@ def test_scans(spark, block, depth):
     assert got(scan.scan(v.limit(0), block, depth=depth)) == []
 
 
+@pytest.mark.parametrize("name", ["scan_single", "scan_starting_sum"])
+def test_no_global_window_of_rows(spark, name):
+    """Only block totals meet in the window without a partition."""
+    from vecspark.plans import queries
+
+    seen = []
+    real = scan.scan
+    scan.scan = lambda df, block=None, *a, **k: seen.append(block) or real(df, block, *a, **k)
+    try:
+        queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+    finally:
+        scan.scan = real
+    assert seen == [queries.BLOCK]
+
+
 def test_block_scan(spark):
     assert got(scan.block_scan(vec(spark, X), 4)) == [3, 2, 6, 7, -5, 4, 6, 12, 5, 8]
 

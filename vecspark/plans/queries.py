@@ -84,8 +84,8 @@ def _scan_sql(start: int = 0, frame: str = _CUM) -> str:
     return _with(_V) + f"SELECT idx, CAST(coalesce(sum(val) OVER (ORDER BY idx {frame}), 0) + {start} AS BIGINT) AS z FROM v"
 
 
-_add("scan_single", lambda t: scan.scan(t.v, None), _scan_sql())
-_add("scan_starting_sum", lambda t: scan.scan(t.v, None, 1000), _scan_sql(1000))
+_add("scan_single", lambda t: scan.scan(t.v, BLOCK), _scan_sql())
+_add("scan_starting_sum", lambda t: scan.scan(t.v, BLOCK, 1000), _scan_sql(1000))
 _add("scan_multi", lambda t: scan.scan(t.v, BLOCK), _scan_sql())
 _add("scan_multi_no_l2", lambda t: scan.scan(t.v, 4096), _scan_sql())
 _add("scan_multi_cube", lambda t: scan.scan(t.v, 32 * 32), _scan_sql())
