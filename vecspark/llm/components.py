@@ -1,13 +1,23 @@
-"""Connected components of a graph given as a table of links."""
+"""Connected components, and groups of similar things: candidates by shared keys, judged without a group's all pairs."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecspark.llm.common import materialise
+from vecspark.llm.words import mix
+
+#: Keys held by so many things or fewer give all their pairs at once: no more than 16 pairs a row. Larger ones go to resolve().
+SMALL = 32
+#: Tokens of a bucket on the average; a bucket is read as a whole by one task.
+BUCKET = 250_000
+_KEY_BYTES = 5
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -38,48 +48,166 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     return materialise(labels.join(least, "label").select("v", "component"), "components")
 
 
-def resolve(rows: DataFrame, judge: Callable[[DataFrame, int], DataFrame], links: DataFrame, condition: Callable[[int], Column], more: DataFrame | None = None, fewest: Column | None = None) -> DataFrame:
-    """Components of all links between rows that share a key, without forming the pairs of a key's rows.
+def deal(key: np.ndarray, thing: np.ndarray, n: np.ndarray, low: np.ndarray, hot: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Rows (bucket int, tokens binary) of a batch's tokens, those of one bucket together, so that they move packed.
+
+    A token says that the thing (64-bit id), of size n, holds the key, and that `low` keys must be shared with it. Keys
+    are told apart by bucket and 40 bits: a chance meeting of two adds a candidate and takes none away. Hot keys get
+    negative buckets, spread by thing.
+    """
+    h = mix(key.astype(np.uint64))
+    bucket = np.where(hot, -1 - (mix(thing.view(np.uint64)) >> np.uint64(40)).astype(np.int64) % buckets, (h >> np.uint64(24)).astype(np.int64) % buckets)
+    order = np.lexsort((thing, bucket))
+    bucket, h, thing, n, low = bucket[order], h[order], thing[order], n[order], low[order]
+    cut = np.flatnonzero(np.r_[True, np.diff(bucket) != 0, True]) if len(bucket) else np.zeros(1, np.int64)
+    squeeze = zstandard.ZstdCompressor(level=1).compress
+    planes = lambda a, width: np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1)[:, :width].T).tobytes()
+    rows = []
+    for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+        step = np.diff(thing[i:j], prepend=np.int64(0))
+        rows.append(squeeze(planes(h[i:j], _KEY_BYTES) + planes(step, 8) + planes(n[i:j].astype(np.int32), 4) + planes(low[i:j].astype(np.int32), 4)))
+    return pa.RecordBatch.from_arrays([pa.array(bucket[cut[:-1]].astype(np.int32)), pa.array(rows, pa.binary())], names=["bucket", "tokens"])
+
+
+def _dealt(blobs: list[bytes]) -> list[np.ndarray]:
+    """Keys, things, sizes and least matches of packed tokens."""
+    parts = []
+    for blob in blobs:
+        data = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+        count, at, columns = len(data) // (_KEY_BYTES + 16), 0, []
+        for width, kind in ((_KEY_BYTES, np.int64), (8, np.int64), (4, np.int32), (4, np.int32)):
+            full = np.zeros((count, np.dtype(kind).itemsize), np.uint8)
+            full[:, :width] = data[at : at + width * count].reshape(width, count).T
+            columns.append(full.reshape(-1).view(kind))
+            at += width * count
+        columns[1] = np.cumsum(columns[1])
+        parts.append(columns)
+    return [np.concatenate(c) for c in zip(*parts, strict=True)]
+
+
+_FOUND = "key long, a long, b long, n int, c int"
+
+
+def _found(key, a, b, n, c) -> pa.RecordBatch:  # noqa: ANN001
+    return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int32()), pa.array(c, pa.int32())], names=["key", "a", "b", "n", "c"])
+
+
+def _meet(percent: int) -> Callable:
+    """From tokens in order of bucket: pairs (a, b, n: matches asked for, c: matches here) whose sizes allow percent/100,
+    and the rows (key, a, n) of keys with more than SMALL things."""
+
+    def settle(bucket: int, blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+        key, thing, n, low = _dealt(blobs)
+        none = np.zeros(0, np.int64)
+        if bucket < 0:
+            yield _found(key | (1 << 60), thing, pa.nulls(len(key), pa.int64()), n, np.zeros(len(key)))
+            return
+        order = np.lexsort((thing, key))
+        key, thing, n, low = key[order], thing[order], n[order], low[order]
+        new = np.r_[True, (key[1:] != key[:-1]) | (thing[1:] != thing[:-1])]
+        key, thing, n, low = key[new], thing[new], n[new], low[new]
+        begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        count = np.diff(np.r_[begin, len(key)])
+        many = np.repeat(count > SMALL, count)
+        if many.any():
+            yield _found(key[many] + (bucket << 40), thing[many], pa.nulls(int(many.sum()), pa.int64()), n[many], np.zeros(int(many.sum())))
+        x, y = [none], [none]
+        for d in range(1, SMALL):  # every place and the one d further on, inside a key
+            at = np.flatnonzero(~many[:-d] & (key[d:] == key[:-d])) if len(key) > d else none
+            if not len(at):
+                break
+            at = at[np.minimum(n[at], n[at + d]) * 100 >= np.maximum(n[at], n[at + d]) * percent]
+            x.append(at)
+            y.append(at + d)
+        x, y = np.concatenate(x), np.concatenate(y)
+        if len(x):
+            a, b, need = np.minimum(thing[x], thing[y]), np.maximum(thing[x], thing[y]), np.minimum(low[x], low[y])
+            order = np.lexsort((b, a))
+            a, b, need = a[order], b[order], need[order]
+            first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+            yield _found(pa.nulls(len(first), pa.int64()), a[first], b[first], need[first], np.diff(np.r_[first, len(a)]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blobs: list[bytes] = []
+        last = None
+        for batch in batches:
+            for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("tokens").to_pylist(), strict=True):
+                if blobs and (bucket != last or bucket < 0):
+                    yield from settle(last, blobs)
+                    blobs = []
+                blobs.append(blob)
+                last = bucket
+        if blobs:
+            yield from settle(last, blobs)
 
-    rows: (key, id, n). Each round compares a key's rows with its first 1, 16, 256... ones as long as they lie in
-    different components, judges the new pairs (a, b), and drops keys whose rows are all in one component. What is left
-    shrinks until every pair in two components has been judged, so no link between components is lost. links holds
-    known links (a, b). judge(pairs, round) returns those that link. condition(round) is the test for a pair inside the join, of x.n and y.n and of the columns of
-    `more` (id and others), which are at hand from the second round. fewest, of n: a row of
-    fewer open keys has no link left, because any partner would share as many, all of them in keys still open.
+    return run
+
+
+def candidates(dealt: DataFrame, buckets: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """From rows of deal(): pairs (a, b) that share as many keys as asked for, keys of SMALL things at most; and the rows
+    (key, id, n) of all other keys. Every pair that shares enough is among the first or shares one of the latter."""
+    found = dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet(percent), _FOUND)
+    found = materialise(found, "met")
+    pairs = found.where("key IS NULL").groupBy("a", "b").agg(F.sum("c").alias("c"), F.min("n").alias("n")).where("c >= n").select("a", "b")
+    return pairs, found.where("key IS NOT NULL").select("key", F.col("a").alias("id"), "n")
+
+
+def similar_components(pairs: DataFrame, rows: DataFrame, prints: DataFrame, sketch: list[str], near: Callable[[str, str], Column], judge: Callable[[DataFrame], DataFrame], growth: int = 64) -> DataFrame:
+    """Components (v, component) of all links among candidate pairs and among things that share a key of `rows`.
+
+    pairs (a, b) and rows (key, id, n) name things by 64-bit ids, prints (id, name, n and the sketch columns) by names
+    that never meet by chance; judge gets pairs (a, b) of names and returns those that link. near(x, y) is a test of n
+    and sketch columns that no linked pair fails.
+
+    First the pairs are judged. Then a key's rows are compared with its first 1, 64, 4096... ones as long as they lie in
+    different components, by the sketch inside the join; keys whose rows are all in one component drop out. What is
+    left shrinks until every pair in two components has been compared, so no link between components is lost, and a
+    group of copies costs one pair a copy.
     """
-    labels, judged, k = None, None, 1
+    x, y = prints.alias("x"), prints.alias("y")
+    close = pairs.join(x, F.col("a") == F.col("x.id")).join(y, F.col("b") == F.col("y.id")).where("x.name <> y.name").where(near("x", "y"))
+    close = close.select(F.least("x.name", "y.name").alias("a"), F.greatest("x.name", "y.name").alias("b"))
+    links = materialise(judge(materialise(close, "close")), "verified")
+    labels = connected_components(links)
+    names = prints.select("id", "name", *sketch)
+    judged, k = None, 1
     while True:
-        if labels is None:
-            where = rows.withColumn("comp", F.col("id"))
-        else:
-            where = rows.join(labels, rows["id"] == labels["v"], "left").select("key", "id", "n", F.coalesce("component", "id").alias("comp"))
-        mixed = where.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-        where = where.join(mixed, "key")
-        if fewest is not None:
-            where = materialise(where, "mixed")
-            where = where.join(where.groupBy("id").agg(F.count(F.lit(1)).alias("c"), F.first("n").alias("n")).where(F.col("c") >= fewest).select("id"), "id")
-        where = materialise(where.select("key", "id", "n", "comp"), "open")
-        if where.isEmpty():
-            return connected_components(links) if labels is None else labels
-        turn = Window.partitionBy("key").orderBy("id")
+        where = rows.join(names, "id").join(labels, F.col("name") == F.col("v"), "left")
+        where = materialise(where.select("key", "id", "n", "name", F.coalesce("component", "name").alias("comp"), *sketch), "open")
+        mixed = where.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select(F.col("key").alias("m"))
+        where = where.join(mixed, F.col("key") == F.col("m"), "left_semi")
+        turn = Window.partitionBy("key").orderBy("name")
         lead = materialise(where.withColumn("rn", F.row_number().over(turn)).where(F.col("rn") <= k).drop("rn"), "leaders")
-        x, y = where, lead
-        if k > 1 and more is not None:
-            extra = more.withColumnRenamed("id", "d")
-            x, y = (t.join(extra, F.col("id") == F.col("d")).drop("d") for t in (x, y))
-        x, y = x.alias("x"), y.alias("y")
-        pairs = (
-            x.join(y, "key").where("x.comp <> y.comp").where(condition(k))
-            .select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-        )
+        if lead.isEmpty():
+            return labels
+        met = where.alias("x").join(lead.alias("y"), "key").where("x.comp <> y.comp").where(near("x", "y"))
+        new = met.select(F.least("x.name", "y.name").alias("a"), F.greatest("x.name", "y.name").alias("b")).distinct()
         if judged is not None:
-            pairs = pairs.join(judged, ["a", "b"], "left_anti")
-        pairs = materialise(pairs, "pairs")
-        told = materialise(judge(pairs, k), "verified")
-        links = links.unionAll(told)
-        judged = pairs if judged is None else judged.unionAll(pairs)
-        if labels is None or not told.isEmpty():
+            new = new.join(judged, ["a", "b"], "left_anti")
+        new = materialise(new, "pairs")
+        told = materialise(judge(new), "verified")
+        judged = new if judged is None else judged.unionAll(new)
+        if not told.isEmpty():
+            links = links.unionAll(told)
             labels = connected_components(links)
-        rows = where.join(lead.select("key", "id"), ["key", "id"], "left_anti").select("key", "id", "n")
-        k *= 16
+        rows = where.select("key", "id", "n").join(lead.select("key", "id"), ["key", "id"], "left_anti")
+        k *= growth
+
+
+#: Slots of the bitmap that tells which things to fetch; its size is fixed. Where it is full, more rows travel, none fewer.
+SLOT_BITS = 24
+
+
+def slots_of(keys: DataFrame, column: str) -> np.ndarray:
+    """One bit for each slot that holds a key (long) of the column: 2 MB for any number of keys."""
+    slot = keys.select(F.col(column).bitwiseAND((1 << SLOT_BITS) - 1).alias("slot"))
+    rows = slot.groupBy(F.expr("slot div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 64 as int)))").alias("b")).toPandas()
+    out = np.zeros(1 << (SLOT_BITS - 6), np.int64)
+    out[rows["w"].to_numpy(np.int64)] = rows["b"].to_numpy(np.int64)
+    return out.view(np.uint64)
+
+
+def in_slots(slots: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether the slots of keys are set."""
+    slot = keys & ((1 << SLOT_BITS) - 1)
+    return ((slots[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1)) == 1

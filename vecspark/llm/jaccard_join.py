@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -12,26 +11,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vecspark.llm.common import by_bytes, condensed, materialise, text_bytes
-from vecspark.llm.components import resolve
+from vecspark.llm.components import BUCKET, candidates, deal, in_slots, similar_components, slots_of
 from vecspark.llm.words import shingles, span_hashes, words
 
 #: Counters of the frequency sketch: its size is fixed whatever the corpus, and so is what is sent to the tasks.
 SKETCH_BITS = 18
-#: Slots of the bitmap that names the documents whose sets are needed; its size is fixed too.
-SLOT_BITS = 24
-
+#: Names of sets that a task remembers, to send copies once.
+SEEN = 500_000
 
 #: Columns of a 1024-bit parity sketch of a set: bit b tells whether an odd number of its shingles hash to b. Two
-#: sketches differ in at most as many bits as the sets differ in shingles, so it refuses pairs without error. Folded to
-#: FOLDED columns it is a 256-bit sketch of the same kind, light enough to go along in the join on shingles.
+#: sketches differ in at most as many bits as the sets differ in shingles, so it refuses pairs without error.
 PARITY = [f"bits{i}" for i in range(16)]
-FOLDED = PARITY[:4]
 
 #: Schemes to choose from: a document's l is least_matches of its set's size times one of these.
 SCHEMES = (1, 2, 4)
 
 
-def least_matches(n):  # noqa: ANN001, ANN201 - an array or a Column
+def least_matches(n: np.ndarray) -> np.ndarray:
     """The fewest shared prefix shingles that any scheme of a set of n shingles asks for; grows with n."""
     return n // 32 + 1
 
@@ -43,6 +39,20 @@ def _sets(batch: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarray]:
     return shingles(span_hashes(data, starts, ends), rows, size)
 
 
+def _distinct(h: np.ndarray, rows: np.ndarray, order: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shingles and rows in the given order, each once a row, and the bounds of the rows."""
+    h, rows = h[order], rows[order]
+    if len(h):
+        first = np.r_[True, (h[1:] != h[:-1]) | (rows[1:] != rows[:-1])]
+        h, rows = h[first], rows[first]
+    return h, rows, np.searchsorted(rows, np.arange(n + 1))
+
+
+def _names(h: np.ndarray, bounds: np.ndarray) -> list[bytes | None]:
+    """128-bit names of the sets, from their shingles in order of hash; none for empty ones."""
+    return [hashlib.blake2b(h[a:b].tobytes(), digest_size=16).digest() if b > a else None for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+
+
 def _count(size: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SKETCH_BITS, np.int64)
@@ -55,25 +65,6 @@ def _count(size: int) -> Callable:
     return run
 
 
-def _parity(h: np.ndarray, rows: np.ndarray, n: int) -> list[pa.Array]:
-    bits = np.zeros((n, len(PARITY)), np.uint64)
-    word = ((h >> np.uint64(6)) & np.uint64(len(PARITY) - 1)).astype(np.int64)
-    np.bitwise_xor.at(bits, (rows, word), np.uint64(1) << (h & np.uint64(63)))
-    return [pa.array(x) for x in np.ascontiguousarray(bits.view(np.int64).T)]
-
-
-def _fold() -> list[Column]:
-    """The FOLDED columns of a row with the PARITY ones."""
-    k = len(FOLDED)
-    return [reduce(Column.bitwiseXOR, [F.col(c) for c in PARITY[j::k]]).alias(FOLDED[j]) for j in range(k)]
-
-
-def _close(x: str, y: str, columns: list[str], percent: int) -> Column:
-    """Whether the sketches of two rows leave room for a similarity of percent/100."""
-    differ = sum((F.bit_count(F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}"))) for c in columns), F.lit(0))
-    return differ * (100 + percent) <= (F.col(f"{x}.n") + F.col(f"{y}.n")) * (100 - percent)
-
-
 def frequency_sketch(docs: DataFrame, size: int) -> np.ndarray:
     """Shingle counts over all documents in 2**SKETCH_BITS counters by hash; 2 MB for any corpus."""
     rows = docs.select("text").mapInArrow(_count(size), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
@@ -82,49 +73,52 @@ def frequency_sketch(docs: DataFrame, size: int) -> np.ndarray:
     return out
 
 
-def _slot() -> Column:
-    return F.xxhash64("doc_id").bitwiseAND((1 << SLOT_BITS) - 1).alias("slot")
+def _ids(names: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(names), np.int64)[::2]
 
 
-def _slots(ids: DataFrame) -> np.ndarray:
-    """One bit for each hash slot that holds an id; 2 MB for any number of ids."""
-    words = ids.select(_slot()).groupBy(F.expr("slot div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 64 as int)))").alias("b")).toPandas()
-    out = np.zeros(1 << (SLOT_BITS - 6), np.int64)
-    out[words["w"].to_numpy(np.int64)] = words["b"].to_numpy(np.int64)
-    return out
+def _print(size: int) -> Callable:
+    """Of each document: size and name of its set, 64 bits of the name as id, and the parity sketch."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches):
+            h, rows = _sets(batch, size)
+            h, rows, bounds = _distinct(h, rows, np.lexsort((h, rows)), batch.num_rows)
+            names = _names(h, bounds)
+            bits = np.zeros((batch.num_rows, len(PARITY)), np.uint64)
+            word = ((h >> np.uint64(6)) & np.uint64(len(PARITY) - 1)).astype(np.int64)
+            np.bitwise_xor.at(bits, (rows, word), np.uint64(1) << (h & np.uint64(63)))
+            ids = pa.array(_ids([x or bytes(16) for x in names]), mask=np.array([x is None for x in names], bool))
+            parity = [pa.array(x) for x in np.ascontiguousarray(bits.view(np.int64).T)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(np.diff(bounds).astype(np.int32)), pa.array(names, pa.binary()), ids, *parity], names=["doc_id", "key", "n", "name", "id", *PARITY])
 
-def _listed(slots: np.ndarray, then: Callable) -> Callable:
-    """Only rows whose slot is set go on: all that were listed, and by chance a few others."""
-
-    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            slot = batch.column("slot").to_numpy()
-            yield batch.filter(pa.array((slots[slot >> 6] >> (slot & 63)) & 1 == 1))
-
-    return lambda batches: then(some(batches))
+    return run
 
 
-def _ordered(size: int, sketch: np.ndarray, percent: int, whole: bool) -> Callable:
-    """Each document's set in the global order (rare first), with the prefix its scheme needs, or whole."""
+def _prefixes(size: int, sketch: np.ndarray, percent: int, buckets: int) -> Callable:
+    """The dealt prefixes of each set in the global order (rare first), as long as its scheme needs; copies once a task."""
     mean = max(1.0, float(sketch.sum()) / len(sketch))
     excess = np.maximum(sketch - mean - 4 * np.sqrt(mean), 0.0)
     level = np.floor(np.log2(1 + excess / mean + excess / 64)).astype(np.uint64)
+    hot = sketch > 64 * mean + 1000
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told: set[bytes] = set()
         for batch in by_bytes(batches):
             h, rows = _sets(batch, size)
+            h, rows, bounds = _distinct(h, rows, np.lexsort((h, rows)), batch.num_rows)
+            n = np.diff(bounds)
+            names, new = _names(h, bounds), n > 0
+            for i in np.flatnonzero(new).tolist():
+                new[i] = names[i] not in told
+                if len(told) < SEEN:
+                    told.add(names[i])
             at = (h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
             order = np.lexsort((h, level[at], rows))
-            h, rows = h[order], rows[order]
-            if len(h):
-                first = np.r_[True, (h[1:] != h[:-1]) | (rows[1:] != rows[:-1])]
-                h, rows = h[first], rows[first]
-            bounds = np.searchsorted(rows, np.arange(batch.num_rows + 1))
-            n = np.diff(bounds)
+            h, at = h[order], at[order]
             need = -(-percent * n // 100)
             # The cost of an l-scheme: expected partners by sketch over its prefix, thinned by the matches asked for.
-            heavy = np.r_[0.0, np.cumsum(excess[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)])]
+            heavy = np.r_[0.0, np.cumsum(excess[at])]
             best, cost = np.ones(len(n), np.int64), np.full(len(n), np.inf)
             for factor in SCHEMES:
                 ell = least_matches(n) * factor
@@ -132,14 +126,28 @@ def _ordered(size: int, sketch: np.ndarray, percent: int, whole: bool) -> Callab
                 c = (heavy[bounds[:-1] + end] - heavy[bounds[:-1]]) / ell + end
                 better = (c < cost) & ((ell <= need) | (factor == 1))
                 best[better], cost[better] = ell[better], c[better]
-            end = n if whole else np.minimum(n - need + best, n)
+            end = np.where(new, np.minimum(n - need + best, n), 0)
             keep = np.arange(len(h)) - bounds[rows] < end[rows] if len(h) else np.zeros(0, bool)
-            values = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(end)].astype(np.int32)), pa.array(h[keep].view(np.int64)))
-            digests = [hashlib.blake2b(h[a:b].tobytes(), digest_size=16).digest() if b > a else None for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-            columns = {"doc_id": batch.column("doc_id"), "n": pa.array(n), "ell": pa.array(best.astype(np.int32)), "digest": pa.array(digests, pa.binary()), "toks": values}
-            if whole:
-                columns |= dict(zip(PARITY, _parity(h, rows, batch.num_rows), strict=True))
-            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+            rows = rows[keep]
+            ids = _ids([x or bytes(16) for x in names])
+            yield deal(h[keep], ids[rows], n[rows], best[rows], hot[at[keep]], buckets)
+
+    return run
+
+
+def _whole(size: int, slots: np.ndarray) -> Callable:
+    """Names and shingles of the sets whose slot is set, each once a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pa.array(in_slots(slots, batch.column("key").to_numpy())))
+            for part in by_bytes(iter([batch])):
+                h, rows = _sets(part, size)
+                h, rows, bounds = _distinct(h, rows, np.lexsort((h, rows)), part.num_rows)
+                names = _names(h, bounds)
+                values = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(h.view(np.int64)))
+                once = pa.array(list({x: i for i, x in enumerate(names) if x}.values()), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()).take(once), values.take(once)], names=["name", "toks"])
 
     return run
 
@@ -151,64 +159,52 @@ def near_duplicate_components(docs: DataFrame, size: int = 5, percent: int = 80,
     sequence of a shorter text; a text without words has no set and no link. component_id is the smallest doc_id
     reachable by links, itself included.
 
-    Shingles are ordered rare first by a fixed-size sketch counted over all documents. A document of n shingles takes
-    the first n - ceil(percent*n/100) + l of them, l being the cheapest of a few schemes (n/32 + 1, twice and four
-    times that) by estimated partners; two documents that link share at least min(l) shingles within the prefixes of
-    that scheme. So documents with fewer shared prefix shingles than any partner's scheme asks for drop out, and only
-    pairs that share enough are verified, on their whole sets. Equal sets are one vertex from the start.
-
-    Pairs are never formed inside a group as a whole: each round compares a shingle's documents with its first 1, 16,
-    256... ones, skips pairs that a component already joins or a round has judged or whose parity
-    sketches differ in more bits than linked sets can differ in shingles, and drops shingles whose documents
-    are all in one component. What is left shrinks until every pair in two components has been compared, so
-    no link between components is lost and no cap is needed.
-
-    Null text is empty. A null doc_id gets a null component and no links. Rows that repeat a doc_id are one vertex.
-    No rows in, no rows out; other columns are not looked at.
+    Equal sets are one vertex from the start, named by a digest. Shingles are ordered rare first by a fixed-size sketch
+    counted over all documents. A set of n shingles takes the first n - ceil(percent*n/100) + l of them, l being the
+    cheapest of a few schemes (n/32 + 1, twice and four times that) by estimated partners; two sets that link share at
+    least min(l) shingles within the prefixes of that scheme. The prefixes are shuffled once, packed by bucket; shared
+    prefix shingles are counted for each pair of sizes that allow a link, and pairs with too few end there, before any
+    set moves. Shingles that more than 32 sets hold are not paired at once but left to similar_components, which
+    loses no link between components. What remains is held against parity sketches and then verified on whole sets.
+
+    Rows are told apart by their texts: rows that repeat a doc_id with other texts have their own links. Null text is
+    empty. A null doc_id links like any other and never is a component_id; where no other is reachable component_id is
+    null. A very long text is one set of as many shingles, 8 bytes each, in a task's memory. Columns that are not named
+    are not looked at. No rows in, no rows out.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("key"), F.col(text_col).cast("string").alias("text"))
     return condensed(docs.sparkSession, lambda: _components(docs, size, percent), "near-duplicate-components")
 
 
 def _components(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    schema = "doc_id long, n long, ell int, digest binary, toks array<long>"
     sketch = frequency_sketch(docs, size)
-    base = materialise(docs.mapInArrow(_ordered(size, sketch, percent, False), schema), "prefixes")
-    sets = base.where("n > 0 AND doc_id IS NOT NULL")
-    reps = sets.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    member = materialise(sets.select("doc_id", "digest").join(reps, "digest").select("doc_id", "rep").distinct(), "members")
-    token = sets.join(member.where("doc_id <> rep").select("doc_id"), "doc_id", "left_anti").select(F.explode("toks").alias("tok"), "doc_id", "n")
-    shared = token.groupBy("tok").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("tok")
-    # A partner has at least percent/100 as many shingles, so its scheme asks for this many matches or more.
-    fewest = F.floor(F.ceil(F.col("n") * percent / 100) / 32) + 1
-    open_ = materialise(token.join(shared, "tok"), "shared")
-    open_ = open_.join(open_.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k"), F.first("n").alias("n")).where(F.col("k") >= fewest).select("doc_id"), "doc_id")
-    open_ = materialise(open_, "candidates")
-    some = open_.select("doc_id").distinct()
-    listed = _slots(some)
-    whole = docs.withColumn("slot", _slot()).mapInArrow(_listed(listed, _ordered(size, sketch, percent, True)), schema + "".join(f", {c} long" for c in PARITY))
-    full = materialise(whole.where("doc_id IS NOT NULL").drop("digest"), "sets")
-    links = member.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-
-    def judge(pairs: DataFrame, _: int) -> DataFrame:
-        """The pairs that link: sketches first, then shared prefix shingles, then the whole sets of what is left."""
-        s, t = (full.select("doc_id", "n", *PARITY).alias(c) for c in "st")
-        both = pairs.join(s, F.col("a") == F.col("s.doc_id")).join(t, F.col("b") == F.col("t.doc_id"))
-        left = materialise(both.where(_close("s", "t", PARITY, percent)).select("a", "b").distinct(), "unrefuted")
-        if left.isEmpty():
-            return left
-        listed = _slots(left.select(F.explode(F.array("a", "b")).alias("doc_id")))
-        some = full.select("doc_id", "n", "ell", "toks", _slot()).mapInArrow(_listed(listed, iter), "doc_id long, n long, ell int, toks array<long>, slot long")
-        s, t = some.alias("s"), some.alias("t")
-        both = left.join(s, F.col("a") == F.col("s.doc_id")).join(t, F.col("b") == F.col("t.doc_id"))
-        low = F.least("s.ell", "t.ell")
-        head = lambda w: F.slice(f"{w}.toks", 1, (F.col(f"{w}.n") - F.ceil(F.col(f"{w}.n") * percent / 100) + low).cast("int"))
-        likely = both.where(F.size(F.array_intersect(head("s"), head("t"))) >= low)
+    fields = "doc_id long, key long, n int, name binary, id long" + "".join(f", {c} long" for c in PARITY)
+    base = materialise(docs.mapInArrow(_print(size), fields), "prints")
+    prints = base.where("name IS NOT NULL").groupBy("name").agg(*[F.first(c).alias(c) for c in ("id", "n", *PARITY)], F.min("key").alias("key"))
+    prints = materialise(prints, "sets")
+    buckets = max(8, int(sketch.sum()) * (100 - percent + 5) // 100 // BUCKET)
+    pairs, rows = candidates(docs.select("text").mapInArrow(_prefixes(size, sketch, percent, buckets), "bucket int, tokens binary"), buckets, percent)
+
+    def near(x: str, y: str) -> Column:
+        differ = sum((F.bit_count(F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}"))) for c in PARITY), F.lit(0))
+        n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
+        return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (differ * (100 + percent) <= (n + m) * (100 - percent))
+
+    def judge(pairs: DataFrame) -> DataFrame:
+        """The pairs that link, by their whole sets; only sets of pairs are fetched, each once."""
+        if pairs.isEmpty():
+            return pairs
+        asked = pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct()
+        slots = slots_of(prints.select("name", "key").join(asked, "name"), "key")
+        sets = docs.select("key", "text").mapInArrow(_whole(size, slots), "name binary, toks array<long>")
+        sets = materialise(sets.join(asked, "name").groupBy("name").agg(F.first("toks").alias("toks")), "whole")
+        s, t = sets.alias("s"), sets.alias("t")
+        both = pairs.join(s, F.col("a") == F.col("s.name")).join(t, F.col("b") == F.col("t.name"))
         common = F.size(F.array_intersect("s.toks", "t.toks"))
-        return likely.where(common * 100 >= percent * (F.size("s.toks") + F.size("t.toks") - common)).select("a", "b").distinct()
+        return both.where(common * 100 >= percent * (F.size("s.toks") + F.size("t.toks") - common)).select("a", "b")
 
-    sizes = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent
-    rows = open_.select(F.col("tok").alias("key"), F.col("doc_id").alias("id"), "n")
-    # A single leader makes no more pairs than rows; sketches go along from the second round, on the rows left.
-    labels = resolve(rows, judge, links, lambda k: sizes & _close("x", "y", FOLDED, percent) if k > 1 else sizes, full.select(F.col("doc_id").alias("id"), *_fold()).dropDuplicates(["id"]), fewest)
-    return base.select("doc_id", F.col("n").alias("n_shingles")).join(labels, F.col("doc_id") == F.col("v"), "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    labels = similar_components(pairs, rows, prints, PARITY, near, judge)
+    members = base.select("doc_id", "n", "name").join(labels, F.col("name") == F.col("v"), "left").select("doc_id", "n", "name", F.coalesce("component", "name").alias("component"))
+    least = members.where("name IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("least"))
+    out = members.join(least, "component", "left")
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("name").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))

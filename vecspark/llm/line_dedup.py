@@ -10,13 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vecspark.llm.common import by_bytes, condensed, materialise, text_bytes
-from vecspark.llm.components import resolve
+from vecspark.llm.components import BUCKET, candidates, deal, in_slots, similar_components, slots_of
 from vecspark.llm.words import NOT_WORD, constants, mix, span_hashes, words
 
 SKETCH_BITS = 18  # of the counters of word frequency: their size is fixed whatever the corpus
-GRAM_BITS = 24  # of the bitmap of word pairs that several lines hold: 2 MB
-GRAM = np.uint64(48)  # bits of a word pair's name
-SEEN = 500_000  # names of repeated lines that a task remembers
+SEEN = 500_000  # names of lines that a task remembers
 _NEWLINE = 10
 
 
@@ -58,14 +56,15 @@ def _parity(h: np.ndarray, begin: np.ndarray) -> list[pa.Array]:
     return [pa.array(np.bitwise_xor.reduceat(np.where(word == j, bit, zero), begin[:-1]).view(np.int64)) for j in range(len(PARITY))]
 
 
-def _room(percent: int) -> Column:
+def _room(x: str, y: str, percent: int) -> Column:
     """Whether lengths and sketches of x and y leave room for an edit similarity of percent/100.
 
     Of at most d edits, those that change the length change the bag by one word, the others by two.
     """
-    most = F.floor(F.greatest("x.n", "y.n") * (100 - percent) / 100)
-    differ = sum((F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in PARITY), F.lit(0))
-    return differ <= 2 * most - F.abs(F.col("x.n") - F.col("y.n"))
+    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
+    most = F.floor(F.greatest(n, m) * (100 - percent) / 100)
+    differ = sum((F.bit_count(F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}"))) for c in PARITY), F.lit(0))
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (differ <= 2 * most - F.abs(n - m))
 
 
 def _occurrences(shortest: int):  # noqa: ANN202
@@ -76,7 +75,7 @@ def _occurrences(shortest: int):  # noqa: ANN202
                 continue
             keys = _keys(h, begin)
             at = np.flatnonzero(np.diff(begin) >= shortest)
-            yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in at], pa.binary()), batch.column("doc_id").take(pa.array(row[at])), pa.array(number[at].astype(np.int32))], names=["id", "doc_id", "line"])
+            yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in at], pa.binary()), pa.array(_ids(keys)[at]), batch.column("doc_id").take(pa.array(row[at])), pa.array(number[at].astype(np.int32))], names=["id", "head", "doc_id", "line"])
 
     return run
 
@@ -89,47 +88,59 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["bucket", "n"])
 
 
-def _levels(docs: DataFrame) -> np.ndarray:
-    """How frequent the words of each counter are: twice the binary logarithm of the count."""
+def _counts(docs: DataFrame) -> np.ndarray:
+    """Words of all lines in 2**SKETCH_BITS counters by hash."""
     rows = docs.select("text").mapInArrow(_count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(1 << SKETCH_BITS)
+    out = np.zeros(1 << SKETCH_BITS, np.int64)
     out[rows["bucket"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
-    return (2 * np.log2(1 + out)).astype(np.uint8)
+    return out
 
 
-def _rare(h: np.ndarray, begin: np.ndarray, percent: int, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Prefix of each line's bag of word pairs, rare ones first: their names and lines. Lines that link share one.
+def _rare(h: np.ndarray, begin: np.ndarray, percent: int, levels: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Prefix of each line's bag of word pairs, rare ones first: names, lines, levels; and the matches each line asks for.
 
     With m = n + j words in the partner, d edits of max(n, m) * (100 - percent) / 100 at most destroy up to 2 d of the
     n - 1 pairs of a line, or 2 d - j if the partner is longer, for j insertions destroy one pair each. Most are lost at
     one of j = 0..4 if percent is 80 or more, and a pair is left then; below that single words take the place of pairs,
-    of which no more than n * (100 - percent) / 100 are lost.
+    of which no more than n * (100 - percent) / 100 are lost. So lines that link share l pairs, the lesser of what they
+    ask for, within prefixes of l more than can be lost; l is n / 16 + 1, but no more than must be left. A pair that
+    stands k times in a line is k pairs.
     """
     n = np.diff(begin)
     line = np.repeat(np.arange(len(n)), n)
-    level = levels[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64)
+    level = levels[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.int64)
+    common = level
     edits = lambda m: m * (100 - percent) // 100
     if percent >= 80:
-        lost = np.max([2 * edits(n + j) - j for j in range(5)], axis=0)
+        lost, size = np.max([2 * edits(n + j) - j for j in range(5)], axis=0), n - 1
         inside = np.flatnonzero(line[1:] == line[:-1])
         with np.errstate(over="ignore"):
             gram = mix(mix(h[inside]) + h[inside + 1])
+        common = np.minimum(level[inside], level[inside + 1])
         level, line = level[inside] + level[inside + 1], line[inside]
     else:
-        lost, gram = edits(n), mix(h)
-    order = np.lexsort(((level << GRAM) | (gram >> (np.uint64(64) - GRAM)), line))
-    gram = (gram >> (np.uint64(64) - GRAM))[order]
+        lost, gram, size = edits(n), mix(h), n
+    asked = np.clip(n // 16 + 1, 1, np.maximum(size - lost, 1))
+    order = np.lexsort((gram, level, line))
+    gram, line, common = gram[order], line[order], common[order]
     if not len(gram):
-        return gram, line
+        return gram, line, common, asked
     first = np.searchsorted(line, np.arange(len(n)))
-    keep = np.arange(len(line)) - first[line] <= lost[line]
-    keep[1:] &= (gram[1:] != gram[:-1]) | (line[1:] != line[:-1])
-    return gram[keep], line[keep]
+    place = np.arange(len(line))
+    run = np.maximum.accumulate(np.where(np.r_[True, (gram[1:] != gram[:-1]) | (line[1:] != line[:-1])], place, 0))
+    with np.errstate(over="ignore"):
+        gram = gram + (place - run).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    keep = place - first[line] < (lost + asked)[line]
+    return gram[keep], line[keep], common[keep], asked
+
 
+def _ids(keys: list[bytes]) -> np.ndarray:
+    """64 bits of the names of lines."""
+    return np.frombuffer(b"".join(keys), np.int64)[::2]
 
-def _prefixes(fewest: int, percent: int, levels: np.ndarray, copied: np.ndarray, shared: np.ndarray | None):  # noqa: ANN202
-    """Word pairs of the lines' prefixes. Without `shared`: each with its line's short name if that may have repeats, to
-    count them by; with it: those whose slot is set, with the line's name and words. Lines that repeat come once a task."""
+
+def _prefixes(fewest: int, percent: int, levels: np.ndarray, hot: int, buckets: int):  # noqa: ANN202
+    """The dealt word pairs of the prefixes of lines; equal lines of a task once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told: set[bytes] = set()
@@ -138,77 +149,42 @@ def _prefixes(fewest: int, percent: int, levels: np.ndarray, copied: np.ndarray,
             if not len(h):
                 continue
             keys, n = _keys(h, begin), np.diff(begin)
-            head = np.frombuffer(b"".join(keys), np.uint64)[::2]
-            many, use = _is_set(copied, head.astype(np.uint32)), n >= fewest
-            for i in np.flatnonzero(many & use):
+            use = n >= fewest
+            for i in np.flatnonzero(use).tolist():
                 use[i] = keys[i] not in told
                 if len(told) < SEEN:
                     told.add(keys[i])
-            gram, line = _rare(h, begin, percent, levels)
+            gram, line, common, asked = _rare(h, begin, percent, levels)
             keep = use[line]
-            if shared is not None:
-                slot = gram & np.uint64((1 << GRAM_BITS) - 1)
-                keep &= (shared.view(np.uint64)[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
-            gram, line = pa.array(gram[keep].view(np.int64)), line[keep]
-            if shared is None:
-                yield pa.RecordBatch.from_arrays([gram, pa.array(head[line].view(np.int64), mask=~many[line])], names=["key", "name"])
-            else:
-                yield pa.RecordBatch.from_arrays([gram, pa.array(keys, pa.binary()).take(pa.array(line)), pa.array(n[line])], names=["key", "id", "n"])
+            line = line[keep]
+            yield deal(gram[keep], _ids(keys)[line], n[line], asked[line], common[keep] > hot, buckets)
 
     return run
 
 
-def _is_set(slots: np.ndarray, head: np.ndarray) -> np.ndarray:
-    """Whether the slots of lines are set, from the first four bytes of their names."""
-    slot = head & np.uint32((1 << SLOT_BITS) - 1)
-    return ((slots[slot >> 6].view(np.uint64) >> (slot & 63).astype(np.uint64)) & np.uint64(1)) == 1
-
-
-def _listed(slots: np.ndarray):  # noqa: ANN202
-    """Only lines whose slot is set go on: all that were listed, and by chance a few others."""
+def _fetched(fewest: int, rows: np.ndarray, lines: np.ndarray, full: bool):  # noqa: ANN202
+    """Name, id, length and sketch, or name and 32-bit word hashes, of lines whose slot is set, from documents whose slot
+    is set; equal ones once a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(_is_set(slots, text_bytes(batch.column("id"))[0].view(np.uint32)[::4])))
-
-    return run
-
-
-def _texts(fewest: int, slots: np.ndarray):  # noqa: ANN202
-    """32-bit word hashes and sketches of the lines whose slot is set, each line once a batch."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches):
-            h, begin, _, _ = _lines(batch)
-            if not len(h):
-                continue
-            keys = _keys(h, begin)
-            good = (np.diff(begin) >= fewest) & _is_set(slots, np.frombuffer(b"".join(keys), np.uint32)[::4])
-            mine = pa.array(list({keys[i]: i for i in np.flatnonzero(good)}.values()), pa.int64())
-            short = pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array((h >> np.uint64(32)).astype(np.uint32).view(np.int32)))
-            columns = {"id": pa.array(keys, pa.binary()), "n": pa.array(np.diff(begin)), "words": short, **dict(zip(PARITY, _parity(h, begin), strict=True))}
-            yield pa.RecordBatch.from_arrays([c.take(mine) for c in columns.values()], names=list(columns))
+            for part in by_bytes(iter([batch.filter(pa.array(in_slots(rows, batch.column("key").to_numpy())))])):
+                h, begin, _, _ = _lines(part)
+                if not len(h):
+                    continue
+                keys, n = _keys(h, begin), np.diff(begin)
+                good = (n >= fewest) & in_slots(lines, _ids(keys))
+                mine = pa.array(list({keys[i]: i for i in np.flatnonzero(good).tolist()}.values()), pa.int64())
+                if full:
+                    short = (h >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                    columns = {"name": pa.array(keys, pa.binary()), "words": pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(short))}
+                else:
+                    columns = {"name": pa.array(keys, pa.binary()), "id": pa.array(_ids(keys)), "n": pa.array(n.astype(np.int32)), **dict(zip(PARITY, _parity(h, begin), strict=True))}
+                yield pa.RecordBatch.from_arrays([c.take(mine) for c in columns.values()], names=list(columns))
 
     return run
 
 
-#: Slots of the bitmap that names the lines to verify: 2 MB for any number of lines.
-SLOT_BITS = 24
-
-
-def _slots(ids: DataFrame) -> np.ndarray:
-    # The first four bytes of an id, little-endian, as in _texts.
-    byte = lambda i: F.conv(F.hex(F.substring("id", i, 1)), 16, 10).cast("long")
-    return _bitmap(ids.select((byte(1) + byte(2) * 256 + byte(3) * 65536).alias("slot")), SLOT_BITS)
-
-
-def _bitmap(slots: DataFrame, bits: int) -> np.ndarray:
-    rows = slots.groupBy(F.expr("slot div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 64 as int)))").alias("b")).toPandas()
-    out = np.zeros(1 << (bits - 6), np.int64)
-    out[rows["w"].to_numpy(np.int64)] = rows["b"].to_numpy(np.int64)
-    return out
-
-
 def edit_distance(a: list[int], b: list[int], most: int) -> int:
     """Levenshtein distance of two word sequences, or most + 1 if it is larger: furthest points on each diagonal."""
     if len(a) > len(b):
@@ -271,38 +247,41 @@ def repeated_lines(docs: DataFrame, percent: int = 80, fewest: int = 5, shortest
 
 
 def _repeated(docs: DataFrame, percent: int, fewest: int, shortest: int) -> DataFrame:
-    seen = materialise(docs.mapInArrow(_occurrences(shortest), "id binary, doc_id long, line int"), "line-occurrences")
-    lines = materialise(seen.groupBy("id").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("doc_id", "line")).alias("first")), "lines")
-    levels, copied = _levels(docs), _slots(lines.where("k > 1"))
-    count = docs.mapInArrow(_prefixes(fewest, percent, levels, copied, None), "key long, name long")
-    count = count.groupBy("key").agg((F.count(F.lit(1)) - F.count("name")).alias("k"), F.min("name").alias("lo"), F.max("name").alias("hi"))
-    several = materialise(count.where("k + CASE WHEN lo IS NULL THEN 0 WHEN lo = hi THEN 1 ELSE 2 END > 1").select("key"), "shared-pairs")
-    shared = _bitmap(several.select(F.col("key").bitwiseAND((1 << GRAM_BITS) - 1).alias("slot")), GRAM_BITS)
-    rows = docs.mapInArrow(_prefixes(fewest, percent, levels, copied, shared), "key long, id binary, n long")
-    rows = materialise(rows.join(several, "key").groupBy("key", "id").agg(F.first("n").alias("n")), "line-pairs")
-    slots = _slots(rows.select("id").distinct())
-    words = ["words", *PARITY]
-    texts = docs.mapInArrow(_texts(fewest, slots), "id binary, n long, words array<int>" + "".join(f", {c} long" for c in PARITY))
-    texts = materialise(texts.groupBy("id").agg(F.first("n").alias("n"), *[F.first(c).alias(c) for c in words]), "line-words")
-
-    sizes = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent
-    prints = texts.select("id", *PARITY)
-    near = lambda k: sizes & _room(percent) if k > 1 else sizes
-
-    def judge(pairs: DataFrame, k: int) -> DataFrame:
-        """The pairs that are alike; those of the first round have not been held against their sketches yet."""
-        if k == 1:
-            x, y = (texts.select("id", "n", *PARITY).alias(c) for c in "xy")
-            pairs = pairs.join(x, F.col("a") == F.col("x.id")).join(y, F.col("b") == F.col("y.id")).where(_room(percent)).select("a", "b")
-            pairs = materialise(pairs, "close")
-        listed = _slots(pairs.select(F.explode(F.array("a", "b")).alias("id")))
-        some = texts.select("id", "words").mapInArrow(_listed(listed), "id binary, words array<int>")
+    seen = materialise(docs.mapInArrow(_occurrences(shortest), "id binary, head long, doc_id long, line int"), "line-occurrences")
+    lines = materialise(seen.groupBy("id").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("doc_id", "line")).alias("first"), F.first("head").alias("head")), "lines")
+    counts = _counts(docs)
+    total = int(counts.sum())
+    buckets = max(8, total * (2 * (100 - percent) + 6) // 100 // BUCKET)
+    level = lambda count: (2 * np.log2(1 + count)).astype(np.uint8)
+    dealt = docs.select("text").mapInArrow(_prefixes(fewest, percent, level(counts), int(level(np.array(total / 4096 + 1000))), buckets), "bucket int, tokens binary")
+    pairs, rows = candidates(dealt, buckets, percent)
+    pairs = materialise(pairs, "candidates")
+    place = lines.select(F.col("id").alias("name"), "head", F.xxhash64("first.doc_id").alias("key"))
+
+    def fetch(wanted: DataFrame, ids: DataFrame, full: bool) -> DataFrame:
+        """Of lines named in `wanted` (name, key of a document that holds it), what _fetched returns."""
+        made = _fetched(fewest, slots_of(wanted, "key"), slots_of(ids, "id"), full)
+        schema = "name binary, words array<int>" if full else "name binary, id long, n int" + "".join(f", {c} long" for c in PARITY)
+        return docs.select(F.xxhash64("doc_id").alias("key"), "text").mapInArrow(made, schema)
+
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).union(rows.select("id")).distinct()
+    ids = materialise(ids, "listed")
+    prints = fetch(place.join(ids, F.col("head") == F.col("id")), ids, False).groupBy("name").agg(*[F.first(c).alias(c) for c in ("id", "n", *PARITY)])
+    prints = materialise(prints, "line-prints")
+
+    def judge(pairs: DataFrame) -> DataFrame:
+        """The pairs that are alike, by their words; only lines of pairs are fetched."""
+        if pairs.isEmpty():
+            return pairs
+        asked = pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct()
+        wanted = place.join(asked, "name")
+        some = fetch(wanted, wanted.select(F.col("head").alias("id")), True).join(asked, "name")
+        some = materialise(some.groupBy("name").agg(F.first("words").alias("words")), "line-words")
         s, t = some.alias("s"), some.alias("t")
-        both = pairs.join(s, F.col("a") == F.col("s.id")).join(t, F.col("b") == F.col("t.id"))
+        both = pairs.join(s, F.col("a") == F.col("s.name")).join(t, F.col("b") == F.col("t.name"))
         return both.select("a", "b", F.col("s.words").alias("u"), F.col("t.words").alias("v")).mapInArrow(_verify(percent), "a binary, b binary")
 
-    none = rows.select(F.col("id").alias("a"), F.col("id").alias("b")).where("false")
-    labels = resolve(rows, judge, none, near, prints)
+    labels = similar_components(pairs, rows, prints, PARITY, lambda x, y: _room(x, y, percent), judge)
     groups = lines.join(labels, F.col("id") == F.col("v"), "left").select("id", "k", "first", F.coalesce("component", "id").alias("group"))
     stays = groups.groupBy("group").agg(F.min("first").alias("stays"), F.sum("k").alias("k")).where("k > 1")
     gone = materialise(groups.select("id", "group").join(stays, "group").select("id", "stays"), "repeated-lines")
