@@ -23,6 +23,9 @@ SEEN = 500_000
 #: sketches differ in at most as many bits as the sets differ in shingles, so it refuses pairs without error.
 PARITY = [f"bits{i}" for i in range(16)]
 
+#: The like with 2 to 4 bits a shingle, for pairs that these leave over: a text of any length has room to be refused.
+WIDE = "wide"
+
 #: Schemes to choose from: a document's l is least_matches of its set's size times one of these.
 SCHEMES = (1, 2, 4)
 
@@ -77,8 +80,37 @@ def _ids(names: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(names), np.int64)[::2]
 
 
+def _wide(h: np.ndarray, rows: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """Parity sketches of the rows' sets, of so many bits as the power of two from twice the set's size on, 64 at least."""
+    bits = np.left_shift(1, np.ceil(np.log2(np.maximum(2 * n, 64))).astype(np.int64))
+    offset = np.r_[0, np.cumsum(bits)]
+    at = offset[rows] + (h & (bits[rows] - 1).astype(np.uint64)).astype(np.int64)
+    data = np.packbits((np.bincount(at, minlength=offset[-1]) & 1).astype(np.uint8), bitorder="little").tobytes()
+    cut = (offset // 8).tolist()
+    return [data[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+
+
+def _refute(percent: int) -> Callable:
+    """The pairs whose wide sketches leave room for percent/100; the wider one of two is folded."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total = (batch.column("n").to_numpy() * (100 - percent)).tolist()
+            good = []
+            for i, (u, v) in enumerate(zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), strict=True)):
+                x, y = np.frombuffer(u, np.uint64), np.frombuffer(v, np.uint64)
+                while len(x) != len(y):
+                    if len(x) < len(y):
+                        x, y = y, x
+                    x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+                good.append(int(np.bitwise_count(x ^ y).sum()) * (100 + percent) <= total[i])
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return run
+
+
 def _print(size: int) -> Callable:
-    """Of each document: size and name of its set, 64 bits of the name as id, and the parity sketch."""
+    """Of each document: size and name of its set, 64 bits of the name as id, and the parity sketches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches):
@@ -90,7 +122,7 @@ def _print(size: int) -> Callable:
             np.bitwise_xor.at(bits, (rows, word), np.uint64(1) << (h & np.uint64(63)))
             ids = pa.array(_ids([x or bytes(16) for x in names]), mask=np.array([x is None for x in names], bool))
             parity = [pa.array(x) for x in np.ascontiguousarray(bits.view(np.int64).T)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(np.diff(bounds).astype(np.int32)), pa.array(names, pa.binary()), ids, *parity], names=["doc_id", "key", "n", "name", "id", *PARITY])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(np.diff(bounds).astype(np.int32)), pa.array(names, pa.binary()), ids, pa.array(_wide(h, rows, np.diff(bounds)), pa.binary()), *parity], names=["doc_id", "key", "n", "name", "id", WIDE, *PARITY])
 
     return run
 
@@ -153,11 +185,11 @@ def _whole(size: int, slots: np.ndarray) -> Callable:
 
 
 def near_duplicate_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Link documents whose shingle sets have 100*|A∩B| >= percent*|A∪B|: (doc_id, n_shingles, component_id).
+    """Link documents whose shingle sets have 100*|A∩B| >= percent*|A∪B|: (doc_id, n_shingles, component_id, key).
 
     Words are runs of non-white-space bytes with A-Z lowered; a set holds distinct runs of `size` words, or the whole
     sequence of a shorter text; a text without words has no set and no link. component_id is the smallest doc_id
-    reachable by links, itself included.
+    reachable by links, itself included; key is xxhash64 of the text.
 
     Equal sets are one vertex from the start, named by a digest. Shingles are ordered rare first by a fixed-size sketch
     counted over all documents. A set of n shingles takes the first n - ceil(percent*n/100) + l of them, l being the
@@ -165,7 +197,8 @@ def near_duplicate_components(docs: DataFrame, size: int = 5, percent: int = 80,
     least min(l) shingles within the prefixes of that scheme. The prefixes are shuffled once, packed by bucket; shared
     prefix shingles are counted for each pair of sizes that allow a link, and pairs with too few end there, before any
     set moves. Shingles that more than 32 sets hold are not paired at once but left to similar_components, which
-    loses no link between components. What remains is held against parity sketches and then verified on whole sets.
+    loses no link between components. What remains is held against parity sketches, of 1024 bits and then of two bits or
+    more a shingle, and verified on whole sets.
 
     Rows are told apart by their texts: rows that repeat a doc_id with other texts have their own links. Null text is
     empty. A null doc_id links like any other and never is a component_id; where no other is reachable component_id is
@@ -178,9 +211,9 @@ def near_duplicate_components(docs: DataFrame, size: int = 5, percent: int = 80,
 
 def _components(docs: DataFrame, size: int, percent: int) -> DataFrame:
     sketch = frequency_sketch(docs, size)
-    fields = "doc_id long, key long, n int, name binary, id long" + "".join(f", {c} long" for c in PARITY)
+    fields = "doc_id long, key long, n int, name binary, id long, wide binary" + "".join(f", {c} long" for c in PARITY)
     base = materialise(docs.mapInArrow(_print(size), fields), "prints")
-    prints = base.where("name IS NOT NULL").groupBy("name").agg(*[F.first(c).alias(c) for c in ("id", "n", *PARITY)], F.min("key").alias("key"))
+    prints = base.where("name IS NOT NULL").groupBy("name").agg(*[F.first(c).alias(c) for c in ("id", "n", WIDE, *PARITY)], F.min("key").alias("key"))
     prints = materialise(prints, "sets")
     buckets = max(8, int(sketch.sum()) * (100 - percent + 5) // 100 // BUCKET)
     pairs, rows = candidates(docs.select("text").mapInArrow(_prefixes(size, sketch, percent, buckets), "bucket int, tokens binary"), buckets, percent)
@@ -191,7 +224,11 @@ def _components(docs: DataFrame, size: int, percent: int) -> DataFrame:
         return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (differ * (100 + percent) <= (n + m) * (100 - percent))
 
     def judge(pairs: DataFrame) -> DataFrame:
-        """The pairs that link, by their whole sets; only sets of pairs are fetched, each once."""
+        """The pairs that link: wide sketches first, then the whole sets of what is left, each fetched once."""
+        s, t = (prints.select("name", "n", WIDE).alias(c) for c in "st")
+        both = pairs.join(s, F.col("a") == F.col("s.name")).join(t, F.col("b") == F.col("t.name"))
+        both = both.select("a", "b", (F.col("s.n") + F.col("t.n")).alias("n"), F.col(f"s.{WIDE}").alias("u"), F.col(f"t.{WIDE}").alias("v"))
+        pairs = materialise(both.mapInArrow(_refute(percent), "a binary, b binary"), "likely")
         if pairs.isEmpty():
             return pairs
         asked = pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct()
@@ -203,8 +240,8 @@ def _components(docs: DataFrame, size: int, percent: int) -> DataFrame:
         common = F.size(F.array_intersect("s.toks", "t.toks"))
         return both.where(common * 100 >= percent * (F.size("s.toks") + F.size("t.toks") - common)).select("a", "b")
 
-    labels = similar_components(pairs, rows, prints, PARITY, near, judge)
-    members = base.select("doc_id", "n", "name").join(labels, F.col("name") == F.col("v"), "left").select("doc_id", "n", "name", F.coalesce("component", "name").alias("component"))
+    labels = similar_components(pairs, rows, prints.drop(WIDE), PARITY, near, judge)
+    members = base.select("doc_id", "key", "n", "name").join(labels, F.col("name") == F.col("v"), "left").select("doc_id", "key", "n", "name", F.coalesce("component", "name").alias("component"))
     least = members.where("name IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("least"))
     out = members.join(least, "component", "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("name").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("name").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"), "key")
