@@ -1,4 +1,4 @@
-"""Fuzzy line dedup: prefixes of rare word pairs, edit similarity, connected groups."""
+"""Fuzzy line dedup: multi-match prefixes of rare word pairs, edit similarity, connected groups."""
 
 from __future__ import annotations
 
@@ -75,7 +75,7 @@ def _occurrences(shortest: int):  # noqa: ANN202
                 continue
             keys = _keys(h, begin)
             at = np.flatnonzero(np.diff(begin) >= shortest)
-            yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in at], pa.binary()), pa.array(_ids(keys)[at]), batch.column("doc_id").take(pa.array(row[at])), pa.array(number[at].astype(np.int32))], names=["id", "head", "doc_id", "line"])
+            yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in at], pa.binary()), pa.array(_ids(keys)[at]), batch.column("doc_id").take(pa.array(row[at])), batch.column("key").take(pa.array(row[at])), pa.array(number[at].astype(np.int32))], names=["id", "head", "doc_id", "key", "line"])
 
     return run
 
@@ -230,25 +230,28 @@ def _verify(percent: int):  # noqa: ANN202
 
 
 def repeated_lines(docs: DataFrame, percent: int = 80, fewest: int = 5, shortest: int | None = None) -> DataFrame:
-    """Line occurrences to remove: (doc_id, lines array<int>), line numbers from 0, of documents that lose any.
+    """Line occurrences to remove: (doc_id, key, lines array<int>), line numbers from 0, of documents that lose any; key is
+    xxhash64 of the text.
 
     A line, parted by newlines, is normalised to its words: letters and digits, A-Z lowered. Lines of fewer than
-    `shortest` words (if None: `fewest`) are left alone. Equal word sequences are one line. Two lines of `fewest` words or more are linked if they
-    have an edit similarity over words (1 - distance / longer length) of percent/100, without exception: candidates
-    share one of their rarest pairs of successive words, of which so many are compared that edits can't destroy all
-    (see _rare). Of each connected group the first occurrence by doc_id and line stays.
-
-    Rows that repeat a doc_id count as one document, so line k of both stays or goes; a null doc_id is a document, the
-    first. Null and empty texts have no lines. A line that a third of the documents share is one counted row before
-    any join; the join back to its occurrences is one that adaptive execution splits.
+    `shortest` words (if None: `fewest`) are left alone. Equal word sequences are one line. Two lines of `fewest` words
+    or more are linked if they have an edit similarity over words (1 - distance / longer length) of percent/100, without
+    exception: candidates share enough of their rarest pairs of successive words, of which so many are compared that
+    edits can't destroy too many (see _rare). Of each connected group the first occurrence by doc_id and line stays.
+
+    Rows that repeat a doc_id with other texts are documents of their own, ordered by key; rows that repeat doc_id and
+    text are one document and share what goes. A null doc_id comes first. Null and empty texts have no lines. A line that
+    a third of the documents share is one counted row before any join; the join back to its occurrences is one that
+    adaptive execution splits. A very long text is read as a whole by one task, a few times its size in memory; a very
+    long line is verified at a cost of its length times the edits allowed. No rows in, no rows out.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("key"), F.col("text").cast("string").alias("text"))
     return condensed(docs.sparkSession, lambda: _repeated(docs, percent, fewest, fewest if shortest is None else shortest), "repeated-line-numbers")
 
 
 def _repeated(docs: DataFrame, percent: int, fewest: int, shortest: int) -> DataFrame:
-    seen = materialise(docs.mapInArrow(_occurrences(shortest), "id binary, head long, doc_id long, line int"), "line-occurrences")
-    lines = materialise(seen.groupBy("id").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("doc_id", "line")).alias("first"), F.first("head").alias("head")), "lines")
+    seen = materialise(docs.mapInArrow(_occurrences(shortest), "id binary, head long, doc_id long, key long, line int"), "line-occurrences")
+    lines = materialise(seen.groupBy("id").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("doc_id", "key", "line")).alias("first"), F.first("head").alias("head")), "lines")
     counts = _counts(docs)
     total = int(counts.sum())
     buckets = max(8, total * (2 * (100 - percent) + 6) // 100 // BUCKET)
@@ -256,13 +259,13 @@ def _repeated(docs: DataFrame, percent: int, fewest: int, shortest: int) -> Data
     dealt = docs.select("text").mapInArrow(_prefixes(fewest, percent, level(counts), int(level(np.array(total / 4096 + 1000))), buckets), "bucket int, tokens binary")
     pairs, rows = candidates(dealt, buckets, percent)
     pairs = materialise(pairs, "candidates")
-    place = lines.select(F.col("id").alias("name"), "head", F.xxhash64("first.doc_id").alias("key"))
+    place = lines.select(F.col("id").alias("name"), "head", "first.key")
 
     def fetch(wanted: DataFrame, ids: DataFrame, full: bool) -> DataFrame:
         """Of lines named in `wanted` (name, key of a document that holds it), what _fetched returns."""
         made = _fetched(fewest, slots_of(wanted, "key"), slots_of(ids, "id"), full)
         schema = "name binary, words array<int>" if full else "name binary, id long, n int" + "".join(f", {c} long" for c in PARITY)
-        return docs.select(F.xxhash64("doc_id").alias("key"), "text").mapInArrow(made, schema)
+        return docs.select("key", "text").mapInArrow(made, schema)
 
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).union(rows.select("id")).distinct()
     ids = materialise(ids, "listed")
@@ -285,8 +288,9 @@ def _repeated(docs: DataFrame, percent: int, fewest: int, shortest: int) -> Data
     groups = lines.join(labels, F.col("id") == F.col("v"), "left").select("id", "k", "first", F.coalesce("component", "id").alias("group"))
     stays = groups.groupBy("group").agg(F.min("first").alias("stays"), F.sum("k").alias("k")).where("k > 1")
     gone = materialise(groups.select("id", "group").join(stays, "group").select("id", "stays"), "repeated-lines")
-    out = seen.select("id", "doc_id", "line").join(gone, "id").where(~(F.col("doc_id").eqNullSafe(F.col("stays.doc_id")) & (F.col("line") == F.col("stays.line"))))
-    return out.groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("lines"))
+    out = seen.select("id", "doc_id", "key", "line").join(gone, "id")
+    out = out.where(~F.struct("doc_id", "key", "line").eqNullSafe(F.col("stays")))
+    return out.groupBy("doc_id", "key").agg(F.array_sort(F.collect_set("line")).alias("lines"))
 
 
 def _cut(columns: list[str]):  # noqa: ANN202
@@ -313,7 +317,8 @@ def dedup_lines(docs: DataFrame, percent: int = 80, fewest: int = 5, shortest: i
     n_removed are replaced; a null text stays null.
     """
     docs = docs.drop("n_lines", "n_removed")
-    gone = repeated_lines(docs, percent, fewest, shortest).select(F.col("doc_id").alias("_id"), F.col("lines").alias("_lines"))
-    rows = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left").drop("_id")
+    gone = repeated_lines(docs, percent, fewest, shortest).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("lines").alias("_lines"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_key"))
+    rows = docs.join(gone, same, "left").drop("_id", "_key")
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
     return rows.mapInArrow(_cut(docs.columns), ", ".join([*fields, "n_lines int", "n_removed int"]))
