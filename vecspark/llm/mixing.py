@@ -60,41 +60,53 @@ def _when(q: Column, rank: Column, schedules: Sequence[Sequence[tuple[float, flo
     return out
 
 
+def _planned(rows: DataFrame, weights: Sequence[float], most: float, seed: str) -> DataFrame:
+    """rows, which have _id, _source and _size, with what the mix takes of each: _passes whole ones and _extra words of
+    one more; _before: words of the source ahead of the row in a pass; _taken, _source_size, _target, _rank."""
+    key = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("_id").cast("string"), F.lit(""))))
+    rows = rows.withColumn("_key", key).withColumn("_block", F.substring("_key", 1, _BLOCKS))
+    sums = rows.groupBy(F.col("_source").alias("source"), F.col("_block").alias("block")).agg(F.sum("_size").alias("block_size"))
+    targets = source_targets(sums.groupBy("source").agg(F.sum("block_size").alias("source_size")), weights, most)
+    ahead = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.withColumn("_ahead", F.coalesce(F.sum("block_size").over(ahead), F.lit(0)))
+    same = F.col("s.source").eqNullSafe(F.col("t.source"))
+    plan = starts.alias("s").join(targets.alias("t"), same).select(
+        F.col("s.source").alias("p_source"), F.col("block").alias("p_block"), "_ahead",
+        F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), F.col("rank").alias("_rank"),
+    )
+    inside = Window.partitionBy("_source", "_block").orderBy("_key", "_id", "_size").rowsBetween(Window.unboundedPreceding, -1)
+    run = rows.withColumn("_inside", F.coalesce(F.sum("_size").over(inside), F.lit(0)))
+    both = run.join(plan, F.col("_source").eqNullSafe(F.col("p_source")) & (F.col("_block") == F.col("p_block")))
+    passes = F.when(F.col("_source_size") > 0, F.floor(F.col("_target") / F.col("_source_size"))).otherwise(F.lit(0)).cast("long")
+    out = both.withColumn("_passes", passes).withColumn("_before", F.col("_ahead") + F.col("_inside"))
+    last = F.round(F.col("_target") - F.col("_passes") * F.col("_source_size")).cast("long")
+    out = out.withColumn("_extra", F.greatest(F.lit(0).cast("long"), F.least("_size", last - F.col("_before"))))
+    return out.withColumn("_taken", F.col("_passes") * F.col("_size") + F.col("_extra"))
+
+
 def mixture(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3, schedules: Sequence = SCHEDULES, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """How much of each document the mix takes: (doc_id, source, size, source_size, target, taken, passes, before, rank).
+    """How much of each document the mix takes, and when first:
+    (doc_id, source, size, source_size, target, taken, repeats, position), range-sorted by position.
 
     A source whose target is r times its size passes floor(r) times whole over its documents, in the order of
     md5(seed + doc_id); one more pass ends at the target's last word, inside one document at most. So every source
     takes its target to the word, no document more than `most` times its size (passes then ends there), and reruns
-    agree. `before` counts the words of the source ahead of the document in a pass.
+    agree. repeats: the passes that take words of the document. position: the time in [0, 1] at which the source's
+    weight schedule, integrated and inverted, has demanded the words ahead of the document in the first pass; null where
+    nothing is taken, last in the order. Later passes come later by as many words; see curriculum for all of them.
 
     The running sum has two levels: sums of 4096 hash blocks a source, and a window inside a block, so a source with a
-    third of all rows is spread over 4096 groups. Documents without words get 0; null text and null source are
-    allowed (null is a source, the last); a null doc_id is ordered as if empty. Rows that repeat a doc_id share its
-    place in the order and are told apart by size only: equal ones are taken alike. No rows in, no rows out.
+    third of all rows is spread over 4096 groups. Documents without words get 0; null text counts none and null source
+    is a source, the last; a null doc_id is ordered as if empty. Rows that repeat a doc_id stand next to each other, the
+    smaller first, and share no words. A very long text is one row of a window. No rows in, no rows out.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size_in_words(text_col).alias("size"))
-    return _taken(rows, weights, most, seed)
-
-
-def _taken(rows: DataFrame, weights: Sequence[float], most: float, seed: str) -> DataFrame:
-    key = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    rows = rows.withColumn("key", key).withColumn("block", F.substring("key", 1, _BLOCKS))
-    sums = rows.groupBy("source", "block").agg(F.sum("size").alias("block_size"))
-    targets = source_targets(sums.groupBy("source").agg(F.sum("block_size").alias("source_size")), weights, most)
-    ahead = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.withColumn("ahead", F.coalesce(F.sum("block_size").over(ahead), F.lit(0)))
-    same = F.col("s.source").eqNullSafe(F.col("t.source"))
-    plan = starts.alias("s").join(targets.alias("t"), same).select(F.col("s.source").alias("p_source"), F.col("block").alias("p_block"), "ahead", "source_size", "target", "rank")
-    inside = Window.partitionBy("source", "block").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    run = rows.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    both = run.join(plan, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("block") == F.col("p_block")))
-    passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    out = both.withColumn("passes", passes).withColumn("before", F.col("ahead") + F.col("inside"))
-    last = F.round(F.col("target") - F.col("passes") * F.col("source_size")).cast("long")
-    out = out.withColumn("extra", F.greatest(F.lit(0).cast("long"), F.least("size", last - F.col("before"))))
-    out = out.withColumn("taken", F.col("passes") * F.col("size") + F.col("extra"))
-    return out.select("doc_id", "source", "size", "source_size", "target", "taken", "passes", "extra", "before", "rank")
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("_source"), size_in_words(text_col).alias("_size"))
+    out = _planned(rows, weights, most, seed)
+    repeats = (F.when(F.col("_size") > 0, F.col("_passes")).otherwise(0) + F.when(F.col("_extra") > 0, 1).otherwise(0)).cast("int")
+    position = F.when(F.col("_taken") > 0, _when(F.col("_before") / F.col("_target"), F.col("_rank"), schedules))
+    names = {"_id": "doc_id", "_source": "source", "_size": "size", "_source_size": "source_size", "_target": "target", "_taken": "taken"}
+    out = out.select(*[F.col(c).alias(n) for c, n in names.items()], repeats.alias("repeats"), position.alias("position"))
+    return out.orderBy(F.col("position").asc_nulls_last(), "doc_id")
 
 
 def curriculum(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3, schedules: Sequence = SCHEDULES, seed: str = "mix") -> DataFrame:
@@ -102,17 +114,17 @@ def curriculum(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: floa
 
     Adds size, taken, repeat (0, 1...: which pass), words (of this pass; fewer than size where the mix ends inside
     the document) and position: the time in [0, 1] at which the source's integrated weight schedule has demanded all
-    words ahead of this one. Documents that the mix leaves out are not in the stream; no other row is lost. Rows keep
-    the columns of docs; a column of docs that is called like an added one is dropped.
+    words ahead of this one. Documents that the mix leaves out, or that have no words, are not in the stream; no other
+    row is lost: each row of docs is planned by itself, also one that repeats another, so the words of the stream are
+    those that mixture() takes. Texts move twice: to their block of a source, and to their place in the order.
+    Rows keep the columns of docs; a column of docs that is called like an added one is dropped. Nulls as in mixture().
     """
     added = {"size", "taken", "repeat", "words", "position"}
-    rows = docs.drop(*added).withColumn("_size", size_in_words("text"))
-    plan = _taken(rows.select("doc_id", F.col("source").cast("string").alias("source"), F.col("_size").alias("size")), weights, most, seed)
-    plan = plan.where("taken > 0").dropDuplicates(["doc_id", "source", "size"])
-    plan = plan.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_words"), *[F.col(c).alias(f"_{c}") for c in ("source_size", "target", "taken", "passes", "extra", "before", "rank")])
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").cast("string").eqNullSafe(F.col("_source")) & (F.col("_size") == F.col("_words"))
-    full = rows.join(plan, same).withColumn("repeat", F.explode(F.sequence(F.lit(0), (F.col("_passes") + F.when(F.col("_extra") > 0, 0).otherwise(-1)).cast("int"))))
+    kept = docs.drop(*added).columns
+    rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.col("doc_id").alias("_id"), F.col("source").cast("string").alias("_source"), size_in_words("text").alias("_size"))
+    full = _planned(rows, weights, most, seed).where("_taken > 0")
+    full = full.withColumn("repeat", F.explode(F.sequence(F.lit(0), (F.col("_passes") + F.when(F.col("_extra") > 0, 0).otherwise(-1)).cast("int"))))
     words = F.when(F.col("repeat") < F.col("_passes"), F.col("_size")).otherwise(F.col("_extra"))
     met = (F.col("repeat") * F.col("_source_size") + F.col("_before")) / F.col("_target")
     full = full.withColumn("words", words).withColumn("position", _when(met, F.col("_rank"), schedules))
-    return full.select(*docs.drop(*added).columns, F.col("_size").alias("size"), F.col("_taken").alias("taken"), "repeat", "words", "position").orderBy("position", "doc_id")
+    return full.select(*[F.col(f"`{c}`") for c in kept], F.col("_size").alias("size"), F.col("_taken").alias("taken"), "repeat", "words", "position").orderBy("position", "doc_id", "repeat")

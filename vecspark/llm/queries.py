@@ -25,19 +25,20 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _remainder(n: int):  # noqa: ANN202
-    return F.crc32(F.col("doc_id").cast("string")) % n
+    """crc32 of doc_id as text, modulo n; a null doc_id counts as empty text."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % n
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of equal texts of documents; see exact_groups."""
     out = exact_groups(_read(spark, sf_dir, "documents"))
-    return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
+    return out.select("doc_id", "keep_id", "group_size", "kept", F.col("sha").alias("text_sha256"))
 
 
 OP1_SQL = """
 WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
 SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
-       doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
+       doc_id IS NOT DISTINCT FROM max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
 FROM d
 """
 
@@ -81,7 +82,7 @@ def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 5-word shingle sets have a Jaccard similarity of 0.8 or more."""
-    return near_duplicate_components(_read(spark, sf_dir, "documents"))
+    return near_duplicate_components(_read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,8 +94,9 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many words of each document the mix takes."""
-    return mixture(_read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    """How many words of each document the mix takes and when, range-sorted by position."""
+    out = mixture(_read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", "source_size", "target", "taken", "repeats", F.round("position", 9).alias("position"))
 
 
 OP10_SQL = r"""
@@ -110,11 +112,19 @@ l AS (
 t AS (SELECT *, least(cap, w * max(CASE WHEN level * w <= cap THEN level END) OVER ()) AS target FROM l),
 p AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS passes FROM t),
 r AS (
-  SELECT d.doc_id, d.size, p.source_size, p.target, p.passes,
+  SELECT d.doc_id, d.size, p.source_size, p.target, p.passes, p.rank,
          CAST(round(p.target - p.passes * p.source_size) AS BIGINT) AS last,
          coalesce(CAST(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key, d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS before
-  FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source)
-SELECT doc_id, size, source_size, target, passes * size + greatest(0, least(size, last - before)) AS taken FROM r
+  FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
+x AS (SELECT *, greatest(0, least(size, last - before)) AS extra, before / nullif(target, 0) AS q FROM r)
+SELECT doc_id, size, source_size, target, passes * size + extra AS taken,
+       CAST(CASE WHEN size > 0 THEN passes ELSE 0 END + CASE WHEN extra > 0 THEN 1 ELSE 0 END AS INTEGER) AS repeats,
+       round(CASE WHEN passes * size + extra > 0 THEN CASE rank % 3
+         WHEN 0 THEN (sqrt(greatest(0.0::DOUBLE, 2.25::DOUBLE - 2 * q)) - 1.5::DOUBLE) / -1
+         WHEN 1 THEN q
+         ELSE CASE WHEN q >= 0.25::DOUBLE THEN 0.5::DOUBLE + (sqrt(0.5625::DOUBLE + 6 * (q - 0.25::DOUBLE)) - 0.75::DOUBLE) / 3
+                   ELSE sqrt(0.0625::DOUBLE + 2 * q) - 0.25::DOUBLE END END END, 9) AS position
+FROM x
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
