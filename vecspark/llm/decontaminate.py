@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -32,8 +33,25 @@ def _rolling(tokens: list[int], free: list[bool], size: int) -> Iterator[tuple[i
             yield i - size + 1, h
 
 
+def _cut(item_free: list[bool], text_free: list[bool], i: int, j: int, n: int) -> list[tuple[int, int]]:
+    """Offset and length of the runs of a match that no tile has marked."""
+    out, begin = [], None
+    for k in range(n + 1):
+        if k < n and item_free[i + k] and text_free[j + k]:
+            begin = k if begin is None else begin
+        elif begin is not None:
+            out.append((begin, k - begin))
+            begin = None
+    return out
+
+
 def greedy_tiles(item: list[int], text: list[int], least: int) -> list[tuple[int, int, int]]:
-    """Tiles (item start, text start, length) of at least `least` tokens: longest matches first, none overlapping."""
+    """Tiles (item start, text start, length) of at least `least` tokens: longest matches first, of equal ones the first in
+    the item and then in the text, none overlapping; sorted.
+
+    Each pass looks for matches of a size or more by Karp-Rabin and takes the longest of what tiles have left of them;
+    then the size is halved. Only matches that go on to neither side are extended, so repetitive texts cost their product.
+    """
     free_item, free_text = [True] * len(item), [True] * len(text)
     tiles: list[tuple[int, int, int]] = []
     size = max(least, len(item))
@@ -44,31 +62,26 @@ def greedy_tiles(item: list[int], text: list[int], least: int) -> list[tuple[int
         found = []
         for j, h in _rolling(text, free_text, size) if at else ():
             for i in at.get(h, ()):
+                if i and j and free_item[i - 1] and free_text[j - 1] and item[i - 1] == text[j - 1]:
+                    continue
                 if item[i : i + size] == text[j : j + size]:
                     n = size
                     while i + n < len(item) and j + n < len(text) and free_item[i + n] and free_text[j + n] and item[i + n] == text[j + n]:
                         n += 1
                     found.append((-n, i, j))
-        for n, i, j in sorted(found):
-            # What an earlier tile has left of a match comes again at a smaller size.
-            if all(free_item[i : i - n]) and all(free_text[j : j - n]):
+        heapq.heapify(found)
+        while found:
+            n, i, j = heapq.heappop(found)
+            left = _cut(free_item, free_text, i, j, -n)
+            if left == [(0, -n)]:
                 tiles.append((i, j, -n))
                 free_item[i : i - n] = [False] * -n
                 free_text[j : j - n] = [False] * -n
+                continue
+            for k, m in left:
+                if m >= size:
+                    heapq.heappush(found, (-m, i + k, j + k))
         size = size // 2 if size > 2 * least else least if size > least else size - 1
-    return tiles
-
-
-def _settled(item: list[int], text: list[int], least: int) -> list[tuple[int, int, int]]:
-    """Tiles until a whole pass adds none: matches cut short by a tile of the same pass are found by the next."""
-    tiles = greedy_tiles(item, text, least)
-    while tiles:
-        item = [-1 - i if any(a <= i < a + n for a, _, n in tiles) else t for i, t in enumerate(item)]
-        text = [-1 - len(item) - j if any(b <= j < b + n for _, b, n in tiles) else t for j, t in enumerate(text)]
-        more = greedy_tiles(item, text, least)
-        if not more:
-            break
-        tiles += more
     return sorted(tiles)
 
 
@@ -89,7 +102,7 @@ def _seeds(h: np.ndarray, rows: np.ndarray, least: int) -> tuple[np.ndarray, np.
     return mix(total[at]), at
 
 
-def _search(items: pa.RecordBatch, least: int, coverage: float) -> Callable:
+def _search(items: pa.RecordBatch, least: int, coverage: float, fewest: int) -> Callable:
     h, rows = _tokens(items)
     bounds = np.searchsorted(rows, np.arange(items.num_rows + 1))
     seed, at = _seeds(h, rows, least)
@@ -99,7 +112,7 @@ def _search(items: pa.RecordBatch, least: int, coverage: float) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches):
-            doc_ids, out = batch.column("doc_id"), []
+            doc_ids, keys, out = batch.column("doc_id"), batch.column("key"), []
             w, row = _tokens(batch)
             mine, start = _seeds(w, row, least)
             lo, hi = np.searchsorted(seed, mine, "left"), np.searchsorted(seed, mine, "right")
@@ -125,44 +138,46 @@ def _search(items: pa.RecordBatch, least: int, coverage: float) -> Callable:
                 text = np.insert(text, gaps, [-1 - size - 2 * len(places) - int(g) for g in gaps])
                 back = np.insert(places, gaps, -1)
                 first = int(np.searchsorted(row, r))
-                tiles = _settled([int(x) for x in h[bounds[k] : bounds[k + 1]]], [int(x) for x in text], least)
+                tiles = greedy_tiles([int(x) for x in h[bounds[k] : bounds[k + 1]]], [int(x) for x in text], least)
                 total = sum(t[2] for t in tiles)
-                if total >= coverage * size:
+                if total >= coverage * size if size >= fewest else (len(tiles), total) == (1, size):
                     spans = [{"item_start": i, "doc_start": int(back[j]) - first, "length": n} for i, j, n in tiles]
-                    out.append((doc_ids[r].as_py(), ids[k], size, total, total / size, spans))
+                    out.append((doc_ids[r].as_py(), keys[r].as_py(), ids[k], size, total, total / size, spans))
             if out:
                 columns = list(zip(*out, strict=True))
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.list_(pa.struct([("item_start", pa.int32()), ("doc_start", pa.int32()), ("length", pa.int32())]))]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["doc_id", "item_id", "item_words", "covered", "coverage", "tiles"])
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.list_(pa.struct([("item_start", pa.int32()), ("doc_start", pa.int32()), ("length", pa.int32())]))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["doc_id", "key", "item_id", "item_words", "covered", "coverage", "tiles"])
 
     return run
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 3, coverage: float = 0.8, fewest: int = 8, block_bytes: int = 32 << 20) -> DataFrame:
-    """Documents that hold a benchmark item: (doc_id, item_id, item_words, covered, coverage, tiles).
+    """Documents that hold a benchmark item: (doc_id, key, item_id, item_words, covered, coverage, tiles); key: xxhash64 of the text.
 
     Words are runs of letters and digits, A-Z lowered. A document and an item that share a run of `least` words are a
     candidate; greedy string tiling then covers the item with the longest common runs of at least `least` words, no
     word used twice, found by running Karp-Rabin. A pair is returned if the tiles cover `coverage` of the item, in
-    whatever order they stand in the document. Items of fewer than `fewest` words would match by chance and never do.
+    whatever order they stand in the document. Items of fewer than `fewest` words would be covered by chance: they must
+    stand in the document as a whole, as one tile. An item of fewer than `least` words has no tile and matches nothing.
 
     The benchmark is sent to the tasks in blocks: its size is measured, and beyond block_bytes each block of items
     passes over the documents in turn, so no more than a block is ever held. Documents need no shuffle.
 
     Null and empty texts match nothing; a null doc_id or item_id is returned as it is. Each row of docs is searched
-    alone, so repeated rows give repeated pairs. An empty benchmark or no documents give no rows.
+    alone, so repeated rows give repeated pairs. Of a very long text only the words that shared seeds cover are tiled; if
+    they repeat, the cost is their number times the item's. An empty benchmark or no documents give no rows.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("key"), F.col("text").cast("string").alias("text"))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-total // block_bytes))
-    schema = "doc_id long, item_id long, item_words int, covered int, coverage double, tiles array<struct<item_start: int, doc_start: int, length: int>>"
+    schema = "doc_id long, key long, item_id long, item_words int, covered int, coverage double, tiles array<struct<item_start: int, doc_start: int, length: int>>"
     out = None
     for i in range(blocks):
         block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == i).toPandas()
         batch = pa.RecordBatch.from_arrays([pa.array(block["item_id"].astype("Int64")), pa.array(block["text"], pa.string())], names=["item_id", "text"])
         h, r = _tokens(batch)
-        batch = batch.filter(pa.array(np.bincount(r, minlength=batch.num_rows) >= max(fewest, least)))
-        found = rows.mapInArrow(_search(batch, least, coverage), schema)
+        batch = batch.filter(pa.array(np.bincount(r, minlength=batch.num_rows) >= least))
+        found = rows.mapInArrow(_search(batch, least, coverage, fewest), schema)
         out = found if out is None else out.unionAll(found)
     return out
