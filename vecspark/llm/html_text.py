@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import html
 import re
+import textwrap
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>", re.S)
-_ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_NAME = re.compile(r"/?([a-zA-Z][^\s/>]*+)")
+#: White space and slashes, then an attribute, if any. Possessive, so that no page is scanned again and again.
+_ATTR = re.compile(r"[\s/]*+(?:([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>\"'][^\s>]*+)))?+)?+")
+_HIDES = re.compile(r"(?:^|;)visibility:(visible|hidden|collapse)")
 _RAW = ("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes")
 
 # Fixed values of the HTML standard.
@@ -39,15 +43,54 @@ class Node:
         self.tag, self.attrs, self.children = tag, attrs, []
 
 
+def _tags(page: str) -> Iterator[tuple[int, int, str, dict[str, str] | None]]:
+    """Start, end, lower-case name and attributes of every tag (None: an end tag); name "" for comments and declarations.
+
+    Asks for the next tag from wherever the caller has set the end by send(). What is not closed reaches to the end.
+    """
+    at, n = 0, len(page)
+    while (start := page.find("<", at)) >= 0:
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            end, name, attrs = (n if end < 0 else end + 3), "", None
+        elif page.startswith(("<!", "<?"), start):
+            end = page.find(">", start)
+            end, name, attrs = (n if end < 0 else end + 1), "", None
+        elif page.find(">", start) < 0:  # no tag from here on: what is left is text
+            return
+        elif m := _NAME.match(page, start + 1):
+            found, end = [], m.end()
+            while (a := _ATTR.match(page, end)) and a[1] is not None:
+                found.append(a.groups())
+                end = a.end()
+            end = min(n, a.end() + 1)
+            name, attrs = m[1].lower(), None
+            if page[start + 1] != "/":
+                attrs = {}
+                for k, *v in found:
+                    attrs.setdefault(k.lower(), html.unescape(next((x for x in v if x is not None), "")))
+        else:
+            at = start + 1
+            continue
+        at = (yield start, end, name, attrs) or end
+
+
 def parse(page: str) -> Node:
     """Tree of a page; missing end tags and table rows are implied, stray end tags ignored."""
     root = Node("#root", {})
     stack, at = [root], 0
+    opened: Counter[str] = Counter()  # of the tags on the stack, so that deep pages are not searched in vain
+
+    def cut(i: int) -> None:
+        opened.subtract(x.tag for x in stack[i:])
+        del stack[i:]
 
     def close(tags: set[str], scope: set[str]) -> None:
+        if not any(opened[t] for t in tags):
+            return
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].tag in tags:
-                del stack[i:]
+                cut(i)
                 return
             if stack[i].tag in scope:
                 return
@@ -64,47 +107,30 @@ def parse(page: str) -> Node:
 
     def push(tag: str, attrs: dict[str, str]) -> Node:
         node = Node(tag, attrs)
-        if (tag in FOREIGN_HIDDEN or tag == "text") and any(x.tag in ("svg", "math") for x in stack):
+        if (tag in FOREIGN_HIDDEN or tag == "text") and (opened["svg"] or opened["math"]):
             attrs["hidden" if tag in FOREIGN_HIDDEN else "#line"] = ""
         add(node)
         if tag not in VOID:
             stack.append(node)
+            opened[tag] += 1
         return node
 
-    while at < len(page):
-        m = _TAG.search(page, at)
-        if not m:
-            add(html.unescape(page[at:]))
-            break
-        if m.start() > at:
-            add(html.unescape(page[at : m.start()]))
-        at = m.end()
-        if m[2] is None:
-            continue
-        tag = m[2].lower()
-        if m[1]:
-            if tag == "p" and not any(x.tag == "p" for x in stack):
-                push("p", {})
-            if tag in ("td", "th", "tr", "thead", "tbody", "tfoot", "table"):
-                close({tag}, set() if tag == "table" else {"table"})
-            else:
-                close({tag}, {"td", "th", "table"} | ({"button"} if tag == "p" else set()))
-            continue
-        attrs = {k.lower(): html.unescape(a or b or c) for k, a, b, c in _ATTR.findall(m[3])}
+    def begin(tag: str, attrs: dict[str, str]) -> None:
+        """A start tag, with what it implies."""
         if tag in CLOSES_P:
             close({"p"}, {"td", "th", "table", "button"})
         if tag in IMPLIED_END:
             scope = _SCOPE.get(tag, {"table"})
             inner = IMPLIED_END[tag]
-            while any(x.tag in inner for x in stack) and not (stack[-1].tag in scope or stack[-1] is root):
+            while any(opened[t] for t in inner) and not (stack[-1].tag in scope or stack[-1] is root):
                 before = len(stack)
                 close(inner, scope)
                 if len(stack) == before:
                     break
-        if tag in _PARTS:  # ends what was moved before the table
+        if tag in _PARTS and opened["table"]:  # ends what was moved before the table
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag in _FOSTERS:
-                    del stack[i + 1 :]
+                    cut(i + 1)
                     break
                 if stack[i].tag in ("td", "th", "caption"):
                     break
@@ -112,20 +138,52 @@ def parse(page: str) -> Node:
             close({"table"}, set())
         if tag in ("td", "th") and stack[-1].tag in ("table", "thead", "tbody", "tfoot"):
             push("tr", {})
-        if tag == "body" and any(x.tag == "head" for x in stack):
+        if tag == "body" and opened["head"]:
             close({"head"}, set())
         push(tag, attrs)
-        if tag in _RAW:
-            end = re.compile(rf"</{tag}\s*/?>", re.I).search(page, at)
-            raw = page[at : end.start() if end else len(page)]
-            stack.pop().children.append(html.unescape(raw).removeprefix("\n") if tag == "textarea" else raw)
-            at = end.end() if end else len(page)
+
+    tags = _tags(page)
+    found = next(tags, None)
+    while found:
+        start, end, tag, attrs = found
+        if start > at:
+            add(html.unescape(page[at:start]))
+        at = end
+        if tag and attrs is None:
+            if tag == "p" and not opened["p"]:
+                push("p", {})
+            if tag in ("td", "th", "tr", "thead", "tbody", "tfoot", "table"):
+                close({tag}, set() if tag == "table" else {"table"})
+            else:
+                close({tag}, {"td", "th", "table"} | ({"button"} if tag == "p" else set()))
+        elif tag:
+            begin(tag, attrs)
+            if tag in _RAW:
+                stop = re.compile(rf"</{tag}\s*+/?>", re.I).search(page, at)
+                raw = page[at : stop.start() if stop else len(page)]
+                opened[tag] -= 1
+                stack.pop().children.append(html.unescape(raw).removeprefix("\n") if tag == "textarea" else raw)
+                at = stop.end() if stop else len(page)
+        try:
+            found = tags.send(at)
+        except StopIteration:
+            break
+    if at < len(page):
+        add(html.unescape(page[at:]))
     return root
 
 
 def _hidden(node: Node) -> bool:
     style = node.attrs.get("style", "").lower().replace(" ", "")
-    return node.tag in NEVER_SHOWN or "hidden" in node.attrs or "display:none" in style or "visibility:hidden" in style or (node.tag == "dialog" and "open" not in node.attrs)
+    return node.tag in NEVER_SHOWN or "hidden" in node.attrs or "display:none" in style or (node.tag == "dialog" and "open" not in node.attrs)
+
+
+def _unseen(node: Node, unseen: bool) -> bool:
+    """Whether text right in the node is invisible: visibility comes from its parent unless its own style sets it."""
+    if "style" in node.attrs:
+        for m in _HIDES.finditer(node.attrs["style"].lower().replace(" ", "")):
+            unseen = m[1] != "visible"
+    return unseen
 
 
 def _chosen(select: Node) -> list[Node]:
@@ -203,8 +261,9 @@ class _Flow:
 
 
 def _table(rows: list[list[tuple[int, list[str]]]], widest: int) -> list[str]:
-    """Rows of cells as lines; columns are padded to one width, but none beyond `widest`."""
-    grid = [[x for span, lines in row for x in (lines, *[[]] * (span - 1))] for row in rows]
+    """Rows of cells as lines; columns are padded to one width. Lines longer than `widest` are wrapped, save single words."""
+    wrap = lambda x: textwrap.wrap(x, widest, break_long_words=False, break_on_hyphens=False, replace_whitespace=False, expand_tabs=False) if len(x) > widest else [x]
+    grid = [[x for span, lines in row for x in ([w for line in lines for w in wrap(line)], *[[]] * (span - 1))] for row in rows]
     width = [0] * max((len(r) for r in grid), default=0)
     for row in grid:
         for j, cell in enumerate(row):
@@ -220,12 +279,13 @@ def render(page: str, widest: int = 60) -> str:
     """All visible text of a page; blocks on lines of their own, list items marked, cells of a table aligned."""
     flow = _Flow()
     flows, tables, lists = [flow], [], []
-    todo: list[tuple[object, bool, bool]] = [(parse(page or ""), False, False)]
+    todo: list[tuple[object, bool, bool, bool]] = [(parse(page or ""), False, False, False)]
     while todo:
-        node, leave, pre = todo.pop()
+        node, leave, pre, unseen = todo.pop()
         flow = flows[-1]
         if isinstance(node, str):
-            flow.text(node, pre)
+            if not unseen:
+                flow.text(node, pre)
             continue
         tag, spaced = node.tag, 2 if node.tag in SPACED else 1
         if leave:
@@ -252,6 +312,7 @@ def render(page: str, widest: int = 60) -> str:
             continue
         if _hidden(node):
             continue
+        unseen = _unseen(node, unseen)
         if tag == "br":
             flow.end()
             flow.gap = 0
@@ -272,9 +333,9 @@ def render(page: str, widest: int = 60) -> str:
         elif tag == "caption" and tables:
             flows[-2].brk(1)
             tables[-1].append([])
-            todo.append((Node("td", {}), True, pre))
+            todo.append((Node("td", {}), True, pre, unseen))
             flows.append(_Flow())
-            todo += [(c, False, pre) for c in reversed(node.children)]
+            todo += [(c, False, pre, unseen) for c in reversed(node.children)]
             continue
         elif tag == "li":
             flow.brk(1)
@@ -283,7 +344,7 @@ def render(page: str, widest: int = 60) -> str:
             options = _chosen(node)
             for x in reversed(options):
                 x.attrs.update({"#line": ""} if len(options) > 1 else {})
-                todo.append((x, False, pre))
+                todo.append((x, False, pre, unseen))
             continue
         elif tag in BLOCK or tag == "textarea" or "#line" in node.attrs:
             if tag in ("ul", "ol", "menu"):
@@ -291,8 +352,8 @@ def render(page: str, widest: int = 60) -> str:
                 lists.append(int(start) if start.isdigit() and len(start) < 10 else 1) if tag == "ol" else lists.append(None)
                 spaced = 1 if len(lists) > 1 else 2
             flow.brk(spaced)
-        todo.append((node, True, pre))
-        todo += [(c, False, pre or tag in ("pre", "textarea")) for c in reversed(node.children)]
+        todo.append((node, True, pre, unseen))
+        todo += [(c, False, pre or tag in ("pre", "textarea"), unseen) for c in reversed(node.children)]
     return "\n".join(flows[0].done())
 
 
@@ -310,11 +371,12 @@ def extract_text(pages: DataFrame, widest: int = 60) -> DataFrame:
 
     A tree is built first: end tags of p, li, dt, dd, option and table parts and missing tr are implied, stray end tags
     ignored, and an unclosed tag, comment or script ends with the page. Nothing under head, script, style, template,
-    noscript, canvas, embedded media and frames, datalist, hidden, display:none or visibility:hidden is shown; all else is, menus and footers too,
+    noscript, canvas, embedded media and frames, datalist, hidden or display:none is shown, nor text whose nearest visibility is not visible; all else is, menus and footers too,
     formulas (MathML without annotations), labels of svg drawings (each a line), text areas, all options of list boxes
     and the chosen one of closed lists. Text and elements in a table but in no cell stand before it.
     Blocks begin a line, paragraphs, headings, lists and tables leave one empty, nested lists are indented, ordered
-    ones counted, pre keeps its spaces. Cells stand in columns padded to at most `widest` characters.
+    ones counted, pre keeps its spaces. Cells stand in columns; their lines are wrapped at `widest` characters. A very long
+    page is one row of one task; the time is in proportion to its length, whatever is in it.
 
     A null page has a null text, an empty one an empty text. Rows are rendered alone, so repeats agree. A column of
     pages called text is replaced.
