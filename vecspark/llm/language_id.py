@@ -68,23 +68,29 @@ def fit_languages(docs: DataFrame, smoothing: float = 0.5) -> LanguageModel:
     return LanguageModel(languages, np.log(n / n.sum(1, keepdims=True)).astype(np.float32))
 
 
-def _mixtures(like: np.ndarray, top: np.ndarray, begin: np.ndarray, rows: np.ndarray, allowed: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """Proportions and log-likelihood for each text, languages limited to `allowed`.
+def _mixtures(like: np.ndarray, top: np.ndarray, begin: np.ndarray, rows: np.ndarray, allowed: np.ndarray, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
+    """Proportions and log-likelihood for each text, languages limited to `allowed`; texts leave as they converge.
 
     like: each word's likelihood by language over its best one, top: the log of that one; begin: first word of a text.
     """
     share = allowed / allowed.sum(1, keepdims=True)
-    n = np.diff(np.r_[begin, len(like)])[:, None]
-    for step in range(rounds + 1):
-        joint = share[rows] * like
-        total = joint.sum(1)
-        if step == rounds:
-            return share, np.add.reduceat(np.log(np.maximum(total, 1e-300)) + top, begin)
-        share = np.add.reduceat(joint / np.maximum(total, 1e-300)[:, None], begin, axis=0) / n
-    raise AssertionError
-
-
-def infer(batch: pa.RecordBatch, model: LanguageModel, rounds: int, most: int | None, penalty: float, floor: float) -> np.ndarray:
+    left, some, at, first = np.arange(len(share)), like, rows, begin
+    while len(left):
+        joint = share[left][at] * some
+        joint /= np.maximum(joint.sum(1), 1e-300)[:, None]
+        new = np.add.reduceat(joint, first, axis=0) / np.diff(np.r_[first, len(some)])[:, None]
+        moves = np.abs(new - share[left]).max(1) > tolerance
+        share[left] = new
+        if not moves.all():
+            words = moves[at]
+            left, some = left[moves], some[words]
+            at = (np.cumsum(moves) - 1)[at[words]]
+            first = np.searchsorted(at, np.arange(len(left)))
+    total = (share[rows] * like).sum(1)
+    return share, np.add.reduceat(np.log(np.maximum(total, 1e-300)) + top, begin)
+
+
+def infer(batch: pa.RecordBatch, model: LanguageModel, most: int | None, penalty: float, tolerance: float) -> np.ndarray:
     """Language proportions of each text of a batch; a row of zeros where a text has no letters."""
     code, starts, word_row = _grams(batch)
     out = np.zeros((batch.num_rows, len(model.languages)))
@@ -96,19 +102,21 @@ def infer(batch: pa.RecordBatch, model: LanguageModel, rounds: int, most: int |
     present, begin = np.unique(word_row, return_index=True)
     n = np.diff(np.r_[begin, len(word_row)])
     rows = np.repeat(np.arange(len(present)), n)
-    share, _ = _mixtures(like, top, begin, rows, np.ones((len(present), like.shape[1])), rounds)
+    share, full = _mixtures(like, top, begin, rows, np.ones((len(present), like.shape[1])), tolerance)
     order = np.argsort(-share, axis=1, kind="stable")
     rank = np.argsort(order, axis=1, kind="stable")
     best = (rank == 0).astype(float)
-    # One language alone fits as the sum of its log-likelihoods; sets of more are tried where a second has a share.
-    mixed = np.flatnonzero(np.sort(share, axis=1)[:, -2] >= floor) if share.shape[1] > 1 else np.zeros(0, np.int64)
+    # One language alone fits as the sum of its log-likelihoods. No set fits better than all languages together, so sets
+    # of more are tried only where those beat it by more than the penalty of a second language.
+    one = np.add.reduceat(np.take_along_axis(log_p, order[rows][:, :1], axis=1)[:, 0], begin)
+    mixed = np.flatnonzero(full - penalty * np.log(n + 1) > one)
     if len(mixed):
         mine = np.isin(rows, mixed)
         sub_rows = np.searchsorted(mixed, rows[mine])
         sub_begin = np.searchsorted(sub_rows, np.arange(len(mixed)))
         fit = None
         for k in range(1, min(most or share.shape[1], share.shape[1]) + 1):
-            got, log_like = _mixtures(like[mine], top[mine], sub_begin, sub_rows, (rank[mixed] < k).astype(float), rounds if k > 1 else 0)
+            got, log_like = _mixtures(like[mine], top[mine], sub_begin, sub_rows, (rank[mixed] < k).astype(float), tolerance)
             value = log_like - penalty * (k - 1) * np.log(n[mixed] + 1)
             if fit is None:
                 fit, chosen = value, got
@@ -120,11 +128,11 @@ def infer(batch: pa.RecordBatch, model: LanguageModel, rounds: int, most: int |
     return out
 
 
-def _predict(model: LanguageModel, columns: list[str], rounds: int, most: int | None, penalty: float, floor: float) -> Callable:
+def _predict(model: LanguageModel, columns: list[str], most: int | None, penalty: float, tolerance: float) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array([*model.languages, "und"], object)
         for batch in by_bytes(batches):
-            share = infer(batch, model, rounds, most, penalty, floor)
+            share = infer(batch, model, most, penalty, tolerance)
             data, offsets = text_bytes(batch.column("text"))
             ascii_letters = np.r_[0, np.cumsum(_LETTER[data] & (data < 128))]
             known = ascii_letters[offsets[1:]] > ascii_letters[offsets[:-1]]
@@ -143,17 +151,18 @@ def _predict(model: LanguageModel, columns: list[str], rounds: int, most: int |
     return run
 
 
-def identify_languages(docs: DataFrame, model: LanguageModel, rounds: int = 10, most: int | None = None, penalty: float = 2.0, floor: float = 0.01) -> DataFrame:
+def identify_languages(docs: DataFrame, model: LanguageModel, most: int | None = None, penalty: float = 2.0, tolerance: float = 1e-3) -> DataFrame:
     """docs with lang_pred, score (its proportion), languages and proportions of every whole text.
 
     A text's words are draws from a mixture of the languages; a word's likelihood is the product of its letter
-    trigrams'. Expectation-maximisation finds the proportions; the language set is the one of up to `most` languages
+    trigrams'. Expectation-maximisation finds the proportions, until none moves by more than `tolerance`; the language set is the one of up to `most` languages
     (None: all learnt), by proportion, with the best log-likelihood less `penalty` * log(words) for each language beyond the first.
     lang_pred is the language of most words. `und`, score 0 and empty lists where text is null or has no letter, or
     nothing was learnt. Ties go to the language first in code point order. Columns of docs with the added names are
-    replaced; rows are judged alone, so repeats agree.
+    replaced; rows are judged alone, so repeats agree. A very long text takes a row of proportions for each of its words.
+    No rows in, no rows out.
     """
     docs = docs.drop("lang_pred", "score", "languages", "proportions")
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
     schema = ", ".join([*fields, "lang_pred string", "score double", "languages array<string>", "proportions array<double>"])
-    return docs.mapInArrow(_predict(model, docs.columns, rounds, most, penalty, floor), schema)
+    return docs.mapInArrow(_predict(model, docs.columns, most, penalty, tolerance), schema)

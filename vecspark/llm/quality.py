@@ -74,21 +74,23 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
 def fit_quality(docs: DataFrame, labels: DataFrame, train: Column | None = None, per_class: int = 2000, longest: int = 20_000, dictionary_bytes: int = 1 << 18, level: int = 3) -> QualityModel:
     """Learn from labels (doc_id, quality) of rows where `train`, a condition on doc_id, holds.
 
-    The sample is bounded: per label the `per_class` ids of least hash, found in the labels alone, and of those the
-    documents of up to `longest` bytes (longer ones would crowd the dictionary), so the driver gets no more than
-    2 * per_class * longest bytes. Half of a class fills its dictionary; the other half calibrates. Rows with null id,
+    The sample is bounded: per label the `per_class` ids of least hash among those of documents of 1 to `longest` bytes
+    (longer ones would crowd the dictionary), so the driver gets no more than 2 * per_class * longest bytes; of an id
+    with several texts the first in byte order. Half of a class fills its dictionary; the other half calibrates. Rows with null id,
     null text or a label other than 0 and 1 are not learnt from. Without both classes every score is the share of
     label 1, or 0.5 without labels.
     """
     known = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").select("doc_id", "quality")
     if train is not None:
         known = known.where(train)
+    fit = F.octet_length("text").between(1, longest)
+    known = known.join(docs.where(fit).select("doc_id"), "doc_id", "left_semi")
     turn = F.xxhash64("doc_id")
     picked = None
     for q in (1, 0):
         some = known.where(F.col("quality") == q).orderBy(turn, "doc_id").limit(per_class)
         picked = some if picked is None else picked.unionAll(some)
-    rows = docs.select("doc_id", "text").where(F.octet_length("text").between(1, longest)).join(F.broadcast(picked), "doc_id").orderBy(turn, "doc_id").toPandas()
+    rows = docs.select("doc_id", "text").where(fit).join(F.broadcast(picked), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")).orderBy(turn, "doc_id", "quality").toPandas()
     rows = rows.drop_duplicates("doc_id")
     texts = {q: [t.encode() for t in rows.loc[rows["quality"] == q, "text"]] for q in (0, 1)}
     n = {q: len(texts[q]) for q in texts}
