@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vecspark.operators import compact, element, gather, linalg, order, reduce, sampling, scan, segment, sparse
+from vecspark.sources import vectors
 from vecspark.sources.matrices import block_sparse, random_matrix, read_matrix_market
 
 X = [3, -1, 4, 1, -5, 9, 2, 6, 5, 3]
@@ -163,3 +164,36 @@ def test_sources(spark, tmp_path):
     r = random_matrix(spark, 10, 20, 50, power=1.0)
     assert r.count() == 50 and r.where("row between 0 and 9 and col between 0 and 19").count() == 50
     assert block_sparse(spark, 8, 2, 0, 1, 0).count() == 4 * (1 + 3 * 2)
+
+
+def test_argsort_any_numbers(spark):
+    values = [2.5, None, float("nan"), -1.0, 2.5, float("inf"), None, -0.0, 0.0, -1e300]
+    df = spark.createDataFrame(list(enumerate(values)), "idx long, val double")
+    for width in (1, 2, 3, 100):
+        assert got(order.argsort(df, width), "pos", "idx") == [1, 6, 9, 3, 7, 8, 0, 4, 5, 2]
+    wide = spark.createDataFrame([(0, 2**62), (1, -(2**62)), (2, 2**62 + 1), (3, 2**62)], "idx long, val long")
+    assert got(order.argsort(wide, 1), "pos", "idx") == [1, 0, 3, 2]
+    same = spark.range(1000).select(F.col("id").alias("idx"), F.lit(7).alias("val"))
+    assert got(order.argsort(same, 64), "pos", "idx") == list(range(1000))
+
+
+def test_probabilities(spark):
+    df = spark.createDataFrame([(0, 0.125), (1, 0.5), (2, None), (3, 0.25), (4, 0.125)], "idx long, val double")
+    assert sorted(r.idx for r in sampling.top_p(df, 0.7, 2).collect()) == [1, 3]
+
+
+def test_seg_scan_one_segment(spark):
+    v = vec(spark, X, flag=[0] * 10)
+    assert got(segment.seg_scan(v, 3)) == [3, 2, 6, 7, 2, 11, 13, 19, 24, 27]
+
+
+def test_matrix_market_size_line_again(spark, tmp_path):
+    f = tmp_path / "m.mtx"
+    f.write_text("%%MatrixMarket matrix coordinate integer general\n3 3 2\n3 3 2\n1 2 5\n")
+    assert sorted((r.row, r.col, r.val) for r in read_matrix_market(spark, str(f)).collect()) == [(0, 1, 5.0), (2, 2, 2.0)]
+
+
+def test_from_table(spark):
+    df = spark.createDataFrame([(30, "c"), (10, "a"), (20, "b"), (None, "z")], "k long, v string")
+    for width in (1, 2, 100):
+        assert got(vectors.from_table(df, "k", "v", width=width), "idx", "val") == ["z", "a", "b", "c"]

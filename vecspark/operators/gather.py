@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vecspark.operators.scan import running
+from vecspark.operators.scan import value_block, value_bounds
 
 
 def gather(idxs: DataFrame, values: DataFrame) -> DataFrame:
@@ -21,14 +21,18 @@ def gather_minus_one(idxs: DataFrame, values: DataFrame) -> DataFrame:
 
 
 def searchsorted(hay: DataFrame, needles: DataFrame, width: int = 1 << 16) -> DataFrame:
-    """(needle_id, pos): how many keys of hay (key) are below each needle (needle_id, needle).
+    """(needle_id, pos): how many keys of hay (key) are below each needle (needle_id, needle); any orderable number type.
 
     Keys and needles meet as one row per distinct value, so a frequent value weighs no more than a rare one; a running
-    count over value blocks of `width` does the rest.
+    count over blocks of values, cut at approximate quantiles, does the rest. Null keys are below nothing, a null needle
+    has none below.
     """
-    keys = hay.groupBy(F.col("key").alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    values = keys.unionByName(needles.select(F.col("needle").alias("v"), F.lit(0).cast("long").alias("n"))).groupBy("v").agg(F.sum("n").alias("n"))
-    base = values.agg(F.min("v").alias("base"))
-    shifted = values.join(F.broadcast(base)).withColumn("at", F.col("v") - F.col("base"))  # one row
-    below = running(shifted, "n", "pos", width, idx="at", exclusive=True)
-    return needles.join(below, F.col("needle") == F.col("v")).select("needle_id", F.col("pos").cast("long").alias("pos"))
+    keys = hay.where("key IS NOT NULL").groupBy(F.col("key").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    values = keys.unionByName(needles.where("needle IS NOT NULL").select(F.col("needle").alias("v"), F.lit(0).cast("long").alias("n"))).groupBy("v").agg(F.sum("n").alias("n"))
+    cut = values.withColumn("_b", value_block(F.col("v"), value_bounds(hay, "key", width)))
+    before = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    totals = cut.groupBy("_b").agg(F.sum("n").alias("_n"))
+    ahead = totals.select(F.col("_b").alias("_t"), F.coalesce(F.sum("_n").over(before().orderBy("_b")), F.lit(0)).alias("_ahead"))  # one row a block
+    inside = F.coalesce(F.sum("n").over(before("_b").orderBy("v")), F.lit(0))
+    below = cut.withColumn("_in", inside).join(ahead, F.col("_b") == F.col("_t")).select("v", (F.col("_ahead") + F.col("_in")).alias("pos"))
+    return needles.join(below, F.col("needle") == F.col("v"), "left").select("needle_id", F.coalesce("pos", F.lit(0)).cast("long").alias("pos"))

@@ -5,21 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vecspark.operators.scan import running
+from vecspark.operators.scan import running, value_block, value_bounds
 
 
-def argsort(df: DataFrame, width: int = 1 << 16) -> DataFrame:
-    """(pos, val, idx): the stable ascending order of integer val.
+def argsort(df: DataFrame, width: int = 1 << 16, buckets: int = 1024) -> DataFrame:
+    """(pos, val, idx): the stable ascending order of val, of any orderable number type; nulls first, NaN last.
 
-    A row's position is the number of smaller values, a running count over distinct values, plus its rank by idx among
-    equal ones; no window spans the vector.
+    Approximate quantiles cut the values into blocks of about `width` rows, `buckets` of them at most; a value that is a
+    quantile itself is a block of its own, cut by idx, so that a frequent value is many blocks. A row's position is the
+    rows in the blocks before, of which only totals meet in one window, plus its rank in its block.
     """
-    values = df.groupBy("val").agg(F.count(F.lit(1)).alias("n"))
-    base = values.agg(F.min("val").alias("base"))
-    at = values.join(F.broadcast(base)).withColumn("at", F.col("val") - F.col("base"))  # one row
-    below = running(at, "n", "below", width, idx="at", exclusive=True).select("val", "below")
-    rank = F.row_number().over(Window.partitionBy("val").orderBy("idx")) - 1
-    return df.withColumn("_r", rank).join(below, "val").select((F.col("below") + F.col("_r")).cast("long").alias("pos"), "val", "idx")
+    bounds = value_bounds(df, "val", width, buckets)
+    at = value_block(F.col("val"), bounds)
+    single = F.col("val").isNull() | (F.col("_b") % 2 == 1)
+    cut = df.select("val", "idx", at.alias("_b")).withColumn("_c", F.when(single, F.expr(f"idx div {int(width)}")).otherwise(0))
+    totals = cut.groupBy("_b", "_c").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_b", "_c").rowsBetween(Window.unboundedPreceding, -1)  # one row a block
+    ahead = totals.select(F.col("_b").alias("_tb"), F.col("_c").alias("_tc"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_ahead"))
+    rank = F.row_number().over(Window.partitionBy("_b", "_c").orderBy(F.col("val").asc_nulls_first(), "idx")) - 1
+    both = cut.withColumn("_r", rank).join(ahead, (F.col("_b") == F.col("_tb")) & (F.col("_c") == F.col("_tc")))
+    return both.select((F.col("_ahead") + F.col("_r")).cast("long").alias("pos"), "val", "idx")
 
 
 def topk(df: DataFrame, k: int) -> DataFrame:

@@ -12,8 +12,10 @@ from vecspark.operators.scan import running
 def top_p(df: DataFrame, p: float, block: int = 1 << 20) -> DataFrame:
     """(pos, idx, val, before): the least set of largest weights whose sum exceeds p of the total.
 
-    val: non-negative integer weights; largest first, ties to the lowest idx; before: the kept weight ahead of a row.
+    val: non-negative weights, counts or probabilities; null counts as 0. Largest first, ties to the lowest idx; before:
+    the kept weight ahead of a row.
     """
+    df = df.select("idx", F.coalesce("val", F.lit(0)).alias("val"))
     down = argsort(df.select("idx", (-F.col("val")).alias("val"))).select("pos", "idx", (-F.col("val")).alias("val"))
     ahead = running(down, "val", "before", block, idx="pos", exclusive=True)
     total = df.agg(F.sum("val").alias("_t"))

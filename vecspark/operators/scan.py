@@ -59,3 +59,26 @@ def batch_scan(df: DataFrame) -> DataFrame:
 def positions(df: DataFrame, keep: Column, block: int = 1 << 20) -> DataFrame:
     """df with pos: how many rows before this one, by idx, satisfy keep."""
     return running(df.withColumn("_one", F.when(keep, 1).otherwise(0).cast("long")), "_one", "pos", block, exclusive=True).drop("_one")
+
+
+def value_bounds(df: DataFrame, val: str, width: int, buckets: int = 1024) -> list[list]:
+    """Distinct approximate quantiles of val, ascending, in rows of 32: about one for `width` rows, `buckets` at most."""
+    n = min(buckets, df.count() // width)
+    if n < 1:
+        return []
+    found = df.where(~F.isnan(F.col(val).cast("double"))).agg(F.percentile_approx(val, [i / (n + 1) for i in range(1, n + 1)], 10 * n).alias("q")).first()["q"]
+    flat = sorted(set(found or ()))
+    return [flat[i : i + 32] for i in range(0, len(flat), 32)]
+
+
+def value_block(val: Column, bounds: list[list]) -> Column:
+    """A number that grows with val: even between two bounds, odd at one; -1 for null. Looks among the first bounds of rows,
+    then in one row."""
+    if not bounds:
+        return F.when(val.isNull(), -1).otherwise(0).cast("long")
+    firsts = F.array(*[F.lit(x[0]) for x in bounds])
+    rows = F.array(*[F.array(*[F.lit(y) for y in x]) for x in bounds])
+    row = F.size(F.filter(firsts, lambda x: x <= val))
+    inside = F.element_at(rows, F.greatest(row, F.lit(1)))
+    below, upto = (F.size(F.filter(inside, f)) for f in (lambda x: x < val, lambda x: x <= val))
+    return F.when(val.isNull(), -1).otherwise(64 * F.greatest(row - 1, F.lit(0)) + below + upto).cast("long")

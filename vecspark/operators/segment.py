@@ -14,14 +14,25 @@ def segment_ids(df: DataFrame, block: int = 1 << 20) -> DataFrame:
 
 
 def seg_scan(df: DataFrame, block: int = 1 << 20) -> DataFrame:
-    """(idx, seg, z) from (idx, val, flag): the prefix sum starts anew at every flag.
+    """(idx, seg, z) from (idx, val, flag): the prefix sum starts anew at every flag. A null flag is none.
 
-    Scans the whole vector and takes off what had been summed before the segment, so that a segment of any length is
-    spread over many blocks.
+    A block keeps, besides the sum and the flags before a row, where the row's segment began in it; a segment that began
+    in an earlier block has its beginning carried over the block totals. So a segment of any length is spread over many
+    blocks, and the vector moves once.
     """
-    total = running(segment_ids(df, block), "val", "_z", block)
-    before = total.groupBy("seg").agg(F.min(F.struct("idx", (F.col("_z") - F.col("val")).alias("base")))["base"].alias("base"))
-    return total.join(before, "seg").select("idx", "seg", (F.col("_z") - F.col("base")).alias("z"))
+    to_here = Window.partitionBy("_blk").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
+    cut = df.select("idx", "val", F.coalesce(F.col("flag").cast("boolean"), F.lit(False)).alias("_flag"), F.expr(f"idx div {int(block)}").alias("_blk"))
+    cut = cut.withColumn("_s", F.sum("val").over(to_here)).withColumn("_f", F.sum(F.col("_flag").cast("long")).over(to_here))
+    mark = F.when(F.col("_flag"), F.struct(F.col("idx").alias("i"), (F.col("_s") - F.coalesce("val", F.lit(0))).alias("base")))
+    cut = cut.withColumn("_mark", F.max(mark).over(to_here))
+    totals = cut.groupBy("_blk").agg(F.sum("val").alias("s"), F.sum(F.col("_flag").cast("long")).alias("f"), F.max("_mark").alias("m"))
+    before = Window.orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)  # one row a block
+    totals = totals.withColumn("_as", F.coalesce(F.sum("s").over(before), F.lit(0))).withColumn("_af", F.coalesce(F.sum("f").over(before), F.lit(0)))
+    begun = F.max(F.when(F.col("m").isNotNull(), F.struct("m.i", (F.col("m.base") + F.col("_as")).alias("base")))).over(before)
+    carry = totals.select(F.col("_blk").alias("_of"), "_as", "_af", F.coalesce(begun["base"], F.lit(0)).alias("_ab"))
+    both = cut.join(carry, F.col("_blk") == F.col("_of"))
+    z = F.when(F.col("_mark").isNotNull(), F.col("_s") - F.col("_mark.base")).otherwise(F.col("_as") + F.coalesce("_s", F.lit(0)) - F.col("_ab"))
+    return both.select("idx", (F.col("_af") + F.col("_f")).alias("seg"), z.alias("z"))
 
 
 def seg_scan_revert(scanned: DataFrame, diff: DataFrame) -> DataFrame:
@@ -37,16 +48,17 @@ def seg_sum_flags(df: DataFrame, block: int = 1 << 20) -> DataFrame:
     return sums.where("_f = 1").select("seg", "total")
 
 
-def seg_sum_indptr(df: DataFrame, segments: DataFrame, block: int = 1 << 20) -> DataFrame:
+def seg_sum_indptr(df: DataFrame, segments: DataFrame, block: int = 64) -> DataFrame:
     """(seg, total) for segments (seg, start, end), starts ascending with seg; empty ones give 0.
 
-    The starts are laid into the vector and carried forward by a running maximum: an as-of join without a range join.
+    Segments meet the vector in the blocks of `block` positions that they touch, so the join is on equal blocks; sums are
+    taken in each block before those of a segment meet.
     """
-    marks = segments.where("end > start").select(F.col("start").alias("idx"), F.lit(None).cast("long").alias("val"), "seg", F.lit(0).alias("kind"))
-    rows = df.select("idx", "val", F.lit(None).cast("long").alias("seg"), F.lit(1).alias("kind"))
-    owned = running(marks.unionByName(rows), "seg", "owner", block, ties=["kind"], op="max").where("kind = 1")
-    sums = owned.groupBy("owner").agg(F.sum("val").alias("total"))
-    return segments.join(sums, segments["seg"] == sums["owner"], "left").select("seg", F.coalesce("total", F.lit(0)).alias("total"))
+    touched = F.explode(F.sequence(F.expr(f"start div {int(block)}"), F.expr(f"(end - 1) div {int(block)}")))
+    parts = segments.where("end > start").select("seg", "start", "end", touched.alias("_blk"))
+    rows = df.select("idx", "val", F.expr(f"idx div {int(block)}").alias("_blk"))
+    sums = rows.join(parts, "_blk").where("idx >= start AND idx < end").groupBy("seg").agg(F.sum("val").alias("total"))
+    return segments.select("seg").join(sums, "seg", "left").select("seg", F.coalesce("total", F.lit(0)).alias("total"))
 
 
 def starts_to_segments(starts: DataFrame, n: int) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecspark.operators import compact, element, gather, linalg, order, reduce, sampling, scan, segment, sparse
+from vecspark.sources import matrices, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -15,6 +16,8 @@ BLOCK = 512
 
 # SQL views of the bindings below.
 _V = "v AS (SELECT event_id AS idx, user_id, CAST(round(value * 100) AS BIGINT) AS val FROM events)"
+# The same in doubles: multiples of 1/64, so that sums are exact in whatever order they are taken; every 13th is negative.
+_D = "d AS (SELECT idx, user_id, CASE WHEN idx % 13 = 0 THEN -val ELSE val END / 64.0::DOUBLE AS val FROM v)"
 _A = "a AS (SELECT l_orderkey AS r, l_partkey AS c, CAST(l_quantity AS BIGINT) AS val, * FROM lineitem)"
 _X = "x AS (SELECT p_partkey AS c, CAST(round(p_retailprice * 10) AS BIGINT) AS x FROM part)"
 _CUM = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
@@ -33,6 +36,11 @@ class Tables:
     def v(self) -> DataFrame:
         return self.read("events").select(F.col("event_id").alias("idx"), "user_id", F.round(F.col("value") * 100).cast("long").alias("val"))
 
+    @property
+    def d(self) -> DataFrame:
+        val = F.when(F.col("idx") % 13 == 0, -F.col("val")).otherwise(F.col("val")) / F.lit(64.0)
+        return self.v.select("idx", "user_id", val.alias("val"))
+
     @property
     def n(self) -> int:
         return self.read("events").count()
@@ -97,6 +105,13 @@ for _name, _len in (("row_scan", 128), ("block_scan", 1024)):
     _add(_name, lambda t, n=_len: scan.block_scan(t.v, n), _with(_V) + f"SELECT idx, CAST(sum(val) OVER (PARTITION BY idx // {_len} ORDER BY idx {_CUM}) AS BIGINT) AS z FROM v")
 
 
+_DOUBLE_SCAN = _with(_V, _D) + f"SELECT idx, sum(val) OVER (ORDER BY idx {_CUM}) AS z FROM d"
+_add("scan_double", lambda t: scan.scan(t.d, BLOCK), _DOUBLE_SCAN)
+_add("scan_double_no_l2", lambda t: scan.scan(t.d, 4096, depth=2), _DOUBLE_SCAN)
+_add("scan_batch_double", lambda t: scan.batch_scan(t.d.select(F.col("user_id").alias("row"), F.col("idx").alias("col"), "val")),
+     _with(_V, _D) + f"SELECT user_id AS row, idx AS col, sum(val) OVER (PARTITION BY user_id ORDER BY idx {_CUM}) AS z FROM d")
+
+
 # B: segments
 def _flag(every: int) -> Column:
     return F.col("val") % every == 0
@@ -121,15 +136,18 @@ def _revert(t: Tables) -> DataFrame:
     return segment.seg_scan_revert(total.select("idx", "scan_x", "seg"), diff)
 
 
+_add("seg_scan_double", lambda t: segment.seg_scan(t.d.withColumn("flag", F.col("idx") % 97 == 5), BLOCK),
+     _with(_V, _D, f"s AS (SELECT idx, val, CAST(sum(CASE WHEN idx % 97 = 5 THEN 1 ELSE 0 END) OVER (ORDER BY idx {_CUM}) AS BIGINT) AS seg FROM d)")
+     + f"SELECT idx, seg, sum(val) OVER (PARTITION BY seg ORDER BY idx {_CUM}) AS z FROM s")
 _add("seg_scan_revert", _revert, _seg_scan_sql(97, "idx"))
 _add("seg_sum_flags", lambda t: segment.seg_sum_flags(t.v.withColumn("end", _flag(97)), BLOCK),
      _with(_V, "s AS (SELECT val, val % 97 = 0 AS f, CAST(coalesce(sum(CASE WHEN val % 97 = 0 THEN 1 ELSE 0 END) OVER (ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS seg FROM v)")
      + "SELECT seg, CAST(sum(val) AS BIGINT) AS total FROM s GROUP BY seg HAVING bool_or(f)")
 _SEG_SUM = "SELECT o_orderkey AS seg, CAST(coalesce(sum(l_quantity), 0) AS BIGINT) AS total FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1"
-_add("seg_sum_indptr", lambda t: segment.seg_sum_indptr(t.numbered, segment.counts_to_segments(t.counts, BLOCK), BLOCK), _SEG_SUM)
-_add("seg_sum_multi_core", lambda t: segment.seg_sum_indptr(t.numbered, segment.counts_to_segments(t.counts, 4096), 4096), _SEG_SUM)
-_add("seg_sum_multi_cube", lambda t: segment.seg_sum_indptr(t.numbered, segment.counts_to_segments(t.counts, 1024), 1024), _SEG_SUM)
-_add("seg_sum_starts", lambda t: segment.seg_sum_indptr(t.numbered, segment.starts_to_segments(segment.counts_to_segments(t.counts, BLOCK).select("seg", "start"), t.read("lineitem").count()), BLOCK), _SEG_SUM)
+_add("seg_sum_indptr", lambda t: segment.seg_sum_indptr(t.numbered, segment.counts_to_segments(t.counts, BLOCK)), _SEG_SUM)
+_add("seg_sum_multi_core", lambda t: segment.seg_sum_indptr(t.numbered, segment.counts_to_segments(t.counts, 4096), 256), _SEG_SUM)
+_add("seg_sum_multi_cube", lambda t: segment.seg_sum_indptr(t.numbered, segment.counts_to_segments(t.counts, 1024), 128), _SEG_SUM)
+_add("seg_sum_starts", lambda t: segment.seg_sum_indptr(t.numbered, segment.starts_to_segments(segment.counts_to_segments(t.counts, BLOCK).select("seg", "start"), t.read("lineitem").count())), _SEG_SUM)
 
 # C: sparse products
 _SPMV = _with(_A, _X) + "SELECT o_orderkey AS row, CAST(coalesce(sum(a.val * x.x), 0) AS BIGINT) AS y FROM orders LEFT JOIN a ON a.r = o_orderkey LEFT JOIN x ON x.c = a.c GROUP BY 1"
@@ -140,6 +158,8 @@ _add("spmv_via_scan", lambda t: sparse.spmv_via_scan(t.numbered, t.x, t.rows, BL
 _add("spmv_multi_cube", lambda t: sparse.spmv_via_scan(t.numbered, t.x, t.rows, 1024), _SPMV)
 _add("spmm", lambda t: sparse.spmm(t.a, t.x.select("col", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))).alias("j"), "x").withColumn("x", F.col("x") % (F.col("j") + 7))),
      _with(_A, _X) + "SELECT r AS row, CAST(j AS BIGINT) AS j, CAST(sum(val * (x % (j + 7))) AS BIGINT) AS y FROM a JOIN x ON a.c = x.c, range(3) t(j) GROUP BY 1, 2")
+_add("spmv_double", lambda t: sparse.spmv(t.a.withColumn("val", F.col("val") / 8.0), t.x.withColumn("x", F.col("x") / 16.0), t.rows),
+     _with(_A, _X) + "SELECT o_orderkey AS row, coalesce(sum(a.val / 8.0::DOUBLE * (x.x / 16.0::DOUBLE)), 0) AS y FROM orders LEFT JOIN a ON a.r = o_orderkey LEFT JOIN x ON x.c = a.c GROUP BY 1")
 _add("csr_to_flags", lambda t: sparse.csr_to_flags(t.counts, BLOCK),
      "WITH c AS (SELECT l_orderkey AS r, count(*) AS n FROM lineitem GROUP BY 1) SELECT CAST(sum(n) OVER (ORDER BY r) - n AS BIGINT) AS idx FROM c")
 
@@ -162,10 +182,19 @@ _add("searchsorted_edges", _edges,
      _with(_V, "e AS (SELECT min(val) AS lo, max(val) AS hi FROM v)", "d AS (SELECT CAST(unnest(range(6)) AS BIGINT) AS needle_id, unnest([lo - 1, lo, lo + 1, hi - 1, hi, hi + 1]) AS needle FROM e)")
      + "SELECT needle_id, (SELECT count(*) FROM v WHERE val < needle) AS pos FROM d")
 
+_add("searchsorted_double", lambda t: gather.searchsorted(t.d.select(F.col("val").alias("key")), t.x.select(F.col("col").alias("needle_id"), (F.col("x") / 64.0 - 100).alias("needle")), 1024),
+     _with(_V, _D, _X, "h AS (SELECT val, count(*) AS n FROM d GROUP BY 1)") + "SELECT c AS needle_id, CAST(coalesce(sum(n), 0) AS BIGINT) AS pos FROM x LEFT JOIN h ON h.val < x.x / 64.0::DOUBLE - 100 GROUP BY c")
+
+
 # E: order
 _SORT = _with(_V) + "SELECT row_number() OVER (ORDER BY val, idx) - 1 AS pos, {} FROM v"
 _add("sort_asc", lambda t: order.argsort(t.v, 1024).select("pos", "val"), _SORT.format("val"))
 _add("argsort", lambda t: order.argsort(t.v, 1024).select("pos", "idx"), _SORT.format("idx"))
+_DOUBLE_SORT = _with(_V, _D) + "SELECT row_number() OVER (ORDER BY val, idx) - 1 AS pos, {} FROM d"
+_add("sort_double", lambda t: order.argsort(t.d, 1024).select("pos", "val"), _DOUBLE_SORT.format("val"))
+_add("argsort_double", lambda t: order.argsort(t.d, 1024).select("pos", "idx"), _DOUBLE_SORT.format("idx"))
+_add("argsort_few_values", lambda t: order.argsort(t.v.select("idx", F.when(F.col("val") % 3 > 0, F.col("val") % 3).alias("val")), 256),
+     _with(_V) + "SELECT row_number() OVER (ORDER BY w NULLS FIRST, idx) - 1 AS pos, w AS val, idx FROM (SELECT idx, CASE WHEN val % 3 > 0 THEN val % 3 END AS w FROM v)")
 _TOP = _with(_V) + "SELECT idx, val FROM v ORDER BY val DESC, idx LIMIT {}"
 _add("topk_int", lambda t: order.topk(t.v, 100), _TOP.format(100))
 _add("topk_k1", lambda t: order.topk(t.v, 1), _TOP.format(1))
@@ -256,6 +285,25 @@ _add("tri_inv_cube", lambda t: linalg.tri_inverse(_square(t, 1), _SIDE, False),
 _add("triu_inv_strict", lambda t: linalg.tri_inverse(_square(t, 0), _SIDE, True), _INVERSE.format("BIGINT"))
 
 
+def _banded(t: Tables, n: int) -> DataFrame:
+    """Unit upper triangles with two small bands above the diagonal: exact inverses of any side."""
+    at = F.sequence(F.lit(0), F.lit(n * n - 1))
+    band = lambda b, k: F.when((k % n - F.floor(k / n)).isin(1, 2), (F.floor(k / n) + 2 * (k % n) + b) % 3 - 1).otherwise(0).cast("long")
+    return t.spark.range(3).select(F.col("id").alias("b"), F.transform(at, lambda k: band(F.col("id"), k)).alias("m"))
+
+
+_BANDED = """WITH RECURSIVE u AS (
+  SELECT b, i, j, CAST((i + 2 * j + b) % 3 - 1 AS BIGINT) AS val FROM range(3) t(b), range({n}) x(i), range({n}) y(j) WHERE j - i IN (1, 2)),
+p AS (
+  SELECT 0 AS step, b, i, i AS j, CAST(1 AS BIGINT) AS val FROM range(3) t(b), range({n}) x(i)
+  UNION ALL
+  SELECT step + 1, p.b, p.i, u.j, CAST(sum(-p.val * u.val) AS BIGINT) FROM p JOIN u ON p.b = u.b AND p.j = u.i WHERE step < {n} GROUP BY step + 1, p.b, p.i, u.j),
+s AS (SELECT b, i, j, CAST(sum(val) AS BIGINT) AS val FROM p GROUP BY 1, 2, 3)
+SELECT t.b, x.i, y.j, coalesce(s.val, 0) AS val FROM range(3) t(b), range({n}) x(i), range({n}) y(j) LEFT JOIN s ON s.b = t.b AND s.i = x.i AND s.j = y.j"""
+for _n in (16, 32, 64):
+    _add(f"tri_inv_{_n}", lambda t, n=_n: linalg.tri_inverse(_banded(t, n), n, True), _BANDED.replace("{n}", str(_n)))
+
+
 def _gram(t: Tables) -> DataFrame:
     """Column products of the embeddings: both sides have one row a dimension, so the result has 64 x 64."""
     d = t.dense.select(F.col("col").alias("row"), F.col("row").alias("k"), "val")
@@ -301,3 +349,28 @@ def _weights(t: Tables) -> DataFrame:
 
 _add("top_p_weights", _weights, _TOP_P + "SELECT idx, round(val / CAST(sum(val) OVER () AS DOUBLE), 9) AS weight FROM k")
 _add("top_p_sample", lambda t: sampling.top_p_sample(t.v, 0.5, 0.625), _TOP_P + "SELECT idx FROM (SELECT idx, before, val, 0.625 * sum(val) OVER () AS t FROM k) WHERE before <= t AND t < before + val")
+_add("top_p_probabilities", lambda t: sampling.top_p(t.v.select("idx", (F.col("val") / F.lit(float(1 << 20))).alias("val")), 0.5, BLOCK).select("idx", "before"),
+     _TOP_P + "SELECT idx, before / 1048576.0::DOUBLE AS before FROM k")
+
+# K: sources
+_add("from_table", lambda t: vectors.from_table(t.read("orders").select("o_orderkey", F.col("o_custkey").alias("cust")), "o_orderkey", "cust", width=1024),
+     "SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS idx, o_custkey AS val FROM orders")
+_add("from_array_column", lambda t: vectors.from_array_column(t.read("embeddings"), "vec_id", "embedding").select("row", "col", F.col("val").cast("double").alias("val")),
+     "SELECT vec_id AS row, CAST(k AS BIGINT) AS col, CAST(embedding[k + 1] AS DOUBLE) AS val FROM embeddings, range(64) t(k)")
+
+
+def _market(t: Tables) -> DataFrame:
+    """Orders and customers written as a symmetric Matrix Market file and read back."""
+    head = ["%%MatrixMarket matrix coordinate real symmetric", "% a comment", "", "9 9 9"]
+    top = t.spark.createDataFrame([(x,) for x in head], "value string").coalesce(1)
+    body = t.read("orders").select(F.concat_ws(" ", F.col("o_orderkey") + 1, F.col("o_custkey") + 1, F.format_string("%d.5", F.col("o_orderkey") % 7)).alias("value"))
+    return matrices.parse_matrix_market(top.unionAll(body).unionAll(t.spark.createDataFrame([("9 9 9",)], "value string")))
+
+
+_add("matrix_market", _market,
+     "WITH e AS (SELECT o_orderkey AS r, o_custkey AS c, o_orderkey % 7 + 0.5::DOUBLE AS val FROM orders UNION ALL SELECT 8, 8, 9.0::DOUBLE) "
+     "SELECT r AS row, c AS col, val FROM e UNION ALL SELECT c, r, val FROM e WHERE r <> c")
+_add("block_sparse", lambda t: matrices.block_sparse(t.spark, 256, 16, 1, 2, 0),
+     "WITH b AS (SELECT i, j FROM range(16) x(i), range(16) y(j) WHERE abs(i - j) <= 1 OR j < 2) "
+     "SELECT i * 16 + c // 16 AS row, j * 16 + c % 16 AS col, 1.0::DOUBLE AS val FROM b, range(256) t(c)")
+_add("random_matrix", lambda t: matrices.random_matrix(t.spark, 1000, 500, 20_000, power=1.0))

@@ -7,15 +7,27 @@ from pyspark.sql import functions as F
 
 
 def read_matrix_market(spark: SparkSession, path: str) -> DataFrame:
-    """(row, col, val) from a Matrix Market coordinate file: zero-based, symmetric entries mirrored, patterns as 1."""
-    lines = spark.read.text(path)
+    """(row, col, val) from a Matrix Market coordinate file; see parse_matrix_market."""
+    return parse_matrix_market(spark.read.text(path))
+
+
+def parse_matrix_market(lines: DataFrame) -> DataFrame:
+    """(row, col, val) from the lines (value) of a Matrix Market coordinate file, in their order: zero-based, symmetric
+    entries mirrored, patterns as 1.
+
+    Comments begin with %. Of the other lines the first, which has three numbers, gives the size and is left out, once;
+    an entry that reads the same is an entry.
+    """
     head = (lines.where("value LIKE '%%MatrixMarket%'").first() or [""])[0].lower().split()
     if len(head) < 5 or head[2] != "coordinate" or head[3] == "complex" or head[4] not in ("general", "symmetric", "skew-symmetric"):
         raise ValueError(f"not a supported coordinate header: {' '.join(head)}")
-    body = lines.where("value NOT LIKE '\\%%' AND trim(value) <> ''").select(F.split(F.trim("value"), r"\s+").alias("f"))
-    rows = body.where(F.size("f") == (2 if head[3] == "pattern" else 3)) if head[3] == "pattern" else body
-    size = lines.where("value NOT LIKE '\\%%' AND trim(value) <> ''").select(F.trim("value").alias("s")).first()[0]
-    rows = rows.where(F.concat_ws(" ", "f") != " ".join(size.split()))
+    # Lines of one file keep their order in ids that grow with the partition and the line.
+    body = lines.withColumn("_at", F.monotonically_increasing_id()).where("value NOT LIKE '\\%%' AND trim(value) <> ''")
+    rows = body.select("_at", F.split(F.trim("value"), r"\s+").alias("f"))
+    if head[3] == "pattern":  # entries have two numbers, the size three
+        rows = rows.where("size(f) = 2")
+    else:
+        rows = rows.where(F.col("_at") != rows.agg(F.min("_at")).first()[0])
     val = F.lit(1.0) if head[3] == "pattern" else F.col("f")[2].cast("double")
     out = rows.select((F.col("f")[0].cast("long") - 1).alias("row"), (F.col("f")[1].cast("long") - 1).alias("col"), val.alias("val"))
     if head[4] == "general":
