@@ -9,7 +9,11 @@ BEGIN, END = "<|im_start|>", "<|im_end|>\n"
 
 
 def conversations(turns: DataFrame) -> DataFrame:
-    """(conv_id, turns): each conversation's turns (turn, role, text), in order. Repeated rows count once."""
+    """(conv_id, turns): each conversation's turns (turn, role, text), in order; of one turn number by role, then text.
+
+    Repeated rows count once. A conversation is one value: a very long one is held as a whole. Other columns are not
+    looked at. No rows in, no rows out.
+    """
     row = F.struct(F.col("turn").cast("int").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     return turns.groupBy(F.col("conv_id").cast("long").alias("conv_id")).agg(F.array_sort(F.collect_set(row)).alias("turns"))
 
@@ -17,13 +21,20 @@ def conversations(turns: DataFrame) -> DataFrame:
 def paired_by_opening(talks: DataFrame) -> DataFrame:
     """(chosen_id, rejected_id): each conversation and the next by conv_id that opens with the same turn.
 
-    A stand-in for labelled preferences: linear in the number of conversations, however many share an opening. The
-    window sees ids and digests only. Conversations with a null id, without turns or alone in their opening are in no pair.
+    A stand-in for labelled preferences: linear in the number of conversations, however many share an opening. Windows
+    see ids and digests only, of 1024 neighbouring ids; the last of these takes the first of the next ones with the same
+    opening, found among one row each. Conversations with a null id, without turns or alone in their opening are in no
+    pair.
     """
     opening = F.try_element_at("turns", F.lit(1))
     rows = talks.where("conv_id IS NOT NULL AND size(turns) > 0").select("conv_id", F.sha2(F.to_json(F.struct(opening["role"], opening["text"])), 256).alias("opening"))
-    after = F.lead("conv_id").over(Window.partitionBy("opening").orderBy("conv_id"))
-    return rows.withColumn("rejected_id", after).where("rejected_id IS NOT NULL").select(F.col("conv_id").alias("chosen_id"), "rejected_id")
+    rows = rows.withColumn("near", F.expr("conv_id div 1024"))
+    after = F.lead("conv_id").over(Window.partitionBy("opening", "near").orderBy("conv_id"))
+    heads = rows.groupBy("opening", "near").agg(F.min("conv_id").alias("head"))
+    heads = heads.withColumn("next", F.lead("head").over(Window.partitionBy("opening").orderBy("head"))).drop("head")
+    both = rows.withColumn("after", after).join(heads, ["opening", "near"])
+    out = both.select(F.col("conv_id").alias("chosen_id"), F.coalesce("after", "next").alias("rejected_id"))
+    return out.where("rejected_id IS NOT NULL")
 
 
 def paired_by_number(talks: DataFrame) -> DataFrame:

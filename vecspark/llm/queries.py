@@ -61,9 +61,42 @@ def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prompt and completions of every two successive conversations with one opening, and of every two by number."""
+    """Prompt and completions of every two successive conversations with one opening, and of every two by number.
+
+    Of a completion: its segments as one text, and for each of them 1 if it is trained on, else 0.
+    """
     talks = conversations(_read(spark, sf_dir, "conversations"))
-    return format_preferences(talks, paired_by_opening(talks).union(paired_by_number(talks)).distinct())
+    out = format_preferences(talks, paired_by_opening(talks).union(paired_by_number(talks)).distinct())
+    joined = lambda c: F.concat_ws("", F.transform(c, lambda x: x["text"]))
+    mask = lambda c: F.concat_ws("", F.transform(c, lambda x: x["train"].cast("int").cast("string")))
+    sides = [f(c).alias(n) for c in ("chosen", "rejected") for f, n in ((joined, c), (mask, f"{c}_mask"))]
+    return out.select("chosen_id", "rejected_id", "shared_turns", "prompt", *sides)
+
+
+OP5_SQL = """
+WITH t AS (SELECT DISTINCT conv_id, CAST(turn AS INTEGER) AS turn, role, text FROM conversations WHERE conv_id IS NOT NULL),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS k FROM t),
+o AS (SELECT conv_id, role, text FROM n WHERE k = 1),
+p AS (SELECT conv_id AS chosen_id, lead(conv_id) OVER (PARTITION BY role, text ORDER BY conv_id) AS rejected_id FROM o),
+q AS (SELECT * FROM p WHERE rejected_id IS NOT NULL UNION SELECT a.conv_id, b.conv_id FROM o a JOIN o b ON b.conv_id = a.conv_id + 1 WHERE a.conv_id % 2 = 0),
+c AS (SELECT q.*, n.k, n.role, n.text FROM q JOIN n ON n.conv_id = q.chosen_id),
+m AS (
+  SELECT c.chosen_id, c.rejected_id, count(*) AS size,
+         min(c.k) FILTER (WHERE r.k IS NULL OR c.role IS DISTINCT FROM r.role OR c.text IS DISTINCT FROM r.text) AS differ
+  FROM c LEFT JOIN n r ON r.conv_id = c.rejected_id AND r.k = c.k GROUP BY 1, 2),
+s AS (SELECT chosen_id, rejected_id, CAST(coalesce(differ - 1, size) AS INTEGER) AS shared_turns FROM m),
+g AS (
+  SELECT conv_id, k, '<|im_start|>' || replace(coalesce(role, ''), '<|', '< |') || chr(10) || replace(coalesce(text, ''), '<|', '< |') || '<|im_end|>' || chr(10) AS seg,
+         CASE WHEN role = 'assistant' THEN '1' ELSE '0' END AS train FROM n),
+x AS (
+  SELECT s.chosen_id, s.rejected_id, s.shared_turns, coalesce(string_agg(seg, '' ORDER BY k) FILTER (WHERE k <= shared_turns), '') AS prompt,
+         coalesce(string_agg(seg, '' ORDER BY k) FILTER (WHERE k > shared_turns), '') AS chosen, coalesce(string_agg(train, '' ORDER BY k) FILTER (WHERE k > shared_turns), '') AS chosen_mask
+  FROM s JOIN g ON g.conv_id = s.chosen_id GROUP BY 1, 2, 3),
+y AS (
+  SELECT s.chosen_id, s.rejected_id, coalesce(string_agg(seg, '' ORDER BY k) FILTER (WHERE k > shared_turns), '') AS rejected, coalesce(string_agg(train, '' ORDER BY k) FILTER (WHERE k > shared_turns), '') AS rejected_mask
+  FROM s JOIN g ON g.conv_id = s.rejected_id GROUP BY 1, 2)
+SELECT x.*, y.rejected, y.rejected_mask FROM x JOIN y ON x.chosen_id = y.chosen_id AND x.rejected_id = y.rejected_id
+"""
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,4 +172,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality": op9_quality,
     "op10_mixing": op10_mixing,
 }
-ORACLES: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op10_mixing": OP10_SQL}
+ORACLES: dict[str, str] = {"op1_exact_dedup": OP1_SQL, "op5_preferences": OP5_SQL, "op10_mixing": OP10_SQL}
