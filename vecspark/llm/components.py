@@ -57,7 +57,7 @@ def deal(key: np.ndarray, thing: np.ndarray, n: np.ndarray, low: np.ndarray, hot
     """
     h = mix(key.astype(np.uint64))
     bucket = np.where(hot, -1 - (mix(thing.view(np.uint64)) >> np.uint64(40)).astype(np.int64) % buckets, (h >> np.uint64(24)).astype(np.int64) % buckets)
-    order = np.lexsort((thing, bucket))
+    order = np.argsort(bucket.astype(np.int16) if buckets < 1 << 15 else bucket, kind="stable")
     bucket, h, thing, n, low = bucket[order], h[order], thing[order], n[order], low[order]
     cut = np.flatnonzero(np.r_[True, np.diff(bucket) != 0, True]) if len(bucket) else np.zeros(1, np.int64)
     squeeze = zstandard.ZstdCompressor(level=1).compress
@@ -102,7 +102,7 @@ def _meet(percent: int) -> Callable:
         if bucket < 0:
             yield _found(key | (1 << 60), thing, pa.nulls(len(key), pa.int64()), n, np.zeros(len(key)))
             return
-        order = np.lexsort((thing, key))
+        order = np.argsort((key.view(np.uint64) << np.uint64(24)) | (thing.view(np.uint64) & np.uint64(0xFFFFFF)))
         key, thing, n, low = key[order], thing[order], n[order], low[order]
         new = np.r_[True, (key[1:] != key[:-1]) | (thing[1:] != thing[:-1])]
         key, thing, n, low = key[new], thing[new], n[new], low[new]

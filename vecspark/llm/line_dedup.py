@@ -121,10 +121,15 @@ def _rare(h: np.ndarray, begin: np.ndarray, percent: int, levels: np.ndarray) ->
     else:
         lost, gram, size = edits(n), mix(h), n
     asked = np.clip(n // 16 + 1, 1, np.maximum(size - lost, 1))
-    order = np.lexsort((gram, level, line))
-    gram, line, common = gram[order], line[order], common[order]
     if not len(gram):
         return gram, line, common, asked
+    # One integer sorts by line, level and the head of the name; should two names of a line agree in that, they sort in full.
+    packed = (line.astype(np.uint64) << np.uint64(44)) | (level.astype(np.uint64) << np.uint64(36)) | (gram >> np.uint64(28))
+    order = np.argsort(packed)
+    again = packed[order[1:]] == packed[order[:-1]]
+    if len(n) >= 1 << 20 or (again & (gram[order[1:]] != gram[order[:-1]])).any():
+        order = np.lexsort((gram, level, line))
+    gram, line, common = gram[order], line[order], common[order]
     first = np.searchsorted(line, np.arange(len(n)))
     place = np.arange(len(line))
     run = np.maximum.accumulate(np.where(np.r_[True, (gram[1:] != gram[:-1]) | (line[1:] != line[:-1])], place, 0))
