@@ -55,7 +55,7 @@ def condensed(spark: SparkSession, build: Callable[[], DataFrame], name: str) ->
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def by_bytes(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+def by_bytes(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that `column` has about `limit` bytes in each; a longer text stands alone."""
     for batch in batches:
         if not batch.num_rows:
