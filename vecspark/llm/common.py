@@ -17,10 +17,13 @@ _SCOPE: ContextVar[str | None] = ContextVar("scope", default=None)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a fresh one where it is unset (local tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or a fresh local one where it is unset and Spark runs in one
+    process (tests); on a cluster an error, for executors would not see each other's files."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root:
         return root
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_FOLDERS:
         _OWN_FOLDERS[app] = "file://" + tempfile.mkdtemp(prefix="vecspark-")
