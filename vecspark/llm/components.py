@@ -152,22 +152,24 @@ def candidates(dealt: DataFrame, buckets: int, percent: int) -> tuple[DataFrame,
     return pairs, found.where("key IS NOT NULL").select("key", F.col("a").alias("id"), "n")
 
 
-def similar_components(pairs: DataFrame, rows: DataFrame, prints: DataFrame, sketch: list[str], near: Callable[[str, str], Column], judge: Callable[[DataFrame], DataFrame], growth: int = 64) -> DataFrame:
+def similar_components(pairs: DataFrame, rows: DataFrame, prints: DataFrame, sketch: list[str], near: Callable[[str, str], Column], judge: Callable[[DataFrame], DataFrame], first: Callable[[DataFrame], DataFrame] | None = None, growth: int = 64) -> DataFrame:
     """Components (v, component) of all links among candidate pairs and among things that share a key of `rows`.
 
     pairs (a, b) and rows (key, id, n) name things by 64-bit ids, prints (id, name, n and the sketch columns) by names
     that never meet by chance; judge gets pairs (a, b) of names and returns those that link. near(x, y) is a test of n
-    and sketch columns that no linked pair fails.
+    and sketch columns that no linked pair fails. first(pairs), if given, takes the place of near and judge for pairs.
 
     First the pairs are judged. Then a key's rows are compared with its first 1, 64, 4096... ones as long as they lie in
     different components, by the sketch inside the join; keys whose rows are all in one component drop out. What is
     left shrinks until every pair in two components has been compared, so no link between components is lost, and a
     group of copies costs one pair a copy.
     """
-    x, y = prints.alias("x"), prints.alias("y")
-    close = pairs.join(x, F.col("a") == F.col("x.id")).join(y, F.col("b") == F.col("y.id")).where("x.name <> y.name").where(near("x", "y"))
-    close = close.select(F.least("x.name", "y.name").alias("a"), F.greatest("x.name", "y.name").alias("b"))
-    links = materialise(judge(materialise(close, "close")), "verified")
+    if first is None:
+        x, y = prints.alias("x"), prints.alias("y")
+        close = pairs.join(x, F.col("a") == F.col("x.id")).join(y, F.col("b") == F.col("y.id")).where("x.name <> y.name").where(near("x", "y"))
+        close = close.select(F.least("x.name", "y.name").alias("a"), F.greatest("x.name", "y.name").alias("b"))
+        first = lambda _: judge(materialise(close, "close"))
+    links = materialise(first(pairs), "verified")
     labels = connected_components(links)
     names = prints.select("id", "name", *sketch)
     judged, k = None, 1
@@ -207,6 +209,17 @@ def slots_of(keys: DataFrame, column: str) -> np.ndarray:
     return out.view(np.uint64)
 
 
+def listed(slots: np.ndarray, column: str) -> Callable:
+    """For mapInArrow: the rows whose `column` (long, null: none) has its slot set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column(column)
+            yield batch.filter(pa.array(in_slots(slots, keys.fill_null(0).to_numpy()) & keys.is_valid().to_numpy(zero_copy_only=False)))
+
+    return run
+
+
 def in_slots(slots: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Whether the slots of keys are set."""
     slot = keys & ((1 << SLOT_BITS) - 1)

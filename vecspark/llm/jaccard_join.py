@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vecspark.llm.common import by_bytes, condensed, materialise, text_bytes
-from vecspark.llm.components import BUCKET, candidates, deal, in_slots, similar_components, slots_of
+from vecspark.llm.components import BUCKET, candidates, deal, in_slots, listed, similar_components, slots_of
 from vecspark.llm.words import shingles, span_hashes, words
 
 #: Counters of the frequency sketch: its size is fixed whatever the corpus, and so is what is sent to the tasks.
@@ -213,34 +213,41 @@ def _components(docs: DataFrame, size: int, percent: int) -> DataFrame:
     sketch = frequency_sketch(docs, size)
     fields = "doc_id long, key long, n int, name binary, id long, wide binary" + "".join(f", {c} long" for c in PARITY)
     base = materialise(docs.mapInArrow(_print(size), fields), "prints")
-    prints = base.where("name IS NOT NULL").groupBy("name").agg(*[F.first(c).alias(c) for c in ("id", "n", WIDE, *PARITY)], F.min("key").alias("key"))
-    prints = materialise(prints, "sets")
     buckets = max(8, int(sketch.sum()) * (100 - percent + 5) // 100 // BUCKET)
     pairs, rows = candidates(docs.select("text").mapInArrow(_prefixes(size, sketch, percent, buckets), "bucket int, tokens binary"), buckets, percent)
+    pairs = materialise(pairs, "candidates")
+    # From here on only sets that are in a pair or in a row, and by chance of slots a few others.
+    slots = slots_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).unionAll(rows.select("id")), "id")
+    prints = base.mapInArrow(listed(slots, "id"), base.schema)
+    prints = prints.groupBy("name").agg(*[F.first(c).alias(c) for c in ("id", "n", WIDE, *PARITY)], F.min("key").alias("key"))
+    prints = materialise(prints, "sets")
 
     def near(x: str, y: str) -> Column:
         differ = sum((F.bit_count(F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}"))) for c in PARITY), F.lit(0))
         n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
         return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (differ * (100 + percent) <= (n + m) * (100 - percent))
 
-    def judge(pairs: DataFrame) -> DataFrame:
-        """The pairs that link: wide sketches first, then the whole sets of what is left, each fetched once."""
-        s, t = (prints.select("name", "n", WIDE).alias(c) for c in "st")
-        both = pairs.join(s, F.col("a") == F.col("s.name")).join(t, F.col("b") == F.col("t.name"))
-        both = both.select("a", "b", (F.col("s.n") + F.col("t.n")).alias("n"), F.col(f"s.{WIDE}").alias("u"), F.col(f"t.{WIDE}").alias("v"))
-        pairs = materialise(both.mapInArrow(_refute(percent), "a binary, b binary"), "likely")
+    def likely(pairs: DataFrame, by: str) -> DataFrame:
+        """Pairs (a, b) of names or ids whose wide sketches leave room for a link, as names."""
+        s, t = (prints.select(by, "n", "name", WIDE).alias(c) for c in "st")
+        both = pairs.join(s, F.col("a") == F.col(f"s.{by}")).join(t, F.col("b") == F.col(f"t.{by}")).where("s.name <> t.name")
+        both = both.select(F.least("s.name", "t.name").alias("a"), F.greatest("s.name", "t.name").alias("b"), (F.col("s.n") + F.col("t.n")).alias("n"), F.col(f"s.{WIDE}").alias("u"), F.col(f"t.{WIDE}").alias("v"))
+        return materialise(both.mapInArrow(_refute(percent), "a binary, b binary"), "likely")
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        """The pairs that link by their whole sets; only sets of pairs are fetched, each once."""
         if pairs.isEmpty():
             return pairs
         asked = pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct()
         slots = slots_of(prints.select("name", "key").join(asked, "name"), "key")
         sets = docs.select("key", "text").mapInArrow(_whole(size, slots), "name binary, toks array<long>")
-        sets = materialise(sets.join(asked, "name").groupBy("name").agg(F.first("toks").alias("toks")), "whole")
+        sets = sets.join(asked, "name").groupBy("name").agg(F.first("toks").alias("toks"))
         s, t = sets.alias("s"), sets.alias("t")
         both = pairs.join(s, F.col("a") == F.col("s.name")).join(t, F.col("b") == F.col("t.name"))
         common = F.size(F.array_intersect("s.toks", "t.toks"))
         return both.where(common * 100 >= percent * (F.size("s.toks") + F.size("t.toks") - common)).select("a", "b")
 
-    labels = similar_components(pairs, rows, prints.drop(WIDE), PARITY, near, judge)
+    labels = similar_components(pairs, rows, prints.drop(WIDE), PARITY, near, lambda p: verify(likely(p, "name")), lambda p: verify(likely(p, "id")))
     members = base.select("doc_id", "key", "n", "name").join(labels, F.col("name") == F.col("v"), "left").select("doc_id", "key", "n", "name", F.coalesce("component", "name").alias("component"))
     least = members.where("name IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("least"))
     out = members.join(least, "component", "left")
