@@ -166,3 +166,14 @@ def test_empty_tables(spark, folder, tmp_path):
 
 def test_lower():
     assert lower("AÄ") == "aÄ"
+
+
+def test_substrings_repeated_ids(spark):
+    from vecspark.llm.substring_dedup import dedup_substrings
+
+    a, b = "".join(chr(97 + i * i % 25) + str(i) for i in range(60)), "".join(chr(98 + i * 3 % 23) + str(i * 7) for i in range(60))
+    rows = [(2, a, None, None), (2, b, None, None), (3, "x" + a, None, None), (None, "own text", None, None), (None, b[:130], None, None), (2, a, None, None)]
+    out = sorted((str(r.doc_id), r.n_bytes, r.n_removed) for r in dedup_substrings(table(spark, rows)).collect())
+    n, m = len(a), len(b)
+    assert n >= 130 and m >= 140
+    assert out == sorted([("2", n, 0), ("2", n, 0), ("2", m, 130), ("3", n + 1, n), ("None", 8, 0), ("None", 130, 0)])

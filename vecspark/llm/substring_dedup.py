@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from vecspark.llm.common import by_bytes, materialise, text_bytes
 from vecspark.llm.words import constants, mix
+from vecspark.operators.order import argsort
 
 GRAM = 32  # bytes, a multiple of 8, of the anchors by which windows are dealt to shards
 SLOT_BITS = 25
@@ -327,17 +328,31 @@ def _remove(columns: list[str]) -> Callable:
     return run
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs with _sid: doc_id, or where ids repeat the place of (doc_id, text) among all."""
+    ids = docs.select(F.col("doc_id").cast("long").alias("val"))
+    if ids.groupBy("val").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        return docs.withColumn("_sid", F.col("doc_id").cast("long"))
+    key = F.xxhash64(F.col("text").cast("string"))
+    places = docs.select(F.col("doc_id").cast("long").alias("val"), key.alias("idx")).distinct()
+    places = materialise(argsort(places), "places")
+    both = docs.join(places, F.col("doc_id").cast("long").eqNullSafe(F.col("val")) & (key == F.col("idx")))
+    return both.withColumnRenamed("pos", "_sid").drop("val", "idx")
+
+
 def dedup_substrings(docs: DataFrame, width: int = 100) -> DataFrame:
     """Each row of docs with n_bytes, n_removed, n_spans and kept, its text's bytes without repeated_spans.
 
     A byte goes if a `width`-byte string that covers it also starts earlier: in a smaller doc_id, or before it in the
     same text; strings are those of the input. kept may not be valid UTF-8 where a string begins inside a character.
-    Null text is empty. Rows that repeat a doc_id are the same text to this operator: what goes from one goes from the
-    other, and they do not count as copies of each other. A null doc_id comes first. Columns of docs with the added
-    names are replaced. No rows in, no rows out.
+    Null text is empty. Rows that repeat a doc_id with other texts are documents of their own, in the order of a hash of
+    the text; rows that repeat both are one document: what goes from one goes from the other, and they do not count as
+    copies of each other. A null doc_id comes first. A very long text is read as a whole by one task. Columns of docs with
+    the added names are replaced. No rows in, no rows out.
     """
-    docs = docs.drop("n_bytes", "n_removed", "n_spans", "kept")
-    spans = repeated_spans(docs, width).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("_spans")).withColumnRenamed("doc_id", "_id")
-    rows = docs.join(spans, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left").drop("_id")
+    docs = _numbered(docs.drop("n_bytes", "n_removed", "n_spans", "kept"))
+    spans = repeated_spans(docs.select(F.col("_sid").alias("doc_id"), "text"), width).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("_spans")).withColumnRenamed("doc_id", "_id")
+    rows = docs.join(spans, F.col("_sid").eqNullSafe(F.col("_id")), "left").drop("_id", "_sid")
+    docs = docs.drop("_sid")
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
     return rows.mapInArrow(_remove(docs.columns), ", ".join([*fields, "n_bytes long", "n_removed long", "n_spans long", "kept binary"]))
