@@ -18,6 +18,7 @@ SMALL = 32
 #: Tokens of a bucket on the average; a bucket is read as a whole by one task.
 BUCKET = 250_000
 _KEY_BYTES = 5
+_HOT = 1 << 60
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -100,8 +101,9 @@ def _meet(percent: int) -> Callable:
         key, thing, n, low = _dealt(blobs)
         none = np.zeros(0, np.int64)
         if bucket < 0:
-            yield _found(key | (1 << 60), thing, pa.nulls(len(key), pa.int64()), n, np.zeros(len(key)))
+            yield _found(key | _HOT, thing, pa.nulls(len(key), pa.int64()), n, np.zeros(len(key)))
             return
+        # Where the low bits of things agree by chance, a thing told twice may count twice: a candidate more, none less.
         order = np.argsort((key.view(np.uint64) << np.uint64(24)) | (thing.view(np.uint64) & np.uint64(0xFFFFFF)))
         key, thing, n, low = key[order], thing[order], n[order], low[order]
         new = np.r_[True, (key[1:] != key[:-1]) | (thing[1:] != thing[:-1])]
@@ -149,7 +151,9 @@ def candidates(dealt: DataFrame, buckets: int, percent: int) -> tuple[DataFrame,
     found = dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet(percent), _FOUND)
     found = materialise(found, "met")
     pairs = found.where("key IS NULL").groupBy("a", "b").agg(F.sum("c").alias("c"), F.min("n").alias("n")).where("c >= n").select("a", "b")
-    return pairs, found.where("key IS NOT NULL").select("key", F.col("a").alias("id"), "n")
+    rows = found.where("key IS NOT NULL").select("key", F.col("a").alias("id"), "n")
+    hot = F.col("key") >= _HOT  # of these, each task has told what it holds
+    return pairs, rows.where(~hot).unionAll(rows.where(hot).distinct())
 
 
 def similar_components(pairs: DataFrame, rows: DataFrame, prints: DataFrame, sketch: list[str], near: Callable[[str, str], Column], judge: Callable[[DataFrame], DataFrame], first: Callable[[DataFrame], DataFrame] | None = None, growth: int = 64) -> DataFrame:
@@ -177,9 +181,9 @@ def similar_components(pairs: DataFrame, rows: DataFrame, prints: DataFrame, ske
         where = rows.join(names, "id").join(labels, F.col("name") == F.col("v"), "left")
         where = materialise(where.select("key", "id", "n", "name", F.coalesce("component", "name").alias("comp"), *sketch), "open")
         mixed = where.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select(F.col("key").alias("m"))
-        where = where.join(mixed, F.col("key") == F.col("m"), "left_semi")
         turn = Window.partitionBy("key").orderBy("name")
-        lead = materialise(where.withColumn("rn", F.row_number().over(turn)).where(F.col("rn") <= k).drop("rn"), "leaders")
+        lead = where.withColumn("rn", F.row_number().over(turn)).where(F.col("rn") <= k).drop("rn")
+        lead = materialise(lead.join(mixed, F.col("key") == F.col("m"), "left_semi"), "leaders")
         if lead.isEmpty():
             return labels
         met = where.alias("x").join(lead.alias("y"), "key").where("x.comp <> y.comp").where(near("x", "y"))
@@ -192,7 +196,8 @@ def similar_components(pairs: DataFrame, rows: DataFrame, prints: DataFrame, ske
         if not told.isEmpty():
             links = links.unionAll(told)
             labels = connected_components(links)
-        rows = where.select("key", "id", "n").join(lead.select("key", "id"), ["key", "id"], "left_anti")
+        last = lead.groupBy("key").agg(F.max("name").alias("last"))  # leaders are the first by name
+        rows = where.select("key", "id", "n", "name").join(last, "key").where("name > last").select("key", "id", "n")
         k *= growth
 
 
