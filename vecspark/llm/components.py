@@ -18,7 +18,6 @@ SMALL = 32
 #: Tokens of a bucket on the average; a bucket is read as a whole by one task.
 BUCKET = 250_000
 _KEY_BYTES = 5
-_HOT = 1 << 60
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -101,7 +100,7 @@ def _meet(percent: int) -> Callable:
         key, thing, n, low = _dealt(blobs)
         none = np.zeros(0, np.int64)
         if bucket < 0:
-            yield _found(key | _HOT, thing, pa.nulls(len(key), pa.int64()), n, np.zeros(len(key)))
+            yield _found(-1 - key, thing, pa.nulls(len(key), pa.int64()), n, np.zeros(len(key)))
             return
         # Where the low bits of things agree by chance, a thing told twice may count twice: a candidate more, none less.
         order = np.argsort((key.view(np.uint64) << np.uint64(24)) | (thing.view(np.uint64) & np.uint64(0xFFFFFF)))
@@ -112,7 +111,8 @@ def _meet(percent: int) -> Callable:
         count = np.diff(np.r_[begin, len(key)])
         many = np.repeat(count > SMALL, count)
         if many.any():
-            yield _found(key[many] + (bucket << 40), thing[many], pa.nulls(int(many.sum()), pa.int64()), n[many], np.zeros(int(many.sum())))
+            name = (mix(key.view(np.uint64) + np.uint64(bucket << 40 & (1 << 64) - 1)) >> np.uint64(1)).view(np.int64)
+            yield _found(name[many], thing[many], pa.nulls(int(many.sum()), pa.int64()), n[many], np.zeros(int(many.sum())))
         x, y = [none], [none]
         for d in range(1, SMALL):  # every place and the one d further on, inside a key
             at = np.flatnonzero(~many[:-d] & (key[d:] == key[:-d])) if len(key) > d else none
@@ -152,7 +152,7 @@ def candidates(dealt: DataFrame, buckets: int, percent: int) -> tuple[DataFrame,
     found = materialise(found, "met")
     pairs = found.where("key IS NULL").groupBy("a", "b").agg(F.sum("c").alias("c"), F.min("n").alias("n")).where("c >= n").select("a", "b")
     rows = found.where("key IS NOT NULL").select("key", F.col("a").alias("id"), "n")
-    hot = F.col("key") >= _HOT  # of these, each task has told what it holds
+    hot = F.col("key") < 0  # of these, each task has told what it holds
     return pairs, rows.where(~hot).unionAll(rows.where(hot).distinct())
 
 
