@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vecspark.llm.common import by_bytes, condensed, materialise, text_bytes
-from vecspark.llm.components import BUCKET, candidates, deal, in_slots, similar_components, slots_of
+from vecspark.llm.components import BUCKET, candidates, deal, in_slots, listed, similar_components, slots_of
 from vecspark.llm.words import NOT_WORD, constants, mix, span_hashes, words
 
 SKETCH_BITS = 18  # of the counters of word frequency: their size is fixed whatever the corpus
@@ -298,11 +298,16 @@ def _repeated(docs: DataFrame, percent: int, fewest: int, shortest: int) -> Data
     return out.groupBy("doc_id", "key").agg(F.array_sort(F.collect_set("line")).alias("lines"))
 
 
-def _cut(columns: list[str]):  # noqa: ANN202
+def _cut(columns: list[str], others: np.ndarray | None = None):  # noqa: ANN202
+    """Texts without the lines listed with them; with `others`, the texts whose slot is not set, as they are."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            gone_lines = [None] * batch.num_rows if others is not None else batch.column("_vs_lines").to_pylist()
+            if others is not None:
+                batch = batch.filter(pa.array(~in_slots(others, batch.column("_vs_text_key").to_numpy())))
             texts, all_lines, lost = batch.column("text").to_pylist(), [], []
-            for i, gone in enumerate(batch.column("_lines").to_pylist()):
+            for i, gone in enumerate(gone_lines[: batch.num_rows]):
                 lines = (texts[i] or "").split("\n")
                 all_lines.append(len(lines) if texts[i] else 0)
                 lost.append(len(gone or ()))
@@ -322,8 +327,13 @@ def dedup_lines(docs: DataFrame, percent: int = 80, fewest: int = 5, shortest: i
     n_removed are replaced; a null text stays null.
     """
     docs = docs.drop("n_lines", "n_removed")
-    gone = repeated_lines(docs, percent, fewest, shortest).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("lines").alias("_lines"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_key"))
-    rows = docs.join(gone, same, "left").drop("_id", "_key")
+    gone = repeated_lines(docs, percent, fewest, shortest).select(F.col("doc_id").alias("_vs_id"), F.col("key").alias("_vs_key"), F.col("lines").alias("_vs_lines"))
+    # Only texts whose slot is set can lose a line and are shuffled to meet their lines; the others stay where they are.
+    slots = slots_of(gone, "_vs_key")
+    keyed = docs.withColumn("_vs_text_key", F.xxhash64(F.col("text").cast("string")))
+    some = keyed.mapInArrow(listed(slots, "_vs_text_key"), keyed.schema)
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_vs_id")) & (F.col("_vs_text_key") == F.col("_vs_key"))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
-    return rows.mapInArrow(_cut(docs.columns), ", ".join([*fields, "n_lines int", "n_removed int"]))
+    schema = ", ".join([*fields, "n_lines int", "n_removed int"])
+    cut = some.join(gone, same, "left").mapInArrow(_cut(docs.columns), schema)
+    return cut.unionAll(keyed.mapInArrow(_cut(docs.columns, slots), schema))

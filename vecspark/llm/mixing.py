@@ -61,27 +61,27 @@ def _when(q: Column, rank: Column, schedules: Sequence[Sequence[tuple[float, flo
 
 
 def _planned(rows: DataFrame, weights: Sequence[float], most: float, seed: str) -> DataFrame:
-    """rows, which have _id, _source and _size, with what the mix takes of each: _passes whole ones and _extra words of
-    one more; _before: words of the source ahead of the row in a pass; _taken, _source_size, _target, _rank."""
-    key = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("_id").cast("string"), F.lit(""))))
-    rows = rows.withColumn("_key", key).withColumn("_block", F.substring("_key", 1, _BLOCKS))
-    sums = rows.groupBy(F.col("_source").alias("source"), F.col("_block").alias("block")).agg(F.sum("_size").alias("block_size"))
+    """rows, which have id, source and size, with what the mix takes of each: whole passes and extra words of one more;
+    before: words of the source ahead of the row in a pass; taken, source_size, target, rank. All with _vs_ before."""
+    key = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("_vs_id").cast("string"), F.lit(""))))
+    rows = rows.withColumn("_vs_key", key).withColumn("_vs_block", F.substring("_vs_key", 1, _BLOCKS))
+    sums = rows.groupBy(F.col("_vs_source").alias("source"), F.col("_vs_block").alias("block")).agg(F.sum("_vs_size").alias("block_size"))
     targets = source_targets(sums.groupBy("source").agg(F.sum("block_size").alias("source_size")), weights, most)
     ahead = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.withColumn("_ahead", F.coalesce(F.sum("block_size").over(ahead), F.lit(0)))
+    starts = sums.withColumn("_vs_ahead", F.coalesce(F.sum("block_size").over(ahead), F.lit(0)))
     same = F.col("s.source").eqNullSafe(F.col("t.source"))
     plan = starts.alias("s").join(targets.alias("t"), same).select(
-        F.col("s.source").alias("p_source"), F.col("block").alias("p_block"), "_ahead",
-        F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), F.col("rank").alias("_rank"),
+        F.col("s.source").alias("_vs_p_source"), F.col("block").alias("_vs_p_block"), "_vs_ahead",
+        F.col("source_size").alias("_vs_source_size"), F.col("target").alias("_vs_target"), F.col("rank").alias("_vs_rank"),
     )
-    inside = Window.partitionBy("_source", "_block").orderBy("_key", "_id", "_size").rowsBetween(Window.unboundedPreceding, -1)
-    run = rows.withColumn("_inside", F.coalesce(F.sum("_size").over(inside), F.lit(0)))
-    both = run.join(plan, F.col("_source").eqNullSafe(F.col("p_source")) & (F.col("_block") == F.col("p_block")))
-    passes = F.when(F.col("_source_size") > 0, F.floor(F.col("_target") / F.col("_source_size"))).otherwise(F.lit(0)).cast("long")
-    out = both.withColumn("_passes", passes).withColumn("_before", F.col("_ahead") + F.col("_inside"))
-    last = F.round(F.col("_target") - F.col("_passes") * F.col("_source_size")).cast("long")
-    out = out.withColumn("_extra", F.greatest(F.lit(0).cast("long"), F.least("_size", last - F.col("_before"))))
-    return out.withColumn("_taken", F.col("_passes") * F.col("_size") + F.col("_extra"))
+    inside = Window.partitionBy("_vs_source", "_vs_block").orderBy("_vs_key", "_vs_id", "_vs_size").rowsBetween(Window.unboundedPreceding, -1)
+    run = rows.withColumn("_vs_inside", F.coalesce(F.sum("_vs_size").over(inside), F.lit(0)))
+    both = run.join(plan, F.col("_vs_source").eqNullSafe(F.col("_vs_p_source")) & (F.col("_vs_block") == F.col("_vs_p_block")))
+    passes = F.when(F.col("_vs_source_size") > 0, F.floor(F.col("_vs_target") / F.col("_vs_source_size"))).otherwise(F.lit(0)).cast("long")
+    out = both.withColumn("_vs_passes", passes).withColumn("_vs_before", F.col("_vs_ahead") + F.col("_vs_inside"))
+    last = F.round(F.col("_vs_target") - F.col("_vs_passes") * F.col("_vs_source_size")).cast("long")
+    out = out.withColumn("_vs_extra", F.greatest(F.lit(0).cast("long"), F.least("_vs_size", last - F.col("_vs_before"))))
+    return out.withColumn("_vs_taken", F.col("_vs_passes") * F.col("_vs_size") + F.col("_vs_extra"))
 
 
 def mixture(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3, schedules: Sequence = SCHEDULES, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -100,11 +100,11 @@ def mixture(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float =
     is a source, the last; a null doc_id is ordered as if empty. Rows that repeat a doc_id stand next to each other, the
     smaller first, and share no words. A very long text is one row of a window. No rows in, no rows out.
     """
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("_source"), size_in_words(text_col).alias("_size"))
+    rows = docs.select(F.col(id_col).alias("_vs_id"), F.col(source_col).cast("string").alias("_vs_source"), size_in_words(text_col).alias("_vs_size"))
     out = _planned(rows, weights, most, seed)
-    repeats = (F.when(F.col("_size") > 0, F.col("_passes")).otherwise(0) + F.when(F.col("_extra") > 0, 1).otherwise(0)).cast("int")
-    position = F.when(F.col("_taken") > 0, _when(F.col("_before") / F.col("_target"), F.col("_rank"), schedules))
-    names = {"_id": "doc_id", "_source": "source", "_size": "size", "_source_size": "source_size", "_target": "target", "_taken": "taken"}
+    repeats = (F.when(F.col("_vs_size") > 0, F.col("_vs_passes")).otherwise(0) + F.when(F.col("_vs_extra") > 0, 1).otherwise(0)).cast("int")
+    position = F.when(F.col("_vs_taken") > 0, _when(F.col("_vs_before") / F.col("_vs_target"), F.col("_vs_rank"), schedules))
+    names = {"_vs_id": "doc_id", "_vs_source": "source", "_vs_size": "size", "_vs_source_size": "source_size", "_vs_target": "target", "_vs_taken": "taken"}
     out = out.select(*[F.col(c).alias(n) for c, n in names.items()], repeats.alias("repeats"), position.alias("position"))
     return out.orderBy(F.col("position").asc_nulls_last(), "doc_id")
 
@@ -121,10 +121,10 @@ def curriculum(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: floa
     """
     added = {"size", "taken", "repeat", "words", "position"}
     kept = docs.drop(*added).columns
-    rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.col("doc_id").alias("_id"), F.col("source").cast("string").alias("_source"), size_in_words("text").alias("_size"))
-    full = _planned(rows, weights, most, seed).where("_taken > 0")
-    full = full.withColumn("repeat", F.explode(F.sequence(F.lit(0), (F.col("_passes") + F.when(F.col("_extra") > 0, 0).otherwise(-1)).cast("int"))))
-    words = F.when(F.col("repeat") < F.col("_passes"), F.col("_size")).otherwise(F.col("_extra"))
-    met = (F.col("repeat") * F.col("_source_size") + F.col("_before")) / F.col("_target")
-    full = full.withColumn("words", words).withColumn("position", _when(met, F.col("_rank"), schedules))
-    return full.select(*[F.col(f"`{c}`") for c in kept], F.col("_size").alias("size"), F.col("_taken").alias("taken"), "repeat", "words", "position").orderBy("position", "doc_id", "repeat")
+    rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.col("doc_id").alias("_vs_id"), F.col("source").cast("string").alias("_vs_source"), size_in_words("text").alias("_vs_size"))
+    full = _planned(rows, weights, most, seed).where("_vs_taken > 0")
+    full = full.withColumn("repeat", F.explode(F.sequence(F.lit(0), (F.col("_vs_passes") + F.when(F.col("_vs_extra") > 0, 0).otherwise(-1)).cast("int"))))
+    words = F.when(F.col("repeat") < F.col("_vs_passes"), F.col("_vs_size")).otherwise(F.col("_vs_extra"))
+    met = (F.col("repeat") * F.col("_vs_source_size") + F.col("_vs_before")) / F.col("_vs_target")
+    full = full.withColumn("words", words).withColumn("position", _when(met, F.col("_vs_rank"), schedules))
+    return full.select(*[F.col(f"`{c}`") for c in kept], F.col("_vs_size").alias("size"), F.col("_vs_taken").alias("taken"), "repeat", "words", "position").orderBy("position", "doc_id", "repeat")

@@ -309,7 +309,7 @@ def _remove(columns: list[str]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches):
             kept, n, removed, spans = [], [], [], []
-            for text, ranges in zip(batch.column("text").to_pylist(), batch.column("_spans").to_pylist(), strict=True):
+            for text, ranges in zip(batch.column("text").to_pylist(), batch.column("_vs_spans").to_pylist(), strict=True):
                 data = (text or "").encode()
                 out, at, count, end = [], 0, 0, -1
                 for lo, hi in sorted((r["lo"], r["hi"]) for r in ranges or ()):
@@ -329,15 +329,16 @@ def _remove(columns: list[str]) -> Callable:
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """docs with _sid: doc_id, or where ids repeat the place of (doc_id, text) among all."""
+    """docs with _vs_sid: doc_id, or where ids repeat the place of (doc_id, text) among all."""
     ids = docs.select(F.col("doc_id").cast("long").alias("val"))
     if ids.groupBy("val").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
-        return docs.withColumn("_sid", F.col("doc_id").cast("long"))
+        return docs.withColumn("_vs_sid", F.col("doc_id").cast("long"))
     key = F.xxhash64(F.col("text").cast("string"))
     places = docs.select(F.col("doc_id").cast("long").alias("val"), key.alias("idx")).distinct()
     places = materialise(argsort(places), "places")
-    both = docs.join(places, F.col("doc_id").cast("long").eqNullSafe(F.col("val")) & (key == F.col("idx")))
-    return both.withColumnRenamed("pos", "_sid").drop("val", "idx")
+    places = places.select(F.col("pos").alias("_vs_sid"), F.col("val").alias("_vs_val"), F.col("idx").alias("_vs_idx"))
+    both = docs.join(places, F.col("doc_id").cast("long").eqNullSafe(F.col("_vs_val")) & (key == F.col("_vs_idx")))
+    return both.drop("_vs_val", "_vs_idx")
 
 
 def dedup_substrings(docs: DataFrame, width: int = 100) -> DataFrame:
@@ -351,8 +352,8 @@ def dedup_substrings(docs: DataFrame, width: int = 100) -> DataFrame:
     the added names are replaced. No rows in, no rows out.
     """
     docs = _numbered(docs.drop("n_bytes", "n_removed", "n_spans", "kept"))
-    spans = repeated_spans(docs.select(F.col("_sid").alias("doc_id"), "text"), width).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("_spans")).withColumnRenamed("doc_id", "_id")
-    rows = docs.join(spans, F.col("_sid").eqNullSafe(F.col("_id")), "left").drop("_id", "_sid")
-    docs = docs.drop("_sid")
+    spans = repeated_spans(docs.select(F.col("_vs_sid").alias("doc_id"), "text"), width).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("_vs_spans")).withColumnRenamed("doc_id", "_vs_id")
+    rows = docs.join(spans, F.col("_vs_sid").eqNullSafe(F.col("_vs_id")), "left").drop("_vs_id", "_vs_sid")
+    docs = docs.drop("_vs_sid")
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
     return rows.mapInArrow(_remove(docs.columns), ", ".join([*fields, "n_bytes long", "n_removed long", "n_spans long", "kept binary"]))
