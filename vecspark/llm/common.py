@@ -59,7 +59,8 @@ def condensed(spark: SparkSession, build: Callable[[], DataFrame], name: str) ->
 
 
 def by_bytes(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut record batches so that `column` has about `limit` bytes in each; a longer text stands alone."""
+    """Cut record batches so that `column` has about `limit` bytes in each; a longer text stands alone. Memory freed goes
+    back to the system, for the workers of an executor share its bound."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -70,6 +71,7 @@ def by_bytes(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int
             last = min(max(last, first + 1), batch.num_rows)
             yield batch.slice(first, last - first)
             first = last
+        pa.default_memory_pool().release_unused()
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

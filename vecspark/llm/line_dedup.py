@@ -15,6 +15,7 @@ from vecspark.llm.words import NOT_WORD, constants, mix, span_hashes, words
 
 SKETCH_BITS = 18  # of the counters of word frequency: their size is fixed whatever the corpus
 SEEN = 500_000  # names of lines that a task remembers
+BATCH = 1 << 19  # bytes of text that a task works on at once
 _NEWLINE = 10
 
 
@@ -69,7 +70,7 @@ def _room(x: str, y: str, percent: int) -> Column:
 
 def _occurrences(shortest: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches):
+        for batch in by_bytes(batches, limit=BATCH):
             h, begin, row, number = _lines(batch)
             if not len(h):
                 continue
@@ -82,7 +83,7 @@ def _occurrences(shortest: int):  # noqa: ANN202
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(1 << SKETCH_BITS, np.int64)
-    for batch in by_bytes(batches):
+    for batch in by_bytes(batches, limit=BATCH):
         total += np.bincount((_lines(batch)[0] >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total))
     at = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["bucket", "n"])
@@ -149,7 +150,7 @@ def _prefixes(fewest: int, percent: int, levels: np.ndarray, hot: int, buckets:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told: set[bytes] = set()
-        for batch in by_bytes(batches):
+        for batch in by_bytes(batches, limit=BATCH):
             h, begin, _, _ = _lines(batch)
             if not len(h):
                 continue
@@ -173,7 +174,7 @@ def _fetched(fewest: int, rows: np.ndarray, lines: np.ndarray, full: bool):  # n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in by_bytes(iter([batch.filter(pa.array(in_slots(rows, batch.column("key").to_numpy())))])):
+            for part in by_bytes(iter([batch.filter(pa.array(in_slots(rows, batch.column("key").to_numpy())))]), limit=BATCH):
                 h, begin, _, _ = _lines(part)
                 if not len(h):
                     continue
@@ -216,7 +217,7 @@ def edit_distance(a: list[int], b: list[int], most: int) -> int:
 
 def _verify(percent: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000)):
             x, y, good = batch.column("u"), batch.column("v"), []
             for i in range(batch.num_rows):
                 a, b = x[i].values.to_numpy(), y[i].values.to_numpy()
@@ -302,7 +303,7 @@ def _cut(columns: list[str], others: np.ndarray | None = None):  # noqa: ANN202
     """Texts without the lines listed with them; with `others`, the texts whose slot is not set, as they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_bytes(batches, limit=1 << 21):
             gone_lines = [None] * batch.num_rows if others is not None else batch.column("_vs_lines").to_pylist()
             if others is not None:
                 batch = batch.filter(pa.array(~in_slots(others, batch.column("_vs_text_key").to_numpy())))
