@@ -63,11 +63,12 @@ def positions(df: DataFrame, keep: Column, block: int = 1 << 20) -> DataFrame:
 
 def value_bounds(df: DataFrame, val: str, width: int, buckets: int = 1024) -> list[list]:
     """Distinct approximate quantiles of val, ascending, in rows of 32: about one for `width` rows, `buckets` at most."""
-    n = min(buckets, df.count() // width)
-    if n < 1:
-        return []
-    found = df.where(~F.isnan(F.col(val).cast("double"))).agg(F.percentile_approx(val, [i / (n + 1) for i in range(1, n + 1)], 10 * n).alias("q")).first()["q"]
-    flat = sorted(set(found or ()))
+    at = [i / (buckets + 1) for i in range(1, buckets + 1)]
+    known = F.when(~F.isnan(F.col(val).cast("double")), F.col(val))
+    row = df.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx(known, at, 10 * buckets).alias("q")).first()
+    n = min(buckets, row["n"] // width)
+    found = row["q"] or []
+    flat = sorted({found[i * len(found) // n] for i in range(n)}) if found else []
     return [flat[i : i + 32] for i in range(0, len(flat), 32)]
 
 
