@@ -30,6 +30,14 @@ def shared_folder(spark: SparkSession) -> str:
     return _OWN_FOLDERS[app]
 
 
+def lean_batches(spark: SparkSession) -> None:
+    """Whole texts go to Python a thousand a batch, unless the session says otherwise: Spark's default of ten thousand is
+    tens of MB on either side of each task. The setting stays, for most results are computed later."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, "1000")
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back.
 

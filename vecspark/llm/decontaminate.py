@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecspark.llm.common import by_bytes, text_bytes
+from vecspark.llm.common import by_bytes, lean_batches, text_bytes
 from vecspark.llm.words import NOT_WORD, constants, mix, span_hashes, words
 
 _MULTIPLIER = 0x9E3779B97F4A7C15
@@ -167,6 +167,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 3, coverage
     alone, so repeated rows give repeated pairs. Of a very long text only the words that shared seeds cover are tiled; if
     they repeat, the cost is their number times the item's. An empty benchmark or no documents give no rows.
     """
+    lean_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("key"), F.col("text").cast("string").alias("text"))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]

@@ -11,6 +11,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from vecspark.llm.common import lean_batches
+
 _NAME = re.compile(r"/?([a-zA-Z][^\s/>]*+)")
 #: White space and slashes, then an attribute, if any. Possessive, so that no page is scanned again and again.
 _ATTR = re.compile(r"[\s/]*+(?:([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>\"'][^\s>]*+)))?+)?+")
@@ -381,6 +383,7 @@ def extract_text(pages: DataFrame, widest: int = 60) -> DataFrame:
     A null page has a null text, an empty one an empty text. Rows are rendered alone, so repeats agree. A column of
     pages called text is replaced.
     """
+    lean_batches(pages.sparkSession)
     pages = pages.drop("text")
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema]
     return pages.mapInArrow(_render(pages.columns, widest), ", ".join([*fields, "text string"]))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vecspark.llm.common import by_bytes, condensed, materialise, text_bytes
+from vecspark.llm.common import by_bytes, condensed, lean_batches, materialise, text_bytes
 from vecspark.llm.components import BUCKET, candidates, deal, in_slots, listed, similar_components, slots_of
 from vecspark.llm.words import shingles, span_hashes, words
 
@@ -206,6 +206,7 @@ def near_duplicate_components(docs: DataFrame, size: int = 5, percent: int = 80,
     are not looked at. No rows in, no rows out.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("key"), F.col(text_col).cast("string").alias("text"))
+    lean_batches(docs.sparkSession)
     return condensed(docs.sparkSession, lambda: _components(docs, size, percent), "near-duplicate-components")
 
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecspark.llm.common import by_bytes, text_bytes
+from vecspark.llm.common import by_bytes, lean_batches, text_bytes
 from vecspark.llm.words import LOWER
 
 BITS = 16
@@ -60,6 +60,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit_languages(docs: DataFrame, smoothing: float = 0.5) -> LanguageModel:
     """Count letter trigrams of all rows of docs (text, lang) by language; rows with null lang teach nothing."""
+    lean_batches(docs.sparkSession)
     rows = docs.where("lang IS NOT NULL").select("text", "lang").mapInArrow(_count, "lang string, bucket int, n long")
     rows = rows.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(set(rows["lang"]))
@@ -162,6 +163,7 @@ def identify_languages(docs: DataFrame, model: LanguageModel, most: int | None =
     replaced; rows are judged alone, so repeats agree. A very long text takes a row of proportions for each of its words.
     No rows in, no rows out.
     """
+    lean_batches(docs.sparkSession)
     docs = docs.drop("lang_pred", "score", "languages", "proportions")
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
     schema = ", ".join([*fields, "lang_pred string", "score double", "languages array<string>", "proportions array<double>"])

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vecspark.llm.common import by_bytes, condensed, materialise, text_bytes
+from vecspark.llm.common import by_bytes, condensed, lean_batches, materialise, text_bytes
 from vecspark.llm.components import BUCKET, candidates, deal, in_slots, listed, similar_components, slots_of
 from vecspark.llm.words import NOT_WORD, constants, mix, span_hashes, words
 
@@ -252,6 +252,7 @@ def repeated_lines(docs: DataFrame, percent: int = 80, fewest: int = 5, shortest
     long line is verified at a cost of its length times the edits allowed. No rows in, no rows out.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("key"), F.col("text").cast("string").alias("text"))
+    lean_batches(docs.sparkSession)
     return condensed(docs.sparkSession, lambda: _repeated(docs, percent, fewest, fewest if shortest is None else shortest), "repeated-line-numbers")
 
 

@@ -11,6 +11,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vecspark.llm.common import lean_batches
+
 
 class QualityModel(NamedTuple):
     """Dictionaries and the logistic calibration of the compressed sizes; bounded by dictionary_bytes."""
@@ -137,6 +139,7 @@ def score_quality(docs: DataFrame, model: QualityModel, threshold: float = 0.3)
     of an empty frame.
     Columns of docs called score or predicted are replaced. Rows are scored alone: repeats get equal scores.
     """
+    lean_batches(docs.sparkSession)
     docs = docs.drop("score", "predicted")
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
     return docs.mapInArrow(_scores(model, docs.columns, threshold), ", ".join([*fields, "score double", "predicted int"]))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vecspark.llm.common import by_bytes, materialise, text_bytes
+from vecspark.llm.common import by_bytes, lean_batches, materialise, text_bytes
 from vecspark.llm.words import constants, mix
 from vecspark.operators.order import argsort
 
@@ -351,6 +351,7 @@ def dedup_substrings(docs: DataFrame, width: int = 100) -> DataFrame:
     copies of each other. A null doc_id comes first. A very long text is read as a whole by one task. Columns of docs with
     the added names are replaced. No rows in, no rows out.
     """
+    lean_batches(docs.sparkSession)
     docs = _numbered(docs.drop("n_bytes", "n_removed", "n_spans", "kept"))
     spans = repeated_spans(docs.select(F.col("_vs_sid").alias("doc_id"), "text"), width).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("_vs_spans")).withColumnRenamed("doc_id", "_vs_id")
     rows = docs.join(spans, F.col("_vs_sid").eqNullSafe(F.col("_vs_id")), "left").drop("_vs_id", "_vs_sid")
