@@ -122,6 +122,24 @@ def test_sparse(spark):
     assert got(sparse.spmv_via_scan(a, x, rows, 2), "row", "y") == [5, 0, 6, 32]
 
 
+def test_spmm(spark):
+    """Products move before they are summed, but for rows of many entries, whose sums are few."""
+    entries = [(i % 7 if i % 3 else None, i % 5, i) for i in range(60)] + [(9, i % 5, i) for i in range(200)]
+    a = spark.createDataFrame(entries, "row long, col long, val long")
+    b = spark.createDataFrame([(c, j, c + 10 * j) for c in range(4) for j in range(3)], "col long, j long, x long")
+    want = {}
+    for row, col, val in entries:
+        for j in range(3 if col < 4 else 0):
+            want[row, j] = want.get((row, j), 0) + val * (col + 10 * j)
+    assert sparse._heavy_rows(a, 260, 100) == [9]
+    for sums in (1, 15, 100, 1 << 20):
+        out = sparse.spmm(a, b, sums)
+        assert out.count() == len(want) and {(r.row, r.j): r.y for r in out.collect()} == want
+    tree = out._jdf.queryExecution().executedPlan().toString()
+    assert tree.split("Exchange")[0].count("HashAggregate") == 2
+    assert sparse.spmm(a.limit(0), b).count() == 0 == sparse.spmm(a, b.limit(0)).count()
+
+
 def test_reductions(spark):
     v = vec(spark, X)
     assert got(reduce.reduce_tiles(v, 2, 4, 10), "blk", "total") == [7, 12, 8, 0]

@@ -32,9 +32,30 @@ def spmv_via_scan(a: DataFrame, x: DataFrame, rows: DataFrame, block: int = 1 <<
     return end.join(start, "idx").select(F.col("idx").alias("row"), (F.col("z") - F.col("z0")).alias("y"))
 
 
-def spmm(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(row, j, y): the product with a dense or sparse matrix b (col, j, x); absent where no entry meets."""
-    return a.join(b, "col").groupBy("row", "j").agg(F.sum(F.col("val") * F.col("x")).alias("y"))
+def spmm(a: DataFrame, b: DataFrame, sums: int = 1 << 20) -> DataFrame:
+    """(row, j, y): the product with a dense or sparse matrix b (col, j, x); absent where no entry meets.
+
+    Products move to their row and j before they are summed, about `sums` of them to a task, so that no task holds the
+    sums of a whole split. Rows with more than `sums` entries, if any, are few sums of many products: theirs are summed
+    where they arise.
+    """
+    entries = a.count()
+    cells, cols = b.agg(F.count(F.lit(1)), F.approx_count_distinct("col")).first()
+    heavy = _heavy_rows(a, entries, sums)
+    add = lambda z: z.groupBy("row", "j").agg(F.sum("z").alias("y"))
+    products = lambda a: a.join(b, "col").select("row", "j", (F.col("val") * F.col("x")).alias("z"))
+    light = a.where(~F.coalesce(F.col("row").isin(heavy), F.lit(False))) if heavy else a
+    out = add(products(light).repartition(max(8, entries * cells // max(cols, 1) // sums), "row", "j"))
+    return out.unionAll(add(products(a.where(F.col("row").isin(heavy))))) if heavy else out
+
+
+def _heavy_rows(a: DataFrame, entries: int, sums: int) -> list:
+    """The rows of more than `sums` entries; of those, none with less than a share of 1 in 10000."""
+    if entries <= sums:
+        return []
+    often = a.stat.freqItems(["row"], max(sums / entries, 1e-4)).first()[0]  # these and some others
+    counts = a.where(F.col("row").isin(often)).groupBy("row").agg(F.count(F.lit(1)).alias("n"))
+    return [r[0] for r in counts.where(F.col("n") > sums).collect()]
 
 
 def csr_to_flags(counts: DataFrame, block: int = 1 << 20) -> DataFrame:
