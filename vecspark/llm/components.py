@@ -17,6 +17,8 @@ from vecspark.llm.words import mix
 SMALL = 32
 #: Tokens of a bucket on the average; a bucket is read as a whole by one task.
 BUCKET = 250_000
+#: Keys of a thing that each of its rows may know, the smallest ones: 64 bytes a row for any number of keys.
+LOWEST = 8
 _KEY_BYTES = 5
 
 
@@ -166,41 +168,64 @@ def similar_components(pairs: DataFrame, rows: DataFrame, prints: DataFrame, ske
     First the pairs are judged. Then a key's rows are compared with its first 1, 64, 4096... ones as long as they lie in
     different components, by the sketch inside the join; keys whose rows are all in one component drop out. What is
     left shrinks until every pair in two components has been compared, so no link between components is lost, and a
-    group of copies costs one pair a copy.
+    group of copies costs one pair a copy. Two things that share many keys meet in one of them only: a row knows the
+    LOWEST keys of its thing below its own, and where two rows have one of these in common they meet there.
     """
     if first is None:
         x, y = prints.alias("x"), prints.alias("y")
         close = pairs.join(x, F.col("a") == F.col("x.id")).join(y, F.col("b") == F.col("y.id")).where("x.name <> y.name").where(near("x", "y"))
         close = close.select(F.least("x.name", "y.name").alias("a"), F.greatest("x.name", "y.name").alias("b"))
         first = lambda _: judge(materialise(close, "close"))
-    links = materialise(first(pairs), "verified")
-    labels = connected_components(links)
-    names = prints.select("id", "name", *sketch)
+    labels = connected_components(materialise(first(pairs), "verified"))
+    named = _held(rows).join(prints.select("id", "name", *sketch), "id").join(labels, F.col("name") == F.col("v"), "left")
+    where = named.select("key", "before", "n", "name", F.coalesce("component", "name").alias("comp"), *sketch)
     judged, k = None, 1
     while True:
-        where = rows.join(names, "id").join(labels, F.col("name") == F.col("v"), "left")
-        where = materialise(where.select("key", "id", "n", "name", F.coalesce("component", "name").alias("comp"), *sketch), "open")
+        where = materialise(where, "open")
         mixed = where.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select(F.col("key").alias("m"))
         turn = Window.partitionBy("key").orderBy("name")
         lead = where.withColumn("rn", F.row_number().over(turn)).where(F.col("rn") <= k).drop("rn")
         lead = materialise(lead.join(mixed, F.col("key") == F.col("m"), "left_semi"), "leaders")
         if lead.isEmpty():
             return labels
-        met = where.alias("x").join(lead.alias("y"), "key").where("x.comp <> y.comp").where(near("x", "y"))
-        new = met.select(F.least("x.name", "y.name").alias("a"), F.greatest("x.name", "y.name").alias("b")).distinct()
+        new = _meetings(where, lead, near).distinct()
         if judged is not None:
             new = new.join(judged, ["a", "b"], "left_anti")
         new = materialise(new, "pairs")
         told = materialise(judge(new), "verified")
         judged = new if judged is None else judged.unionAll(new)
-        if not told.isEmpty():
-            links = links.unionAll(told)
-            labels = connected_components(links)
         last = lead.groupBy("key").agg(F.max("name").alias("last"))  # leaders are the first by name
-        rows = where.select("key", "id", "n", "name").join(last, "key").where("name > last").select("key", "id", "n")
+        where = where.join(last, "key").where("name > last").drop("last")
+        if not told.isEmpty():
+            labels, moved = _merged(labels, told)
+            where = where.join(moved, F.col("comp") == F.col("v"), "left").withColumn("comp", F.coalesce("component", "comp")).drop("v", "component")
         k *= growth
 
 
+def _held(rows: DataFrame) -> DataFrame:
+    """Rows (key, id, n) with `before`: those of the thing's LOWEST keys that are below the row's own."""
+    keys = rows.groupBy("id", "n").agg(F.sort_array(F.collect_set("key")).alias("keys"))
+    each = keys.select("id", "n", F.slice("keys", 1, LOWEST).alias("low"), F.explode("keys").alias("key"))
+    return each.select("key", "id", "n", F.filter("low", lambda k: k < F.col("key")).alias("before"))
+
+
+def _meetings(where: DataFrame, lead: DataFrame, near: Callable[[str, str], Column]) -> DataFrame:
+    """Pairs (a, b) of things in two components that meet at a leader's key; those that also share a lower known key meet
+    there instead."""
+    met = where.alias("x").join(lead.alias("y"), "key").where("x.comp <> y.comp").where(near("x", "y") & ~F.arrays_overlap("x.before", "y.before"))
+    return met.select(F.least("x.name", "y.name").alias("a"), F.greatest("x.name", "y.name").alias("b"))
+
+
+def _merged(labels: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Labels (v, component) after more links (a, b), and of the components that the links touch the new ones."""
+    p, q = labels.alias("p"), labels.alias("q")
+    ends = links.join(p, F.col("a") == F.col("p.v"), "left").join(q, F.col("b") == F.col("q.v"), "left")
+    moved = connected_components(ends.select(F.coalesce("p.component", "a").alias("a"), F.coalesce("q.component", "b").alias("b")))
+    old = labels.join(moved.select(F.col("v").alias("was"), F.col("component").alias("now")), F.col("component") == F.col("was"), "left")
+    fresh = moved.join(labels.select("v"), "v", "left_anti")  # things that had no link so far
+    return materialise(old.select("v", F.coalesce("now", "component").alias("component")).unionAll(fresh), "merged"), moved
+
+
 #: Slots of the bitmap that tells which things to fetch; its size is fixed. Where it is full, more rows travel, none fewer.
 SLOT_BITS = 24
 
