@@ -23,7 +23,7 @@ SEEN = 500_000
 #: sketches differ in at most as many bits as the sets differ in shingles, so it refuses pairs without error.
 PARITY = [f"bits{i}" for i in range(16)]
 
-#: The like with 2 to 4 bits a shingle, for pairs that these leave over: a text of any length has room to be refused.
+#: The like with 1 to 2 bits a shingle, for pairs that these leave over: a text of any length has room to be refused.
 WIDE = "wide"
 
 #: Schemes to choose from: a document's l is least_matches of its set's size times one of these.
@@ -81,8 +81,11 @@ def _ids(names: list[bytes]) -> np.ndarray:
 
 
 def _wide(h: np.ndarray, rows: np.ndarray, n: np.ndarray) -> list[bytes]:
-    """Parity sketches of the rows' sets, of so many bits as the power of two from twice the set's size on, 64 at least."""
-    bits = np.left_shift(1, np.ceil(np.log2(np.maximum(2 * n, 64))).astype(np.int64))
+    """Parity sketches of the rows' sets, of so many bits as the power of two from the set's size on, 64 at least.
+
+    With one bit a shingle sets of a Jaccard similarity of 0.7 still differ in more bits than 0.8 allows, on the average.
+    """
+    bits = np.left_shift(1, np.ceil(np.log2(np.maximum(n, 64))).astype(np.int64))
     offset = np.r_[0, np.cumsum(bits)]
     at = offset[rows] + (h & (bits[rows] - 1).astype(np.uint64)).astype(np.int64)
     data = np.packbits((np.bincount(at, minlength=offset[-1]) & 1).astype(np.uint8), bitorder="little").tobytes()
@@ -197,7 +200,7 @@ def near_duplicate_components(docs: DataFrame, size: int = 5, percent: int = 80,
     least min(l) shingles within the prefixes of that scheme. The prefixes are shuffled once, packed by bucket; shared
     prefix shingles are counted for each pair of sizes that allow a link, and pairs with too few end there, before any
     set moves. Shingles that more than 32 sets hold are not paired at once but left to similar_components, which
-    loses no link between components. What remains is held against parity sketches, of 1024 bits and then of two bits or
+    loses no link between components. What remains is held against parity sketches, of 1024 bits and then of one bit or
     more a shingle, and verified on whole sets.
 
     Rows are told apart by their texts: rows that repeat a doc_id with other texts have their own links. Null text is
