@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -66,6 +67,13 @@ def condensed(spark: SparkSession, build: Callable[[], DataFrame], name: str) ->
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def _give_back() -> None:
+    """Memory that numpy freed goes back to the system, where the C library can do that."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def by_bytes(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that `column` has about `limit` bytes in each; a longer text stands alone. Memory freed goes
     back to the system, for the workers of an executor share its bound."""
@@ -80,6 +88,7 @@ def by_bytes(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int
             yield batch.slice(first, last - first)
             first = last
         pa.default_memory_pool().release_unused()
+        _give_back()
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
