@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from vecspark.llm.common import materialise
 from vecspark.llm.words import mix
 
-#: Keys held by so many things or fewer give all their pairs at once: no more than 16 pairs a row. Larger ones go to resolve().
+#: Keys held by so many things or fewer give all their pairs at once: no more than 16 pairs a row. Larger ones go to
+#: similar_components(). Where tokens have places, only things of sizes that allow a link count: 32 pairs a row at most.
 SMALL = 32
 #: Tokens of a bucket on the average; a bucket is read as a whole by one task.
 BUCKET = 250_000
@@ -50,39 +51,51 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     return materialise(labels.join(least, "label").select("v", "component"), "components")
 
 
-def deal(key: np.ndarray, thing: np.ndarray, n: np.ndarray, low: np.ndarray, hot: np.ndarray, buckets: int) -> pa.RecordBatch:
+_THING_BYTES = 6
+ANYWHERE = 0xFFFF  # the place of a key that a thing holds more than once, or too far from its beginning
+
+
+def deal(key: np.ndarray, thing: np.ndarray, n: np.ndarray, low: np.ndarray, hot: np.ndarray, buckets: int, place: np.ndarray | None = None) -> pa.RecordBatch:
     """Rows (bucket int, tokens binary) of a batch's tokens, those of one bucket together, so that they move packed.
 
     A token says that the thing (64-bit id), of size n, holds the key, and that `low` keys must be shared with it. Keys
     are told apart by bucket and 40 bits: a chance meeting of two adds a candidate and takes none away. Hot keys get
-    negative buckets, spread by thing.
+    negative buckets, spread by thing. For sequences, `place` (16 bits, or ANYWHERE) tells where in its thing the key stands;
+    their things have 48 bits.
     """
     h = mix(key.astype(np.uint64))
     bucket = np.where(hot, -1 - (mix(thing.view(np.uint64)) >> np.uint64(40)).astype(np.int64) % buckets, (h >> np.uint64(24)).astype(np.int64) % buckets)
-    order = np.argsort(bucket.astype(np.int16) if buckets < 1 << 15 else bucket, kind="stable")
+    if place is None:
+        order = np.argsort(bucket.astype(np.int16) if buckets < 1 << 15 else bucket, kind="stable")
+    else:  # tokens of one size together, so that sizes pack well
+        order = np.argsort((bucket << 24) + np.minimum(n, (1 << 24) - 1))
+        place = place[order].astype(np.uint16)
     bucket, h, thing, n, low = bucket[order], h[order], thing[order], n[order], low[order]
     cut = np.flatnonzero(np.r_[True, np.diff(bucket) != 0, True]) if len(bucket) else np.zeros(1, np.int64)
     squeeze = zstandard.ZstdCompressor(level=1).compress
     planes = lambda a, width: np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1)[:, :width].T).tobytes()
     rows = []
     for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-        step = np.diff(thing[i:j], prepend=np.int64(0))
-        rows.append(squeeze(planes(h[i:j], _KEY_BYTES) + planes(step, 8) + planes(n[i:j].astype(np.int32), 4) + planes(low[i:j].astype(np.int32), 4)))
+        names = planes(np.diff(thing[i:j], prepend=np.int64(0)), 8) if place is None else planes(thing[i:j], _THING_BYTES)
+        where = b"" if place is None else planes(place[i:j], 2)
+        rows.append(squeeze(planes(h[i:j], _KEY_BYTES) + names + planes(n[i:j].astype(np.int32), 4) + planes(low[i:j].astype(np.int32), 4) + where))
     return pa.RecordBatch.from_arrays([pa.array(bucket[cut[:-1]].astype(np.int32)), pa.array(rows, pa.binary())], names=["bucket", "tokens"])
 
 
-def _dealt(blobs: list[bytes]) -> list[np.ndarray]:
-    """Keys, things, sizes and least matches of packed tokens."""
-    parts = []
+def _dealt(blobs: list[bytes], placed: bool) -> list[np.ndarray]:
+    """Keys, things, sizes, least matches and, if they have them, places of packed tokens."""
+    parts, kinds = [], [(_KEY_BYTES, np.int64), (_THING_BYTES if placed else 8, np.int64), (4, np.int32), (4, np.int32), *[(2, np.int32)] * placed]
+    unpack = zstandard.ZstdDecompressor().decompress
     for blob in blobs:
-        data = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
-        count, at, columns = len(data) // (_KEY_BYTES + 16), 0, []
-        for width, kind in ((_KEY_BYTES, np.int64), (8, np.int64), (4, np.int32), (4, np.int32)):
+        data = np.frombuffer(unpack(blob), np.uint8)
+        count, at, columns = len(data) // sum(width for width, _ in kinds), 0, []
+        for width, kind in kinds:
             full = np.zeros((count, np.dtype(kind).itemsize), np.uint8)
             full[:, :width] = data[at : at + width * count].reshape(width, count).T
             columns.append(full.reshape(-1).view(kind))
             at += width * count
-        columns[1] = np.cumsum(columns[1])
+        if not placed:
+            columns[1] = np.cumsum(columns[1])
         parts.append(columns)
     return [np.concatenate(c) for c in zip(*parts, strict=True)]
 
@@ -94,35 +107,67 @@ def _found(key, a, b, n, c) -> pa.RecordBatch:  # noqa: ANN001
     return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int32()), pa.array(c, pa.int32())], names=["key", "a", "b", "n", "c"])
 
 
-def _meet(percent: int) -> Callable:
+def _meet(percent: int, placed: bool) -> Callable:
     """From tokens in order of bucket: pairs (a, b, n: matches asked for, c: matches here) whose sizes allow percent/100,
-    and the rows (key, a, n) of keys with more than SMALL things."""
+    and the rows (key, a, n) of keys with more than SMALL things.
+
+    If tokens have places, those of one key stand in order of size: only keys of which some SMALL things follow a thing
+    within percent/100 of its size are large, and each stretch of sizes without a wider gap is a key by itself. A key at
+    place i of x words and at j of y is a match only if the words before and those after it can be made equal by the
+    edits allowed: |i - j| + |(x - i) - (y - j)| of them at least.
+    """
 
     def settle(bucket: int, blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
-        key, thing, n, low = _dealt(blobs)
+        key, thing, n, low, *place = _dealt(blobs, placed)
         none = np.zeros(0, np.int64)
         if bucket < 0:
             yield _found(-1 - key, thing, pa.nulls(len(key), pa.int64()), n, np.zeros(len(key)))
             return
         # Where the low bits of things agree by chance, a thing told twice may count twice: a candidate more, none less.
-        order = np.argsort((key.view(np.uint64) << np.uint64(24)) | (thing.view(np.uint64) & np.uint64(0xFFFFFF)))
-        key, thing, n, low = key[order], thing[order], n[order], low[order]
+        low_bits = thing.view(np.uint64) & np.uint64(0xFFFFFF)
+        if placed:
+            low_bits = (np.minimum(n, 4095).astype(np.uint64) << np.uint64(12)) | (low_bits & np.uint64(0xFFF))
+        order = np.argsort((key.view(np.uint64) << np.uint64(24)) | low_bits)
+        # Keys of one thing give nothing.
+        one = key[order]
+        other = one[1:] != one[:-1]
+        order = order[~(np.r_[True, other] & np.r_[other, True])]
+        key, thing, n, low, *place = (x[order] for x in (key, thing, n, low, *place))
+        if not len(key):
+            return
         new = np.r_[True, (key[1:] != key[:-1]) | (thing[1:] != thing[:-1])]
-        key, thing, n, low = key[new], thing[new], n[new], low[new]
-        begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        key, thing, n, low, *place = (x[new] for x in (key, thing, n, low, *place))
+        edge = np.r_[True, key[1:] != key[:-1]]
+        if placed:
+            size = np.minimum(n, 4095)
+            edge[1:] |= size[:-1] * 100 < size[1:] * percent
+        begin = np.flatnonzero(edge)
         count = np.diff(np.r_[begin, len(key)])
-        many = np.repeat(count > SMALL, count)
+        large = count > SMALL
+        if placed and large.any():
+            group, wide = np.repeat(np.arange(len(begin)), count), np.zeros(len(key), bool)
+            wide[:-SMALL] = (group[SMALL:] == group[:-SMALL]) & (size[:-SMALL] * 100 >= size[SMALL:] * percent)
+            large = np.logical_or.reduceat(wide, begin)
+        many = np.repeat(large, count)
         if many.any():
-            name = (mix(key.view(np.uint64) + np.uint64(bucket << 40 & (1 << 64) - 1)) >> np.uint64(1)).view(np.int64)
+            name = mix(key.view(np.uint64) + np.uint64(bucket << 40 & (1 << 64) - 1))
+            if placed:
+                name = mix(name + np.repeat(size[begin], count).astype(np.uint64))
+            name = (name >> np.uint64(1)).view(np.int64)
             yield _found(name[many], thing[many], pa.nulls(int(many.sum()), pa.int64()), n[many], np.zeros(int(many.sum())))
-        x, y = [none], [none]
+        x, y, at = [none], [none], np.flatnonzero(~many)
         for d in range(1, SMALL):  # every place and the one d further on, inside a key
-            at = np.flatnonzero(~many[:-d] & (key[d:] == key[:-d])) if len(key) > d else none
+            at = at[at < len(key) - d]
+            at = at[key[at] == key[at + d]]
             if not len(at):
                 break
-            at = at[np.minimum(n[at], n[at + d]) * 100 >= np.maximum(n[at], n[at + d]) * percent]
-            x.append(at)
-            y.append(at + d)
+            near = np.minimum(n[at], n[at + d]) * 100 >= np.maximum(n[at], n[at + d]) * percent
+            if placed:
+                i, j, by = place[0][at], place[0][at + d], n[at] - n[at + d]
+                spent = np.abs(i - j) + np.abs(by - i + j)
+                near &= (i == ANYWHERE) | (j == ANYWHERE) | (spent <= np.maximum(n[at], n[at + d]) * (100 - percent) // 100)
+            x.append(at[near])
+            y.append(at[near] + d)
         x, y = np.concatenate(x), np.concatenate(y)
         if len(x):
             a, b, need = np.minimum(thing[x], thing[y]), np.maximum(thing[x], thing[y]), np.minimum(low[x], low[y])
@@ -147,10 +192,10 @@ def _meet(percent: int) -> Callable:
     return run
 
 
-def candidates(dealt: DataFrame, buckets: int, percent: int) -> tuple[DataFrame, DataFrame]:
+def candidates(dealt: DataFrame, buckets: int, percent: int, placed: bool = False) -> tuple[DataFrame, DataFrame]:
     """From rows of deal(): pairs (a, b) that share as many keys as asked for, keys of SMALL things at most; and the rows
     (key, id, n) of all other keys. Every pair that shares enough is among the first or shares one of the latter."""
-    found = dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet(percent), _FOUND)
+    found = dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_meet(percent, placed), _FOUND)
     found = materialise(found, "met")
     pairs = found.where("key IS NULL").groupBy("a", "b").agg(F.sum("c").alias("c"), F.min("n").alias("n")).where("c >= n").select("a", "b")
     rows = found.where("key IS NOT NULL").select("key", F.col("a").alias("id"), "n")

@@ -6,16 +6,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vecspark.llm.common import by_bytes, condensed, lean_batches, materialise, text_bytes
-from vecspark.llm.components import BUCKET, candidates, deal, in_slots, listed, similar_components, slots_of
+from vecspark.llm.components import ANYWHERE, BUCKET, candidates, deal, in_slots, listed, similar_components, slots_of
 from vecspark.llm.words import NOT_WORD, constants, mix, span_hashes, words
 
 SKETCH_BITS = 18  # of the counters of word frequency: their size is fixed whatever the corpus
+PARTS = 16  # in which the counters move
 SEEN = 500_000  # names of lines that a task remembers
 BATCH = 1 << 19  # bytes of text that a task works on at once
+DEALT = 250_000  # tokens that a task deals at once
 _NEWLINE = 10
 
 
@@ -68,37 +71,51 @@ def _room(x: str, y: str, percent: int) -> Column:
     return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (differ <= 2 * most - F.abs(n - m))
 
 
+_NAMES = ["id", "head", "doc_id", "key", "line", "part", "counts"]
+_OCCURRENCES = "id binary, head long, doc_id long, key long, line int, part int, counts binary"
+
+
 def _occurrences(shortest: int):  # noqa: ANN202
+    """Lines of `shortest` words or more; and after them, a part a row, the words of all lines counted by hash."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << SKETCH_BITS, np.int64)
         for batch in by_bytes(batches, limit=BATCH):
             h, begin, row, number = _lines(batch)
             if not len(h):
                 continue
+            total += np.bincount((h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total))
             keys = _keys(h, begin)
             at = np.flatnonzero(np.diff(begin) >= shortest)
-            yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in at], pa.binary()), pa.array(_ids(keys)[at]), batch.column("doc_id").take(pa.array(row[at])), batch.column("key").take(pa.array(row[at])), pa.array(number[at].astype(np.int32))], names=["id", "head", "doc_id", "key", "line"])
+            yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in at], pa.binary()), pa.array(_ids(keys)[at]), batch.column("doc_id").take(pa.array(row[at])), batch.column("key").take(pa.array(row[at])), pa.array(number[at].astype(np.int32)), pa.nulls(len(at), pa.int32()), pa.nulls(len(at), pa.binary())], names=_NAMES)
+        if total.any():
+            parts = [zstandard.ZstdCompressor(level=1).compress(x.tobytes()) for x in total.reshape(PARTS, -1)]
+            empty = [pa.nulls(PARTS, kind) for kind in (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32())]
+            yield pa.RecordBatch.from_arrays([*empty, pa.array(range(PARTS), pa.int32()), pa.array(parts, pa.binary())], names=_NAMES)
 
     return run
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(1 << SKETCH_BITS, np.int64)
-    for batch in by_bytes(batches, limit=BATCH):
-        total += np.bincount((_lines(batch)[0] >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total))
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["bucket", "n"])
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for part, blob in zip(batch.column("part").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+            sums[part] = sums.get(part, 0) + np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["part", "counts"])
 
 
-def _counts(docs: DataFrame) -> np.ndarray:
+def _counts(seen: DataFrame) -> np.ndarray:
     """Words of all lines in 2**SKETCH_BITS counters by hash."""
-    rows = docs.select("text").mapInArrow(_count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(1 << SKETCH_BITS, np.int64)
-    out[rows["bucket"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
-    return out
+    rows = seen.where("part IS NOT NULL").select("part", "counts").repartition(PARTS, "part").mapInArrow(_summed, "part int, counts binary").collect()
+    out = np.zeros((PARTS, (1 << SKETCH_BITS) // PARTS), np.int64)
+    for part, counts in rows:
+        out[part] = np.frombuffer(counts, np.int64)
+    return out.reshape(-1)
 
 
 def _rare(h: np.ndarray, begin: np.ndarray, percent: int, levels: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Prefix of each line's bag of word pairs, rare ones first: names, lines, levels; and the matches each line asks for.
+    """Prefix of each line's bag of word pairs, rare ones first: names, lines, levels, places (ANYWHERE for a pair that
+    stands more than once in its line: any of them may be the one that edits leave); and the matches each line asks for.
 
     With m = n + j words in the partner, d edits of max(n, m) * (100 - percent) / 100 at most destroy up to 2 d of the
     n - 1 pairs of a line, or 2 d - j if the partner is longer, for j insertions destroy one pair each. Most are lost at
@@ -123,33 +140,41 @@ def _rare(h: np.ndarray, begin: np.ndarray, percent: int, levels: np.ndarray) ->
         lost, gram, size = edits(n), mix(h), n
     asked = np.clip(n // 16 + 1, 1, np.maximum(size - lost, 1))
     if not len(gram):
-        return gram, line, common, asked
+        return gram, line, common, line, asked
+    spot = (inside if percent >= 80 else np.arange(len(h))) - begin[line]
     # One integer sorts by line, level and the head of the name; should two names of a line agree in that, they sort in full.
     packed = (line.astype(np.uint64) << np.uint64(44)) | (level.astype(np.uint64) << np.uint64(36)) | (gram >> np.uint64(28))
     order = np.argsort(packed)
     again = packed[order[1:]] == packed[order[:-1]]
     if len(n) >= 1 << 20 or (again & (gram[order[1:]] != gram[order[:-1]])).any():
         order = np.lexsort((gram, level, line))
-    gram, line, common = gram[order], line[order], common[order]
+    gram, line, common, spot = gram[order], line[order], common[order], spot[order]
     first = np.searchsorted(line, np.arange(len(n)))
     place = np.arange(len(line))
-    run = np.maximum.accumulate(np.where(np.r_[True, (gram[1:] != gram[:-1]) | (line[1:] != line[:-1])], place, 0))
+    new = np.r_[True, (gram[1:] != gram[:-1]) | (line[1:] != line[:-1]), True]
+    run = np.maximum.accumulate(np.where(new[:-1], place, 0))
+    spot = np.where(new[:-1] & new[1:], np.minimum(spot, ANYWHERE), ANYWHERE)
     with np.errstate(over="ignore"):
         gram = gram + (place - run).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     keep = place - first[line] < (lost + asked)[line]
-    return gram[keep], line[keep], common[keep], asked
+    return gram[keep], line[keep], common[keep], spot[keep], asked
 
 
 def _ids(keys: list[bytes]) -> np.ndarray:
-    """64 bits of the names of lines."""
-    return np.frombuffer(b"".join(keys), np.int64)[::2]
+    """48 bits of the names of lines: two that meet by chance are candidates with each other's partners, no more."""
+    return np.frombuffer(b"".join(keys), np.int64)[::2] & ((1 << 48) - 1)
 
 
 def _prefixes(fewest: int, percent: int, levels: np.ndarray, hot: int, buckets: int):  # noqa: ANN202
     """The dealt word pairs of the prefixes of lines; equal lines of a task once."""
 
+    def dealt(held: list) -> pa.RecordBatch:
+        gram, thing, n, low, common, spot = (np.concatenate(x) for x in zip(*held, strict=True))
+        return deal(gram, thing, n, low, common, buckets, spot)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told: set[bytes] = set()
+        held, size = [], 0
         for batch in by_bytes(batches, limit=BATCH):
             h, begin, _, _ = _lines(batch)
             if not len(h):
@@ -160,10 +185,16 @@ def _prefixes(fewest: int, percent: int, levels: np.ndarray, hot: int, buckets:
                 use[i] = keys[i] not in told
                 if len(told) < SEEN:
                     told.add(keys[i])
-            gram, line, common, asked = _rare(h, begin, percent, levels)
+            gram, line, common, spot, asked = _rare(h, begin, percent, levels)
             keep = use[line]
             line = line[keep]
-            yield deal(gram[keep], _ids(keys)[line], n[line], asked[line], common[keep] > hot, buckets)
+            held.append((gram[keep], _ids(keys)[line], n[line].astype(np.int32), asked[line].astype(np.int32), common[keep] > hot, spot[keep].astype(np.uint16)))
+            size += len(line)
+            if size >= DEALT:
+                yield dealt(held)
+                held, size = [], 0
+        if size:
+            yield dealt(held)
 
     return run
 
@@ -195,9 +226,17 @@ def edit_distance(a: list[int], b: list[int], most: int) -> int:
     """Levenshtein distance of two word sequences, or most + 1 if it is larger: furthest points on each diagonal."""
     if len(a) > len(b):
         a, b = b, a
-    n, m = len(a), len(b)
-    if m - n > most:
+    if len(b) - len(a) > most:
         return most + 1
+    first, last = 0, len(a)
+    while first < last and a[first] == b[first]:
+        first += 1
+    while last > first and a[last - 1] == b[last - 1 + len(b) - len(a)]:
+        last -= 1
+    a, b = a[first:last], b[first : last + len(b) - len(a)]
+    n, m = len(a), len(b)
+    if not n:
+        return m
     reach = {0: -1}  # diagonal (j - i) -> furthest i reached, one step before the first round
     for d in range(most + 1):
         new = {}
@@ -215,19 +254,33 @@ def edit_distance(a: list[int], b: list[int], most: int) -> int:
     return most + 1
 
 
+def _shared(x: pa.ListArray, y: pa.ListArray) -> np.ndarray:
+    """Size of the common multiset of the words of x and of y, row by row."""
+    names, sides = [], []
+    for column, side in ((x, 1), (y, 1 << 32)):
+        row = np.repeat(np.arange(len(column), dtype=np.uint64), np.diff(column.offsets.to_numpy()))
+        names.append((row << np.uint64(32)) | column.flatten().to_numpy().view(np.uint32))
+        sides.append(np.full(len(row), side, np.int64))
+    names, sides = np.concatenate(names), np.concatenate(sides)
+    if not len(names):
+        return np.zeros(len(x), np.int64)
+    order = np.argsort(names)
+    names = names[order]
+    first = np.flatnonzero(np.r_[True, names[1:] != names[:-1]])
+    count = np.add.reduceat(sides[order], first)
+    both = np.minimum(count & 0xFFFFFFFF, count >> 32)
+    return np.bincount((names[first] >> np.uint64(32)).astype(np.int64), weights=both, minlength=len(x)).astype(np.int64)
+
+
 def _verify(percent: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000)):
             x, y, good = batch.column("u"), batch.column("v"), []
-            for i in range(batch.num_rows):
-                a, b = x[i].values.to_numpy(), y[i].values.to_numpy()
-                most = (100 - percent) * max(len(a), len(b)) // 100
-                # Each edit changes the multiset of words by two at most.
-                va, ca = np.unique(a, return_counts=True)
-                vb, cb = np.unique(b, return_counts=True)
-                both, ia, ib = np.intersect1d(va, vb, assume_unique=True, return_indices=True)
-                shared = int(np.minimum(ca[ia], cb[ib]).sum())
-                if max(len(a), len(b)) - shared <= most and edit_distance(a.tolist(), b.tolist(), most) <= most:
+            longest = np.maximum(*(np.diff(c.offsets.to_numpy()) for c in (x, y)))
+            most = (100 - percent) * longest // 100
+            # Each edit changes the multiset of words by two at most.
+            for i in np.flatnonzero(longest - _shared(x, y) <= most).tolist():
+                if edit_distance(x[i].values.to_numpy().tolist(), y[i].values.to_numpy().tolist(), int(most[i])) <= most[i]:
                     good.append(i)
             if good:
                 yield batch.select(["a", "b"]).take(pa.array(good))
@@ -257,14 +310,15 @@ def repeated_lines(docs: DataFrame, percent: int = 80, fewest: int = 5, shortest
 
 
 def _repeated(docs: DataFrame, percent: int, fewest: int, shortest: int) -> DataFrame:
-    seen = materialise(docs.mapInArrow(_occurrences(shortest), "id binary, head long, doc_id long, key long, line int"), "line-occurrences")
+    seen = materialise(docs.mapInArrow(_occurrences(shortest), _OCCURRENCES), "line-occurrences")
+    counts = _counts(seen)
+    seen = seen.where("id IS NOT NULL").drop("part", "counts")
     lines = materialise(seen.groupBy("id").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("doc_id", "key", "line")).alias("first"), F.first("head").alias("head")), "lines")
-    counts = _counts(docs)
     total = int(counts.sum())
     buckets = max(8, total * (2 * (100 - percent) + 6) // 100 // BUCKET)
     level = lambda count: (2 * np.log2(1 + count)).astype(np.uint8)
     dealt = docs.select("text").mapInArrow(_prefixes(fewest, percent, level(counts), int(level(np.array(total / 4096 + 1000))), buckets), "bucket int, tokens binary")
-    pairs, rows = candidates(dealt, buckets, percent)
+    pairs, rows = candidates(dealt, buckets, percent, placed=True)
     pairs = materialise(pairs, "candidates")
     place = lines.select(F.col("id").alias("name"), "head", "first.key")
 
