@@ -67,7 +67,7 @@ def condensed(spark: SparkSession, build: Callable[[], DataFrame], name: str) ->
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def _give_back() -> None:
+def give_back() -> None:
     """Memory that numpy freed goes back to the system, where the C library can do that."""
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:
@@ -88,7 +88,7 @@ def by_bytes(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int
             yield batch.slice(first, last - first)
             first = last
         pa.default_memory_pool().release_unused()
-        _give_back()
+        give_back()
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

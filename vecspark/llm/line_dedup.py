@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vecspark.llm.common import by_bytes, condensed, lean_batches, materialise, text_bytes
-from vecspark.llm.components import ANYWHERE, BUCKET, candidates, deal, in_slots, listed, similar_components, slots_of
+from vecspark.llm.components import ANYWHERE, BUCKET, NAME_BITS, candidates, deal, in_slots, listed, similar_components, slots_of
 from vecspark.llm.words import NOT_WORD, constants, mix, span_hashes, words
 
 SKETCH_BITS = 18  # of the counters of word frequency: their size is fixed whatever the corpus
@@ -87,7 +87,7 @@ def _occurrences(shortest: int):  # noqa: ANN202
             total += np.bincount((h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total))
             keys = _keys(h, begin)
             at = np.flatnonzero(np.diff(begin) >= shortest)
-            yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in at], pa.binary()), pa.array(_ids(keys)[at]), batch.column("doc_id").take(pa.array(row[at])), batch.column("key").take(pa.array(row[at])), pa.array(number[at].astype(np.int32)), pa.nulls(len(at), pa.int32()), pa.nulls(len(at), pa.binary())], names=_NAMES)
+            yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in at], pa.binary()), pa.array(_ids(keys, h, begin)[at]), batch.column("doc_id").take(pa.array(row[at])), batch.column("key").take(pa.array(row[at])), pa.array(number[at].astype(np.int32)), pa.nulls(len(at), pa.int32()), pa.nulls(len(at), pa.binary())], names=_NAMES)
         if total.any():
             parts = [zstandard.ZstdCompressor(level=1).compress(x.tobytes()) for x in total.reshape(PARTS, -1)]
             empty = [pa.nulls(PARTS, kind) for kind in (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32())]
@@ -160,9 +160,12 @@ def _rare(h: np.ndarray, begin: np.ndarray, percent: int, levels: np.ndarray) ->
     return gram[keep], line[keep], common[keep], spot[keep], asked
 
 
-def _ids(keys: list[bytes]) -> np.ndarray:
-    """48 bits of the names of lines: two that meet by chance are candidates with each other's partners, no more."""
-    return np.frombuffer(b"".join(keys), np.int64)[::2] & ((1 << 48) - 1)
+def _ids(keys: list[bytes], h: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """48 bits a line: a parity sketch of 24 bits, like PARITY, over 24 bits of its name. Two lines that meet by chance are
+    candidates with each other's partners, no more."""
+    with np.errstate(over="ignore"):
+        bit = np.int64(1 << NAME_BITS) << (mix(h ^ np.uint64(0x3C)) % np.uint64(24)).astype(np.int64)
+    return np.bitwise_xor.reduceat(bit, begin[:-1]) | (np.frombuffer(b"".join(keys), np.int64)[::2] & ((1 << NAME_BITS) - 1))
 
 
 def _prefixes(fewest: int, percent: int, levels: np.ndarray, hot: int, buckets: int):  # noqa: ANN202
@@ -188,7 +191,7 @@ def _prefixes(fewest: int, percent: int, levels: np.ndarray, hot: int, buckets:
             gram, line, common, spot, asked = _rare(h, begin, percent, levels)
             keep = use[line]
             line = line[keep]
-            held.append((gram[keep], _ids(keys)[line], n[line].astype(np.int32), asked[line].astype(np.int32), common[keep] > hot, spot[keep].astype(np.uint16)))
+            held.append((gram[keep], _ids(keys, h, begin)[line], n[line].astype(np.int32), asked[line].astype(np.int32), common[keep] > hot, spot[keep].astype(np.uint16)))
             size += len(line)
             if size >= DEALT:
                 yield dealt(held)
@@ -199,9 +202,9 @@ def _prefixes(fewest: int, percent: int, levels: np.ndarray, hot: int, buckets:
     return run
 
 
-def _fetched(fewest: int, rows: np.ndarray, lines: np.ndarray, full: bool):  # noqa: ANN202
-    """Name, id, length and sketch, or name and 32-bit word hashes, of lines whose slot is set, from documents whose slot
-    is set; equal ones once a batch."""
+def _fetched(fewest: int, rows: np.ndarray, lines: np.ndarray):  # noqa: ANN202
+    """Name, id, length, sketch and 32-bit word hashes of lines whose slot is set, from documents whose slot is set; equal
+    ones once a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -210,13 +213,11 @@ def _fetched(fewest: int, rows: np.ndarray, lines: np.ndarray, full: bool):  # n
                 if not len(h):
                     continue
                 keys, n = _keys(h, begin), np.diff(begin)
-                good = (n >= fewest) & in_slots(lines, _ids(keys))
+                ids = _ids(keys, h, begin)
+                good = (n >= fewest) & in_slots(lines, ids)
                 mine = pa.array(list({keys[i]: i for i in np.flatnonzero(good).tolist()}.values()), pa.int64())
-                if full:
-                    short = (h >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                    columns = {"name": pa.array(keys, pa.binary()), "words": pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(short))}
-                else:
-                    columns = {"name": pa.array(keys, pa.binary()), "id": pa.array(_ids(keys)), "n": pa.array(n.astype(np.int32)), **dict(zip(PARITY, _parity(h, begin), strict=True))}
+                short = (h >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                columns = {"name": pa.array(keys, pa.binary()), "id": pa.array(ids), "n": pa.array(n.astype(np.int32)), **dict(zip(PARITY, _parity(h, begin), strict=True)), "words": pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(short))}
                 yield pa.RecordBatch.from_arrays([c.take(mine) for c in columns.values()], names=list(columns))
 
     return run
@@ -320,36 +321,35 @@ def _repeated(docs: DataFrame, percent: int, fewest: int, shortest: int) -> Data
     dealt = docs.select("text").mapInArrow(_prefixes(fewest, percent, level(counts), int(level(np.array(total / 4096 + 1000))), buckets), "bucket int, tokens binary")
     pairs, rows = candidates(dealt, buckets, percent, placed=True)
     pairs = materialise(pairs, "candidates")
-    place = lines.select(F.col("id").alias("name"), "head", "first.key")
-
-    def fetch(wanted: DataFrame, ids: DataFrame, full: bool) -> DataFrame:
-        """Of lines named in `wanted` (name, key of a document that holds it), what _fetched returns."""
-        made = _fetched(fewest, slots_of(wanted, "key"), slots_of(ids, "id"), full)
-        schema = "name binary, words array<int>" if full else "name binary, id long, n int" + "".join(f", {c} long" for c in PARITY)
-        return docs.select("key", "text").mapInArrow(made, schema)
-
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).union(rows.select("id")).distinct()
     ids = materialise(ids, "listed")
-    prints = fetch(place.join(ids, F.col("head") == F.col("id")), ids, False).groupBy("name").agg(*[F.first(c).alias(c) for c in ("id", "n", *PARITY)])
-    prints = materialise(prints, "line-prints")
+    slots = slots_of(ids, "id")  # of lines that may link: only these meet pairs and labels, and by chance of slots a few others
+    likely = listed(slots, "head")
+    wanted = lines.select("head", "first.key").mapInArrow(likely, "head long, key long")
+    schema = "name binary, id long, n int" + "".join(f", {c} long" for c in PARITY) + ", words array<int>"
+    prints = docs.select("key", "text").mapInArrow(_fetched(fewest, slots_of(wanted, "key"), slots), schema)
+    prints = materialise(prints.groupBy("name").agg(*[F.first(c).alias(c) for c in ("id", "n", *PARITY, "words")]), "line-prints")
 
     def judge(pairs: DataFrame) -> DataFrame:
-        """The pairs that are alike, by their words; only lines of pairs are fetched."""
+        """The pairs that are alike, by their words."""
         if pairs.isEmpty():
             return pairs
         asked = pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct()
-        wanted = place.join(asked, "name")
-        some = fetch(wanted, wanted.select(F.col("head").alias("id")), True).join(asked, "name")
-        some = materialise(some.groupBy("name").agg(F.first("words").alias("words")), "line-words")
+        some = prints.select("name", "words", F.xxhash64("name").alias("slot"))
+        some = some.mapInArrow(listed(slots_of(asked.select(F.xxhash64("name").alias("slot")), "slot"), "slot"), some.schema)
+        some = materialise(some.drop("slot").join(asked, "name"), "line-words")
         s, t = some.alias("s"), some.alias("t")
         both = pairs.join(s, F.col("a") == F.col("s.name")).join(t, F.col("b") == F.col("t.name"))
         return both.select("a", "b", F.col("s.words").alias("u"), F.col("t.words").alias("v")).mapInArrow(_verify(percent), "a binary, b binary")
 
-    labels = similar_components(pairs, rows, prints, PARITY, lambda x, y: _room(x, y, percent), judge)
-    groups = lines.join(labels, F.col("id") == F.col("v"), "left").select("id", "k", "first", F.coalesce("component", "id").alias("group"))
+    labels = similar_components(pairs, rows, prints.drop("words"), PARITY, lambda x, y: _room(x, y, percent), judge)
+    # A line that stands once and links with none stays.
+    some = lines.where("k > 1").unionAll(lines.where("k = 1").mapInArrow(likely, lines.schema))
+    groups = some.join(labels, F.col("id") == F.col("v"), "left").select("id", "head", "k", "first", F.coalesce("component", "id").alias("group"))
     stays = groups.groupBy("group").agg(F.min("first").alias("stays"), F.sum("k").alias("k")).where("k > 1")
-    gone = materialise(groups.select("id", "group").join(stays, "group").select("id", "stays"), "repeated-lines")
-    out = seen.select("id", "doc_id", "key", "line").join(gone, "id")
+    gone = materialise(groups.select("id", "head", "group").join(stays, "group").select("id", "head", "stays"), "repeated-lines")
+    seen = seen.select("id", "head", "doc_id", "key", "line").mapInArrow(listed(slots_of(gone, "head"), "head"), "id binary, head long, doc_id long, key long, line int")
+    out = seen.drop("head").join(gone.drop("head"), "id")
     out = out.where(~F.struct("doc_id", "key", "line").eqNullSafe(F.col("stays")))
     return out.groupBy("doc_id", "key").agg(F.array_sort(F.collect_set("line")).alias("lines"))
 
