@@ -54,9 +54,9 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     return materialise(labels.join(least, "label").select("v", "component"), "components")
 
 
-_PLACED_KEY_BYTES, _PLACED_THING_BYTES = 4, 6
+_PLACED_KEY_BYTES, _PLACED_THING_BYTES = 4, 7
 #: Bits of a placed thing that name it; the rest is its sketch.
-NAME_BITS = 24
+NAME_BITS = 32
 ANYWHERE = 0xFFFF  # the place of a key that a thing holds more than once, or too far from its beginning
 
 
@@ -66,7 +66,7 @@ def deal(key: np.ndarray, thing: np.ndarray, n: np.ndarray, low: np.ndarray, hot
     A token says that the thing (64-bit id), of size n, holds the key, and that `low` keys must be shared with it. Keys
     are told apart by bucket and 40 bits: a chance meeting of two adds a candidate and takes none away. Hot keys get
     negative buckets, spread by thing. For sequences, `place` (16 bits, or ANYWHERE) tells where in its thing the key stands;
-    their things have 48 bits, the upper half a parity sketch of the words, and 32 bits of a key are enough.
+    their things have 56 bits, the upper 24 a parity sketch of the words, and 32 bits of a key are enough.
     """
     h = mix(key.astype(np.uint64))
     bucket = np.where(hot, -1 - (mix(thing.view(np.uint64)) >> np.uint64(40)).astype(np.int64) % buckets, (h >> np.uint64(24)).astype(np.int64) % buckets)

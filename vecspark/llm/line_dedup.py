@@ -161,7 +161,7 @@ def _rare(h: np.ndarray, begin: np.ndarray, percent: int, levels: np.ndarray) ->
 
 
 def _ids(keys: list[bytes], h: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """48 bits a line: a parity sketch of 24 bits, like PARITY, over 24 bits of its name. Two lines that meet by chance are
+    """56 bits a line: a parity sketch of 24 bits, like PARITY, over 32 bits of its name. Two lines that meet by chance are
     candidates with each other's partners, no more."""
     with np.errstate(over="ignore"):
         bit = np.int64(1 << NAME_BITS) << (mix(h ^ np.uint64(0x3C)) % np.uint64(24)).astype(np.int64)
