@@ -19,6 +19,7 @@ PARTS = 16  # in which the counters move
 SEEN = 500_000  # names of lines that a task remembers
 BATCH = 1 << 19  # bytes of text that a task works on at once
 DEALT = 250_000  # tokens that a task deals at once
+HOT = 250_000  # occurrences that a word may have, besides its share, before its pairs leave their buckets
 _NEWLINE = 10
 
 
@@ -113,7 +114,7 @@ def _counts(seen: DataFrame) -> np.ndarray:
     return out.reshape(-1)
 
 
-def _rare(h: np.ndarray, begin: np.ndarray, percent: int, levels: np.ndarray) -> tuple[np.ndarray, ...]:
+def _rare(h: np.ndarray, begin: np.ndarray, percent: int, levels: np.ndarray, hot: int | None = None) -> tuple[np.ndarray, ...]:
     """Prefix of each line's bag of word pairs, rare ones first: names, lines, levels, places (ANYWHERE for a pair that
     stands more than once in its line: any of them may be the one that edits leave); and the matches each line asks for.
 
@@ -122,7 +123,8 @@ def _rare(h: np.ndarray, begin: np.ndarray, percent: int, levels: np.ndarray) ->
     one of j = 0..4 if percent is 80 or more, and a pair is left then; below that single words take the place of pairs,
     of which no more than n * (100 - percent) / 100 are lost. So lines that link share l pairs, the lesser of what they
     ask for, within prefixes of l more than can be lost; l is n / 16 + 1, but no more than must be left. A pair that
-    stands k times in a line is k pairs.
+    stands k times in a line is k pairs. Of a pair of words above the level `hot` only the first of the k is told: its
+    matches are not counted, and lines that share another of the k share the first.
     """
     n = np.diff(begin)
     line = np.repeat(np.arange(len(n)), n)
@@ -157,6 +159,8 @@ def _rare(h: np.ndarray, begin: np.ndarray, percent: int, levels: np.ndarray) ->
     with np.errstate(over="ignore"):
         gram = gram + (place - run).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     keep = place - first[line] < (lost + asked)[line]
+    if hot is not None:
+        keep &= (common <= hot) | (place == run)
     return gram[keep], line[keep], common[keep], spot[keep], asked
 
 
@@ -188,7 +192,7 @@ def _prefixes(fewest: int, percent: int, levels: np.ndarray, hot: int, buckets:
                 use[i] = keys[i] not in told
                 if len(told) < SEEN:
                     told.add(keys[i])
-            gram, line, common, spot, asked = _rare(h, begin, percent, levels)
+            gram, line, common, spot, asked = _rare(h, begin, percent, levels, hot)
             keep = use[line]
             line = line[keep]
             held.append((gram[keep], _ids(keys, h, begin)[line], n[line].astype(np.int32), asked[line].astype(np.int32), common[keep] > hot, spot[keep].astype(np.uint16)))
@@ -318,7 +322,7 @@ def _repeated(docs: DataFrame, percent: int, fewest: int, shortest: int) -> Data
     total = int(counts.sum())
     buckets = max(8, total * (2 * (100 - percent) + 6) // 100 // BUCKET)
     level = lambda count: (2 * np.log2(1 + count)).astype(np.uint8)
-    dealt = docs.select("text").mapInArrow(_prefixes(fewest, percent, level(counts), int(level(np.array(total / 4096 + 1000))), buckets), "bucket int, tokens binary")
+    dealt = docs.select("text").mapInArrow(_prefixes(fewest, percent, level(counts), int(level(np.array(total / 4096 + HOT))), buckets), "bucket int, tokens binary")
     pairs, rows = candidates(dealt, buckets, percent, placed=True)
     pairs = materialise(pairs, "candidates")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).union(rows.select("id")).distinct()
@@ -342,7 +346,7 @@ def _repeated(docs: DataFrame, percent: int, fewest: int, shortest: int) -> Data
         both = pairs.join(s, F.col("a") == F.col("s.name")).join(t, F.col("b") == F.col("t.name"))
         return both.select("a", "b", F.col("s.words").alias("u"), F.col("t.words").alias("v")).mapInArrow(_verify(percent), "a binary, b binary")
 
-    labels = similar_components(pairs, rows, prints.drop("words"), PARITY, lambda x, y: _room(x, y, percent), judge)
+    labels = similar_components(pairs, rows, prints.drop("words"), PARITY, lambda x, y: _room(x, y, percent), judge, start=4)
     # A line that stands once and links with none stays.
     some = lines.where("k > 1").unionAll(lines.where("k = 1").mapInArrow(likely, lines.schema))
     groups = some.join(labels, F.col("id") == F.col("v"), "left").select("id", "head", "k", "first", F.coalesce("component", "id").alias("group"))
