@@ -10,7 +10,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vecspark.llm.common import give_back, materialise
+from vecspark.llm.common import give_back, materialise, text_bytes
 from vecspark.llm.words import mix
 
 #: Keys held by so many things or fewer give all their pairs at once: no more than 16 pairs a row. Larger ones go to
@@ -18,7 +18,11 @@ from vecspark.llm.words import mix
 SMALL = 32
 #: The same where tokens have places and sketches, which refuse most pairs at once; only things of sizes that allow a link
 #: count. A key that gives more than SMALL / 2 pairs a row goes to similar_components() all the same.
-CROWD = 256
+CROWD = 8192
+#: Pairs of a crowd that are looked at at once.
+PAIRS = 1 << 18
+#: Rows and leaders of a large key that meet in one cell.
+ROWS, LEADS = 16384, 1024
 #: Tokens of a bucket on the average; a bucket is read as a whole by one task.
 BUCKET = 250_000
 #: Keys of a thing that each of its rows may know, the smallest ones: 64 bytes a row for any number of keys.
@@ -58,15 +62,17 @@ _PLACED_KEY_BYTES, _PLACED_THING_BYTES = 4, 7
 #: Bits of a placed thing that name it; the rest is its sketch.
 NAME_BITS = 32
 ANYWHERE = 0xFFFF  # the place of a key that a thing holds more than once, or too far from its beginning
+MANY = 0xFFFF  # times that a token can tell, so nothing may ask for more matches
 
 
-def deal(key: np.ndarray, thing: np.ndarray, n: np.ndarray, low: np.ndarray, hot: np.ndarray, buckets: int, place: np.ndarray | None = None) -> pa.RecordBatch:
+def deal(key: np.ndarray, thing: np.ndarray, n: np.ndarray, low: np.ndarray, hot: np.ndarray, buckets: int, place: np.ndarray | None = None, times: np.ndarray | None = None) -> pa.RecordBatch:
     """Rows (bucket int, tokens binary) of a batch's tokens, those of one bucket together, so that they move packed.
 
     A token says that the thing (64-bit id), of size n, holds the key, and that `low` keys must be shared with it. Keys
     are told apart by bucket and 40 bits: a chance meeting of two adds a candidate and takes none away. Hot keys get
-    negative buckets, spread by thing. For sequences, `place` (16 bits, or ANYWHERE) tells where in its thing the key stands;
-    their things have 56 bits, the upper 24 a parity sketch of the words, and 32 bits of a key are enough.
+    negative buckets, spread by thing. For sequences, `place` (16 bits, or ANYWHERE) tells where in its thing the key stands
+    and `times` (16 bits, if None: 1) how often: two things match there as often as the one with fewer. Their things have
+    56 bits, the upper 24 a parity sketch of the words, and 32 bits of a key are enough.
     """
     h = mix(key.astype(np.uint64))
     bucket = np.where(hot, -1 - (mix(thing.view(np.uint64)) >> np.uint64(40)).astype(np.int64) % buckets, (h >> np.uint64(24)).astype(np.int64) % buckets)
@@ -74,6 +80,7 @@ def deal(key: np.ndarray, thing: np.ndarray, n: np.ndarray, low: np.ndarray, hot
         order = np.argsort(bucket.astype(np.int16) if buckets < 1 << 15 else bucket, kind="stable")
     else:  # tokens of one size together, so that sizes pack well
         order = np.argsort((bucket << 24) + np.minimum(n, (1 << 24) - 1))
+        times = np.ones(len(key), np.uint16) if times is None else np.minimum(times[order], MANY).astype(np.uint16)
         place = place[order].astype(np.uint16)
     bucket, h, thing, n, low = bucket[order], h[order], thing[order], n[order], low[order]
     cut = np.flatnonzero(np.r_[True, np.diff(bucket) != 0, True]) if len(bucket) else np.zeros(1, np.int64)
@@ -82,14 +89,14 @@ def deal(key: np.ndarray, thing: np.ndarray, n: np.ndarray, low: np.ndarray, hot
     rows = []
     for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
         names = planes(np.diff(thing[i:j], prepend=np.int64(0)), 8) if place is None else planes(thing[i:j], _PLACED_THING_BYTES)
-        where = b"" if place is None else planes(place[i:j], 2)
+        where = b"" if place is None else planes(place[i:j], 2) + planes(times[i:j], 2)
         rows.append(squeeze(planes(h[i:j], _KEY_BYTES if place is None else _PLACED_KEY_BYTES) + names + planes(n[i:j].astype(np.int32), 4) + planes(low[i:j].astype(np.int32), 4) + where))
     return pa.RecordBatch.from_arrays([pa.array(bucket[cut[:-1]].astype(np.int32)), pa.array(rows, pa.binary())], names=["bucket", "tokens"])
 
 
 def _dealt(blobs: list[bytes], placed: bool) -> list[np.ndarray]:
-    """Keys, things, sizes, least matches and, if they have them, places of packed tokens."""
-    parts, kinds = [], [(_PLACED_KEY_BYTES if placed else _KEY_BYTES, np.int64), (_PLACED_THING_BYTES if placed else 8, np.int64), (4, np.int32), (4, np.int32), *[(2, np.int32)] * placed]
+    """Keys, things, sizes, least matches and, if they have them, places and times of packed tokens."""
+    parts, kinds = [], [(_PLACED_KEY_BYTES if placed else _KEY_BYTES, np.int64), (_PLACED_THING_BYTES if placed else 8, np.int64), (4, np.int32), (4, np.int32), *[(2, np.int32), (2, np.int32)] * placed]
     unpack = zstandard.ZstdDecompressor().decompress
     for blob in blobs:
         data = np.frombuffer(unpack(blob), np.uint8)
@@ -177,6 +184,9 @@ def _meet(percent: int, placed: bool) -> Callable:
         large = count > most
         if placed:
             sketch = (thing >> NAME_BITS).astype(np.uint32)
+            # Bits that may differ from a shorter thing: room and the size of that; 24 or more for the longest.
+            room = np.where(size < 4095, 2 * (size * (100 - percent) // 100) - size, 24).astype(np.int16)
+            short = size.astype(np.int16)
             if large.any():
                 wide = np.zeros(len(key), bool)
                 wide[:-most] = (group[most:] == group[:-most]) & (size[:-most] * 100 >= size[most:] * percent)
@@ -193,8 +203,29 @@ def _meet(percent: int, placed: bool) -> Callable:
                 near &= (i == ANYWHERE) | (j == ANYWHERE) | (np.abs(i - j) + np.abs(by - i + j) <= edits)
             return near
 
-        x, y, at, matches = [none.astype(np.int32)], [none.astype(np.int32)], np.flatnonzero(~large[group]).astype(np.int32), np.zeros(len(begin), np.int64)
-        for d in range(1, most):  # every place and the one d further on, inside a key
+        def within(first: int, end: int) -> tuple[np.ndarray, np.ndarray] | None:
+            """The matches among places first..end of one key, or None if they are more than SMALL / 2 a row."""
+            p, q, found, i = [], [], 0, first
+            behind = lambda k: first + int(np.searchsorted(size[first:end], size[k] * 100 // percent, "right"))
+            while i < end - 1:
+                rows = min(max(PAIRS // max(behind(i) - i, 1), 1), end - 1 - i)
+                stop = max(behind(i + rows - 1), i + 1)
+                differ = np.bitwise_count(sketch[i : i + rows, None] ^ sketch[None, i + 1 : stop])
+                u, v = np.nonzero(differ <= room[None, i + 1 : stop] + short[i : i + rows, None])
+                u, v = (z[v >= u] for z in (u, v))
+                u, v = u + i, v + i + 1
+                near = like(u, v)
+                p.append(u[near].astype(np.int32))
+                q.append(v[near].astype(np.int32))
+                found += len(p[-1])
+                if found > SMALL // 2 * (end - first):
+                    return None
+                i += rows
+            return np.concatenate(p), np.concatenate(q)
+
+        crowd = (count > SMALL) & ~large if placed else np.zeros(len(begin), bool)
+        x, y, at = [none.astype(np.int32)], [none.astype(np.int32)], np.flatnonzero(~(large | crowd)[group]).astype(np.int32)
+        for d in range(1, SMALL):  # every place and the one d further on, inside a key
             at = at[at < len(key) - d]
             at = at[group[at] == group[at + d]]
             if placed:
@@ -204,10 +235,13 @@ def _meet(percent: int, placed: bool) -> Callable:
             near = like(at, at + d)
             x.append(at[near])
             y.append(at[near] + np.int32(d))
-            if placed:
-                matches += np.bincount(group[x[-1]], minlength=len(begin))
-                large |= matches > SMALL // 2 * count
-                at = at[~large[group[at]]]
+        for g in np.flatnonzero(crowd).tolist():
+            pairs = within(int(begin[g]), int(begin[g] + count[g]))
+            if pairs is None:
+                large[g] = True
+            else:
+                x.append(pairs[0])
+                y.append(pairs[1])
         many = large[group]
         if many.any():
             name = mix(key.view(np.uint64) + np.uint64(bucket << 40 & (1 << 64) - 1))
@@ -220,12 +254,15 @@ def _meet(percent: int, placed: bool) -> Callable:
         if placed:
             few = ~many[x]
             x, y = x[few], y[few]
+            times = np.minimum(place[1][x], place[1][y])
+        else:
+            times = np.ones(len(x), np.int32)
         if len(x):
             a, b, need = np.minimum(thing[x], thing[y]), np.maximum(thing[x], thing[y]), np.minimum(low[x], low[y])
             order = np.lexsort((b, a))
-            a, b, need = a[order], b[order], need[order]
+            a, b, need, times = a[order], b[order], need[order], times[order]
             first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-            yield _found(pa.nulls(len(first), pa.int64()), a[first], b[first], need[first], np.diff(np.r_[first, len(a)]))
+            yield _found(pa.nulls(len(first), pa.int64()), a[first], b[first], need[first], np.add.reduceat(times, first))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blobs: list[bytes] = []
@@ -257,19 +294,21 @@ def candidates(dealt: DataFrame, buckets: int, percent: int, placed: bool = Fals
     return pairs, rows.where(~hot).unionAll(rows.where(hot).distinct())
 
 
-def similar_components(pairs: DataFrame, rows: DataFrame, prints: DataFrame, sketch: list[str], near: Callable[[str, str], Column], judge: Callable[[DataFrame], DataFrame], first: Callable[[DataFrame], DataFrame] | None = None, growth: int = 64, start: int = 1) -> DataFrame:
+def similar_components(pairs: DataFrame, rows: DataFrame, prints: DataFrame, sketch: list[str], near: Callable[[str, str], Column], judge: Callable[[DataFrame], DataFrame], first: Callable[[DataFrame], DataFrame] | None = None, growth: int = 64, start: int = 1, alike: Callable[..., np.ndarray] | None = None) -> DataFrame:
     """Components (v, component) of all links among candidate pairs and among things that share a key of `rows`.
 
     pairs (a, b) and rows (key, id, n) name things by 64-bit ids, prints (id, name, n and the sketch columns) by names
     that never meet by chance; judge gets pairs (a, b) of names and returns those that link. near(x, y) is a test of n
     and sketch columns that no linked pair fails. first(pairs), if given, takes the place of near and judge for pairs.
+    alike(n, m, sketch, sketch), if given, is the same test as near on arrays, and rows meet leaders by it (see _beside);
+    names are then 16 bytes.
 
     First the pairs are judged. Keys whose things are all in one component drop out before their rows get sketches. Then a
     key's rows are compared with some `start`, 64, 4096... times that of them as long as they lie in different components, by the sketch
     inside the join; or, where few are outside the key's largest component, with all of these, which settles the key.
     What is left shrinks until every pair in two components has been compared, so no link between components is lost, and
-    a group of copies costs one pair a copy. Two things that share many keys meet in one of them only: a row knows the
-    LOWEST keys of its thing below its own, and where two rows have one of these in common they meet there.
+    a group of copies costs one pair a copy. Without `alike`, two things that share many keys meet in one of them only: a
+    row knows the LOWEST keys of its thing below its own, and where two rows have one of these in common they meet there.
     """
     if first is None:
         x, y = prints.alias("x"), prints.alias("y")
@@ -281,7 +320,9 @@ def similar_components(pairs: DataFrame, rows: DataFrame, prints: DataFrame, ske
     known = materialise(known.select("id", "name", F.coalesce("component", "name").alias("comp"), *sketch), "known")
     held = rows.join(known.select("id", "comp"), "id").groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     rows = materialise(rows.join(held.where("lo < hi").select("key"), "key"), "held")
-    where = _held(rows).join(known, "id").select("key", "before", "n", "name", "comp", *sketch)
+    # Where rows meet by arrays, pairs of several keys are cheaper than lists of keys.
+    columns = ["key", *(["before"] if alike is None else []), "n", "name", "comp", *sketch]
+    where = (_held(rows) if alike is None else rows).join(known, "id").select(*columns)
     judged, k = None, start
     while True:
         where = materialise(where, "open")
@@ -290,13 +331,13 @@ def similar_components(pairs: DataFrame, rows: DataFrame, prints: DataFrame, ske
             return labels
         where = _led(where.join(mixed, "key"), k)
         where = where.withColumn("leads", F.when(F.col("few"), F.col("comp") != F.col("main")).otherwise(F.col("leads")))
-        new = _meetings(where, where.where("leads"), near).distinct()
+        new = (_meetings(where, where.where("leads"), near) if alike is None else _beside(where, 8 * max(k, 8), sketch, alike)).distinct()
         if judged is not None:
             new = new.join(judged, ["a", "b"], "left_anti")
         new = materialise(new, "pairs")
         told = materialise(judge(new), "verified")
         judged = new if judged is None else judged.unionAll(new)
-        where = where.where("NOT leads AND NOT few").select("key", "before", "n", "name", "comp", *sketch)
+        where = where.where("NOT leads AND NOT few").select(*columns)
         if not told.isEmpty():
             labels, moved = _merged(labels, told)
             where = where.join(moved, F.col("comp") == F.col("v"), "left").withColumn("comp", F.coalesce("component", "comp")).drop("v", "component")
@@ -335,6 +376,57 @@ def _meetings(where: DataFrame, lead: DataFrame, near: Callable[[str, str], Colu
     return met.select(F.least("x.name", "y.name").alias("a"), F.greatest("x.name", "y.name").alias("b"))
 
 
+def _beside(where: DataFrame, most: int, sketch: list[str], alike: Callable[..., np.ndarray]) -> DataFrame:
+    """_meetings of `where` with its leaders, some `most` of a key at most, by arrays: cells of some ROWS rows and LEADS
+    leaders of a key, so that no task holds a large key; a pair may come from several keys."""
+    blocks, parts = F.ceil(F.least("size", F.lit(most)) / LEADS), F.ceil(F.col("size") / ROWS)
+    among = lambda seed, n: F.pmod(F.xxhash64("name", F.lit(seed)), n)
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    columns = ["name", "comp", "n", *sketch]
+    held = where.select("key", among(1, parts).alias("r"), each(blocks).alias("l"), F.lit(False).alias("leads"), *columns)
+    lead = where.where("leads").select("key", each(parts).alias("r"), among(2, blocks).alias("l"), "leads", *columns)
+    tasks = int(where.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = held.unionAll(lead).repartition(tasks, "key", "r", "l").sortWithinPartitions("key", "r", "l")
+    met = cells.mapInArrow(_met_beside(sketch, alike), "a binary, b binary")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def _met_beside(sketch: list[str], alike: Callable[..., np.ndarray]) -> Callable:
+    def settle(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        lead = cell.column("leads").to_numpy(zero_copy_only=False)
+        x, y = np.flatnonzero(~lead), np.flatnonzero(lead)
+        comp = text_bytes(cell.column("comp"))[0].view(np.uint64).reshape(-1, 2)
+        n, bits = cell.column("n").to_numpy(), [cell.column(c).to_numpy() for c in sketch]
+        rows = max(PAIRS // max(len(y), 1), 1)
+        for part in (x[i : i + rows] for i in range(0, len(x) if len(y) else 0, rows)):
+            near = alike(n[part, None], n[None, y], [b[part, None] for b in bits], [b[None, y] for b in bits])
+            u, v = np.nonzero(near)
+            u, v = part[u], y[v]
+            apart = (comp[u] != comp[v]).any(axis=1)
+            if apart.any():
+                name = cell.column("name")
+                yield pa.RecordBatch.from_arrays([name.take(pa.array(z[apart])) for z in (u, v)], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            at = np.stack([batch.column(c).to_numpy() for c in ("key", "r", "l")])
+            cut = np.flatnonzero(np.r_[True, (at[:, 1:] != at[:, :-1]).any(axis=0), True]) if batch.num_rows else []
+            for i, j in zip(cut[:-1], cut[1:], strict=True):
+                this = tuple(at[:, i].tolist())
+                if held and this != last:
+                    yield from settle(held)
+                    held = []
+                held.append(batch.slice(i, j - i))
+                last = this
+        if held:
+            yield from settle(held)
+
+    return run
+
+
 def _merged(labels: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Labels (v, component) after more links (a, b), and of the components that the links touch the new ones."""
     p, q = labels.alias("p"), labels.alias("q")

@@ -11,10 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vecspark.llm.common import by_bytes, condensed, lean_batches, materialise, text_bytes
-from vecspark.llm.components import ANYWHERE, BUCKET, NAME_BITS, candidates, deal, in_slots, listed, similar_components, slots_of
+from vecspark.llm.components import ANYWHERE, BUCKET, MANY, NAME_BITS, candidates, deal, in_slots, listed, similar_components, slots_of
 from vecspark.llm.words import NOT_WORD, constants, mix, span_hashes, words
 
 SKETCH_BITS = 18  # of the counters of word frequency: their size is fixed whatever the corpus
+PAIR_BITS = 21  # the same for pairs of words
+CROWDED = 3  # times the mean of its counters that a pair stands at least, if the counter is its own
 PARTS = 16  # in which the counters move
 SEEN = 500_000  # names of lines that a task remembers
 BATCH = 1 << 19  # bytes of text that a task works on at once
@@ -28,8 +30,8 @@ def _lines(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     data, offsets = text_bytes(batch.column("text"))
     starts, ends, rows = words(data, offsets, NOT_WORD)
     h = span_hashes(data, starts, ends)
-    breaks = np.r_[0, np.cumsum(data == _NEWLINE)]
-    number = breaks[starts] - breaks[offsets[rows]] if len(starts) else starts
+    breaks = np.flatnonzero(data == _NEWLINE)
+    number = np.cumsum(np.bincount(np.searchsorted(starts, breaks), minlength=len(starts) + 1)[:-1]) - np.searchsorted(breaks, offsets)[rows]
     if not len(h):
         return h, starts, rows, number
     begin = np.flatnonzero(np.r_[True, (np.diff(rows) != 0) | (np.diff(number) != 0)])
@@ -72,49 +74,85 @@ def _room(x: str, y: str, percent: int) -> Column:
     return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (differ <= 2 * most - F.abs(n - m))
 
 
+def _alike(percent: int):  # noqa: ANN202
+    """_room on arrays."""
+
+    def alike(n: np.ndarray, m: np.ndarray, s: list[np.ndarray], t: list[np.ndarray]) -> np.ndarray:
+        longer, by = np.maximum(n, m), np.abs(n - m)
+        # Of a signed integer, bitwise_count counts the bits of its absolute value.
+        differ = sum((np.bitwise_count((x ^ y).view(np.uint64)).astype(np.int16) for x, y in zip(s, t, strict=True)), np.int16(0))
+        return ((longer - by) * 100 >= longer * percent) & (differ <= 2 * (longer * (100 - percent) // 100) - by)
+
+    return alike
+
+
 _NAMES = ["id", "head", "doc_id", "key", "line", "part", "counts"]
 _OCCURRENCES = "id binary, head long, doc_id long, key long, line int, part int, counts binary"
 
 
 def _occurrences(shortest: int):  # noqa: ANN202
-    """Lines of `shortest` words or more; and after them, a part a row, the words of all lines counted by hash."""
+    """Lines of `shortest` words or more; and after them, a part a row, the words and word pairs of all lines counted by hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SKETCH_BITS, np.int64)
+        total, pairs = np.zeros(1 << SKETCH_BITS, np.int64), np.zeros(1 << PAIR_BITS, np.uint32)
         for batch in by_bytes(batches, limit=BATCH):
             h, begin, row, number = _lines(batch)
             if not len(h):
                 continue
             total += np.bincount((h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total))
+            inside = np.ones(len(h), bool)
+            inside[begin[1:] - 1] = False
+            inside = np.flatnonzero(inside)
+            np.add.at(pairs, (_pair(h, inside) >> np.uint64(64 - PAIR_BITS)).astype(np.int64), np.uint32(1))
             keys = _keys(h, begin)
             at = np.flatnonzero(np.diff(begin) >= shortest)
             yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in at], pa.binary()), pa.array(_ids(keys, h, begin)[at]), batch.column("doc_id").take(pa.array(row[at])), batch.column("key").take(pa.array(row[at])), pa.array(number[at].astype(np.int32)), pa.nulls(len(at), pa.int32()), pa.nulls(len(at), pa.binary())], names=_NAMES)
         if total.any():
-            parts = [zstandard.ZstdCompressor(level=1).compress(x.tobytes()) for x in total.reshape(PARTS, -1)]
-            empty = [pa.nulls(PARTS, kind) for kind in (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32())]
-            yield pa.RecordBatch.from_arrays([*empty, pa.array(range(PARTS), pa.int32()), pa.array(parts, pa.binary())], names=_NAMES)
+            parts = [x.tobytes() for x in total.reshape(PARTS, -1)] + [np.ascontiguousarray(x.view(np.uint8).reshape(-1, 4).T).tobytes() for x in pairs.reshape(PARTS, -1)]
+            parts = [zstandard.ZstdCompressor(level=1).compress(x) for x in parts]
+            empty = [pa.nulls(len(parts), kind) for kind in (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32())]
+            yield pa.RecordBatch.from_arrays([*empty, pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names=_NAMES)
 
     return run
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Parts summed: of words as counts, of pairs (parts PARTS and on) as levels."""
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for part, blob in zip(batch.column("part").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-            sums[part] = sums.get(part, 0) + np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["part", "counts"])
+            data = zstandard.ZstdDecompressor().decompress(blob)
+            if part >= PARTS:
+                data = np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).tobytes()
+            sums[part] = sums.get(part, 0) + np.frombuffer(data, np.uint32 if part >= PARTS else np.int64).astype(np.int64)
+    out = [(_level(x) if part >= PARTS else x).tobytes() for part, x in sums.items()]
+    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(out, pa.binary())], names=["part", "counts"])
+
+
+def _level(count: np.ndarray) -> np.ndarray:
+    return (2 * np.log2(1 + count)).astype(np.uint8)
 
 
-def _counts(seen: DataFrame) -> np.ndarray:
-    """Words of all lines in 2**SKETCH_BITS counters by hash."""
+def _counts(seen: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Words of all lines in 2**SKETCH_BITS counters by hash, and the levels of their pairs in 2**PAIR_BITS counters."""
     rows = seen.where("part IS NOT NULL").select("part", "counts").repartition(PARTS, "part").mapInArrow(_summed, "part int, counts binary").collect()
     out = np.zeros((PARTS, (1 << SKETCH_BITS) // PARTS), np.int64)
+    pairs = np.zeros((PARTS, (1 << PAIR_BITS) // PARTS), np.uint8)
     for part, counts in rows:
-        out[part] = np.frombuffer(counts, np.int64)
-    return out.reshape(-1)
+        if part < PARTS:
+            out[part] = np.frombuffer(counts, np.int64)
+        else:
+            pairs[part - PARTS] = np.frombuffer(counts, np.uint8)
+    return out.reshape(-1), pairs.reshape(-1)
 
 
-def _rare(h: np.ndarray, begin: np.ndarray, percent: int, levels: np.ndarray, hot: int | None = None) -> tuple[np.ndarray, ...]:
+def _pair(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A hash of the words at `at` and of those that follow."""
+    with np.errstate(over="ignore"):
+        return mix(mix(h[at]) + h[at + 1])
+
+
+def _rare(h: np.ndarray, begin: np.ndarray, percent: int, levels: np.ndarray, hot: int | None = None, pairs: tuple[np.ndarray, int, int] | None = None, once: bool = False) -> tuple[np.ndarray, ...]:
     """Prefix of each line's bag of word pairs, rare ones first: names, lines, levels, places (ANYWHERE for a pair that
     stands more than once in its line: any of them may be the one that edits leave); and the matches each line asks for.
 
@@ -124,7 +162,12 @@ def _rare(h: np.ndarray, begin: np.ndarray, percent: int, levels: np.ndarray, ho
     of which no more than n * (100 - percent) / 100 are lost. So lines that link share l pairs, the lesser of what they
     ask for, within prefixes of l more than can be lost; l is n / 16 + 1, but no more than must be left. A pair that
     stands k times in a line is k pairs. Of a pair of words above the level `hot` only the first of the k is told: its
-    matches are not counted, and lines that share another of the k share the first.
+    matches are not counted, and lines that share another of the k share the first. With `once` that goes for all pairs,
+    and how many of the k are in the prefix is returned before the last.
+
+    How rare a pair is follows from the levels of its words, as if these stood independently; `pairs` are levels of counted
+    pairs, the level of all words and the level from which a counter tells the pair itself, as it is where a passage stands
+    in many lines: such pairs come last.
     """
     n = np.diff(begin)
     line = np.repeat(np.arange(len(n)), n)
@@ -134,15 +177,19 @@ def _rare(h: np.ndarray, begin: np.ndarray, percent: int, levels: np.ndarray, ho
     if percent >= 80:
         lost, size = np.max([2 * edits(n + j) - j for j in range(5)], axis=0), n - 1
         inside = np.flatnonzero(line[1:] == line[:-1])
-        with np.errstate(over="ignore"):
-            gram = mix(mix(h[inside]) + h[inside + 1])
+        gram = _pair(h, inside)
         common = np.minimum(level[inside], level[inside + 1])
         level, line = level[inside] + level[inside + 1], line[inside]
+        if pairs is not None:
+            table, every, own = pairs
+            counted = table[(gram >> np.uint64(64 - PAIR_BITS)).astype(np.int64)].astype(np.int64)
+            common = np.minimum(common, counted)
+            level = np.where(counted >= own, counted + every, np.minimum(level, counted + every))
     else:
         lost, gram, size = edits(n), mix(h), n
-    asked = np.clip(n // 16 + 1, 1, np.maximum(size - lost, 1))
+    asked = np.clip(n // 16 + 1, 1, np.clip(size - lost, 1, MANY))
     if not len(gram):
-        return gram, line, common, line, asked
+        return (gram, line, common, line, line, asked) if once else (gram, line, common, line, asked)
     spot = (inside if percent >= 80 else np.arange(len(h))) - begin[line]
     # One integer sorts by line, level and the head of the name; should two names of a line agree in that, they sort in full.
     packed = (line.astype(np.uint64) << np.uint64(44)) | (level.astype(np.uint64) << np.uint64(36)) | (gram >> np.uint64(28))
@@ -156,9 +203,14 @@ def _rare(h: np.ndarray, begin: np.ndarray, percent: int, levels: np.ndarray, ho
     new = np.r_[True, (gram[1:] != gram[:-1]) | (line[1:] != line[:-1]), True]
     run = np.maximum.accumulate(np.where(new[:-1], place, 0))
     spot = np.where(new[:-1] & new[1:], np.minimum(spot, ANYWHERE), ANYWHERE)
+    keep = place - first[line] < (lost + asked)[line]
+    if once:
+        first = np.flatnonzero(new[:-1])
+        times = np.add.reduceat(keep.astype(np.int64), first)
+        first, times = first[times > 0], times[times > 0]
+        return gram[first], line[first], common[first], spot[first], times, asked
     with np.errstate(over="ignore"):
         gram = gram + (place - run).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    keep = place - first[line] < (lost + asked)[line]
     if hot is not None:
         keep &= (common <= hot) | (place == run)
     return gram[keep], line[keep], common[keep], spot[keep], asked
@@ -172,12 +224,12 @@ def _ids(keys: list[bytes], h: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return np.bitwise_xor.reduceat(bit, begin[:-1]) | (np.frombuffer(b"".join(keys), np.int64)[::2] & ((1 << NAME_BITS) - 1))
 
 
-def _prefixes(fewest: int, percent: int, levels: np.ndarray, hot: int, buckets: int):  # noqa: ANN202
-    """The dealt word pairs of the prefixes of lines; equal lines of a task once."""
+def _prefixes(fewest: int, percent: int, levels: np.ndarray, hot: int, pairs: tuple[np.ndarray, int, int], buckets: int):  # noqa: ANN202
+    """The dealt word pairs of the prefixes of lines; equal lines of a task once, and equal pairs of a line."""
 
     def dealt(held: list) -> pa.RecordBatch:
-        gram, thing, n, low, common, spot = (np.concatenate(x) for x in zip(*held, strict=True))
-        return deal(gram, thing, n, low, common, buckets, spot)
+        gram, thing, n, low, common, spot, times = (np.concatenate(x) for x in zip(*held, strict=True))
+        return deal(gram, thing, n, low, common, buckets, spot, times)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told: set[bytes] = set()
@@ -192,10 +244,10 @@ def _prefixes(fewest: int, percent: int, levels: np.ndarray, hot: int, buckets:
                 use[i] = keys[i] not in told
                 if len(told) < SEEN:
                     told.add(keys[i])
-            gram, line, common, spot, asked = _rare(h, begin, percent, levels, hot)
+            gram, line, common, spot, times, asked = _rare(h, begin, percent, levels, pairs=pairs, once=True)
             keep = use[line]
             line = line[keep]
-            held.append((gram[keep], _ids(keys, h, begin)[line], n[line].astype(np.int32), asked[line].astype(np.int32), common[keep] > hot, spot[keep].astype(np.uint16)))
+            held.append((gram[keep], _ids(keys, h, begin)[line], n[line].astype(np.int32), asked[line].astype(np.int32), common[keep] > hot, spot[keep].astype(np.uint16), times[keep]))
             size += len(line)
             if size >= DEALT:
                 yield dealt(held)
@@ -316,13 +368,15 @@ def repeated_lines(docs: DataFrame, percent: int = 80, fewest: int = 5, shortest
 
 def _repeated(docs: DataFrame, percent: int, fewest: int, shortest: int) -> DataFrame:
     seen = materialise(docs.mapInArrow(_occurrences(shortest), _OCCURRENCES), "line-occurrences")
-    counts = _counts(seen)
+    counts, pair_levels = _counts(seen)
     seen = seen.where("id IS NOT NULL").drop("part", "counts")
     lines = materialise(seen.groupBy("id").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("doc_id", "key", "line")).alias("first"), F.first("head").alias("head")), "lines")
     total = int(counts.sum())
     buckets = max(8, total * (2 * (100 - percent) + 6) // 100 // BUCKET)
-    level = lambda count: (2 * np.log2(1 + count)).astype(np.uint8)
-    dealt = docs.select("text").mapInArrow(_prefixes(fewest, percent, level(counts), int(level(np.array(total / 4096 + HOT))), buckets), "bucket int, tokens binary")
+    # Words count one more than pairs a line; for a mean that is no matter.
+    known = (pair_levels, int(_level(np.array(total))), int(_level(np.array(CROWDED * total / (1 << PAIR_BITS)))) + 1)
+    hot = int(_level(np.array(total / 4096 + HOT)))
+    dealt = docs.select("text").mapInArrow(_prefixes(fewest, percent, _level(counts), hot, known, buckets), "bucket int, tokens binary")
     pairs, rows = candidates(dealt, buckets, percent, placed=True)
     pairs = materialise(pairs, "candidates")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).union(rows.select("id")).distinct()
@@ -346,7 +400,7 @@ def _repeated(docs: DataFrame, percent: int, fewest: int, shortest: int) -> Data
         both = pairs.join(s, F.col("a") == F.col("s.name")).join(t, F.col("b") == F.col("t.name"))
         return both.select("a", "b", F.col("s.words").alias("u"), F.col("t.words").alias("v")).mapInArrow(_verify(percent), "a binary, b binary")
 
-    labels = similar_components(pairs, rows, prints.drop("words"), PARITY, lambda x, y: _room(x, y, percent), judge, start=4)
+    labels = similar_components(pairs, rows, prints.drop("words"), PARITY, lambda x, y: _room(x, y, percent), judge, start=4, alike=_alike(percent))
     # A line that stands once and links with none stays.
     some = lines.where("k > 1").unionAll(lines.where("k = 1").mapInArrow(likely, lines.schema))
     groups = some.join(labels, F.col("id") == F.col("v"), "left").select("id", "head", "k", "first", F.coalesce("component", "id").alias("group"))
