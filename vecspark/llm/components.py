@@ -307,8 +307,8 @@ def similar_components(pairs: DataFrame, rows: DataFrame, prints: DataFrame, ske
     key's rows are compared with some `start`, 64, 4096... times that of them as long as they lie in different components, by the sketch
     inside the join; or, where few are outside the key's largest component, with all of these, which settles the key.
     What is left shrinks until every pair in two components has been compared, so no link between components is lost, and
-    a group of copies costs one pair a copy. Without `alike`, two things that share many keys meet in one of them only: a
-    row knows the LOWEST keys of its thing below its own, and where two rows have one of these in common they meet there.
+    a group of copies costs one pair a copy. Two things that share many keys meet in one of them only: a row knows the
+    LOWEST keys of its thing below its own, and where two rows have one of these in common they meet there.
     """
     if first is None:
         x, y = prints.alias("x"), prints.alias("y")
@@ -320,9 +320,8 @@ def similar_components(pairs: DataFrame, rows: DataFrame, prints: DataFrame, ske
     known = materialise(known.select("id", "name", F.coalesce("component", "name").alias("comp"), *sketch), "known")
     held = rows.join(known.select("id", "comp"), "id").groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     rows = materialise(rows.join(held.where("lo < hi").select("key"), "key"), "held")
-    # Where rows meet by arrays, pairs of several keys are cheaper than lists of keys.
-    columns = ["key", *(["before"] if alike is None else []), "n", "name", "comp", *sketch]
-    where = (_held(rows) if alike is None else rows).join(known, "id").select(*columns)
+    columns = ["key", "before", "n", "name", "comp", *sketch]
+    where = _held(rows).join(known, "id").select(*columns)
     judged, k = None, start
     while True:
         where = materialise(where, "open")
@@ -331,7 +330,7 @@ def similar_components(pairs: DataFrame, rows: DataFrame, prints: DataFrame, ske
             return labels
         where = _led(where.join(mixed, "key"), k)
         where = where.withColumn("leads", F.when(F.col("few"), F.col("comp") != F.col("main")).otherwise(F.col("leads")))
-        new = (_meetings(where, where.where("leads"), near) if alike is None else _beside(where, 8 * max(k, 8), sketch, alike)).distinct()
+        new = (_meetings(where, where.where("leads"), near) if alike is None else _beside(where, F.when(F.col("few"), F.col("others")).otherwise(k), sketch, alike)).distinct()
         if judged is not None:
             new = new.join(judged, ["a", "b"], "left_anti")
         new = materialise(new, "pairs")
@@ -345,12 +344,13 @@ def similar_components(pairs: DataFrame, rows: DataFrame, prints: DataFrame, ske
 
 
 def _mixed(where: DataFrame, few: int) -> DataFrame:
-    """Keys (key, first by name, size, main, few) whose rows (key, name, comp) lie in several components; main is the one
-    with most of them, few tells whether no more than `few` rows are in others. These, compared with all, settle the key:
+    """Keys (key, first by name, size, main, others, few) whose rows (key, name, comp) lie in several components; main is the
+    one with most of them, others the number of rows elsewhere, few whether that is no more than `few`. These, compared with all, settle the key:
     of two rows in different components one is not in main."""
     parts = where.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("rows"), F.min("name").alias("first"))
     keys = parts.groupBy("key").agg(F.max(F.struct("rows", "comp")).alias("most"), F.sum("rows").alias("size"), F.min("first").alias("first"), F.count(F.lit(1)).alias("parts"))
-    return keys.where("parts > 1").select("key", "first", "size", F.col("most.comp").alias("main"), (F.col("size") - F.col("most.rows") <= few).alias("few"))
+    others = F.col("size") - F.col("most.rows")
+    return keys.where("parts > 1").select("key", "first", "size", F.col("most.comp").alias("main"), others.alias("others"), (others <= few).alias("few"))
 
 
 def _led(where: DataFrame, k: int) -> DataFrame:
@@ -376,13 +376,13 @@ def _meetings(where: DataFrame, lead: DataFrame, near: Callable[[str, str], Colu
     return met.select(F.least("x.name", "y.name").alias("a"), F.greatest("x.name", "y.name").alias("b"))
 
 
-def _beside(where: DataFrame, most: int, sketch: list[str], alike: Callable[..., np.ndarray]) -> DataFrame:
+def _beside(where: DataFrame, most: Column, sketch: list[str], alike: Callable[..., np.ndarray]) -> DataFrame:
     """_meetings of `where` with its leaders, some `most` of a key at most, by arrays: cells of some ROWS rows and LEADS
-    leaders of a key, so that no task holds a large key; a pair may come from several keys."""
-    blocks, parts = F.ceil(F.least("size", F.lit(most)) / LEADS), F.ceil(F.col("size") / ROWS)
+    leaders of a key, so that no task holds a large key."""
+    blocks, parts = F.ceil(F.least("size", most) / LEADS), F.ceil(F.col("size") / ROWS)
     among = lambda seed, n: F.pmod(F.xxhash64("name", F.lit(seed)), n)
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
-    columns = ["name", "comp", "n", *sketch]
+    columns = ["name", "comp", "n", "before", *sketch]
     held = where.select("key", among(1, parts).alias("r"), each(blocks).alias("l"), F.lit(False).alias("leads"), *columns)
     lead = where.where("leads").select("key", each(parts).alias("r"), among(2, blocks).alias("l"), "leads", *columns)
     tasks = int(where.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -398,15 +398,25 @@ def _met_beside(sketch: list[str], alike: Callable[..., np.ndarray]) -> Callable
         x, y = np.flatnonzero(~lead), np.flatnonzero(lead)
         comp = text_bytes(cell.column("comp"))[0].view(np.uint64).reshape(-1, 2)
         n, bits = cell.column("n").to_numpy(), [cell.column(c).to_numpy() for c in sketch]
+        keys, count = cell.column("before").flatten().to_numpy(), np.diff(cell.column("before").offsets.to_numpy())
+        none = np.iinfo(np.int64).min
+        lower = np.full((LOWEST, cell.num_rows), none)
+        place = np.arange(len(keys)) - np.repeat(np.cumsum(count) - count, count)
+        lower[place, np.repeat(np.arange(cell.num_rows), count)] = keys
         rows = max(PAIRS // max(len(y), 1), 1)
         for part in (x[i : i + rows] for i in range(0, len(x) if len(y) else 0, rows)):
             near = alike(n[part, None], n[None, y], [b[part, None] for b in bits], [b[None, y] for b in bits])
             u, v = np.nonzero(near)
             u, v = part[u], y[v]
             apart = (comp[u] != comp[v]).any(axis=1)
-            if apart.any():
+            u, v = u[apart], v[apart]
+            elsewhere = np.zeros(len(u), bool)  # pairs that meet at a lower key
+            for i in range(LOWEST):
+                for j in range(LOWEST):
+                    elsewhere |= (lower[i][u] == lower[j][v]) & (lower[i][u] != none)
+            if not elsewhere.all():
                 name = cell.column("name")
-                yield pa.RecordBatch.from_arrays([name.take(pa.array(z[apart])) for z in (u, v)], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([name.take(pa.array(z[~elsewhere])) for z in (u, v)], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
