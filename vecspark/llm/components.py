@@ -303,7 +303,8 @@ def similar_components(pairs: DataFrame, rows: DataFrame, prints: DataFrame, ske
     alike(n, m, sketch, sketch), if given, is the same test as near on arrays, and rows meet leaders by it (see _beside);
     names are then 16 bytes.
 
-    First the pairs are judged. Keys whose things are all in one component drop out before their rows get sketches. Then a
+    First the pairs are judged. Keys whose things are all in one component drop out, without `alike` before their rows get
+    sketches (of lines there are few such keys, and rows get sketches at once). Then a
     key's rows are compared with some `start`, 64, 4096... times that of them as long as they lie in different components, by the sketch
     inside the join; or, where few are outside the key's largest component, with all of these, which settles the key.
     What is left shrinks until every pair in two components has been compared, so no link between components is lost, and
@@ -318,8 +319,9 @@ def similar_components(pairs: DataFrame, rows: DataFrame, prints: DataFrame, ske
     labels = connected_components(materialise(first(pairs), "verified"))
     known = prints.select("id", "name", *sketch).join(labels, F.col("name") == F.col("v"), "left")
     known = materialise(known.select("id", "name", F.coalesce("component", "name").alias("comp"), *sketch), "known")
-    held = rows.join(known.select("id", "comp"), "id").groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    rows = materialise(rows.join(held.where("lo < hi").select("key"), "key"), "held")
+    if alike is None:
+        held = rows.join(known.select("id", "comp"), "id").groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+        rows = materialise(rows.join(held.where("lo < hi").select("key"), "key"), "held")
     columns = ["key", "before", "n", "name", "comp", *sketch]
     where = _held(rows).join(known, "id").select(*columns)
     judged, k = None, start
